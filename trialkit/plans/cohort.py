@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trialkit.functions.hashing import hash_position
 from trialkit.operators.joins import in_window, not_in_ignoring_case
 from trialkit.operators.ranks import dense_positions
-from trialkit.sources.tables import reuse
+from trialkit.session import cut
 
 
 def gap_or_null(event: Column, anchor: Column, days: int = 365 * 5) -> Column:
@@ -103,10 +103,10 @@ def control_draws(
     are paired one to one with the untreated numbers from c on (fillers). Draw slots hang on the treated
     rows, so a big drug's slots are spread over as many tasks as its treated patients.
     """
-    members = reuse(dense_positions(cohort.select("ptid", "therapy_date"), [], "ptid", "member"))
+    members = cut(dense_positions(cohort.select("ptid", "therapy_date"), [], "ptid", "member"))
     n_members = members.agg(F.count(F.lit(1))).scalar()
     sizes = treated.groupBy("drug").agg(F.count(F.lit(1)).alias("n_treated"))
-    arm = reuse(
+    arm = cut(
         dense_positions(treated.select("drug", "ptid", "delta_days"), ["drug"], "ptid", "t_pos")
         .join(sizes, "drug")
         .withColumn("n_control", n_members - F.col("n_treated"))
@@ -124,6 +124,7 @@ def control_draws(
     slots = (
         arm.where("n_control > 0")
         .withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+        .repartition("drug", "boot_id", "t_pos")  # the arm is small on disk, its slots are not
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(ratio - 1))))
         .select("drug", "boot_id", (F.col("t_pos") * ratio + F.col("_j")).alias("rep"), "n_treated", "n_control")
     )

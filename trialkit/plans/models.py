@@ -15,18 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialkit.functions.normal import logit
-from trialkit.session import cut
+from trialkit.session import broadcast_if_small, cut
 from trialkit.sources.tables import reuse
 
 
 def _design(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None) -> DataFrame:
-    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
+    """Complete rows as plain number columns: _g, x1..xk, _y, _w."""
+    x = [F.col(f).cast("double").alias(f"x{i + 1}") for i, f in enumerate(features)]
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     group = F.to_json(F.struct(*keys)) if keys else F.lit("all")
     complete = F.col(label).isNotNull()
     for f in features:
         complete = complete & F.col(f).isNotNull()
-    return df.where(complete).select(group.alias("_g"), x.alias("_x"), F.col(label).cast("double").alias("_y"), w.alias("_w"))
+    return df.where(complete).select(group.alias("_g"), *x, F.col(label).cast("double").alias("_y"), w.alias("_w"))
 
 
 def _sum_by_position(parts: DataFrame) -> DataFrame:
@@ -36,31 +37,32 @@ def _sum_by_position(parts: DataFrame) -> DataFrame:
     return flat.groupBy("_g").agg(F.transform(ordered, lambda s: s["_v"]).alias("_sums"))
 
 
-def _groups(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
-    return iter(pdf.groupby("_g", sort=False))
+def _cross_products(rows: DataFrame, width: int) -> DataFrame:
+    """Per trial: sums of x * _r, then of x x' * _h (upper triangle), with x = (1, x1, ..).
 
-
-def _logistic_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for g, part in _groups(pdf):
-            x = np.stack(part["_x"].to_numpy())
-            y, w = part["_y"].to_numpy(), part["_w"].to_numpy()
-            p = 1.0 / (1.0 + np.exp(-np.clip(x @ part["_beta"].iloc[0], -35, 35)))
-            gradient = x.T @ (w * (y - p))
-            hessian = (x * (w * p * (1 - p))[:, None]).T @ x
-            out.append((g, np.concatenate((gradient, hessian.ravel()))))
-        yield pd.DataFrame(out, columns=["_g", "_sums"])
-
-
-def _normal_equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for g, part in _groups(pdf):
-            x = np.stack(part["_x"].to_numpy())
-            y, w = part["_y"].to_numpy(), part["_w"].to_numpy()
-            out.append((g, np.concatenate((x.T @ (w * y), ((x * w[:, None]).T @ x).ravel()))))
-        yield pd.DataFrame(out, columns=["_g", "_sums"])
+    Batches add up their own rows, so what is shuffled is one array per trial and batch.
+    """
+    names = [f"x{i}" for i in range(1, width)]
+    upper = np.triu_indices(width)
+
+    def batch_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            code, groups = pd.factorize(pdf["_g"])
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(groups) + 1))
+            x = np.column_stack((np.ones(len(pdf)), pdf[names].to_numpy(float)))[order]
+            r, h = pdf["_r"].to_numpy(float)[order], pdf["_h"].to_numpy(float)[order]
+            sums = []
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                part = x[lo:hi]
+                square = (part * h[lo:hi, None]).T @ part
+                sums.append(np.concatenate((part.T @ r[lo:hi], square[upper])))
+            yield pd.DataFrame({"_g": groups, "_sums": sums})
+
+    parts = rows.select("_g", *names, "_r", "_h").mapInPandas(batch_sums, "_g string, _sums array<double>")
+    return _sum_by_position(parts)
 
 
 def _solver(penalty: np.ndarray):
@@ -70,7 +72,9 @@ def _solver(penalty: np.ndarray):
         for b, s in zip(beta, sums):
             n = len(b)
             gradient = s[:n] - penalty * b
-            hessian = s[n:].reshape(n, n) + np.diag(penalty)
+            hessian = np.zeros((n, n))
+            hessian[np.triu_indices(n)] = s[n:]
+            hessian = np.triu(hessian) + np.triu(hessian, 1).T + np.diag(penalty)
             out.append(b + np.linalg.lstsq(hessian, gradient, rcond=None)[0])
         return pd.Series(out)
 
@@ -86,9 +90,14 @@ def logistic_coefficients(
     width = len(features) + 1
     step = _solver(np.array([0.0] + [l2] * len(features)))
     betas = cut(rows.select("_g").distinct().withColumn("_beta", F.array_repeat(F.lit(0.0), width)))
+    groups = betas.count()
     for _ in range(steps):
-        parts = rows.join(betas, "_g").mapInPandas(_logistic_moments, "_g string, _sums array<double>")
-        moved = betas.join(_sum_by_position(parts), "_g").withColumn("_next", step("_beta", "_sums"))
+        near = rows.join(broadcast_if_small(betas, groups, 200 + 8 * width), "_g")
+        p = 1 / (1 + F.exp(-_linear([f"x{i}" for i in range(1, width)], bounded=True)))
+        moments = near.withColumn("_p", p).withColumns(
+            {"_r": F.col("_w") * (F.col("_y") - F.col("_p")), "_h": F.col("_w") * F.col("_p") * (1 - F.col("_p"))}
+        )
+        moved = betas.join(_cross_products(moments, width), "_g").withColumn("_next", step("_beta", "_sums"))
         shift = F.array_max(F.zip_with("_beta", "_next", lambda a, b: F.abs(a - b)))
         moved = cut(moved.select("_g", F.col("_next").alias("_beta"), shift.alias("_shift")))
         betas = moved.drop("_shift")
@@ -98,11 +107,10 @@ def logistic_coefficients(
     return betas
 
 
-def _linear(features: Sequence[str], beta: Column) -> Column:
-    total = beta[0]
-    for i, f in enumerate(features):
-        total = total + beta[i + 1] * F.col(f).cast("double")
-    return total
+def _linear(features: Sequence[str], beta: str = "_beta", bounded: bool = False) -> Column:
+    terms = [f"{beta}[0]", *[f"{beta}[{i + 1}] * double(`{f}`)" for i, f in enumerate(features)]]
+    total = F.expr(" + ".join(terms))
+    return F.least(F.greatest(total, F.lit(-35.0)), F.lit(35.0)) if bounded else total
 
 
 def propensity_scores(
@@ -112,17 +120,18 @@ def propensity_scores(
     """Add `ps` and `ps_logit` from a logistic fit per trial."""
     betas = logistic_coefficients(df, keys, features, treat, weight, l2)
     group = F.to_json(F.struct(*keys)) if keys else F.lit("all")
-    scored = df.withColumn("_g", group).join(betas, "_g")
-    p = 1 / (1 + F.exp(-_linear(features, F.col("_beta"))))
+    near = broadcast_if_small(betas, betas.count(), 200 + 8 * len(features))
+    scored = df.withColumn("_g", group).join(near, "_g")
+    p = 1 / (1 + F.exp(-_linear(features, bounded=True)))
     return scored.withColumn("ps", p).withColumn("ps_logit", logit(F.col("ps"))).drop("_g", "_beta")
 
 
 def linear_coefficients(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None) -> DataFrame:
     """(_g, _beta): least squares per trial from the normal equations, one pass."""
-    parts = _design(df, keys, features, label, weight).mapInPandas(_normal_equations, "_g string, _sums array<double>")
+    rows = _design(df, keys, features, label, weight).withColumns({"_r": F.col("_w") * F.col("_y"), "_h": F.col("_w")})
     width = len(features) + 1
     start = F.array_repeat(F.lit(0.0), width)
-    return _sum_by_position(parts).select("_g", _solver(np.zeros(width))(start, "_sums").alias("_beta"))
+    return _cross_products(rows, width).select("_g", _solver(np.zeros(width))(start, "_sums").alias("_beta"))
 
 
 def standardized_effect(
@@ -143,7 +152,7 @@ def standardized_effect(
     group = F.to_json(F.struct(*keys)) if keys else F.lit("all")
     fitted = modelled.withColumn("_g", group).join(betas, "_g")
     beta, n = F.col("_beta"), len(features)
-    base = _linear(features, beta)
+    base = _linear(features)
     w = F.lit(1.0) if weight is None else F.col(weight)
     y1 = base + beta[n + 1] + beta[n + 2] * if_treated
     y0 = base + beta[n + 2] * if_control

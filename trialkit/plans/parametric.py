@@ -18,7 +18,10 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from trialkit.functions.normal import normal_quantile
 
 FAMILIES = ("weibull", "lognormal", "loglogistic")
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.array([math.erfc(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def _log_normal_tail(z: np.ndarray) -> np.ndarray:

@@ -21,6 +21,7 @@ class Trials:
 
     rows: DataFrame
     treated: DataFrame
+    outcome: DataFrame
     covariates: list[str]
 
 
@@ -30,8 +31,10 @@ def build_trials(
 ) -> Trials:
     """Arms and draws of the drugs with enough new users, with outcomes and covariates.
 
-    `covariates_at(keys)` gives one row per (ptid, index_date) for the distinct pairs in use.
+    `covariates_at(keys)` gives one row per (ptid, index_date) for the distinct pairs in use. `therapy` is
+    read several times, so pass a materialised table.
     """
+    outcome = cut(outcome)
     users = cohort.new_users(therapy, records).where(~F.lower("drug").isin([e.lower() for e in excluded]))
     enough = users.groupBy("drug").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_treated).select("drug")
     treated = cut(users.join(enough, "drug", "left_semi"))
@@ -42,7 +45,7 @@ def build_trials(
     # one number per row of a trial: treated rows by patient, drawn controls by slot
     ident = F.when(F.col("treatment") == 1, -F.col("ptid") - 1).otherwise(F.col("rep"))
     rows = trials.join(wide, features.KEY, "left").withColumn("id", ident.cast("long"))
-    return Trials(rows, treated, names)
+    return Trials(rows, treated, outcome, names)
 
 
 def estimate_trials(

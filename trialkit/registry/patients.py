@@ -8,7 +8,7 @@ from trialkit.plans import cohort as ch
 from trialkit.plans import outcomes
 from trialkit.registry import views as v
 from trialkit.registry.base import query
-from trialkit.sources.tables import reuse
+from trialkit.session import cut
 
 MIN_TREATED = 100
 N_BOOT = 100
@@ -74,19 +74,19 @@ DRAWS_SQL = f"""
 
 
 def _draws(spark, d, n_boot=N_BOOT):
-    therapy = reuse(v.therapy(spark, d))
-    treated = reuse(ch.new_users(therapy, v.records(spark, d)))
-    return treated, ch.control_draws(treated, therapy, n_boot)
+    therapy = cut(v.therapy(spark, d))
+    treated = cut(ch.new_users(therapy, v.records(spark, d)))
+    return therapy, treated, ch.control_draws(treated, therapy, n_boot)
 
 
 @query("bootstrap_controls", f"WITH {USERS_SQL}, {DRAWS_SQL} SELECT drug, boot_id, rep, ptid, therapy_date FROM draws", _SV)
 def bootstrap_controls(spark, d):
-    return _draws(spark, d)[1].select("drug", "boot_id", "rep", "ptid", "therapy_date")
+    return _draws(spark, d)[2].select("drug", "boot_id", "rep", "ptid", "therapy_date")
 
 
 @query("index_date_transplant", f"WITH {USERS_SQL}, {DRAWS_SQL} SELECT drug, boot_id, rep, ptid, delta_days, index_date FROM draws", _SV)
 def index_date_transplant(spark, d):
-    return _draws(spark, d)[1].select("drug", "boot_id", "rep", "ptid", "delta_days", "index_date")
+    return _draws(spark, d)[2].select("drug", "boot_id", "rep", "ptid", "delta_days", "index_date")
 
 
 # ---- outcomes --------------------------------------------------------------------------------------
@@ -119,12 +119,16 @@ OUTCOME_SQL = """
 _OV = ["records", "therapy", "death", "ord"]
 
 
-def outcome(spark, d):
-    patients = v.death(spark, d).join(v.therapy(spark, d).select("ptid", "dx_date", "therapy_date"), "ptid")
+def outcome_of(spark, d, therapy):
+    patients = v.death(spark, d).join(therapy.select("ptid", "dx_date", "therapy_date"), "ptid")
     o = v.orders(spark, d).select("ptid", F.col("order_day").alias("date"))
     return outcomes.validated_death(outcomes.last_activity(patients, [o], ["dx_date", "therapy_date"]))
 
 
+def outcome(spark, d):
+    return outcome_of(spark, d, v.therapy(spark, d))
+
+
 @query("death_validation", f"WITH {OUTCOME_SQL} SELECT ptid, unvalidated_dod, last_act_dt, available_date, d_flag FROM outcome", _OV)
 def death_validation(spark, d):
     return outcome(spark, d).select("ptid", "unvalidated_dod", "last_act_dt", "available_date", "d_flag")
@@ -151,8 +155,8 @@ TRIALS_SQL = f"""
 @query("trial_assemble", f"""
     WITH {TRIALS_SQL} SELECT drug, boot_id, ptid, index_date, rep, treatment, d_flag, d_delta_days FROM trials WHERE d_delta_days >= 0""", _OV)
 def trial_assemble(spark, d):
-    treated, draws = _draws(spark, d)
-    return outcomes.assemble_trials(treated, draws, outcome(spark, d), N_BOOT)
+    therapy, treated, draws = _draws(spark, d)
+    return outcomes.assemble_trials(treated, draws, outcome_of(spark, d, therapy), N_BOOT)
 
 
 @query("trial_subset_stratum", """

@@ -160,11 +160,12 @@ def join_asof_history(spark, d):
 
 @query("join_pairwise_distance", """
     SELECT t.trial, t.id AS t_id, count(*) AS n_controls, round(min(abs(t.score - c.score)), 6) AS nearest,
-           round(avg(abs(t.score - c.score)), 6) AS mean_distance, round(max(abs(t.score - c.score)), 6) AS farthest
+           round(sum(abs(t.score - c.score)), 4) AS total_distance, round(max(abs(t.score - c.score)), 6) AS farthest
     FROM cust_trial t JOIN cust_trial c ON t.trial = c.trial AND t.treatment = 1 AND c.treatment = 0 GROUP BY 1, 2""", ["cust_trial"])
 def join_pairwise_distance(spark, d):
     p = matching.distance_profile(v.cust_trial(spark, d).select("trial", "id", "treatment", "score"), ["trial"])
-    return p.select("trial", "t_id", "n_controls", *[F.round(c, 6).alias(c) for c in ("nearest", "mean_distance", "farthest")])
+    total = F.round(F.col("mean_distance") * F.col("n_controls"), 4).alias("total_distance")
+    return p.select("trial", "t_id", "n_controls", total, *[F.round(c, 6).alias(c) for c in ("nearest", "farthest")])
 
 
 # ---- aggregates ------------------------------------------------------------------------------------

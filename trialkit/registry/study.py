@@ -9,7 +9,7 @@ from trialkit.plans import features, outcomes, synthesis
 from trialkit.plans.study import build_trials, class_estimates, estimate_trials, stratum_estimates
 from trialkit.registry import views as v
 from trialkit.registry.base import query
-from trialkit.registry.patients import outcome
+from trialkit.registry.patients import outcome_of
 from trialkit.session import cut
 
 N_BOOT = 12
@@ -39,9 +39,8 @@ def _covariates(spark, d):
 
 
 def trials(spark, d, n_boot=N_BOOT, min_treated=100):
-    return build_trials(
-        v.therapy(spark, d), v.records(spark, d), outcome(spark, d), _covariates(spark, d), n_boot=n_boot, min_treated=min_treated
-    )
+    therapy = cut(v.therapy(spark, d))
+    return build_trials(therapy, v.records(spark, d), outcome_of(spark, d, therapy), _covariates(spark, d), n_boot=n_boot, min_treated=min_treated)
 
 
 def summary(spark, d, n_boot=N_BOOT, min_treated=100, n_resamples=N_RESAMPLES):
@@ -64,7 +63,7 @@ def sae_effect_matrix(spark, d):
     built = trials(spark, d)
     estimates, matched = estimate_trials(built.rows, built.covariates)
     estimates = cut(estimates)
-    last = outcome(spark, d).select("ptid", "last_act_dt")
+    last = built.outcome.select("ptid", "last_act_dt")
     per_class = cut(class_estimates(matched, _order_events(spark, d), estimates, _CLASSES, last))
     out = None
     for measure, expected in (("OR_all_day", 1.0), ("OR_180day", 1.0), ("diff_ir_all_day", 0.0), ("diff_ir_180day", 0.0)):

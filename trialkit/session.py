@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,6 +23,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast a table whose counted rows fit the bound; a larger one is joined by shuffling."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage and drop the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
