@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialkit.functions.hashing import hash32
+from trialkit.session import broadcast_if_small, cut
+from trialkit.sources.tables import reuse
 
 CHUNKS = 64
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -62,7 +64,8 @@ def ordered_chunks(
     A score held by so many rows that two cut points fall on it is split further by arm and hash, so
     a mass of equal scores is spread as well.
     """
-    bounded = df.join(chunk_bounds(df, keys, score, chunks), list(keys))
+    bounds = cut(chunk_bounds(df, keys, score, chunks))
+    bounded = df.join(broadcast_if_small(bounds, bounds.count(), 8 * chunks + 200), list(keys))
     bucket = chunk_of(F.col("_bounds"), F.col(score))
     repeats = F.size(F.filter("_bounds", lambda b: b == F.col(score)))
     inner = F.when(repeats >= 2, 1 + arm_rank.cast("long") * 256 + F.shiftright(tie_hash, 24)).otherwise(F.lit(0))
@@ -113,8 +116,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, per group, for groups of any size.
 
-    Equal values collapse map-side, approximate cut points split a group, and only the chunks that
-    hold a wanted rank are sorted.
+    Equal values collapse map-side and are shuffled once. Approximate cut points split a group; only the
+    chunks that hold a wanted rank are sorted. The steps in between are small tables.
     """
     keys = list(keys)
     key_cols = [F.lit(1).alias("_all")] if not keys else [F.col(k) for k in keys]
@@ -122,12 +125,16 @@ def exact_percentiles(
     rows = df.select(*key_cols, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
+    counted = reuse(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
     cuts = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    stats = rows.groupBy(*by).agg(
-        F.percentile_approx("_v", cuts, F.lit(1000)).alias("_bounds"), F.count(F.lit(1)).alias("_total")
+    # cut points over distinct values, which is what a chunk holds
+    stats = cut(
+        counted.groupBy(*by).agg(
+            F.percentile_approx("_v", cuts, F.lit(1000)).alias("_bounds"), F.sum("_n").alias("_total")
+        )
     )
-    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    chunked = counted.join(stats, by).select(
+    groups = stats.count()
+    chunked = counted.join(broadcast_if_small(stats, groups, 8 * chunks + 200), by).select(
         *by, "_v", "_n", "_total", chunk_of(F.col("_bounds"), F.col("_v")).alias("_chunk")
     )
     across = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(*_BEFORE_HERE)
@@ -140,9 +147,11 @@ def exact_percentiles(
     for t in [*lows, *highs]:
         hit = (t >= F.col("_before")) & (t < F.col("_before") + F.col("_size"))
         in_chunk = hit if in_chunk is None else in_chunk | hit
-    wanted = sizes.where(in_chunk).select(*by, "_chunk", "_before")
+    wanted = cut(sizes.where(in_chunk).select(*by, "_chunk", "_before"))
     local = Window.partitionBy(*by, "_chunk").orderBy("_v").rowsBetween(*_UP_TO_HERE)
-    ranked = chunked.join(wanted, [*by, "_chunk"]).withColumn("_end", F.col("_before") + F.sum("_n").over(local))
+    ranked = chunked.join(broadcast_if_small(wanted, 2 * groups * len(probs), 200), [*by, "_chunk"]).withColumn(
+        "_end", F.col("_before") + F.sum("_n").over(local)
+    )
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), F.col("_v")))
@@ -155,4 +164,6 @@ def exact_percentiles(
         (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (targets[i] - lows[i])).alias(n)
         for i, n in enumerate(names)
     ]
-    return picked.select(*keys, *out)
+    found = cut(picked.select(*keys, *out))
+    counted.unpersist()
+    return found

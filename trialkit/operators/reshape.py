@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialkit.functions.hashing import hash_position
 from trialkit.operators.ranks import exact_percentiles, keep_first
+from trialkit.session import broadcast_if_small, cut
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], variable: str, value: str) -> DataFrame:
@@ -81,7 +82,9 @@ def _spread(long: DataFrame, keys: Sequence[str], cols: Sequence[str], names: Se
 
 
 def _attach(df: DataFrame, keys: Sequence[str], per_group: DataFrame) -> DataFrame:
-    return df.join(per_group, list(keys), "left")
+    """Join a summary per group back to the rows; while it is small the rows are not shuffled for it."""
+    summary = cut(per_group)
+    return df.join(broadcast_if_small(summary, summary.count(), 100 + 16 * len(summary.columns)), list(keys), "left")
 
 
 def trim_outliers(df: DataFrame, keys: Sequence[str], cols: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -111,7 +114,13 @@ def split_flag(seed: int, percent_train: int, *key: Column | str) -> Column:
 
 
 def impute_median_from_train(df: DataFrame, keys: Sequence[str], cols: Sequence[str], train: str) -> DataFrame:
-    """Medians of the rows with train = 1, applied to all rows."""
+    """Medians of the rows with train = 1, applied to all rows. Columns without gaps cost one count."""
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in cols]).first()
+    whole = [c for c in cols if counts[c] == counts["_rows"]]
+    df = df.withColumns({c: F.col(c).cast("double") for c in whole}) if whole else df
+    cols = [c for c in cols if c not in whole]
+    if not cols:
+        return df
     medians = _spread(_value_ranges(df.where(F.col(train) == 1), keys, cols, [0.5], ["med"]), keys, cols, ["med"])
     joined = _attach(df, keys, medians)
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")) for c in cols}).select(*df.columns)
@@ -131,7 +140,7 @@ def scale_min_max(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Da
 
 def median_abs_deviation(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     medians = exact_percentiles(df, keys, col, [0.5], ["median"])
-    spread = df.join(medians, list(keys)).withColumn("_dev", F.abs(F.col(col) - F.col("median")))
+    spread = _attach(df, keys, medians).withColumn("_dev", F.abs(F.col(col) - F.col("median")))
     return medians.join(exact_percentiles(spread, keys, "_dev", [0.5], ["mad"]), list(keys))
 
 

@@ -25,11 +25,17 @@ def gap_or_null(event: Column, anchor: Column, days: int = 365 * 5) -> Column:
 def dual_therapy(cohort: DataFrame, records: DataFrame, codes: DataFrame, before: int = 14, after: int = 90) -> DataFrame:
     """Cohort with combined_therapy (1 if both classes occur around diagnosis) and the first date of either.
 
-    `codes` has one row per code with 0/1 columns class_a and class_b.
+    `codes` has one row per code with 0/1 columns class_a and class_b. Records become one row per patient,
+    day and class before they meet the cohort, which bounds what one patient brings.
     """
-    around = in_window(records, cohort.select("ptid", "dx_date"), "ptid", "rx_date", "dx_date", before, after)
+    daily = (
+        records.select("ptid", "rx_date", "code")
+        .join(codes.where("class_a + class_b > 0"), "code")
+        .select("ptid", "rx_date", "class_a", "class_b")
+        .distinct()
+    )
     per_patient = (
-        around.join(codes.where("class_a + class_b > 0"), "code")
+        in_window(daily, cohort.select("ptid", "dx_date"), "ptid", "rx_date", "dx_date", before, after)
         .groupBy("ptid")
         .agg(F.max("class_a").alias("_a"), F.max("class_b").alias("_b"), F.min("rx_date").alias("_first"))
         .where("_a = 1 and _b = 1")
@@ -46,8 +52,9 @@ def drug_users(cohort: DataFrame, records: DataFrame, follow: int = 90, washout:
 
     treated = 1 for new users: at least two distinct days in the window, and the last earlier record (if
     any) more than `washout` days ahead of the first. All other cohort members are controls of the drug.
+    Records are reduced to distinct days per drug and patient first.
     """
-    joined = records.join(cohort.select("ptid", "therapy_date"), "ptid")
+    joined = records.select("ptid", "drug", "rx_date").distinct().join(cohort.select("ptid", "therapy_date"), "ptid")
     day, start = F.col("rx_date"), F.col("therapy_date")
     inside = (day >= start) & (day <= F.date_add(start, follow))
     spans = (

@@ -19,6 +19,9 @@ from trialkit.session import broadcast_if_small, cut
 from trialkit.sources.tables import reuse
 
 
+_HELD_BYTES = 64 * 1024 * 1024
+
+
 def _design(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None) -> DataFrame:
     """Complete rows as plain number columns: _g, x1..xk, _y, _w."""
     x = [F.col(f).cast("double").alias(f"x{i + 1}") for i, f in enumerate(features)]
@@ -40,12 +43,15 @@ def _sum_by_position(parts: DataFrame) -> DataFrame:
 def _cross_products(rows: DataFrame, width: int) -> DataFrame:
     """Per trial: sums of x * _r, then of x x' * _h (upper triangle), with x = (1, x1, ..).
 
-    Batches add up their own rows, so what is shuffled is one array per trial and batch.
+    A task adds up its own rows and hands over one array per trial, or several when the arrays it holds
+    reach a fixed amount of memory.
     """
     names = [f"x{i}" for i in range(1, width)]
     upper = np.triu_indices(width)
+    held_at_most = max(1, _HELD_BYTES // (8 * (width + len(upper[0]))))
 
-    def batch_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -54,14 +60,18 @@ def _cross_products(rows: DataFrame, width: int) -> DataFrame:
             starts = np.searchsorted(code[order], np.arange(len(groups) + 1))
             x = np.column_stack((np.ones(len(pdf)), pdf[names].to_numpy(float)))[order]
             r, h = pdf["_r"].to_numpy(float)[order], pdf["_h"].to_numpy(float)[order]
-            sums = []
-            for lo, hi in zip(starts[:-1], starts[1:]):
+            for g, lo, hi in zip(groups, starts[:-1], starts[1:]):
                 part = x[lo:hi]
                 square = (part * h[lo:hi, None]).T @ part
-                sums.append(np.concatenate((part.T @ r[lo:hi], square[upper])))
-            yield pd.DataFrame({"_g": groups, "_sums": sums})
-
-    parts = rows.select("_g", *names, "_r", "_h").mapInPandas(batch_sums, "_g string, _sums array<double>")
+                sums = np.concatenate((part.T @ r[lo:hi], square[upper]))
+                held[g] = held[g] + sums if g in held else sums
+            if len(held) > held_at_most:
+                yield pd.DataFrame({"_g": list(held), "_sums": list(held.values())})
+                held = {}
+        if held:
+            yield pd.DataFrame({"_g": list(held), "_sums": list(held.values())})
+
+    parts = rows.select("_g", *names, "_r", "_h").mapInPandas(task_sums, "_g string, _sums array<double>")
     return _sum_by_position(parts)
 
 

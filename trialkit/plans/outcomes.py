@@ -8,20 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialkit.operators.joins import on_or_after_all
-
 
 def last_activity(patients: DataFrame, events: Sequence[DataFrame], anchors: Sequence[str]) -> DataFrame:
     """Latest of the patient's anchor dates and of any event on or after them.
 
-    `patients` has ptid, last_act_dt and the anchor columns; each events frame is (ptid, date).
+    `patients` has ptid, last_act_dt and the anchor columns; each events frame is (ptid, date). An event
+    ahead of an anchor cannot be the latest date, so each patient's latest event is enough.
     """
     dated = reduce(DataFrame.unionByName, [e.select("ptid", "date") for e in events])
-    latest = (
-        on_or_after_all(dated, patients.select("ptid", *anchors), "ptid", "date", anchors)
-        .groupBy("ptid")
-        .agg(F.max("date").alias("_latest"))
-    )
+    latest = dated.groupBy("ptid").agg(F.max("date").alias("_latest"))
     last = F.greatest("last_act_dt", *anchors, "_latest")
     return patients.join(latest, "ptid", "left").withColumn("last_act_dt", last).drop("_latest")
 

@@ -92,8 +92,9 @@ def _fit(family: str, x, t, event, count, steps: int = 100):
         scale = 1.0
         while scale > 1e-8:
             trial = theta + scale * move
-            new = _likelihood(family, trial, x, log_t, event, count)
-            if np.isfinite(new[0]) and new[0] >= value - 1e-12:
+            with np.errstate(all="ignore"):  # a step too far is seen below and halved
+                new = _likelihood(family, trial, x, log_t, event, count)
+            if np.isfinite(new[0]) and np.isfinite(new[2]).all() and new[0] >= value - 1e-12:
                 break
             scale /= 2
         else:

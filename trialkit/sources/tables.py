@@ -26,17 +26,31 @@ def read_name_list(lines: DataFrame, text: str, name: str = "name") -> DataFrame
     return lines.select(F.explode(items).alias(name)).distinct()
 
 
-def nest_history(events: DataFrame, keys: Sequence[str], name: str, date: str, value: str) -> DataFrame:
-    """Long (key, name, date, value) to one row per key and name with a date-sorted array.
+def nest_history(
+    events: DataFrame, keys: Sequence[str], name: str, date: str, value: str, list_size: int = 10_000
+) -> DataFrame:
+    """Long (key, name, date, value) to date-sorted arrays of (date, value, copies).
 
-    Kept per name, so that one key's array is bounded by one measurement's history.
+    A key's history is one array, or several numbered parts when it has far more than `list_size`
+    different entries, so no array grows with the longest history.
     """
-    item = F.struct(F.col(date).alias("date"), F.col(value).alias("value"))
-    return events.groupBy(*keys, name).agg(F.sort_array(F.collect_list(item)).alias("history"))
+    by = [*keys, name]
+    entries = events.groupBy(*by, date, value).agg(F.count(F.lit(1)).alias("_copies"))
+    parts = entries.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / list_size).alias("_parts"))
+    item = F.struct(F.col(date).alias("date"), F.col(value).alias("value"), F.col("_copies").alias("copies"))
+    part = F.pmod(F.xxhash64(date, value), F.col("_parts")).alias("part")
+    return (
+        entries.join(parts, by)
+        .select(*by, part, item.alias("_item"))
+        .groupBy(*by, "part")
+        .agg(F.sort_array(F.collect_list("_item")).alias("history"))
+    )
 
 
 def flatten_history(nested: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    return nested.select(*keys, name, F.explode("history").alias("item")).select(*keys, name, "item.date", "item.value")
+    items = nested.select(*keys, name, F.explode("history").alias("item"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("item.copies")))
+    return items.select(*keys, name, "item", copies.alias("_copy")).select(*keys, name, "item.date", "item.value")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
