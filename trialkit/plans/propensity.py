@@ -86,7 +86,7 @@ def resample_counts(df: DataFrame, ident: Sequence[str], n_boot: int, seed: int
 
     Copies are Poisson(1) by hash of (resample, row): no shuffle, and any retry draws the same.
     """
-    u = (hash32(F.lit(seed), "boot", *ident) + 0.5) / F.lit(float(2**32))
+    u = (hash32(F.lit(seed), F.lit("boot"), F.col("boot"), *ident) + 0.5) / F.lit(float(2**32))
     copies = sum((u > F.lit(p)).cast("int") for p in _POISSON)
     return (
         df.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))

@@ -29,8 +29,9 @@ def compose(views: Sequence[str], body: str) -> str:
     named = ", ".join(f"{n} AS ({VIEW_SQL[n][1].strip()})" for n in _with_needed(views))
     if not named:
         return body
-    if body.lower().startswith("with "):
-        return f"WITH {named}, {body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{named}, {body[len(head):]}"
     return f"WITH {named} {body}"
 
 

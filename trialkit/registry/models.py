@@ -9,6 +9,7 @@ from trialkit.functions.normal import logit, normal_quantile
 from trialkit.functions.text import count_percent
 from trialkit.plans import balance, matching, models, parametric, propensity, reports, survival, synthesis
 from trialkit.plans.features import demographics
+from trialkit.registry import sqlmath
 from trialkit.registry import views as v
 from trialkit.registry.base import query
 from trialkit.registry.patients import _SV, USERS_SQL
@@ -30,7 +31,12 @@ def _trial(spark, d):
 # ---- propensity and matching -----------------------------------------------------------------------
 
 
-@query("ps_logistic")
+_ETA = " + ".join(["b0", *[f"b{i + 1} * {c}" for i, c in enumerate(COVARIATES)]])
+_PS = f"""{sqlmath.logistic("cust_trial", ["trial"], COVARIATES, "treatment")},
+    ps AS (SELECT r.*, 1 / (1 + exp(-({_ETA}))) AS ps FROM cust_trial r JOIN lb ON r.trial = lb.trial)"""
+
+
+@query("ps_logistic", f"WITH {_PS} SELECT trial, id, treatment, round(ps, 6) AS ps, round(ln(ps / (1 - ps)), 6) AS ps_logit FROM ps", ["cust_trial"])
 def ps_logistic(spark, d):
     return _r(models.propensity_scores(_trial(spark, d), ["trial"], COVARIATES).select("trial", "id", "treatment", "ps", "ps_logit"), "ps", "ps_logit")
 
@@ -63,15 +69,45 @@ def _scored(spark, d):
     return cut(models.propensity_scores(_trial(spark, d), ["trial"], COVARIATES))
 
 
-@query("match_nearest_1to1")
+# a score without ties, so that the order of closest pairs is the same everywhere
+SHARE = "spend / 600000"
+SHARE_SQL = f"scored AS (SELECT trial, id, treatment, {SHARE} AS share, ln(({SHARE}) / (1 - {SHARE})) AS share_logit FROM cust_trial)"
+
+
+def shared(spark, d):
+    share = F.expr(SHARE)
+    return cut(_trial(spark, d).select("trial", "id", "treatment", share.alias("ps"), logit(share).alias("ps_logit"), "days", "flag"))
+
+
+@query("match_nearest_1to1", f"""
+    WITH RECURSIVE {SHARE_SQL}, {v.closest_first("scored", "share_logit")}
+    SELECT trial, t_id, c_id, round(distance, 6) AS distance FROM taken WHERE t_id IS NOT NULL""", ["cust_trial"])
 def match_nearest_1to1(spark, d):
-    rows = _scored(spark, d).select("trial", "id", "treatment", F.col("ps_logit").alias("score"))
+    rows = shared(spark, d).select("trial", "id", "treatment", F.col("ps_logit").alias("score"))
     return _r(matching.match_nearest(rows, ["trial"]).select("trial", "t_id", "c_id", "distance"), "distance")
 
 
-@query("match_caliper_1toN")
+@query("join_inner_id", f"""
+    WITH RECURSIVE {SHARE_SQL}, {v.closest_first("scored", "share_logit")}
+    SELECT x.trial, x.id, x.treatment, x.days, x.flag FROM cust_trial x JOIN (
+        SELECT trial, t_id AS id FROM taken WHERE t_id IS NOT NULL UNION ALL SELECT trial, c_id FROM taken WHERE t_id IS NOT NULL) m
+    ON x.trial = m.trial AND x.id = m.id""", ["cust_trial"])
+def join_inner_id(spark, d):
+    rows = shared(spark, d)
+    pairs = matching.match_nearest(rows.withColumn("score", F.col("ps_logit")), ["trial"])
+    return matching.matched_rows(rows, pairs, ["trial"]).select("trial", "id", "treatment", "days", "flag")
+
+
+@query("match_caliper_1toN", f"""
+    WITH RECURSIVE {SHARE_SQL},
+    gaps AS (SELECT t.trial, abs(CAST(round(t.share / 0.0001) AS BIGINT) - CAST(round(c.share / 0.0001) AS BIGINT)) AS gap
+             FROM scored t JOIN scored c ON t.trial = c.trial AND t.treatment = 1 AND c.treatment = 0),
+    mid AS (SELECT trial, median(gap) AS med FROM gaps GROUP BY 1),
+    cal AS (SELECT g.trial, median(abs(g.gap - m.med)) * 0.0001 AS caliper FROM gaps g JOIN mid m ON g.trial = m.trial GROUP BY 1),
+    {v.closest_first("scored", "share", 3, "cal")}
+    SELECT trial, t_id, c_id, round(distance, 6) AS distance, turn FROM taken WHERE t_id IS NOT NULL""", ["cust_trial"])
 def match_caliper_1to_n(spark, d):
-    return _r(propensity.caliper_match(_scored(spark, d), ["trial"], ratio=3), "distance")
+    return _r(propensity.caliper_match(shared(spark, d), ["trial"], ratio=3), "distance")
 
 
 @query("match_caliper_mad", """
@@ -132,14 +168,43 @@ def ate_incidence_difference(spark, d):
     return _r(plain.join(weighted, "trial"), "incidence_treated", "incidence_control", "incidence_overall", "ate", "weighted_ate")
 
 
-@query("ate_standardization")
+def _standardized_sql(rows: str, keys: list[str], features: list[str], weight: str = "1") -> str:
+    """CTEs from `ps` scored rows to `effect`."""
+    n = len(features)
+    by, on = ", ".join(keys), " AND ".join(f"m.{k} = ls.{k}" for k in keys)
+    fit = sqlmath.least_squares("modelled", keys, [*features, "treatment", "ipw"], "flag", weight)
+    base = " + ".join(["c0", *[f"c{i + 1} * {f}" for i, f in enumerate(features)]])
+    return f"""
+    modelled AS (SELECT *, CASE WHEN treatment = 1 THEN 1 / ps ELSE 1 / (1 - ps) END AS ipw FROM {rows}), {fit},
+    effect AS (SELECT {by}, sum({weight} * ({base} + c{n + 1} + c{n + 2} / ps)) / sum({weight}) AS mean_treated,
+        sum({weight} * ({base} + c{n + 2} / (1 - ps))) / sum({weight}) AS mean_control
+        FROM (SELECT m.*, ls.* EXCLUDE ({by}) FROM modelled m JOIN ls ON {on}) GROUP BY {by})"""
+
+
+@query("ate_standardization", f"""
+    WITH {_PS}, {_standardized_sql("ps", ["trial"], COVARIATES)}
+    SELECT trial, round(mean_treated, 6) AS mean_treated, round(mean_control, 6) AS mean_control, round(mean_treated - mean_control, 6) AS ate FROM effect""",
+    ["cust_trial"])
 def ate_standardization(spark, d):
     return _r(models.standardized_effect(_trial(spark, d), ["trial"], COVARIATES, "flag"), "mean_treated", "mean_control", "ate")
 
 
-@query("ate_bootstrap_ci")
+_BOOT_FEATURES = ["bal", "n_orders"]
+_N_REFITS = 100
+_POISSON_SQL = " + ".join(f"CAST(u > {p!r} AS INTEGER)" for p in propensity._POISSON)
+
+
+@query("ate_bootstrap_ci", f"""
+    WITH drawn AS (SELECT c.*, b.boot FROM cust_trial c, (SELECT unnest(range({_N_REFITS})) AS boot) b),
+    hashed AS (SELECT *, ({v.h32("'0'", "'boot'", "boot", "id")} + 0.5) / 4294967296.0::DOUBLE AS u FROM drawn),
+    copied AS (SELECT * FROM (SELECT *, {_POISSON_SQL} AS copies FROM hashed) WHERE copies > 0),
+    {sqlmath.logistic("copied", ["trial", "boot"], _BOOT_FEATURES, "treatment", "r.copies")},
+    ps AS (SELECT r.*, 1 / (1 + exp(-(b0 + b1 * bal + b2 * n_orders))) AS ps FROM copied r JOIN lb ON r.trial = lb.trial AND r.boot = lb.boot),
+    {_standardized_sql("ps", ["trial", "boot"], _BOOT_FEATURES, "copies")}
+    SELECT trial, round(avg(mean_treated - mean_control), 6) AS ate_mean, round(quantile_cont(mean_treated - mean_control, 0.025), 6) AS ci_low,
+           round(quantile_cont(mean_treated - mean_control, 0.975), 6) AS ci_high, count(*) AS n_resamples FROM effect GROUP BY 1""", ["cust_trial"])
 def ate_bootstrap_ci(spark, d):
-    found = propensity.bootstrap_effect(_trial(spark, d), ["trial"], ["bal", "n_orders"], "flag", n_boot=100)
+    found = propensity.bootstrap_effect(_trial(spark, d), ["trial"], _BOOT_FEATURES, "flag", n_boot=_N_REFITS)
     return _r(found, "ate_mean", "ci_low", "ci_high")
 
 
@@ -314,7 +379,13 @@ def pooled_hr(spark, d):
     return _r(synthesis.pool_inverse_variance(v.estimates(spark, d), ["drug"]), "pooled_hr", "pooled_low", "pooled_high", "pooled_z")
 
 
-@query("pooled_hr_pvalue")
+def _pooled_sql(tail: str) -> str:
+    return f"""
+    WITH x AS (SELECT drug, ln(hr) AS y, 1 / (((ln(hr_high) - ln(hr_low)) / (2 * {_Z})) ** 2) AS w FROM estimates),
+    s AS (SELECT drug, exp(sum(w * y) / sum(w)) AS pooled_hr, sum(w * y) / sum(w) * sqrt(sum(w)) AS z FROM x GROUP BY 1) {tail}"""
+
+
+@query("pooled_hr_pvalue", _pooled_sql(f"SELECT drug, round(pooled_hr, 6) AS pooled_hr, round(1 - 2 * {v.half_normal('z')}, 6) AS pooled_p FROM s"), ["estimates"])
 def pooled_hr_pvalue(spark, d):
     pooled = synthesis.with_pooled_p(synthesis.pool_inverse_variance(v.estimates(spark, d), ["drug"]))
     return _r(pooled.select("drug", "pooled_hr", "pooled_p"), "pooled_hr", "pooled_p")

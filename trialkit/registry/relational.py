@@ -124,13 +124,6 @@ def join_left_multi(spark, d):
     return joins.left_all(base.withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1)))), blocks, keys)
 
 
-@query("join_inner_id")
-def join_inner_id(spark, d):
-    rows = v.cust_trial(spark, d)
-    pairs = matching.match_nearest(rows.select("trial", "id", "treatment", "score"), ["trial"])
-    return matching.matched_rows(rows, pairs, ["trial"]).select("trial", "id", "treatment", "score", "days", "flag")
-
-
 @query("join_dim_lookup", """
     SELECT p_partkey, p_type, CASE p_type WHEN 'ECONOMY' THEN 'Economy' WHEN 'LARGE' THEN 'Large' WHEN 'MEDIUM' THEN 'Medium'
            WHEN 'PROMO' THEN 'Promotion' END AS display, CASE p_type WHEN 'ECONOMY' THEN 'price' WHEN 'PROMO' THEN 'price'

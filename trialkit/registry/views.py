@@ -164,6 +164,33 @@ def estimates(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def half_normal(z: str) -> str:
+    """SQL of the normal probability between 0 and |z|, by its power series (terms are all positive)."""
+    odd = "(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))"  # log of (2k + 1)!!
+    terms = f"list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({z})) - {odd} - {z} * {z} / 2))"
+    return f"(CASE WHEN {z} = 0 THEN 0 ELSE list_sum({terms}) / sqrt(2 * pi()) END)"
+
+
+def closest_first(rows: str, score: str, ratio: int = 1, caliper: str | None = None) -> str:
+    """SQL of matching one closest pair at a time: `pairs` and the recursive `taken`.
+
+    A treated row's turn is one more than the controls it has; earlier turns go first.
+    """
+    near = "" if caliper is None else f" JOIN {caliper} q ON q.trial = t.trial AND abs(t.{score} - c.{score}) <= q.caliper"
+    turn = "1" if ratio == 1 else "1 + len(list_filter(k.used_t, lambda x: x = p.t_id))"
+    fresh = "NOT list_contains(k.used_t, p.t_id)" if ratio == 1 else f"len(list_filter(k.used_t, lambda x: x = p.t_id)) < {ratio}"
+    return f"""
+    pairs AS (SELECT t.trial, t.id AS t_id, c.id AS c_id, abs(t.{score} - c.{score}) AS distance
+        FROM {rows} t JOIN {rows} c ON t.trial = c.trial AND t.treatment = 1 AND c.treatment = 0{near}),
+    taken AS (
+        SELECT trial, CAST([] AS BIGINT[]) AS used_t, CAST([] AS BIGINT[]) AS used_c, CAST(NULL AS BIGINT) AS t_id, CAST(NULL AS BIGINT) AS c_id,
+               CAST(NULL AS DOUBLE) AS distance, 0 AS turn FROM (SELECT DISTINCT trial FROM {rows})
+        UNION ALL
+        SELECT trial, list_append(used_t, best.t_id), list_append(used_c, best.c_id), best.t_id, best.c_id, best.distance, CAST(best.turn AS INTEGER) FROM (
+            SELECT k.trial, k.used_t, k.used_c, min(struct_pack(turn := {turn}, distance := p.distance, t_id := p.t_id, c_id := p.c_id)) AS best
+            FROM taken k JOIN pairs p ON k.trial = p.trial WHERE NOT list_contains(k.used_c, p.c_id) AND {fresh} GROUP BY k.trial, k.used_t, k.used_c))"""
+
+
 # name -> (views it reads, statement)
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "ord": ((), """
