@@ -267,7 +267,20 @@ def km_curve(spark, d):
     return _r(survival.kaplan_meier(_trial(spark, d), ["trial"], "days", "flag"), "survival")
 
 
-@query("aft_effect")
+def _aft_sql() -> str:
+    parts, out = [], []
+    for f in parametric.FAMILIES:
+        unit = ", ".join(f"CAST({1 if i == 1 else 0} AS DOUBLE) AS e_{i}" for i in range(3))
+        inverse = sqlmath.solve(f"(SELECT *, {unit} FROM {f}_at)", 3, ["trial", "n_events", "t1", "t2"], right="e")
+        parts.append(sqlmath.location_scale("cust_trial", ["trial"], f, True, name=f))
+        parts.append(f"{f}_fit AS (SELECT *, sqrt(x1) AS se, t1 / sqrt(x1) AS w FROM ({inverse}))")
+        out.append(f"""
+    SELECT trial, '{f}' AS family, n_events, round(exp(t1), 6) AS time_ratio, round(exp(t1 - {_Z} * se), 6) AS ratio_low,
+           round(exp(t1 + {_Z} * se), 6) AS ratio_high, round(1 - 2 * {sqlmath.half_normal('w')}, 6) AS p, round(exp(t2), 6) AS scale FROM {f}_fit""")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+@query("aft_effect", _aft_sql(), ["cust_trial"])
 def aft_effect(spark, d):
     rows, out = _trial(spark, d), None
     for family in parametric.FAMILIES:
@@ -276,7 +289,15 @@ def aft_effect(spark, d):
     return _r(out, "time_ratio", "ratio_low", "ratio_high", "p", "scale")
 
 
-@query("parametric_aic")
+_AIC_SQL = f"""
+    WITH {", ".join(sqlmath.location_scale("cust_trial", ["trial"], f, False, name=f) for f in parametric.FAMILIES)},
+    aic AS (SELECT w.trial, 4 - 2 * w.ll AS a, 4 - 2 * n.ll AS b, 4 - 2 * l.ll AS c FROM weibull_at w JOIN lognormal_at n ON w.trial = n.trial
+            JOIN loglogistic_at l ON w.trial = l.trial)
+    SELECT trial, round(a, 4) AS aic_weibull, round(b, 4) AS aic_lognormal, round(c, 4) AS aic_loglogistic,
+           CASE WHEN a <= b AND a <= c THEN 'weibull' WHEN b <= c THEN 'lognormal' ELSE 'loglogistic' END AS best FROM aic"""
+
+
+@query("parametric_aic", _AIC_SQL, ["cust_trial"])
 def parametric_aic(spark, d):
     return _r(parametric.family_aic(_trial(spark, d), ["trial"], "days", "flag"), *[f"aic_{f}" for f in parametric.FAMILIES], digits=4)
 
@@ -385,7 +406,7 @@ def _pooled_sql(tail: str) -> str:
     s AS (SELECT drug, exp(sum(w * y) / sum(w)) AS pooled_hr, sum(w * y) / sum(w) * sqrt(sum(w)) AS z FROM x GROUP BY 1) {tail}"""
 
 
-@query("pooled_hr_pvalue", _pooled_sql(f"SELECT drug, round(pooled_hr, 6) AS pooled_hr, round(1 - 2 * {v.half_normal('z')}, 6) AS pooled_p FROM s"), ["estimates"])
+@query("pooled_hr_pvalue", _pooled_sql(f"SELECT drug, round(pooled_hr, 6) AS pooled_hr, round(1 - 2 * {sqlmath.half_normal('z')}, 6) AS pooled_p FROM s"), ["estimates"])
 def pooled_hr_pvalue(spark, d):
     pooled = synthesis.with_pooled_p(synthesis.pool_inverse_variance(v.estimates(spark, d), ["drug"]))
     return _r(pooled.select("drug", "pooled_hr", "pooled_p"), "pooled_hr", "pooled_p")

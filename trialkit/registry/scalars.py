@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialkit.functions import dates, normal, recode, text
+from trialkit.registry import sqlmath
 from trialkit.registry import views as v
 from trialkit.registry.base import query
 
@@ -161,7 +162,7 @@ def math_log_exp_sqrt(spark, d):
 
 @query("math_normal_cdf", f"""
     WITH x AS (SELECT l_suppkey, (avg(l_discount) - 0.05) / (stddev_samp(l_discount) / sqrt(count(*))) AS z FROM lineitem GROUP BY 1)
-    SELECT l_suppkey, round(z, 6) AS z, round(0.5 + sign(z) * {v.half_normal('z')}, 6) AS cdf, round(1 - 2 * {v.half_normal('z')}, 6) AS p,
+    SELECT l_suppkey, round(z, 6) AS z, round(0.5 + sign(z) * {sqlmath.half_normal('z')}, 6) AS cdf, round(1 - 2 * {sqlmath.half_normal('z')}, 6) AS p,
            1.959964::DOUBLE AS z975 FROM x""")
 def math_normal_cdf(spark, d):
     lines = v.table(spark, d, "lineitem", "l_suppkey", "l_discount").groupBy("l_suppkey").agg(

@@ -59,3 +59,69 @@ def least_squares(rows: str, keys: Sequence[str], features: Sequence[str], label
     sums += [f"CAST(sum({weight} * {x[i]} * {x[j]}) AS DOUBLE) AS h_{i}_{j}" for i, j in upper(n)]
     solved = solve(f"(SELECT {by}, {', '.join(sums)} FROM {rows} GROUP BY {by})", n, keys, out="c")
     return f"{name} AS ({solved})"
+
+
+def half_normal(z: str) -> str:
+    """Normal probability between 0 and |z|, by its power series (terms are all positive)."""
+    odd = "(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))"  # log of (2k + 1)!!
+    terms = f"list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({z})) - {odd} - {z} * {z} / 2))"
+    return f"(CASE WHEN {z} = 0 THEN 0 ELSE list_sum({terms}) / sqrt(2 * pi()) END)"
+
+
+def location_scale(rows: str, keys: Sequence[str], family: str, arm: bool, time: str = "days", event: str = "flag", steps: int = 45, name: str = "ls") -> str:
+    """CTEs of a Weibull, log-normal or log-logistic fit of log time: {name}_est (t0.., last one log scale)
+    and {name}_at (rows with log likelihood terms and the negative Hessian columns at the estimate)."""
+    by = ", ".join(keys)
+    x = ["1", "r.treatment"] if arm else ["1"]
+    n = len(x) + 1
+    z, own = "z", ", ".join(f"r.{k}" for k in keys)
+    on = " AND ".join(f"r.{k} = b.{k}" for k in keys)
+    tail = f"(0.5 - sign({z}) * half)"
+    hazard = f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()) / {tail})"
+    p = f"(1 / (1 + exp(-{z})))"
+    event_part, tail_part = {
+        "weibull": (("z - exp(z)", "1 - exp(z)", "-exp(z)"), ("-exp(z)", "-exp(z)", "-exp(z)")),
+        "lognormal": (("-z * z / 2 - ln(2 * pi()) / 2", "-z", "-1"), (f"ln({tail})", f"-{hazard}", f"-{hazard} * ({hazard} - z)")),
+        "loglogistic": (("z - 2 * ln(1 + exp(z))", f"1 - 2 * {p}", f"-2 * {p} * (1 - {p})"), ("-ln(1 + exp(z))", f"-{p}", f"-{p} * (1 - {p})")),
+    }[family]
+    half = half_normal("z") if family == "lognormal" else "0"
+
+    def points(source: str) -> str:
+        mean = " + ".join(f"b.t{i} * {x[i]}" for i in range(n - 1))
+        based = (
+            f"SELECT {own}, {', '.join(f'b.t{i}' for i in range(n))}, {', '.join(f'{x[i]} AS v{i}' for i in range(n - 1))}, r.{event} AS d, "
+            f"ln(r.{time}) AS lt, exp(b.t{n - 1}) AS s, (ln(r.{time}) - ({mean})) / exp(b.t{n - 1}) AS z FROM {rows} r JOIN {source} b ON {on} WHERE r.{time} > 0"
+        )
+        return (
+            f"SELECT *, CASE WHEN d = 1 THEN {event_part[0]} - ln(s) - lt ELSE {tail_part[0]} END AS ll, "
+            f"CASE WHEN d = 1 THEN {event_part[1]} ELSE {tail_part[1]} END AS f1, CASE WHEN d = 1 THEN {event_part[2]} ELSE {tail_part[2]} END AS f2 "
+            f"FROM (SELECT *, {half} AS half FROM ({based}))"
+        )
+
+    grads = [f"sum(-f1 * v{i} / s) AS g_{i}" for i in range(n - 1)] + [f"sum(-f1 * z - d) AS g_{n - 1}"]
+    hess = []
+    for i, j in upper(n):
+        if j < n - 1:
+            cell = f"f2 * v{i} * v{j} / (s * s)"
+        elif i < n - 1:
+            cell = f"(f2 * z + f1) * v{i} / s"
+        else:
+            cell = "f2 * z * z + f1 * z"
+        hess.append(f"-sum({cell}) AS h_{i}_{j}")
+    sums = ", ".join([*grads, *hess, "sum(ll) AS ll", *[f"any_value(t{i}) AS t{i}" for i in range(n)]])
+    zero = ["CAST(0 AS DOUBLE) AS t1"] if arm else []
+    # log time spreads wider than its standard error term by this factor
+    wide = {"weibull": 1.2825498, "lognormal": 1.0, "loglogistic": 1.8137994}[family]
+    first = ", ".join([f"avg(ln({time})) AS t0", *zero, f"ln(stddev_pop(ln({time})) / {wide}) AS t{n - 1}"])
+    ctes = [f"{name}_0 AS (SELECT {by}, {first} FROM {rows} WHERE {time} > 0 GROUP BY {by})"]
+    for k in range(steps):
+        lifted = sums
+        if k < 30:  # far from the optimum the Hessian may be indefinite
+            for i in range(n):
+                lifted = lifted.replace(f" AS h_{i}_{i}", f" + 2 * count(*) AS h_{i}_{i}")
+        moved = solve(f"(SELECT {by}, {lifted} FROM ({points(f'{name}_{k}')}) GROUP BY {by})", n, [*keys, *[f"t{i}" for i in range(n)]])
+        # short steps keep Newton's iteration where the likelihood is concave
+        short = ", ".join(f"t{i} + greatest(-0.2, least(0.2, x{i})) AS t{i}" for i in range(n))
+        ctes.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT {by}, {short} FROM ({moved}))")
+    ctes.append(f"{name}_at AS (SELECT {by}, {sums}, count(*) AS n, CAST(sum(d) AS BIGINT) AS n_events FROM ({points(f'{name}_{steps}')}) GROUP BY {by})")
+    return ", ".join(ctes)

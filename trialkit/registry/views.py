@@ -164,13 +164,6 @@ def estimates(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def half_normal(z: str) -> str:
-    """SQL of the normal probability between 0 and |z|, by its power series (terms are all positive)."""
-    odd = "(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))"  # log of (2k + 1)!!
-    terms = f"list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({z})) - {odd} - {z} * {z} / 2))"
-    return f"(CASE WHEN {z} = 0 THEN 0 ELSE list_sum({terms}) / sqrt(2 * pi()) END)"
-
-
 def closest_first(rows: str, score: str, ratio: int = 1, caliper: str | None = None) -> str:
     """SQL of matching one closest pair at a time: `pairs` and the recursive `taken`.
 
