@@ -240,9 +240,19 @@ def cox_hr_binary(spark, d):
     return _r(survival.hazard_ratio(_trial(spark, d), ["trial"], "days", "flag").drop("log_hr", "se"), "hr", "hr_low", "hr_high")
 
 
-@query("cox_adjusted_weighted")
+_COX_COVARIATES = ["treatment", "bal", "n_orders"]
+_COX_ROWS = " UNION ALL ".join(
+    f"SELECT trial, '{c}' AS covariate, b{i} / sd{i} AS coef, se{i} / sd{i} AS robust_se, b{i} / se{i} AS w FROM fitted" for i, c in enumerate(_COX_COVARIATES)
+)
+
+
+@query("cox_adjusted_weighted", f"""
+    WITH {_WEIGHTS}, {sqlmath.adjusted_cox("w", "trial", _COX_COVARIATES, "iptw_weight")}
+    SELECT trial, covariate, round(coef, 6) AS coef, round(exp(coef), 6) AS hr, round(robust_se, 6) AS robust_se,
+           round(exp(coef - {_Z} * robust_se), 6) AS hr_low, round(exp(coef + {_Z} * robust_se), 6) AS hr_high, round(1 - 2 * {sqlmath.half_normal("w")}, 6) AS p
+    FROM ({_COX_ROWS})""", ["cust_trial"])
 def cox_adjusted_weighted(spark, d):
-    found = survival.adjusted_hazard_ratios(_weighted(spark, d), ["trial"], "days", "flag", ["treatment", "bal", "n_orders"], weight="iptw_weight")
+    found = survival.adjusted_hazard_ratios(_weighted(spark, d), ["trial"], "days", "flag", _COX_COVARIATES, weight="iptw_weight")
     return _r(found, "coef", "hr", "robust_se", "hr_low", "hr_high", "p")
 
 

@@ -125,3 +125,75 @@ def location_scale(rows: str, keys: Sequence[str], family: str, arm: bool, time:
         ctes.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT {by}, {short} FROM ({moved}))")
     ctes.append(f"{name}_at AS (SELECT {by}, {sums}, count(*) AS n, CAST(sum(d) AS BIGINT) AS n_events FROM ({points(f'{name}_{steps}')}) GROUP BY {by})")
     return ", ".join(ctes)
+
+
+def adjusted_cox(rows: str, key: str, covariates: Sequence[str], weight: str, time: str = "days", event: str = "flag", penalizer: float = 0.1, steps: int = 10) -> str:
+    """CTEs ending in `fitted`: per key b0.., robust se0.. on the standardized scale, and sd0.. ."""
+    k = len(covariates)
+    cells = upper(k)
+    scaled = ", ".join(f"(r.{c} - m.m{i}) / m.sd{i} AS x{i}" for i, c in enumerate(covariates))
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS sd{i}" for i, c in enumerate(covariates))
+    ctes = [
+        f"scales AS (SELECT {key}, count(*) AS n, {moments} FROM {rows} GROUP BY {key})",
+        f"std AS (SELECT r.{key}, r.{time} AS t, r.{event} AS d, r.{weight} AS w, m.n, {scaled} FROM {rows} r JOIN scales m ON r.{key} = m.{key})",
+        f"cb_0 AS (SELECT {key}, {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' for i in range(k))} FROM scales)",
+    ]
+
+    def risky(source: str) -> str:
+        eta = " + ".join(f"b.b{i} * s.x{i}" for i in range(k))
+        return f"SELECT s.*, {', '.join(f'b.b{i}' for i in range(k))}, s.w * exp({eta}) AS r FROM std s JOIN {source} b ON s.{key} = b.{key}"
+
+    def day_sums(source: str) -> str:
+        def block(base: str, tag: str) -> list[str]:
+            return (
+                [f"sum({base}) AS {tag}"] + [f"sum({base} * x{i}) AS {tag}_{i}" for i in range(k)]
+                + [f"sum({base} * x{i} * x{j}) AS {tag}_{i}_{j}" for i, j in cells]
+            )
+
+        tags = ["s", *[f"s_{i}" for i in range(k)], *[f"s_{i}_{j}" for i, j in cells]]
+        daily = (
+            f"SELECT {key}, t, any_value(n) AS n, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(k))}, "
+            f"{', '.join(block('r', 's') + block('(CASE WHEN d = 1 THEN r ELSE 0 END)', 'q'))}, CAST(sum(d) AS BIGINT) AS deaths, "
+            f"sum(CASE WHEN d = 1 THEN w ELSE 0 END) AS dw, {', '.join(f'sum(CASE WHEN d = 1 THEN w * x{i} ELSE 0 END) AS dx_{i}' for i in range(k))} "
+            f"FROM ({risky(source)}) GROUP BY {key}, t"
+        )
+        return (
+            f"SELECT * REPLACE ({', '.join(f'sum({t}) OVER later AS {t}' for t in tags)}) FROM ({daily}) "
+            f"WINDOW later AS (PARTITION BY {key} ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        )
+
+    def system(source: str) -> str:
+        thin = lambda tag: f"(s{tag} - l * q{tag})"
+        mean = [f"({thin(f'_{i}')} / {thin('')})" for i in range(k)]
+        g = [f"sum(dx_{i} / deaths - dw / deaths * {mean[i]}) - {penalizer} * any_value(n) * any_value(b{i}) AS g_{i}" for i in range(k)]
+        h = [
+            f"sum(dw / deaths * ({thin(f'_{i}_{j}')} / {thin('')} - {mean[i]} * {mean[j]})){f' + {penalizer} * any_value(n)' if i == j else ''} AS h_{i}_{j}"
+            for i, j in cells
+        ]
+        return (
+            f"(SELECT {key}, {', '.join(g + h + [f'any_value(b{i}) AS b{i}' for i in range(k)])} FROM "
+            f"(SELECT *, unnest(range(deaths)) / deaths AS l FROM ({day_sums(source)}) WHERE deaths > 0) GROUP BY {key})"
+        )
+
+    bs = [f"b{i}" for i in range(k)]
+    for s in range(steps):
+        moved = solve(system(f"cb_{s}"), k, [key, *bs])
+        ctes.append(f"cb_{s + 1} AS MATERIALIZED (SELECT {key}, {', '.join(f'b{i} + x{i} AS b{i}' for i in range(k))} FROM ({moved}))")
+    last = f"cb_{steps}"
+    ctes.append(f"hz AS (SELECT {key}, t, {', '.join(f's_{i} / s AS e{i}' for i in range(k))}, sum(dw / s) OVER upto AS a, "
+                f"{', '.join(f'sum(dw * s_{i} / (s * s)) OVER upto AS c{i}' for i in range(k))} FROM ({day_sums(last)}) "
+                f"WINDOW upto AS (PARTITION BY {key} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
+    u = [f"(r.d * r.w * (r.x{i} - z.e{i}) - r.r * (r.x{i} * z.a - z.c{i}))" for i in range(k)]
+    ctes.append(f"meat AS (SELECT r.{key}, {', '.join(f'sum({u[i]} * {u[j]}) AS q_{i}_{j}' for i, j in cells)} FROM ({risky(last)}) r "
+                f"JOIN hz z ON r.{key} = z.{key} AND r.t = z.t GROUP BY r.{key})")
+    ctes.append(f"bread AS (SELECT * FROM {system(last)})")
+    for i in range(k):
+        unit = ", ".join(f"CAST({int(i == j)} AS DOUBLE) AS e_{j}" for j in range(k))
+        ctes.append(f"inv{i} AS ({solve(f'(SELECT *, {unit} FROM bread)', k, [key], right='e', out='y')})")
+    def variance(i: int) -> str:
+        terms = [f"{1 if a == b else 2} * inv{i}.y{a} * inv{i}.y{b} * q_{a}_{b}" for a, b in cells]
+        return f"sqrt({' + '.join(terms)}) AS se{i}"
+    joins = " ".join(f"JOIN inv{i} ON inv{i}.{key} = f.{key}" for i in range(k))
+    ctes.append(f"fitted AS (SELECT f.{key}, {', '.join(f'f.b{i}, sd{i}, {variance(i)}' for i in range(k))} FROM {last} f "
+                f"JOIN meat ON meat.{key} = f.{key} JOIN scales ON scales.{key} = f.{key} {joins})")
+    return ", ".join(ctes)
