@@ -155,6 +155,23 @@ def iptw_balance(spark, d):
     return _r(balance.standardized_differences(_weighted(spark, d), ["trial"], COVARIATES, weight="iptw_weight"), "smd")
 
 
+_ALONG = " UNION ALL ".join(f"SELECT trial, treatment, iptw_weight AS w, '{c}' AS covariate, CAST({c} AS DOUBLE) AS x FROM w" for c in COVARIATES)
+
+
+@query("iptw_analysis", f"""
+    WITH {_PS}, w AS (SELECT *, CASE WHEN treatment = 1 THEN 1 / ps ELSE 1 / (1 - ps) END AS iptw_weight FROM ps), long AS ({_ALONG}),
+    m AS (SELECT trial, covariate, treatment, sum(w * x) / sum(w) AS mean, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2 AS var FROM long GROUP BY 1, 2, 3),
+    c AS (SELECT a.trial, count(CASE WHEN abs(a.mean - b.mean) / sqrt((a.var + b.var) / 2) > 0.1 THEN 1 END) AS unbalanced
+          FROM m a JOIN m b ON a.trial = b.trial AND a.covariate = b.covariate AND a.treatment = 1 AND b.treatment = 0 GROUP BY 1),
+    i AS (SELECT trial, sum(iptw_weight * flag) FILTER (WHERE treatment = 1) / sum(iptw_weight) FILTER (WHERE treatment = 1) AS wt,
+        sum(iptw_weight * flag) FILTER (WHERE treatment = 0) / sum(iptw_weight) FILTER (WHERE treatment = 0) AS wc FROM w GROUP BY 1)
+    SELECT c.trial, c.unbalanced, round(wt, 6) AS incidence_treated, round(wc, 6) AS incidence_control, round(wt - wc, 6) AS ate
+    FROM c JOIN i ON c.trial = i.trial""", ["cust_trial"])
+def iptw_analysis(spark, d):
+    _, counts, effect = propensity.weighted_analysis(_trial(spark, d), ["trial"], COVARIATES, "flag")
+    return _r(counts.join(effect.drop("incidence_overall"), "trial"), "incidence_treated", "incidence_control", "ate")
+
+
 @query("ate_incidence_difference", f"""
     WITH {_WEIGHTS}, s AS (SELECT trial, avg(flag) FILTER (WHERE treatment = 1) AS it, avg(flag) FILTER (WHERE treatment = 0) AS ic, avg(flag) AS io,
         sum(iptw_weight * flag) FILTER (WHERE treatment = 1) / sum(iptw_weight) FILTER (WHERE treatment = 1) AS wt,
@@ -312,24 +329,33 @@ def parametric_aic(spark, d):
     return _r(parametric.family_aic(_trial(spark, d), ["trial"], "days", "flag"), *[f"aic_{f}" for f in parametric.FAMILIES], digits=4)
 
 
-def _or_sql(hit: str) -> str:
-    return f"""
-    WITH c AS (SELECT trial, CAST(sum(CASE WHEN treatment = 1 AND {hit} THEN 1 ELSE 0 END) AS BIGINT) AS a,
-        CAST(sum(CASE WHEN treatment = 1 AND NOT ({hit}) THEN 1 ELSE 0 END) AS BIGINT) AS b,
-        CAST(sum(CASE WHEN treatment = 0 AND {hit} THEN 1 ELSE 0 END) AS BIGINT) AS c,
-        CAST(sum(CASE WHEN treatment = 0 AND NOT ({hit}) THEN 1 ELSE 0 END) AS BIGINT) AS d FROM cust_trial GROUP BY 1)
-    SELECT trial, a, b, c, d, CASE WHEN a * b * c * d > 0 THEN round((a * d)::DOUBLE / (b * c), 6) END AS odds_ratio FROM c"""
+def _or_sql(hits: dict[str, str]) -> str:
+    cells, odds = [], []
+    for name, hit in hits.items():
+        for cell, arm, no in (("a", 1, ""), ("b", 1, "NOT "), ("c", 0, ""), ("d", 0, "NOT ")):
+            cells.append(f"CAST(sum(CASE WHEN treatment = {arm} AND {no}({hit}) THEN 1 ELSE 0 END) AS BIGINT) AS {cell}{name}")
+        a, b, c, d = (f"{x}{name}" for x in "abcd")
+        odds.append(f"{a}, {b}, {c}, {d}, CASE WHEN {a} * {b} * {c} * {d} > 0 THEN round(({a} * {d})::DOUBLE / ({b} * {c}), 6) END AS odds_ratio{name}")
+    return f"WITH c AS (SELECT trial, {', '.join(cells)} FROM cust_trial GROUP BY 1) SELECT trial, {', '.join(odds)} FROM c"
 
 
-@query("odds_ratio_allday", _or_sql("flag = 1"), ["cust_trial"])
+@query("odds_ratio_allday", _or_sql({"": "flag = 1"}), ["cust_trial"])
 def odds_ratio_allday(spark, d):
     return _r(survival.odds_ratio(_trial(spark, d), ["trial"], "days", "flag"), "odds_ratio")
 
 
-@query("odds_ratio_180day", _or_sql("flag = 1 AND days <= 1800"), ["cust_trial"])
+# order histories span years, so a longer horizon stands beside the 180 days, where cells are empty
+_HORIZONS = (180, 1800)
+
+
+@query("odds_ratio_180day", _or_sql({f"_{h}": f"flag = 1 AND days <= {h}" for h in _HORIZONS}), ["cust_trial"])
 def odds_ratio_180day(spark, d):
-    # order histories span years, so the short horizon of the fixture is 1800 days
-    return _r(survival.odds_ratio(_trial(spark, d), ["trial"], "days", "flag", horizon=1800), "odds_ratio")
+    out = None
+    for h in _HORIZONS:
+        one = _r(survival.odds_ratio(_trial(spark, d), ["trial"], "days", "flag", horizon=h), "odds_ratio")
+        one = one.withColumnsRenamed({c: f"{c}_{h}" for c in one.columns if c != "trial"})
+        out = one if out is None else out.join(one, "trial")
+    return out
 
 
 def _rate(arm: int, horizon: int | None) -> str:
@@ -361,26 +387,31 @@ def trial_balance_gate(spark, d):
     return synthesis.balanced_trials(v.estimates(spark, d), ["drug"]).select("drug", "boot_id", "hr", "unbalanced_covariates")
 
 
-_BOOT = f"""
-    base AS (SELECT drug, hr AS v, row_number() OVER (PARTITION BY drug ORDER BY boot_id) - 1 AS pos, count(*) OVER (PARTITION BY drug) AS n,
-        avg(hr) OVER (PARTITION BY drug) AS mean0, stddev_samp(hr) OVER (PARTITION BY drug) AS sd0 FROM estimates),
-    sizes AS (SELECT DISTINCT drug, n, mean0, sd0 FROM base),
-    picks AS (SELECT s.drug, s.n, b.b, {v.h32("'0'", "b.b", "i.i", "s.drug")} % s.n AS pos
+def _boot_sql(source: str, keys: str = "drug") -> str:
+    on = " AND ".join(f"p.{k} = x.{k}" for k in keys.split(", "))
+    own = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return f"""
+    base AS (SELECT {keys}, hr AS v, row_number() OVER (PARTITION BY {keys} ORDER BY boot_id) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS n,
+        avg(hr) OVER (PARTITION BY {keys}) AS mean0, stddev_samp(hr) OVER (PARTITION BY {keys}) AS sd0 FROM {source}),
+    sizes AS (SELECT {keys}, any_value(n) AS n, any_value(mean0) AS mean0, any_value(sd0) AS sd0 FROM base GROUP BY {keys}),
+    picks AS (SELECT {own}, s.n, b.b, {v.h32("'0'", "b.b", "i.i", own)} % s.n AS pos
         FROM sizes s JOIN (SELECT unnest(range(1, 101)) AS i) i ON i.i <= s.n, (SELECT unnest(range({N_RESAMPLES})) AS b) b),
-    means AS (SELECT p.drug, p.b, avg(x.v) AS m, stddev_samp(x.v) AS s FROM picks p JOIN base x ON p.drug = x.drug AND p.pos = x.pos GROUP BY 1, 2)"""
+    means AS (SELECT {", ".join(f"p.{k}" for k in keys.split(", "))}, p.b, avg(x.v) AS m, stddev_samp(x.v) AS s
+        FROM picks p JOIN base x ON {on} AND p.pos = x.pos GROUP BY ALL),
+    tests AS (SELECT {own}, s.n, (s.mean0 - 1) / (s.sd0 / sqrt(s.n)) AS t, avg(CASE WHEN (p.m - s.mean0) / (p.s / sqrt(s.n)) >=
+        (s.mean0 - 1) / (s.sd0 / sqrt(s.n)) THEN 1.0 ELSE 0.0 END) AS share FROM means p JOIN sizes s ON {on.replace("x.", "s.")} GROUP BY ALL)"""
 
 
 @query("boot_mean_ci", f"""
-    WITH {_BOOT} SELECT drug, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, round(stddev_pop(m), 6) AS se
+    WITH {_boot_sql("estimates")} SELECT drug, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, round(stddev_pop(m), 6) AS se
     FROM means GROUP BY 1""", ["estimates"])
 def boot_mean_ci(spark, d):
     return _r(synthesis.bootstrap_mean_interval(v.estimates(spark, d), ["drug"], "hr", n_resamples=N_RESAMPLES), "ci_low", "ci_high", "se")
 
 
 @query("boot_mean_pvalue", f"""
-    WITH {_BOOT}, t AS (SELECT m.drug, s.n, (s.mean0 - 1) / (s.sd0 / sqrt(s.n)) AS t, avg(CASE WHEN (m.m - s.mean0) / (m.s / sqrt(s.n)) >=
-        (s.mean0 - 1) / (s.sd0 / sqrt(s.n)) THEN 1.0 ELSE 0.0 END) AS p FROM means m JOIN sizes s ON m.drug = s.drug GROUP BY 1, 2, 3)
-    SELECT drug, n AS n_trials, round(t, 6) AS t, round(2 * least(p, 1 - p), 6) AS p FROM t""", ["estimates"])
+    WITH {_boot_sql("estimates")}
+    SELECT drug, n AS n_trials, round(t, 6) AS t, round(2 * least(share, 1 - share), 6) AS p FROM tests""", ["estimates"])
 def boot_mean_pvalue(spark, d):
     return _r(synthesis.bootstrap_mean_p(v.estimates(spark, d), ["drug"], "hr", 1.0, n_resamples=N_RESAMPLES), "t", "p")
 
@@ -422,6 +453,48 @@ def pooled_hr_pvalue(spark, d):
     return _r(pooled.select("drug", "pooled_hr", "pooled_p"), "pooled_hr", "pooled_p")
 
 
+@query("drug_effect_report", f"""
+    WITH {_KEPT}, {_boot_sql("kept")},
+    ci AS (SELECT drug, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY 1),
+    pooled AS (SELECT drug, sum(w * y) / sum(w) AS m, 1 / sqrt(sum(w)) AS se, sum(w * y) / sum(w) * sqrt(sum(w)) AS z FROM (
+        SELECT drug, ln(hr) AS y, 1 / (((ln(hr_high) - ln(hr_low)) / (2 * {_Z})) ** 2) AS w FROM kept) GROUP BY 1),
+    n AS (SELECT p_type AS drug, count(*) AS num_treated FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    p AS (SELECT drug, CAST(2 * least(share, 1 - share) AS DOUBLE) AS p, row_number() OVER (ORDER BY 2 * least(share, 1 - share), drug) AS i, count(*) OVER () AS m FROM tests),
+    h AS (SELECT *, sum(1.0 / i) OVER () AS harmonic FROM p),
+    adj AS (SELECT drug, p, least(1, p * m) AS bonf, least(1, min(p * m / i) OVER w) AS bh, least(1, min(p * m / i * harmonic) OVER w) AS by_ FROM h
+        WINDOW w AS (ORDER BY p, drug ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    est AS (SELECT drug, avg(hr) AS hr, quantile_cont(hr, 0.025) AS p025, quantile_cont(hr, 0.975) AS p975 FROM kept GROUP BY 1)
+    SELECT e.drug, n.num_treated, round(e.hr, 3) AS hr, printf('[%.3f, %.3f]', ci.lo, ci.hi) AS ci_mean, printf('[%.3f, %.3f]', p025, p975) AS ci_trials,
+           round(exp(q.m), 3) AS pooled_hr, printf('[%.3f, %.3f]', exp(q.m - {_Z} * q.se), exp(q.m + {_Z} * q.se)) AS ci_pooled,
+           round(1 - 2 * {sqlmath.half_normal('q.z')}, 3) AS pooled_p, round(a.p, 6) AS p, round(bonf, 6) AS p_bonf, round(bh, 6) AS p_bh, round(by_, 6) AS p_by,
+           CAST(bonf <= 0.05 AS INTEGER) AS sig_bonf, CAST(bh <= 0.05 AS INTEGER) AS sig_bh, CAST(by_ <= 0.05 AS INTEGER) AS sig_by,
+           CASE WHEN bonf < 0.0001 THEN '<0.0001' ELSE printf('%.4f', bonf) END AS p_bonf_text
+    FROM est e JOIN n ON e.drug = n.drug JOIN ci ON e.drug = ci.drug JOIN pooled q ON e.drug = q.drug JOIN adj a ON e.drug = a.drug""", ["estimates"])
+def drug_effect_report(spark, d):
+    lines = v.table(spark, d, "lineitem", "l_partkey").join(v.table(spark, d, "part", "p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    counts = lines.groupBy(F.col("p_type").alias("drug")).agg(F.count(F.lit(1)).alias("num_treated"))
+    return _r(synthesis.drug_summary(v.estimates(spark, d), counts, N_RESAMPLES), "p", "p_bonf", "p_bh", "p_by")
+
+
+_GROUPS = ["a", "b", "c"]
+
+
+@query("effect_matrix_report", f"""
+    WITH grouped AS (SELECT *, ['a', 'b', 'c'][boot_id % 3 + 1] AS class FROM estimates),
+    passing AS (SELECT * FROM grouped WHERE unbalanced_covariates < 20),
+    kept AS (SELECT p.* FROM passing p JOIN (SELECT drug, class FROM passing GROUP BY 1, 2 HAVING count(*) >= 10) k ON p.drug = k.drug AND p.class = k.class),
+    {_boot_sql("kept", "drug, class")},
+    cells AS (SELECT t.drug, t.class, CASE WHEN 2 * least(t.share, 1 - t.share) < 0.05 THEN round(s.mean0, 3) END AS cell
+              FROM tests t JOIN sizes s ON t.drug = s.drug AND t.class = s.class)
+    SELECT drug, max(CASE WHEN class = 'a' THEN cell END) AS a, max(CASE WHEN class = 'b' THEN cell END) AS b, max(CASE WHEN class = 'c' THEN cell END) AS c
+    FROM cells GROUP BY 1""", ["estimates"])
+def effect_matrix_report(spark, d):
+    classes = F.array(*[F.lit(g) for g in _GROUPS])
+    rows = v.estimates(spark, d).withColumn("class", F.get(classes, F.col("boot_id") % 3))
+    cells = synthesis.significant_means(rows, ["drug", "class"], "hr", 1.0, N_RESAMPLES)
+    return synthesis.effect_matrix(cells, ["drug"], "class", _GROUPS)
+
+
 @query("effect_direction_label", """
     SELECT drug, boot_id, hr, p, CASE WHEN p < 0.05 AND hr > 1 THEN 'harm' WHEN p < 0.05 AND hr < 1 THEN 'benefit' ELSE 'none' END AS direction,
            round(abs(hr - 1) * 400 + 50, 4) AS size, round(CASE WHEN hr > 1 THEN least(1, (hr - 1) / 1.5) ELSE least(1, 1 - hr) END, 6) AS intensity,
