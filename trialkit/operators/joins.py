@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trialkit.functions.dates import within_days
 from trialkit.operators.ranks import keep_first
+from trialkit.session import broadcast_if_small, cut
 
 
 def _match(event_date: str, anchors: DataFrame, key: str, condition, events: DataFrame) -> DataFrame:
@@ -23,6 +24,24 @@ def _match(event_date: str, anchors: DataFrame, key: str, condition, events: Dat
     return joined.select("e.*", *[F.col(f"a.{c}") for c in extra])
 
 
+def of_patients(events: DataFrame, ids: DataFrame, key: str = "ptid") -> DataFrame:
+    """Events of the listed ids only. A list that is small when counted is broadcast, so long histories of
+    everybody else are dropped where they are read."""
+    listed = cut(ids.select(key).distinct())
+    return events.join(broadcast_if_small(listed, listed.count(), 64), key, "left_semi")
+
+
+def with_cohort(events: DataFrame, cohort: DataFrame, key: str = "ptid") -> DataFrame:
+    """Events joined to a one-row-per-patient table by patient, ready for a grouped aggregate.
+
+    A small counted cohort is broadcast: events stay where they are until their partial aggregates move.
+    Beyond the bound, events are reduced to distinct rows first, so that one patient's repeats are gone
+    before the shuffle by patient.
+    """
+    near = broadcast_if_small(cohort, cohort.count(), 24 * (len(cohort.columns) + 2))
+    return events.join(near, key) if near is not cohort else events.distinct().join(cohort, key)
+
+
 def in_window(
     events: DataFrame, anchors: DataFrame, key: str, event_date: str, anchor_date: str, before: int, after: int
 ) -> DataFrame:

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialkit.functions.dates import within_days
 from trialkit.functions.hashing import hash_position
-from trialkit.operators.joins import in_window, not_in_ignoring_case
+from trialkit.operators.joins import not_in_ignoring_case, with_cohort
 from trialkit.operators.ranks import dense_positions
-from trialkit.session import cut
+from trialkit.session import broadcast_if_small, cut
 
 
 def gap_or_null(event: Column, anchor: Column, days: int = 365 * 5) -> Column:
@@ -25,17 +26,13 @@ def gap_or_null(event: Column, anchor: Column, days: int = 365 * 5) -> Column:
 def dual_therapy(cohort: DataFrame, records: DataFrame, codes: DataFrame, before: int = 14, after: int = 90) -> DataFrame:
     """Cohort with combined_therapy (1 if both classes occur around diagnosis) and the first date of either.
 
-    `codes` has one row per code with 0/1 columns class_a and class_b. Records become one row per patient,
-    day and class before they meet the cohort, which bounds what one patient brings.
+    `codes` has one row per code with 0/1 columns class_a and class_b. The cohort is read more than once,
+    so pass a materialised table.
     """
-    daily = (
-        records.select("ptid", "rx_date", "code")
-        .join(codes.where("class_a + class_b > 0"), "code")
-        .select("ptid", "rx_date", "class_a", "class_b")
-        .distinct()
-    )
+    coded = records.select("ptid", "rx_date", "code").join(codes.where("class_a + class_b > 0"), "code")
+    around = with_cohort(coded.select("ptid", "rx_date", "class_a", "class_b"), cohort.select("ptid", "dx_date"))
     per_patient = (
-        in_window(daily, cohort.select("ptid", "dx_date"), "ptid", "rx_date", "dx_date", before, after)
+        around.where(within_days(F.col("rx_date"), F.col("dx_date"), before, after))
         .groupBy("ptid")
         .agg(F.max("class_a").alias("_a"), F.max("class_b").alias("_b"), F.min("rx_date").alias("_first"))
         .where("_a = 1 and _b = 1")
@@ -52,9 +49,9 @@ def drug_users(cohort: DataFrame, records: DataFrame, follow: int = 90, washout:
 
     treated = 1 for new users: at least two distinct days in the window, and the last earlier record (if
     any) more than `washout` days ahead of the first. All other cohort members are controls of the drug.
-    Records are reduced to distinct days per drug and patient first.
+    The cohort is read more than once, so pass a materialised table.
     """
-    joined = records.select("ptid", "drug", "rx_date").distinct().join(cohort.select("ptid", "therapy_date"), "ptid")
+    joined = with_cohort(records.select("ptid", "drug", "rx_date"), cohort.select("ptid", "therapy_date"))
     day, start = F.col("rx_date"), F.col("therapy_date")
     inside = (day >= start) & (day <= F.date_add(start, follow))
     spans = (
@@ -111,13 +108,14 @@ def control_draws(
     rows, so a big drug's slots are spread over as many tasks as its treated patients.
     """
     members = cut(dense_positions(cohort.select("ptid", "therapy_date"), [], "ptid", "member"))
-    n_members = members.agg(F.count(F.lit(1))).scalar()
+    n_members = members.count()
     sizes = treated.groupBy("drug").agg(F.count(F.lit(1)).alias("n_treated"))
     arm = cut(
         dense_positions(treated.select("drug", "ptid", "delta_days"), ["drug"], "ptid", "t_pos")
         .join(sizes, "drug")
         .withColumn("n_control", n_members - F.col("n_treated"))
     )
+    n_arm = arm.count()
     taken = arm.join(members.select("ptid", "member"), "ptid").select("drug", "member", "n_control")
     holes = dense_positions(
         taken.where("member < n_control").select("drug", F.col("member").alias("control")), ["drug"], "control", "k"
@@ -125,8 +123,10 @@ def control_draws(
     fillers = arm.select("drug", (F.col("n_control") + F.col("t_pos")).alias("member")).join(
         taken.select("drug", "member"), ["drug", "member"], "left_anti"
     )
-    swaps = holes.join(dense_positions(fillers, ["drug"], "member", "k"), ["drug", "k"]).select(
-        "drug", "control", F.col("member").alias("swap")
+    swaps = cut(
+        holes.join(dense_positions(fillers, ["drug"], "member", "k"), ["drug", "k"]).select(
+            "drug", "control", F.col("member").alias("swap")
+        )
     )
     slots = (
         arm.where("n_control > 0")
@@ -143,11 +143,13 @@ def control_draws(
         hash_position(F.col("n_control"), F.lit("control"), *draw).alias("control"),
         hash_position(F.col("n_treated"), F.lit("offset"), *draw).alias("t_pos"),
     )
+    # as long as these tables are small when counted, the draws are never shuffled
+    offsets = arm.select("drug", "t_pos", "delta_days")
     return (
-        drawn.join(swaps, ["drug", "control"], "left")
+        drawn.join(broadcast_if_small(swaps, n_arm, 96), ["drug", "control"], "left")
         .withColumn("member", F.coalesce("swap", "control"))
-        .join(members, "member")
-        .join(arm.select("drug", "t_pos", "delta_days"), ["drug", "t_pos"])
+        .join(broadcast_if_small(members, n_members, 48), "member")
+        .join(broadcast_if_small(offsets, n_arm, 96), ["drug", "t_pos"])
         .select(
             "drug", "boot_id", "rep", "ptid", "therapy_date", "delta_days",
             F.date_add("therapy_date", F.col("delta_days")).alias("index_date"),

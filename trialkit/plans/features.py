@@ -2,7 +2,8 @@
 
 Covariates depend on patient and index date only, so they are computed once per distinct pair and joined
 to every trial that uses it. Histories are first reduced to one row per (patient, name, day), which bounds
-what one patient can bring into the range join.
+what one patient can bring into the range join. `baseline` drops patients outside the keys first; callers of single
+blocks do so with `of_patients`.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from trialkit.functions.dates import age_at
 from trialkit.functions.recode import binary_flag, is_value
 from trialkit.functions.text import parse_number
-from trialkit.operators.joins import left_all
+from trialkit.operators.joins import left_all, of_patients
 
 KEY = ["ptid", "index_date"]
 
@@ -113,6 +114,9 @@ def baseline(
     diagnoses: Sequence[str] = (), days: int = 365, race_one: str = "Caucasian",
 ) -> DataFrame:
     """The six covariate blocks side by side, one row per (ptid, index_date)."""
+    site_events, vital_events, lab_events, drug_events, diagnosis_events = (
+        of_patients(e, keys) for e in (site_events, vital_events, lab_events, drug_events, diagnosis_events)
+    )
     blocks = [
         sites_before(site_events, keys, sites, "meta_"),
         window_mean(vital_events, keys, vitals, "vital_", days),

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialkit.operators.joins import of_patients
+from trialkit.session import broadcast_if_small
+
 
 def last_activity(patients: DataFrame, events: Sequence[DataFrame], anchors: Sequence[str]) -> DataFrame:
     """Latest of the patient's anchor dates and of any event on or after them.
@@ -15,7 +18,7 @@ def last_activity(patients: DataFrame, events: Sequence[DataFrame], anchors: Seq
     `patients` has ptid, last_act_dt and the anchor columns; each events frame is (ptid, date). An event
     ahead of an anchor cannot be the latest date, so each patient's latest event is enough.
     """
-    dated = reduce(DataFrame.unionByName, [e.select("ptid", "date") for e in events])
+    dated = of_patients(reduce(DataFrame.unionByName, [e.select("ptid", "date") for e in events]), patients)
     latest = dated.groupBy("ptid").agg(F.max("date").alias("_latest"))
     last = F.greatest("last_act_dt", *anchors, "_latest")
     return patients.join(latest, "ptid", "left").withColumn("last_act_dt", last).drop("_latest")
@@ -41,7 +44,8 @@ def first_event_after(
 
     Rows without an event are censored at the last activity; `horizon` caps follow-up at that many days.
     """
-    daily = events.where(F.col("name").isin(list(classes))).select("ptid", "name", "date").distinct()
+    named = events.where(F.col("name").isin(list(classes))).select("ptid", "name", "date")
+    daily = of_patients(named, index_rows).distinct()
     i, e = index_rows.select("ptid", "index_date").distinct().alias("i"), daily.alias("e")
     hit = (F.col("i.ptid") == F.col("e.ptid")) & (F.col("e.date") > F.col("i.index_date"))
     firsts = (
@@ -72,12 +76,12 @@ def assemble_trials(
         "drug", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot_id"), "ptid", "index_date",
         F.lit(0).cast("long").alias("rep"), F.lit(1).alias("treatment"),
     )
-    controls = draws.join(treated.select("drug", "ptid"), ["drug", "ptid"], "left_anti").select(
+    own = broadcast_if_small(treated.select("drug", "ptid"), treated.count(), 96)
+    controls = draws.join(own, ["drug", "ptid"], "left_anti").select(
         "drug", "boot_id", "ptid", "index_date", F.col("rep").cast("long").alias("rep"), F.lit(0).alias("treatment")
     )
-    rows = arms.unionByName(controls).join(
-        outcome.select("ptid", "d_flag", "available_date", "last_act_dt"), "ptid", "left"
-    )
+    known = outcome.select("ptid", "d_flag", "available_date", "last_act_dt")
+    rows = arms.unionByName(controls).join(broadcast_if_small(known, known.count(), 64), "ptid", "left")
     days = follow_up_days(F.col("index_date"), F.col("d_flag"), F.col("available_date"), F.col("last_act_dt"))
     rows = rows.withColumn("d_delta_days", days).drop("available_date", "last_act_dt")
     return rows if min_days is None else rows.where(F.col("d_delta_days") >= min_days)

@@ -34,7 +34,7 @@ _SV = ["records", "therapy"]
 
 @query("arm_new_user", f"WITH {USERS_SQL} SELECT drug, ptid, therapy_date, index_date, delta_days, treated FROM users", _SV)
 def arm_new_user(spark, d):
-    return ch.drug_users(v.therapy(spark, d), v.records(spark, d))
+    return ch.drug_users(cut(v.therapy(spark, d)), v.records(spark, d))
 
 
 @query("select_candidate_drugs", f"""
@@ -46,7 +46,7 @@ def arm_new_user(spark, d):
 def select_candidate_drugs(spark, d):
     from trialkit.operators.joins import on_or_after
 
-    therapy, records = v.therapy(spark, d), v.records(spark, d)
+    therapy, records = cut(v.therapy(spark, d)), v.records(spark, d)
     in_window = on_or_after(records, therapy.select("ptid", "therapy_date"), "ptid", "rx_date", "therapy_date", 90)
     excluded = v.table(spark, d, "part", "p_type").where("p_type = 'PROMO'").select(F.initcap("p_type").alias("name")).distinct()
     return ch.candidate_drugs(in_window, ch.drug_users(therapy, records), excluded, "name", 100, MIN_TREATED)
@@ -126,7 +126,7 @@ def outcome_of(spark, d, therapy):
 
 
 def outcome(spark, d):
-    return outcome_of(spark, d, v.therapy(spark, d))
+    return outcome_of(spark, d, cut(v.therapy(spark, d)))
 
 
 @query("death_validation", f"WITH {OUTCOME_SQL} SELECT ptid, unvalidated_dod, last_act_dt, available_date, d_flag FROM outcome", _OV)
@@ -156,7 +156,7 @@ TRIALS_SQL = f"""
     WITH {TRIALS_SQL} SELECT drug, boot_id, ptid, index_date, rep, treatment, d_flag, d_delta_days FROM trials WHERE d_delta_days >= 0""", _OV)
 def trial_assemble(spark, d):
     therapy, treated, draws = _draws(spark, d)
-    return outcomes.assemble_trials(treated, draws, outcome_of(spark, d, therapy), N_BOOT)
+    return outcomes.assemble_trials(treated, draws, cut(outcome_of(spark, d, therapy)), N_BOOT)
 
 
 @query("trial_subset_stratum", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialkit.operators.joins import left_all
+from trialkit.operators.joins import left_all, of_patients
 from trialkit.plans import features, outcomes, synthesis
 from trialkit.plans.study import build_trials, class_estimates, estimate_trials, stratum_estimates
 from trialkit.registry import views as v
@@ -27,10 +27,11 @@ def _covariates(spark, d):
     sites = v.orders(spark, d).select("ptid", F.col("status").alias("name"), F.col("order_day").alias("date"))
 
     def at(keys):
+        keys = cut(keys)
         blocks = [
-            features.sites_before(sites, keys, SITES, "meta_"),
-            features.window_mean(events, keys, PRIORITIES, "vital_"),
-            features.window_any(events, keys, PRIORITIES, "med_"),
+            features.sites_before(of_patients(sites, keys), keys, SITES, "meta_"),
+            features.window_mean(of_patients(events, keys), keys, PRIORITIES, "vital_"),
+            features.window_any(of_patients(events, keys), keys, PRIORITIES, "med_"),
         ]
         wide = left_all(features.demographics(clinical, keys), blocks, features.KEY)
         return wide.select(*[F.col(f"`{c}`").alias(c.replace("-", "_")) for c in wide.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialkit.functions.hashing import hash32
 from trialkit.plans.cohort import dual_therapy
+from trialkit.session import cut
 from trialkit.sources.tables import read_parquet
 
 # Fixed values of the stand-in study.
@@ -74,7 +75,7 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dual(spark: SparkSession, d: str) -> DataFrame:
-    return dual_therapy(cohort(spark, d), records(spark, d), codes(spark, d))
+    return dual_therapy(cut(cohort(spark, d)), records(spark, d), codes(spark, d))
 
 
 def therapy(spark: SparkSession, d: str) -> DataFrame:
