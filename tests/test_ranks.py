@@ -16,11 +16,21 @@ def frame(spark, n=3000, seed=1):
 
 def test_percentiles_match_linear_interpolation(spark):
     pdf, df = frame(spark)
-    got = exact_percentiles(df, ["g"], "v", [0.01, 0.5, 0.9, 1.0], ["p1", "p50", "p90", "top"], chunks=8).toPandas().set_index("g")
+    got = exact_percentiles(df, ["g"], "v", [0.01, 0.5, 0.9, 1.0], ["p1", "p50", "p90", "top"]).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         assert np.allclose(got.loc[g, ["p1", "p50", "p90", "top"]].to_numpy(float), np.quantile(part["v"], [0.01, 0.5, 0.9, 1.0]))
 
 
+def test_percentiles_do_not_depend_on_the_bracket(spark):
+    pdf, df = frame(spark)
+    # very tight brackets and very wide ones give the same exact values
+    got = exact_percentiles(df, ["g"], "id", [0.33, 0.5], ["a", "b"], accuracy=10_000_000).toPandas().set_index("g")
+    rough = exact_percentiles(df, ["g"], "id", [0.33, 0.5], ["a", "b"], accuracy=3).toPandas().set_index("g")
+    for g, part in pdf.groupby("g"):
+        want = np.quantile(part["id"], [0.33, 0.5])
+        assert np.allclose(got.loc[g].to_numpy(float), want) and np.allclose(rough.loc[g].to_numpy(float), want)
+
+
 def test_percentiles_skip_nulls_and_work_without_keys(spark):
     df = spark.sql("select cast(v as double) v from values (1), (null), (4), (2) t(v)")
     assert exact_percentiles(df, [], "v", [0.5], ["m"]).first()["m"] == 2.0

@@ -112,12 +112,12 @@ def running(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], chunks: int = CHUNKS
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], accuracy: int = 1000
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, per group, for groups of any size.
 
-    Equal values collapse map-side and are shuffled once. Approximate cut points split a group; only the
-    chunks that hold a wanted rank are sorted. The steps in between are small tables.
+    Approximate percentiles on either side bracket each wanted rank. Equal values collapse map-side; values
+    below a bracket are only counted, and the few inside are sorted. Should a bracket miss its rank, it is widened.
     """
     keys = list(keys)
     key_cols = [F.lit(1).alias("_all")] if not keys else [F.col(k) for k in keys]
@@ -126,44 +126,48 @@ def exact_percentiles(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
     counted = reuse(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    cuts = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    # cut points over distinct values, which is what a chunk holds
-    stats = cut(
-        counted.groupBy(*by).agg(
-            F.percentile_approx("_v", cuts, F.lit(1000)).alias("_bounds"), F.sum("_n").alias("_total")
-        )
+    for margin in (5 / accuracy, 50 / accuracy, 1.0):
+        found = cut(_bracketed(rows, counted, by, probs, names, margin, accuracy))
+        if margin == 1.0 or found.where(" or ".join(f"`{n}` is null" for n in names)).isEmpty():
+            break
+    counted.unpersist()
+    return found.select(*keys, *names)
+
+
+def _bracketed(
+    rows: DataFrame, counted: DataFrame, by: list[str], probs: Sequence[float], names: Sequence[str], margin: float, accuracy: int
+) -> DataFrame:
+    edges = F.array(*[F.lit(min(max(q, 0.0), 1.0)) for p in probs for q in (p - margin, p + margin)])
+    stats = rows.groupBy(*by).agg(
+        F.percentile_approx("_v", edges, F.lit(accuracy)).alias("_edges"), F.count(F.lit(1)).alias("_total")
     )
-    groups = stats.count()
-    chunked = counted.join(broadcast_if_small(stats, groups, 8 * chunks + 200), by).select(
-        *by, "_v", "_n", "_total", chunk_of(F.col("_bounds"), F.col("_v")).alias("_chunk")
+    stats = cut(stats)
+    joined = counted.join(broadcast_if_small(stats, stats.count(), 16 * len(probs) + 200), by)
+    lows = [F.lit(float("-inf")) if p - margin <= 0 else F.col("_edges")[2 * i] for i, p in enumerate(probs)]
+    highs = [F.lit(float("inf")) if p + margin >= 1 else F.col("_edges")[2 * i + 1] for i, p in enumerate(probs)]
+    v = F.col("_v")
+    below = joined.groupBy(*by, "_total").agg(
+        *[F.coalesce(F.sum(F.when(v < low, F.col("_n"))), F.lit(0)).alias(f"_below{i}") for i, low in enumerate(lows)]
     )
-    across = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(*_BEFORE_HERE)
-    sizes = chunked.groupBy(*by, "_chunk", "_total").agg(F.sum("_n").alias("_size"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(across), F.lit(0)))
-    targets = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    lows = [F.floor(t) for t in targets]
-    highs = [F.least(F.floor(t) + 1, F.col("_total") - 1) for t in targets]
-    in_chunk = None
-    for t in [*lows, *highs]:
-        hit = (t >= F.col("_before")) & (t < F.col("_before") + F.col("_size"))
-        in_chunk = hit if in_chunk is None else in_chunk | hit
-    wanted = cut(sizes.where(in_chunk).select(*by, "_chunk", "_before"))
-    local = Window.partitionBy(*by, "_chunk").orderBy("_v").rowsBetween(*_UP_TO_HERE)
-    ranked = chunked.join(broadcast_if_small(wanted, 2 * groups * len(probs), 200), [*by, "_chunk"]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(local)
+    inside = F.array_compact(
+        F.array(*[F.when((v >= low) & (v <= high), F.lit(i)) for i, (low, high) in enumerate(zip(lows, highs))])
     )
+    local = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(*_UP_TO_HERE)
+    sorted_in = joined.select(*by, "_v", "_n", F.explode(inside).alias("_i")).withColumn("_end", F.sum("_n").over(local))
+    wanted, targets = sorted_in.join(below, by), [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
 
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), F.col("_v")))
+    def value_at(i: int, rank: Column) -> Column:
+        end = F.col(f"_below{i}") + F.col("_end")
+        return F.max(F.when((F.col("_i") == i) & (rank >= end - F.col("_n")) & (rank < end), v))
 
-    picked = ranked.groupBy(*by, "_total").agg(
-        *[value_at(r).alias(f"_lo{i}") for i, r in enumerate(lows)],
-        *[value_at(r).alias(f"_hi{i}") for i, r in enumerate(highs)],
+    picked = wanted.groupBy(*by, "_total").agg(
+        *[value_at(i, F.floor(t)).alias(f"_lo{i}") for i, t in enumerate(targets)],
+        *[value_at(i, F.least(F.floor(t) + 1, F.col("_total") - 1)).alias(f"_hi{i}") for i, t in enumerate(targets)],
+    )
+    return picked.select(
+        *by,
+        *[
+            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (t - F.floor(t))).alias(n)
+            for i, (t, n) in enumerate(zip(targets, names))
+        ],
     )
-    out = [
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (targets[i] - lows[i])).alias(n)
-        for i, n in enumerate(names)
-    ]
-    found = cut(picked.select(*keys, *out))
-    counted.unpersist()
-    return found
