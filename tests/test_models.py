@@ -50,13 +50,13 @@ def test_linear_fit_and_standardization(spark):
     df = spark.createDataFrame(pdf)
     assert np.allclose(models.linear_coefficients(df, ["trial"], ["treatment", "x"], "y").first()["_beta"], [1.0, 2.0, 0.5])
     assert np.isclose(models.standardized_effect(df, ["trial"], ["x"], "y").first()["ate"], 2.0)
-    wide = propensity.bootstrap_effect(df, ["trial"], ["x"], "y", n_boot=10).first()
+    wide = propensity.bootstrap_effect(df, ["trial"], ["x"], "y", n_boot=10, together=6).first()
     assert np.isclose(wide["ate_mean"], 2.0) and wide["n_resamples"] == 10
 
 
 def test_resample_counts_look_like_poisson(spark):
     df = spark.range(2000)
-    copies = propensity.resample_counts(df, ["id"], 20).groupBy("boot").agg(F.sum("copies").alias("n")).toPandas()
+    copies = propensity.resample_counts(df, ["id"], range(20)).groupBy("boot").agg(F.sum("copies").alias("n")).toPandas()
     assert abs(copies["n"].mean() - 2000) < 40 and copies["n"].nunique() > 10
 
 
@@ -167,3 +167,11 @@ def test_weibull_data_prefers_weibull(spark):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"trial": 0, "treatment": rng.integers(0, 2, 2000), "days": 100 * rng.weibull(3.0, 2000) + 1e-3, "flag": 1})
     assert parametric.family_aic(spark.createDataFrame(pdf), ["trial"], "days", "flag").first()["best"] == "weibull"
+
+
+def test_weibull_with_few_patients_stays_finite(spark):
+    # late events far above the mean of log time once sent the fit off
+    days = [1, 2, 3, 900, 1000, 1100, 1200, 1300]
+    pdf = pd.DataFrame({"trial": 0, "treatment": [0, 1] * 4, "days": days, "flag": [0, 0, 0, 1, 1, 1, 1, 1]})
+    fit = parametric.time_ratio(spark.createDataFrame(pdf), ["trial"], "days", "flag", family="weibull").first()
+    assert 0.1 < fit["time_ratio"] < 10 and fit["ratio_low"] < fit["time_ratio"] < fit["ratio_high"]

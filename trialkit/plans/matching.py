@@ -152,12 +152,16 @@ def _round_as_frames(rows: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("_r0", F.coalesce(F.sum("_steps").over(earlier), F.lit(0)) + F.sum("_joint").over(by_chunk))
         .select(*keys, "_chunk", "_n0", "_r0")
     )
-    placed = inside.join(carry, [*keys, "_chunk"]).select(
-        *keys, "id", "treatment", "score", "caliper",
-        (F.col("_n0") + F.col("_i")).alias("_at"), (F.col("_r0") + F.col("_r")).alias("_run"),
+    placed = cut(
+        inside.join(carry, [*keys, "_chunk"]).select(
+            *keys, "id", "treatment", "score", "caliper",
+            (F.col("_n0") + F.col("_i")).alias("_at"), (F.col("_r0") + F.col("_r")).alias("_run"),
+        )
     )
-    runs = placed.groupBy(*keys, "_run").agg(
-        F.min("_at").alias("_start"), F.max("_at").alias("_end"), F.min("score").alias("_low"), F.max("score").alias("_high")
+    runs = cut(
+        placed.groupBy(*keys, "_run").agg(
+            F.min("_at").alias("_start"), F.max("_at").alias("_end"), F.min("score").alias("_low"), F.max("score").alias("_high")
+        )
     )
     before = runs.select(*keys, (F.col("_run") + 1).alias("_run"), F.col("_high").alias("_before"))
     after = runs.select(*keys, (F.col("_run") - 1).alias("_run"), F.col("_low").alias("_after"))
@@ -196,19 +200,28 @@ def _round_as_frames(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _match_by_rounds(rows: DataFrame, keys: list[str], ratio: int) -> DataFrame:
-    """Rounds over whole trials; each round is cut so that a lost executor costs one round at most."""
+def _match_by_rounds(rows: DataFrame, keys: list[str], ratio: int, task_rows: int) -> DataFrame:
+    """Rounds over whole trials; each round is cut so that a lost executor costs one round at most.
+
+    When the rows still free in every trial fit a task, the rest of the turn is finished in tasks: the
+    next rounds there are the same rounds.
+    """
     rows = cut(ordered_chunks(rows, keys, "score", F.col("_arm"), F.col("_tie")))
     pairs = None
     open_rows = rows
     for turn in range(1, ratio + 1):
         active, this_turn = open_rows, None
         while True:
-            found = cut(_round_as_frames(active, keys).withColumn("turn", F.lit(turn)))
+            most = active.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+            fits = most <= task_rows
+            step = _match_in_tasks(active, keys, 1).drop("turn") if fits else _round_as_frames(active, keys)
+            found = cut(step.withColumn("turn", F.lit(turn)))
             if found.isEmpty():
                 break
             this_turn = found if this_turn is None else this_turn.unionByName(found)
             gone = found.select(*keys, F.explode(F.array("t_id", "c_id")).alias("id"))
+            if fits:
+                break
             active = cut(active.join(gone, [*keys, "id"], "left_anti"))
         if this_turn is None:
             break
@@ -245,7 +258,7 @@ def match_nearest(
     if large.isEmpty():
         return _match_in_tasks(base, keys, ratio)
     small_pairs = _match_in_tasks(base.join(large, keys, "left_anti"), keys, ratio)
-    large_pairs = _match_by_rounds(base.join(large, keys, "left_semi"), keys, ratio)
+    large_pairs = _match_by_rounds(base.join(large, keys, "left_semi"), keys, ratio, task_rows)
     return small_pairs.unionByName(large_pairs)
 
 

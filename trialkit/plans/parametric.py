@@ -33,7 +33,7 @@ def _log_normal_tail(z: np.ndarray) -> np.ndarray:
 def _density(family: str, z):
     """Log density of log time's standard error term, with first and second derivative."""
     if family == "weibull":
-        e = np.exp(np.minimum(z, 50))
+        e = np.exp(z)
         return z - e, 1 - e, -e
     if family == "lognormal":
         return -0.5 * z * z - 0.5 * math.log(2 * math.pi), -z, -np.ones_like(z)
@@ -44,7 +44,7 @@ def _density(family: str, z):
 def _tail(family: str, z):
     """Log survival of the standard error term, with first and second derivative."""
     if family == "weibull":
-        e = np.exp(np.minimum(z, 50))
+        e = np.exp(z)
         return -e, -e, -e
     if family == "lognormal":
         log_s = _log_normal_tail(z)
@@ -82,7 +82,10 @@ def _fit(family: str, x, t, event, count, steps: int = 100):
     theta[0] = np.average(log_t, weights=count)
     spread = math.sqrt(max(np.average((log_t - theta[0]) ** 2, weights=count), 1e-4))
     theta[-1] = math.log(spread)
-    value, gradient, hessian = _likelihood(family, theta, x, log_t, event, count)
+    with np.errstate(all="ignore"):
+        value, gradient, hessian = _likelihood(family, theta, x, log_t, event, count)
+    if not np.isfinite(hessian).all():
+        return None
     for _ in range(steps):
         ridge = 0.0
         top = np.linalg.eigvalsh(hessian).max()
