@@ -256,10 +256,15 @@ def match_nearest(
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     large = reuse(sizes.where(F.col("_rows") > task_rows).select(*keys))
     if large.isEmpty():
-        return _match_in_tasks(base, keys, ratio)
-    small_pairs = _match_in_tasks(base.join(large, keys, "left_anti"), keys, ratio)
-    large_pairs = _match_by_rounds(base.join(large, keys, "left_semi"), keys, ratio, task_rows)
-    return small_pairs.unionByName(large_pairs)
+        pairs = _match_in_tasks(base, keys, ratio)
+    else:
+        small_pairs = _match_in_tasks(base.join(large, keys, "left_anti"), keys, ratio)
+        large_pairs = _match_by_rounds(base.join(large, keys, "left_semi"), keys, ratio, task_rows)
+        pairs = small_pairs.unionByName(large_pairs)
+    pairs = cut(pairs)
+    base.unpersist()
+    large.unpersist()
+    return pairs
 
 
 def matched_rows(rows: DataFrame, pairs: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:

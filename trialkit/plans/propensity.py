@@ -46,7 +46,7 @@ def matched_with_escalation(
     scored = cut(propensity_scores(scaled, keys, covariates))
     todo, pairs, report = scored, None, None
     for i, ratio in enumerate(ratios):
-        found = cut(caliper_match(todo, keys, ratio))
+        found = caliper_match(todo, keys, ratio)
         chosen = matched_rows(todo, found, keys)
         smd = standardized_differences(chosen, keys, covariates)
         counts = cut(unbalanced_counts(smd, keys, threshold, ignore))

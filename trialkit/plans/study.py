@@ -59,7 +59,7 @@ def estimate_trials(
     # a covariate without a single training value in a trial carries no information there
     filled = cut(filled.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in covariates}))
     scored = cut(models.propensity_scores(filled, keys, covariates))
-    pairs = cut(matching.match_nearest(scored.select(*keys, "id", "treatment", F.col("ps_logit").alias("score")), keys))
+    pairs = matching.match_nearest(scored.select(*keys, "id", "treatment", F.col("ps_logit").alias("score")), keys)
     matched = cut(matching.matched_rows(scored, pairs, keys))
     estimates = synthesis.trial_estimates(scored, matched, keys, time, event)
     for rows, name in ((scored, "ori_unbalanced_covariates"), (matched, "unbalanced_covariates")):

@@ -91,8 +91,6 @@ def index_date_transplant(spark, d):
 
 # ---- outcomes --------------------------------------------------------------------------------------
 
-_FIRST_DAYS = "SELECT ptid, min(order_day) AS first_day, max(CASE WHEN priority = '1-URGENT' THEN order_day END) AS urgent_day FROM ord GROUP BY ptid"
-
 
 @query("agg_last_activity", f"""
     WITH p AS (SELECT d.ptid, d.unvalidated_dod, d.last_act_dt, t.dx_date, t.therapy_date FROM death d JOIN therapy t ON d.ptid = t.ptid),
