@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trialkit.llm import sharding
+from trialkit.llm import decontamination, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +25,43 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op3_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents"))
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = decontamination.mark(docs, table(spark, folder, "benchmark"), "found", keep_text=False)
+    found = F.col("found")
+    return marked.select(
+        "doc_id", found["n_words"].alias("n_words"), found["n_hit"].alias("n_hit"), F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"), decontamination.contaminated(found).alias("contaminated"),
+    )
+
+
+SQL["op1_decontamination"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+  windows AS (SELECT item_id, least(13, len(w)) AS size, unnest(list_transform(range(1, greatest(2, len(w) - 11)), i -> array_to_string(w[i:i + 12], ' '))) AS window
+      FROM b WHERE len(w) > 0),
+  sizes AS (SELECT DISTINCT size FROM windows),
+  places AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM d JOIN sizes ON len(w) >= size),
+  parts AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS window FROM places),
+  hits AS (SELECT p.doc_id, p.size, p.i, item_id FROM parts p JOIN windows v ON p.window = v.window AND p.size = v.size),
+  hit_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM hits) GROUP BY doc_id),
+  items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query
+def op4_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    judged = quality_rules.judge(docs, table(spark, folder, "labels"))
+    m = F.col("metrics")
+    counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
