@@ -43,7 +43,7 @@ def map_texts(
             data, at = words.buffers(batch.column(batch.schema.get_field_index(text)))
             for i, j in words.slices(at):
                 got = fn(data, at[i : j + 1])
-                parts = [pa.array(got[f.name], type=f.type) for f in struct]
+                parts = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in struct]
                 made = pa.StructArray.from_arrays(parts, fields=list(struct))
                 same = [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept]
                 yield pa.RecordBatch.from_arrays([*same, made], names=[*kept, out])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialkit.llm import decontamination, quality_rules, sharding
+from trialkit.llm import bpe, decontamination, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,7 +43,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
   b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-  windows AS (SELECT item_id, least(13, len(w)) AS size, unnest(list_transform(range(1, greatest(2, len(w) - 11)), i -> array_to_string(w[i:i + 12], ' '))) AS window
+  windows AS (SELECT item_id, least(13, len(w)) AS size, unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, greatest(2, len(w) - 11))]) AS window
       FROM b WHERE len(w) > 0),
   sizes AS (SELECT DISTINCT size FROM windows),
   places AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM d JOIN sizes ON len(w) >= size),
@@ -65,3 +65,27 @@ def op4_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
     m = F.col("metrics")
     counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+#: vocabulary of the encoding queries
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    coded = bpe.encode(docs, vocabulary(), "coded", keep_text=False, decoded=True)
+    ids = F.col("coded")["ids"]
+    return coded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("coded")["decoded"], 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_digest(table(spark, folder, "documents").select("doc_id", "text"))
