@@ -30,7 +30,7 @@ from trialkit.llm.frames import map_texts
 
 #: fixed value: how byte-level BPE cuts a text before its merges
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 300_000
+CACHE_PIECES = 800_000
 CACHE_PAIRS = 1_000_000
 _NEVER = 1 << 60
 
@@ -71,6 +71,22 @@ def load(path: str) -> bytes:
     return pickle.dumps((tokens, merges, added))
 
 
+class _Known(dict):
+    """Ids of pieces as packed 32-bit integers, found when first asked for."""
+
+    def __init__(self, coder: Encoder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.coder.piece(piece.encode())).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes and decodes texts; caches the ids of pieces, within fixed bounds."""
 
@@ -92,7 +108,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.pieces = regex.compile(PIECES)
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self)
         self.pairs: dict[int, bool] = {}
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -137,37 +153,26 @@ class Encoder:
         ids.reverse()
         return tuple(ids)
 
-    def _pieces(self, text: str) -> Iterator[str]:
+    def _pieces(self, text: str) -> Iterable[str]:
         if len(text) < 1 << 20:
-            yield from self.pieces.findall(text)
-        else:  # no list of all pieces of a very long text
-            for m in self.pieces.finditer(text):
-                yield m[0]
+            return self.pieces.findall(text)
+        return (m[0] for m in self.pieces.finditer(text))  # no list of all pieces of a very long text
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; strings of added tokens get their own ids."""
-        ids = array("i")
-        known = self.known
+        out = []
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
             if k % 2:
-                ids.append(self.added[part])
-                continue
-            pieces = iter(self._pieces(part))
-            while some := list(islice(pieces, 1 << 16)):
-                for p in some:
-                    got = known.get(p)
-                    if got is None:
-                        got = self.piece(p.encode())
-                        if len(p) <= 64:
-                            if len(known) >= CACHE_PIECES:
-                                known.clear()
-                            known[p] = got
-                    ids.extend(got)
-        return ids
+                out.append(array("i", [self.added[part]]).tobytes())
+            else:
+                pieces = iter(self._pieces(part))
+                while some := b"".join(map(self.known.__getitem__, islice(pieces, 1 << 16))):
+                    out.append(some)
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become the replacement character."""
-        return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", errors="replace")
+        return b"".join(map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", errors="replace")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -186,10 +191,10 @@ def send(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load(path))
 
 
-def lists(rows: list[array]) -> pa.ListArray:
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=ends[1:])
-    values = np.concatenate([np.frombuffer(r, np.int32) for r in rows]) if int(ends[-1]) else np.zeros(0, np.int32)
+    values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
 
