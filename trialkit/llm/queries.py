@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialkit.llm import bpe, chat, decontamination, quality_rules, sharding
+from trialkit.llm import bpe, chat, decontamination, jaccard, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(7 + sum(7 + 2 * length(mark) + length(body)) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id
 """
+
+
+@query
+def op6_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
