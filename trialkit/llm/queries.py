@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialkit.llm import bpe, chat, decontamination, jaccard, quality_rules, sharding
+from trialkit.llm import bpe, chat, decontamination, jaccard, language, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,3 +125,19 @@ FROM p GROUP BY conv_id
 @query
 def op6_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def remainder(n: int) -> Column:
+    """Fold of a document: CRC-32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query
+def op5_centroid_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(remainder(3) != 1), "doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), model, "found", keep_text=False)
+    return found.select(
+        "doc_id", (remainder(3) == 1).alias("held_out"), F.col("found")["lang"].alias("lang_pred"), F.col("found")["score"].alias("score"),
+        F.col("found")["rejected"].alias("rejected"),
+    )

@@ -7,7 +7,7 @@ slice, not eight bytes per character of it. Equal words have equal hashes; diffe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +82,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 @dataclass
 class Words:
-    """Words of documents: hash, byte range in the data, and where the words of each document begin."""
+    """Words of documents: hash, byte range in the data, where the words of each document begin, and hashes of prefixes (0 for
+    shorter words) by their number of bytes."""
 
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    prefixes: dict[int, np.ndarray] = field(default_factory=dict)
 
     @property
     def counts(self) -> np.ndarray:
@@ -98,10 +100,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def split(data: np.ndarray, offsets: np.ndarray, codes_of: np.ndarray) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, codes_of: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
     """Words of the documents data[offsets[i]:offsets[i + 1]]."""
     lo, stop = int(offsets[0]), int(offsets[-1])
     hashes, starts, ends = [], [], []
+    clipped: dict[int, list[np.ndarray]] = {p: [np.zeros(0, np.uint64)] for p in prefixes}
     while lo < stop:
         hi, codes = lo, np.zeros(0, np.uint16)
         while True:  # a block ends after a separator or with a document
@@ -127,7 +130,13 @@ def split(data: np.ndarray, offsets: np.ndarray, codes_of: np.ndarray) -> Words:
         if len(s):
             sums = np.zeros(len(codes) + 1, np.uint64)
             np.cumsum(codes.astype(np.uint64) * _power(_BASE, len(codes))[: len(codes)], out=sums[1:])
-            h = (sums[e] - sums[s]) * _power(_INVERSE, len(codes))[s]
+            back = _power(_INVERSE, len(codes))[s]
+            h = (sums[e] - sums[s]) * back
+            for p in prefixes:
+                short = e - s < p
+                own = mix((sums[np.where(short, e, s + p)] - sums[s]) * back + np.uint64(p * 0xA24BAED4963EE407 & (1 << 64) - 1))
+                own[short] = 0
+                clipped[p].append(own)
             hashes.append(mix(h + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
             starts.append(s + lo)
             ends.append(e + lo)
@@ -136,7 +145,7 @@ def split(data: np.ndarray, offsets: np.ndarray, codes_of: np.ndarray) -> Words:
     start = np.concatenate(starts) if starts else none
     return Words(
         np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), start, np.concatenate(ends) if ends else none,
-        np.searchsorted(start, offsets),
+        np.searchsorted(start, offsets), {p: np.concatenate(x) for p, x in clipped.items()},
     )
 
 
