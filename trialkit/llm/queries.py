@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialkit.llm import bpe, chat, decontamination, jaccard, language, quality_rules, sharding
+from trialkit.llm import bpe, chat, decontamination, jaccard, language, quality_model, quality_rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,3 +141,22 @@ def op5_centroid_language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (remainder(3) == 1).alias("held_out"), F.col("found")["lang"].alias("lang_pred"), F.col("found")["score"].alias("score"),
         F.col("found")["rejected"].alias("rejected"),
     )
+
+
+def scored(found: DataFrame, folds: int, held: int) -> DataFrame:
+    s = F.col("found")["score"]
+    return found.select("doc_id", (remainder(folds) == held).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_boosted_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels").filter(remainder(5) != 0))
+    return scored(toxicity.score(docs, model, "found", keep_text=False), 5, 0)
+
+
+@query
+def op7_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, folder, "labels").filter(remainder(3) != 1))
+    return scored(quality_model.score(docs, model, "found", keep_text=False), 3, 1)
