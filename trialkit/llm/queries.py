@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialkit.llm import bpe, chat, decontamination, jaccard, language, quality_model, quality_rules, sharding, toxicity
+from trialkit.llm import bpe, chat, decontamination, jaccard, language, quality_model, quality_rules, sharding, token_spans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,3 +160,11 @@ def op7_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = quality_model.fit(docs, table(spark, folder, "labels").filter(remainder(3) != 1))
     return scored(quality_model.score(docs, model, "found", keep_text=False), 3, 1)
+
+
+@query
+def op8_token_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    counted = token_spans.attribute(docs, vocabulary(), ["source", "lang", "text"], by_line=["text"]).select("doc_id", "tokens")
+    parts = counted.select("doc_id", F.col("tokens")["n_tokens"].alias("doc_tokens"), F.col("tokens")["n_outside"].alias("n_outside"), F.explode("tokens.parts").alias("p"))
+    return parts.select("doc_id", "doc_tokens", "n_outside", "p.*")
