@@ -7,8 +7,9 @@ D = (a + b) * (den - num) / (den + num).
 
 Search: documents are dealt into bands of doubling set size, and emit keys for their own band and, if larger partners can lie there, for the
 next. All documents of a band use the same number of words. At most D words of linked documents differ, so, with the words in any common
-order, their first equal word is among the first D + 1 of both. The order puts words made of many shingles first, as few documents share
-those; words without shingles come last. Keys meet in packed form; pairs are then held against the small parity sketches and the
+order, their first equal word is among the first D + 1 of both. Shingles that are common (those of shared passages) go to words of
+their own, and the order puts these last, before words without any shingle; otherwise words made of many shingles come first, as few
+documents share those. Which shingles count as common changes the work only, never the result. Keys meet in packed form; pairs are then held against the small parity sketches and the
 rest is verified on the whole sets. Keys that many texts share are not expanded: their texts are compared with three of them first, and
 only if the links found do not join them all, block by block among those still apart.
 """
@@ -35,7 +36,8 @@ COMPARE_BLOCK = 256
 KEYS_PER_BUCKET = 250_000
 KEYS_PER_TASK = 2_000_000
 FLUSH_KEYS = 1_500_000
-_SPREAD = 1.3
+COMMON_LIMIT = 1_000_000
+_SPREAD = 1.6
 _LEAST_WORDS = 32
 _U = np.uint64
 
@@ -113,27 +115,34 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fold(a, n) ^ fold(b, n)).sum(-1, dtype=np.int64)
 
 
-def keys(s: np.ndarray, law: Similarity) -> np.ndarray:
+def keys(s: np.ndarray, law: Similarity, common: np.ndarray) -> np.ndarray:
     """Search keys of a set: of each of its bands the first D + 1 words of the sketch in the common order."""
     out = []
-    mixed = words.mix(s + _salt(7))
+    often = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
+    kinds = [(0, s[~often]), (1, s[often])]
     for band, size, need in law.bands(len(s)):
-        block = ((s >> _U(32)) * _U(size)) >> _U(32)  # ascending, as the hashes are
-        begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        count = np.diff(np.concatenate([begin, [len(s)]]))
-        first = np.argsort(-count, kind="stable")[:need]
-        place, value = block[begin[first]], np.bitwise_xor.reduceat(mixed, begin)[first]
-        if len(first) < need:  # words without shingles, in order
-            empty = np.setdiff1d(np.arange(size, dtype=np.uint64), block, assume_unique=False)[: need - len(first)]
-            place, value = np.concatenate([place, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
-            count_of = np.concatenate([count[first], np.zeros(len(empty), np.int64)])
-        else:
-            count_of = count[first]
-        out.append(words.mix(value ^ words.mix(place + count_of.astype(np.uint64) * _salt(11) + _salt(band + 13))))
+        places, values, left = [], [], need
+        for kind, own in kinds:
+            if not left or not len(own):
+                continue
+            block = ((own >> _U(32)) * _U(size)) >> _U(32)  # ascending, as the hashes are
+            begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            count = np.diff(np.concatenate([begin, [len(own)]]))
+            first = np.argsort(-count, kind="stable")[:left]
+            places.append(block[begin[first]] * _U(2) + _U(kind) + count[first].astype(np.uint64) * _salt(11))
+            values.append(np.bitwise_xor.reduceat(words.mix(own + _salt(7)), begin)[first])
+            left -= len(first)
+        for kind, own in kinds:  # words without shingles, in order
+            if left:
+                empty = np.setdiff1d(np.arange(size, dtype=np.uint64), ((own >> _U(32)) * _U(size)) >> _U(32))[:left]
+                places.append(empty * _U(2) + _U(kind))
+                values.append(np.zeros(len(empty), np.uint64))
+                left -= len(empty)
+        out.append(words.mix(np.concatenate(values) ^ words.mix(np.concatenate(places) + _salt(band + 13))))
     return np.concatenate(out)
 
 
-SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), T.StructField("sketch", T.BinaryType())])
+SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("common", T.BinaryType())])
 
 
 def _signatures(size: int, codes: np.ndarray):
@@ -141,17 +150,35 @@ def _signatures(size: int, codes: np.ndarray):
         def run(data: np.ndarray, at: np.ndarray) -> dict:
             sets = shingles(words.split(data, at, codes), size)
             ids = [identity(s) for s in sets]
-            return {"n": [len(s) for s in sets], "one": [i[0] for i in ids], "two": [i[1] for i in ids], "sketch": [parity(s) if len(s) else b"" for s in sets]}
+            every, times = np.unique(np.concatenate(list(dict(zip(ids, sets, strict=True)).values())), return_counts=True)
+            common = [every[times > 1].tobytes()] + [None] * (len(sets) - 1)
+            return {"n": [len(s) for s in sets], "one": [i[0] for i in ids], "two": [i[1] for i in ids], "sketch": [parity(s) if len(s) else b"" for s in sets], "common": common}
 
         return run
 
     return make
 
 
-def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Similarity, bits: int) -> DataFrame:
+def _common(slices: DataFrame) -> np.ndarray:
+    """Shingles that different texts of one slice share, in at least three slices and 3 % of all; the most frequent million at most (8 MB)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(packed.as_buffer(), np.int64))], names=["shingle"])
+
+    least = max(3, 0.03 * slices.count())
+    often = slices.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= least)
+    top = often.orderBy(F.col("count").desc(), "shingle").limit(COMMON_LIMIT).select("shingle").toPandas()
+    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Similarity, bits: int, common: np.ndarray) -> DataFrame:
     """(bucket, keys, texts): packed search keys and the texts that have them. A copy of a text met before in the same run adds nothing."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
         held, owners, n, seen = [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -176,7 +203,7 @@ def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Si
                 for s in shingles(words.split(data, at[i : j + 1], codes), size):
                     if len(s) and (who := identity(s)) not in seen:
                         seen.add(who)
-                        k = keys(s, law)
+                        k = keys(s, law, common)
                         held.append(k)
                         owners.append(np.full(len(k), who[0], np.int64))
                         n += len(k)
@@ -193,6 +220,8 @@ def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
     schema = "a long, b long, members binary"
 
     def pairs_of(k: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        if len(k) < 2:
+            return np.zeros((0, 2), np.int64), []
         order = np.argsort(k)
         k, who = k[order], who[order]
         equal = k[1:] == k[:-1]
@@ -345,12 +374,13 @@ def near_duplicates(
     docs = docs.select(key, text)
     signed = map_texts(docs, SIGNATURE, _signatures(shingle, codes), "__s", text, keep_text=False)
     signed = cut(signed.select(F.col(key), "__s.*"))
+    common = _common(signed.filter("common IS NOT NULL").select("common"))
     grouped = signed.filter("n > 0").groupBy("one", "two").agg(F.min(key).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()).withColumn("row", F.xxhash64("first")))
     total = (classes.agg(F.sum("n")).first()[0] or 0) // 2
     bits = max(6, int(total // KEYS_PER_BUCKET).bit_length())
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // KEYS_PER_TASK))
-    met = cut(_meet(_emit_keys(docs, text, shingle, codes, law, bits), tasks, bits, small))
+    met = cut(_meet(_emit_keys(docs, text, shingle, codes, law, bits, common), tasks, bits, small))
     near = cut(_near(met.filter("members IS NULL").select("a", "b").distinct(), classes, law))
     links = cut(_verified(near, classes, docs, key, text, shingle, codes, law))
     labels = components(links)
