@@ -14,7 +14,8 @@ HEADLINE = [
     "death_validation", "features_baseline", "agg_mad", "clean_trim_outliers", "impute_median_train", "table_one",
     "topk_nearest", "join_pairwise_distance", "balance_smd", "ps_logistic", "match_nearest_1to1", "match_caliper_1toN",
     "match_caliper_mad", "cox_hr_binary", "cox_adjusted_weighted", "km_curve", "aft_effect", "boot_mean_ci",
-    "boot_mean_pvalue", "pooled_hr", "drug_effect_summary",
+    "boot_mean_pvalue", "pooled_hr", "ate_bootstrap_ci", "match_ratio_escalation", "drug_effect_summary", "sae_effect_matrix",
+    "stratified_effect_matrix",
 ]
 
 

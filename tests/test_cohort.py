@@ -69,9 +69,11 @@ def test_death_rules_and_trial_rows(spark):
     assert got == {1: (1, D0), 2: (1, day(39)), 3: (0, day(40)), 4: (0, day(50))}
     treated = spark.createDataFrame([("x", 1, day(20)), ("x", 2, D0)], "drug string, ptid int, index_date date")
     draws = spark.createDataFrame([("x", 0, 0, 4, D0), ("x", 0, 1, 4, D0), ("x", 0, 2, 2, D0)], "drug string, boot_id int, rep int, ptid int, index_date date")
-    rows = outcomes.assemble_trials(treated, draws, out, n_boot=1).collect()
+    every = outcomes.assemble_trials(treated, draws, out, n_boot=1)
+    assert every.count() == 4 and tuple(outcomes.dropped_follow_up(every).first())[2:] == (4, 1)
+    rows = outcomes.assemble_trials(treated, draws, out, n_boot=1, min_days=0).collect()
     assert sorted((r["ptid"], r["treatment"], r["d_delta_days"]) for r in rows) == [(2, 1, 10), (4, 0, 50), (4, 0, 50)]
-    assert outcomes.assemble_trials(treated, draws, out, n_boot=1, min_days=None).count() == 4
+
 
 
 def test_lookback_ends_are_included(spark):
@@ -112,7 +114,8 @@ def test_number_text(spark):
 def test_intervals_patterns_and_ages(spark):
     df = spark.createDataFrame([("[0.85 1.2]",), ("[0.85, 1.2]",), ("[ 0.85  1.2 ]",)], "t string")
     assert {tuple(r["b"]) for r in df.select(text.interval_bounds(F.col("t")).alias("b")).collect()} == {(0.85, 1.2)}
-    assert text.alternation(["a", "b", "c"], "b") == "(a|b$|c)" and text.alternation(["a", "b"], group=False) == "a|b"
+    terms = spark.createDataFrame([("a",), ("c",), ("b",), ("a",)], "t string")
+    assert text.alternation_from_table(terms, "t", ["b"]).first()["pattern"] == "(a|b$|c)"
     ages = spark.sql("select date'2000-05-01' d, b from values ('1935 and Earlier'), ('1960'), ('unknown') t(b)").select(dates.age_at(F.col("d"), F.col("b")).alias("a"))
     assert [r["a"] for r in ages.collect()] == [65, 40, None]
 
@@ -123,8 +126,10 @@ def test_constant_and_empty_columns_are_dropped(spark):
     assert reshape.drop_constant(df, ["a", "b", "d"]).columns == ["a", "c", "d"]
 
 
-def test_wide_level_lists_are_refused(spark):
+def test_wide_level_lists_are_refused_and_have_a_long_form(spark):
     import pytest
 
+    long = reshape.one_hot_long(spark.range(1001).withColumn("c", F.col("id")), ["id"], "c")
+    assert long.select("level").distinct().count() == 1001 and long.agg(F.sum("flag")).first()[0] == 1001
     with pytest.raises(ValueError):
         reshape.distinct_levels(spark.range(50), "id", at_most=10)

@@ -11,13 +11,6 @@ from pyspark.sql import functions as F
 NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def alternation(terms: Iterable[str], end_anchored: Iterable[str] = (), group: bool = True) -> str:
-    """`(a|b$|c)`: terms in `end_anchored` must stand at the end of the text."""
-    ends = {end_anchored} if isinstance(end_anchored, str) else set(end_anchored)
-    body = "|".join(t + "$" if t in ends else t for t in terms)
-    return f"({body})" if group else body
-
-
 def alternation_from_table(terms: DataFrame, term: str, end_anchored: Iterable[str] = ()) -> DataFrame:
     """One-row frame with the pattern of a term dictionary (a dictionary, not an event column)."""
     ends = list(end_anchored)

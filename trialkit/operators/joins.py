@@ -34,12 +34,10 @@ def of_patients(events: DataFrame, ids: DataFrame, key: str = "ptid") -> DataFra
 def with_cohort(events: DataFrame, cohort: DataFrame, key: str = "ptid") -> DataFrame:
     """Events joined to a one-row-per-patient table by patient, ready for a grouped aggregate.
 
-    A small counted cohort is broadcast: events stay where they are until their partial aggregates move.
-    Beyond the bound, events are reduced to distinct rows first, so that one patient's repeats are gone
-    before the shuffle by patient.
+    A small counted cohort is broadcast: events stay where they are until their partial aggregates move. A larger one
+    is joined by shuffling; the rows are the same either way.
     """
-    near = broadcast_if_small(cohort, cohort.count(), 24 * (len(cohort.columns) + 2))
-    return events.join(near, key) if near is not cohort else events.distinct().join(cohort, key)
+    return events.join(broadcast_if_small(cohort, cohort.count(), 24 * (len(cohort.columns) + 2)), key)
 
 
 def in_window(

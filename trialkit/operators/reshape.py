@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +24,10 @@ def matrix(df: DataFrame, rows: Sequence[str], column: str, levels: Sequence[str
 
 
 def distinct_levels(df: DataFrame, col: str, at_most: int = 1000) -> list[str]:
-    """Levels of a categorical column as plan constants; fails rather than truncating a wide one."""
+    """Levels of a categorical column as plan constants; a wider one than `at_most` is refused, see `one_hot_long`."""
     found = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(at_most + 1).collect()
     if len(found) > at_most:
-        raise ValueError(f"{col} has more than {at_most} levels")
+        raise ValueError(f"{col} has more than {at_most} levels; use one_hot_long")
     return [r[0] for r in found]
 
 
@@ -36,6 +36,11 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
     return df.withColumns(flags).drop(col)
 
 
+def one_hot_long(df: DataFrame, ids: Sequence[str], col: str) -> DataFrame:
+    """(ids, level, flag): the flags that are 1, one row each, for a categorical column of any number of levels."""
+    return df.where(F.col(col).isNotNull()).select(*ids, F.col(col).cast("string").alias("level"), F.lit(1).alias("flag"))
+
+
 def drop_all_null(df: DataFrame, candidates: Sequence[str] | None = None) -> DataFrame:
     """Drop columns without a single value, found in one pass."""
     cols = list(candidates or df.columns)
@@ -142,7 +147,3 @@ def median_abs_deviation(df: DataFrame, keys: Sequence[str], col: str) -> DataFr
     medians = exact_percentiles(df, keys, col, [0.5], ["median"])
     spread = _attach(df, keys, medians).withColumn("_dev", F.abs(F.col(col) - F.col("median")))
     return medians.join(exact_percentiles(spread, keys, "_dev", [0.5], ["mad"]), list(keys))
-
-
-def rename_by(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(mapping))

@@ -65,12 +65,12 @@ def first_event_after(
 
 
 def assemble_trials(
-    treated: DataFrame, draws: DataFrame, outcome: DataFrame, n_boot: int = 100, min_days: int | None = 0
+    treated: DataFrame, draws: DataFrame, outcome: DataFrame, n_boot: int = 100, min_days: int | None = None
 ) -> DataFrame:
     """All trials of all drugs: treated and drawn controls with follow-up and event flag.
 
     Keyed (drug, boot_id, treatment, ptid, index_date, rep). Draws that are treated patients of the same
-    drug are removed. Follow-up below `min_days` is dropped (None keeps it).
+    drug are removed. Every row stays unless `min_days` is given; `dropped_follow_up` counts what that would drop.
     """
     arms = treated.select(
         "drug", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot_id"), "ptid", "index_date",
@@ -87,6 +87,12 @@ def assemble_trials(
     return rows if min_days is None else rows.where(F.col("d_delta_days") >= min_days)
 
 
+def dropped_follow_up(rows: DataFrame, min_days: int = 0) -> DataFrame:
+    """Per drug and draw: rows, and those with follow-up below `min_days` or without any."""
+    short = F.coalesce(F.col("d_delta_days") < min_days, F.lit(True))
+    return rows.groupBy("drug", "boot_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(short).alias("n_short"))
+
+
 def explode_strata(rows: DataFrame, predicates: dict[str, Column]) -> DataFrame:
     """A row goes into every stratum whose predicate holds."""
     names = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in predicates.items()]))

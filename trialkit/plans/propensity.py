@@ -77,8 +77,8 @@ def weighted_analysis(
     )
 
 
-# Cumulative Poisson(1) probabilities for counts 0..9.
-_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+# Cumulative Poisson(1) probabilities of 0..12 copies; the rest is less than the smallest step of a 32-bit draw.
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 
 def resample_counts(df: DataFrame, ident: Sequence[str], boots: range, seed: int = 0) -> DataFrame:

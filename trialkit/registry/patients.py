@@ -151,7 +151,7 @@ TRIALS_SQL = f"""
 
 
 @query("trial_assemble", f"""
-    WITH {TRIALS_SQL} SELECT drug, boot_id, ptid, index_date, rep, treatment, d_flag, d_delta_days FROM trials WHERE d_delta_days >= 0""", _OV)
+    WITH {TRIALS_SQL} SELECT drug, boot_id, ptid, index_date, rep, treatment, d_flag, d_delta_days FROM trials""", _OV)
 def trial_assemble(spark, d):
     therapy, treated, draws = _draws(spark, d)
     return outcomes.assemble_trials(treated, draws, cut(outcome_of(spark, d, therapy)), N_BOOT)
@@ -161,7 +161,7 @@ def trial_assemble(spark, d):
     WITH x AS (SELECT c.ptid, CASE c.gender WHEN 'Male' THEN 1 WHEN 'Female' THEN 0 END AS gender,
             2001 - CASE WHEN c.birth_yr = '1935 and Earlier' THEN 1935 ELSE CAST(c.birth_yr AS INTEGER) END AS age, o.total, o.f, o.p
         FROM clinical c JOIN (SELECT ptid, count(DISTINCT status) AS total, max(CASE WHEN status = 'F' THEN 1 ELSE 0 END) AS f,
-            max(CASE WHEN status = 'P' THEN 1 ELSE 0 END) AS p FROM ord WHERE priority = '1-URGENT' GROUP BY 1) o ON c.ptid = o.ptid)
+            max(CASE WHEN status = 'P' THEN 1 ELSE 0 END) AS p FROM ord GROUP BY 1) o ON c.ptid = o.ptid)
     SELECT ptid, 'gender_0' AS stratum FROM x WHERE gender = 0 UNION ALL SELECT ptid, 'gender_1' FROM x WHERE gender = 1
     UNION ALL SELECT ptid, 'age_less_65' FROM x WHERE age < 65 UNION ALL SELECT ptid, 'age_large_65' FROM x WHERE age >= 65
     UNION ALL SELECT ptid, 'meta_total_0' FROM x WHERE total = 0 UNION ALL SELECT ptid, 'meta_total_1' FROM x WHERE total = 1
@@ -171,7 +171,7 @@ def trial_subset_stratum(spark, d):
     from trialkit.functions.dates import age_at
     from trialkit.functions.recode import binary_flag
 
-    sites = v.orders(spark, d).where("priority = '1-URGENT'").groupBy("ptid").agg(
+    sites = v.orders(spark, d).groupBy("ptid").agg(
         F.count_distinct("status").alias("meta_total"), *[F.max((F.col("status") == s).cast("int")).alias(f"meta_{s}") for s in ("F", "P")]
     )
     rows = v.clinical(spark, d).join(sites, "ptid").select(
@@ -181,7 +181,7 @@ def trial_subset_stratum(spark, d):
     return outcomes.explode_strata(rows, outcomes.study_strata(("F", "P"))).select("ptid", "stratum")
 
 
-_SAE = "', '".join(["click", "error", "view"])
+_SAE = "', '".join(v.EVENT_TYPES)
 
 
 @query("outcome_adverse_event", f"""
@@ -195,4 +195,4 @@ _SAE = "', '".join(["click", "error", "view"])
 def outcome_adverse_event(spark, d):
     h = v.history(spark, d)
     last = h.groupBy("ptid").agg(F.max("date").alias("last_act_dt"))
-    return outcomes.first_event_after(v.index_rows(spark, d), h.where("name in ('click', 'error', 'view')"), ["click", "error", "view"], last, horizon=3)
+    return outcomes.first_event_after(v.index_rows(spark, d), h, v.EVENT_TYPES, last, horizon=3)

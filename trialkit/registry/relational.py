@@ -67,13 +67,13 @@ def join_inner_project(spark, d):
 
 
 @query("join_full_outer_using", """
-    WITH a AS (SELECT p_brand || ' ' || p_name AS drug, min(p_partkey) AS ndc FROM part WHERE p_size < 20 GROUP BY 1),
-         b AS (SELECT p_brand || ' ' || p_name AS drug, max(p_retailprice) AS price FROM part WHERE p_size > 30 GROUP BY 1)
+    WITH a AS (SELECT p_brand || ' ' || p_name AS drug, min(p_partkey) AS ndc FROM part WHERE p_size <= 25 GROUP BY 1),
+         b AS (SELECT p_brand || ' ' || p_name AS drug, max(p_retailprice) AS price FROM part WHERE p_size > 25 GROUP BY 1)
     SELECT DISTINCT drug, ndc, price FROM a FULL OUTER JOIN b USING (drug)""")
 def join_full_outer_using(spark, d):
     p = v.table(spark, d, "part", "p_partkey", "p_brand", "p_name", "p_size", "p_retailprice").withColumn("drug", F.concat_ws(" ", "p_brand", "p_name"))
-    a = p.where("p_size < 20").groupBy("drug").agg(F.min("p_partkey").alias("ndc"))
-    b = p.where("p_size > 30").groupBy("drug").agg(F.max("p_retailprice").alias("price"))
+    a = p.where("p_size <= 25").groupBy("drug").agg(F.min("p_partkey").alias("ndc"))
+    b = p.where("p_size > 25").groupBy("drug").agg(F.max("p_retailprice").alias("price"))
     return a.join(b, on="drug", how="outer").dropDuplicates()
 
 
@@ -110,7 +110,7 @@ def join_fill_missing_ids(spark, d):
     WITH base AS (SELECT i.ptid, i.index_date, r.rep FROM index_rows i, (SELECT unnest([0, 1]) AS rep) r)
     SELECT b.ptid, b.index_date, b.rep, c.clicks, e.errors FROM base b
     LEFT JOIN (SELECT ptid, count(*) AS clicks FROM history WHERE name = 'click' GROUP BY ptid) c ON b.ptid = c.ptid
-    LEFT JOIN (SELECT ptid, count(*) AS errors FROM history WHERE name = 'error' AND value > 10 GROUP BY ptid) e ON b.ptid = e.ptid""",
+    LEFT JOIN (SELECT ptid, count(*) AS errors FROM history WHERE name = 'error' GROUP BY ptid) e ON b.ptid = e.ptid""",
     ["index_rows", "history"])
 def join_left_multi(spark, d):
     base = v.index_rows(spark, d)
@@ -120,7 +120,7 @@ def join_left_multi(spark, d):
     def counted(rows, name):
         return base.join(rows, "ptid").groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
-    blocks = [counted(h.where("name = 'click'"), "clicks"), counted(h.where("name = 'error' and value > 10"), "errors")]
+    blocks = [counted(h.where("name = 'click'"), "clicks"), counted(h.where("name = 'error'"), "errors")]
     return joins.left_all(base.withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1)))), blocks, keys)
 
 
@@ -202,9 +202,9 @@ def agg_unique_values(spark, d):
 
 
 @query("agg_nonempty_members", """
-    SELECT name AS sae_class, count(DISTINCT ptid) AS n_patients FROM history WHERE value > 40 GROUP BY name HAVING count(DISTINCT ptid) > 10""", ["history"])
+    SELECT name AS sae_class, count(DISTINCT ptid) AS n_patients FROM history GROUP BY name HAVING count(DISTINCT ptid) > 10""", ["history"])
 def agg_nonempty_members(spark, d):
-    h = v.history(spark, d).where("value > 40").select(F.col("name").alias("sae_class"), "ptid")
+    h = v.history(spark, d).select(F.col("name").alias("sae_class"), "ptid")
     return h.groupBy("sae_class").agg(F.count_distinct("ptid").alias("n_patients")).where("n_patients > 10")
 
 
@@ -345,12 +345,12 @@ def union_all_sources(spark, d):
     return union_records([("pres", pres), ("adm", adm)])
 
 
-_BRANDS = "SELECT p_brand, p_name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_linestatus = '{}' AND l_quantity > 48"
+_BRANDS = "SELECT p_brand, p_name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_linestatus = '{}'"
 
 
 @query("intersect_lists", f"SELECT DISTINCT p_brand, p_name FROM ({_BRANDS.format('O')}) INTERSECT SELECT p_brand, p_name FROM ({_BRANDS.format('F')})")
 def intersect_lists(spark, d):
-    lines = v.table(spark, d, "lineitem", "l_partkey", "l_linestatus", "l_quantity").where("l_quantity > 48").join(
+    lines = v.table(spark, d, "lineitem", "l_partkey", "l_linestatus").join(
         v.table(spark, d, "part", "p_partkey", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey")
     )
     run = lambda status: lines.where(F.col("l_linestatus") == status).select("p_brand", "p_name")

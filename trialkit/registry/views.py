@@ -14,7 +14,6 @@ from trialkit.sources.tables import read_parquet
 CLASS_A, CLASS_B = "ring|gear$", "bolt|widget"
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 LOOKBACK_DAYS = 7
-FIRST_INDEX_DAY = "2024-01-08"
 
 
 def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
@@ -123,7 +122,7 @@ def index_rows(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "events", "ts", "user_id", "event_type")
     first = F.min(day("ts")).alias("index_date")
     return (
-        h.where((F.col("event_type") == "purchase") & (day("ts") >= F.lit(FIRST_INDEX_DAY).cast("date")))
+        h.where("event_type = 'purchase'")
         .groupBy(F.col("user_id").alias("ptid")).agg(first)
     )
 
@@ -228,9 +227,9 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id AS ptid, event_type AS name, CAST(ts AS DATE) AS date, value, event_id,
                CASE WHEN event_id % 13 = 0 THEN 'n/a' WHEN event_id % 17 = 0 THEN '5d'
                     ELSE json_extract_string(props, '$.k') END AS result FROM events"""),
-    "index_rows": ((), f"""
+    "index_rows": ((), """
         SELECT user_id AS ptid, min(CAST(ts AS DATE)) AS index_date FROM events
-        WHERE event_type = 'purchase' AND CAST(ts AS DATE) >= DATE '{FIRST_INDEX_DAY}' GROUP BY user_id"""),
+        WHERE event_type = 'purchase' GROUP BY user_id"""),
     "cust_trial": (("ord",), f"""
         SELECT CAST(c_nationkey % 5 AS INTEGER) AS trial, c_custkey AS id,
                CAST({h32('c_custkey', "'arm'")} % 100 < CASE WHEN c_acctbal > 4500 THEN 45 ELSE 25 END AS INTEGER) AS treatment,
