@@ -24,11 +24,15 @@ def _match(event_date: str, anchors: DataFrame, key: str, condition, events: Dat
     return joined.select("e.*", *[F.col(f"a.{c}") for c in extra])
 
 
-def of_patients(events: DataFrame, ids: DataFrame, key: str = "ptid") -> DataFrame:
-    """Events of the listed ids only. A list that is small when counted is broadcast, so long histories of
-    everybody else are dropped where they are read."""
+def patient_list(ids: DataFrame, key: str = "ptid") -> DataFrame:
+    """The distinct ids, made once; broadcast wherever it is joined if it is small when counted."""
     listed = cut(ids.select(key).distinct())
-    return events.join(broadcast_if_small(listed, listed.count(), 64), key, "left_semi")
+    return broadcast_if_small(listed, listed.count(), 64)
+
+
+def of_patients(events: DataFrame, ids: DataFrame, key: str = "ptid") -> DataFrame:
+    """Events of the listed ids only, so long histories of everybody else are dropped where they are read."""
+    return events.join(patient_list(ids, key), key, "left_semi")
 
 
 def with_cohort(events: DataFrame, cohort: DataFrame, key: str = "ptid") -> DataFrame:

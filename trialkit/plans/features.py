@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trialkit.functions.dates import age_at
 from trialkit.functions.recode import binary_flag, is_value
 from trialkit.functions.text import parse_number
-from trialkit.operators.joins import left_all, of_patients
+from trialkit.operators.joins import left_all, patient_list
 
 KEY = ["ptid", "index_date"]
 
@@ -114,8 +114,9 @@ def baseline(
     diagnoses: Sequence[str] = (), days: int = 365, race_one: str = "Caucasian",
 ) -> DataFrame:
     """The six covariate blocks side by side, one row per (ptid, index_date)."""
+    listed = patient_list(keys)
     site_events, vital_events, lab_events, drug_events, diagnosis_events = (
-        of_patients(e, keys) for e in (site_events, vital_events, lab_events, drug_events, diagnosis_events)
+        e.join(listed, "ptid", "left_semi") for e in (site_events, vital_events, lab_events, drug_events, diagnosis_events)
     )
     blocks = [
         sites_before(site_events, keys, sites, "meta_"),

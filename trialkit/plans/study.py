@@ -42,8 +42,9 @@ def build_trials(
     trials = cut(outcomes.assemble_trials(treated, draws, outcome, n_boot))
     wide = covariates_at(features.index_keys(trials))
     names = [c for c in wide.columns if c not in features.KEY]
-    # one number per row of a trial: treated rows by patient, drawn controls by slot
-    ident = F.when(F.col("treatment") == 1, -F.col("ptid") - 1).otherwise(F.col("rep"))
+    # one number per row of a trial: treated rows by patient (ids may be text), drawn controls by slot
+    patient = -F.shiftrightunsigned(F.xxhash64(F.col("ptid").cast("string")), 1) - 1
+    ident = F.when(F.col("treatment") == 1, patient).otherwise(F.col("rep"))
     rows = trials.join(wide, features.KEY, "left").withColumn("id", ident.cast("long"))
     return Trials(rows, treated, outcome, names)
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialkit.operators.joins import left_all, of_patients
 from trialkit.plans import features, outcomes, synthesis
+from trialkit.plans.cohort import gap_or_null
 from trialkit.plans.study import build_trials, class_estimates, estimate_trials, stratum_estimates
 from trialkit.registry import views as v
 from trialkit.registry.base import query
 from trialkit.registry.patients import outcome_of
 from trialkit.session import cut
 
-N_BOOT = 12
+N_BOOT = 100
 N_RESAMPLES = 1000
+MIN_TREATED = 20
+PRIOR_DAYS = 60
 PRIORITIES = ["1-URGENT", "2-HIGH", "5-LOW"]
 SITES = ["F", "P"]
 
@@ -25,26 +27,25 @@ def _order_events(spark, d):
 def _covariates(spark, d):
     clinical, events = v.clinical(spark, d), _order_events(spark, d)
     sites = v.orders(spark, d).select("ptid", F.col("status").alias("name"), F.col("order_day").alias("date"))
+    labs = events.select("ptid", "name", "date", F.col("value").cast("string").alias("result"))
 
     def at(keys):
-        keys = cut(keys)
-        blocks = [
-            features.sites_before(of_patients(sites, keys), keys, SITES, "meta_"),
-            features.window_mean(of_patients(events, keys), keys, PRIORITIES, "vital_"),
-            features.window_any(of_patients(events, keys), keys, PRIORITIES, "med_"),
-        ]
-        wide = left_all(features.demographics(clinical, keys), blocks, features.KEY)
+        wide = features.baseline(
+            cut(keys), clinical, sites, events, labs, events, sites, sites=SITES, vitals=PRIORITIES, labs=PRIORITIES, drugs=PRIORITIES, diagnoses=SITES,
+        )
         return wide.select(*[F.col(f"`{c}`").alias(c.replace("-", "_")) for c in wide.columns])
 
     return at
 
 
-def trials(spark, d, n_boot=N_BOOT, min_treated=100):
-    therapy = cut(v.therapy(spark, d))
+def trials(spark, d, n_boot=N_BOOT, min_treated=MIN_TREATED):
+    """All trials; patients with another event shortly before their diagnosis are left out first."""
+    clear = v.cohort(spark, d).where(gap_or_null(F.col("prior_date"), F.col("dx_date"), PRIOR_DAYS)).select("ptid")
+    therapy = cut(v.therapy(spark, d).join(clear, "ptid", "left_semi"))
     return build_trials(therapy, v.records(spark, d), outcome_of(spark, d, therapy), _covariates(spark, d), n_boot=n_boot, min_treated=min_treated)
 
 
-def summary(spark, d, n_boot=N_BOOT, min_treated=100, n_resamples=N_RESAMPLES):
+def summary(spark, d, n_boot=N_BOOT, min_treated=MIN_TREATED, n_resamples=N_RESAMPLES):
     built = trials(spark, d, n_boot, min_treated)
     estimates = cut(estimate_trials(built.rows, built.covariates)[0])
     counts = built.treated.groupBy("drug").agg(F.count(F.lit(1)).alias("num_treated"))
