@@ -268,10 +268,10 @@ def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
     return packed.repartition(tasks, "bucket").mapInArrow(run, schema)
 
 
-def _near(pairs: DataFrame, classes: DataFrame, law: Similarity) -> DataFrame:
-    """Pairs of classes (a, b) whose sizes and parity sketches allow a link; the sides of the input are the 64-bit texts ids."""
-    left = classes.select(F.col("one").alias("a"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-    right = classes.select(F.col("one").alias("b"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+def _near(pairs: DataFrame, classes: DataFrame, law: Similarity, by: str) -> DataFrame:
+    """Pairs of classes (a, b) whose sizes and parity sketches allow a link; the sides of the input are values of the column `by`."""
+    left = classes.select(F.col(by).alias("a"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+    right = classes.select(F.col(by).alias("b"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
     wide = pairs.join(left, "a").join(right, "b").select("x", "y", "nx", "ny", "sx", "sy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,9 +321,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
 def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Similarity) -> DataFrame:
     """Pairs worth verifying among the texts of much-shared keys that the links found so far leave in different components.
 
-    The texts of such a key are dealt into blocks of a bounded number of rows; each pair of blocks is one group, compared by size and sketch.
+    The texts of a key that a few hundred share are paired across components. Larger groups are dealt into blocks of a bounded number of rows;
+    each pair of blocks is one group. All pairs are held against sizes and sketches.
     """
 
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for one in batch.column(0):
+                cid, label = one.values.field(0).to_numpy(), one.values.field(1).to_numpy()
+                x, y = np.nonzero(np.triu(label[:, None] != label[None, :], 1))
+                found.append(np.stack([np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            for lo in range(0, len(pairs), 100_000):
+                some = pairs[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["a", "b"])
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(0):
@@ -334,6 +347,12 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
     rows = members.mapInArrow(unpack, "gid long, one long").distinct().join(classes.select("one", "cid"), "one")
     rows = cut(rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label")))
     open_groups = rows.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    open_groups = cut(open_groups.select("gid", "size"))
+    small = rows.join(open_groups.filter(F.col("size") <= COMPARE_BLOCK).select("gid"), "gid").groupBy("gid").agg(F.collect_list(F.struct("cid", "label")).alias("own"))
+    paired = _near(small.select("own").mapInArrow(across, "a long, b long").distinct(), classes, law, "cid")
+    if not open_groups.filter(F.col("size") > COMPARE_BLOCK).limit(1).count():
+        return paired
+    open_groups = open_groups.filter(F.col("size") > COMPARE_BLOCK)
     blocks = F.ceil(F.col("size") / COMPARE_BLOCK)
     dealt = rows.join(open_groups.select("gid", blocks.alias("blocks")), "gid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -355,7 +374,7 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
                     out += [(min(cid, y), max(cid, y)) for y in ids[ok][near].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return sides.groupBy("gid", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    return paired.union(sides.groupBy("gid", "lo", "hi").applyInPandas(compare, "a long, b long")).distinct()
 
 
 def near_duplicates(
@@ -381,7 +400,7 @@ def near_duplicates(
     bits = max(6, int(total // KEYS_PER_BUCKET).bit_length())
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // KEYS_PER_TASK))
     met = cut(_meet(_emit_keys(docs, text, shingle, codes, law, bits, common), tasks, bits, small))
-    near = cut(_near(met.filter("members IS NULL").select("a", "b").distinct(), classes, law))
+    near = cut(_near(met.filter("members IS NULL").select("a", "b").distinct(), classes, law, "one"))
     links = cut(_verified(near, classes, docs, key, text, shingle, codes, law))
     labels = components(links)
     more = cut(_apart(met.filter("members IS NOT NULL").select("members"), classes, labels, law))
