@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from trialkit.operators import ranks
 from trialkit.operators.ranks import dense_positions, exact_percentiles, keep_first, ordered_chunks, running
 from trialkit.functions.hashing import hash32
 
@@ -21,14 +22,21 @@ def test_percentiles_match_linear_interpolation(spark):
         assert np.allclose(got.loc[g, ["p1", "p50", "p90", "top"]].to_numpy(float), np.quantile(part["v"], [0.01, 0.5, 0.9, 1.0]))
 
 
-def test_percentiles_do_not_depend_on_the_bracket(spark):
+def test_percentiles_do_not_depend_on_the_bins(spark, monkeypatch):
     pdf, df = frame(spark)
-    # very tight brackets and very wide ones give the same exact values
-    got = exact_percentiles(df, ["g"], "id", [0.33, 0.5], ["a", "b"], accuracy=10_000_000).toPandas().set_index("g")
-    rough = exact_percentiles(df, ["g"], "id", [0.33, 0.5], ["a", "b"], accuracy=3).toPandas().set_index("g")
-    for g, part in pdf.groupby("g"):
-        want = np.quantile(part["id"], [0.33, 0.5])
-        assert np.allclose(got.loc[g].to_numpy(float), want) and np.allclose(rough.loc[g].to_numpy(float), want)
+    for bins in (2, 5000):
+        monkeypatch.setattr(ranks, "BINS", bins)
+        got = exact_percentiles(df, ["g"], "id", [0.33, 0.5], ["a", "b"]).toPandas().set_index("g")
+        for g, part in pdf.groupby("g"):
+            assert np.allclose(got.loc[g].to_numpy(float), np.quantile(part["id"], [0.33, 0.5]))
+
+
+def test_percentiles_of_extreme_values(spark):
+    values = [float("-inf"), -1.7e308, -1.0, -1e-308, 0.0, 5e-324, 1e-300, 2.0, 1.7e308, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = [i / 10 for i in range(11)]
+    got = exact_percentiles(df, [], "v", probs, [f"p{i}" for i in range(11)]).first()
+    assert list(got) == sorted(values)
 
 
 def test_percentiles_skip_nulls_and_work_without_keys(spark):

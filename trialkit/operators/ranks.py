@@ -111,13 +111,16 @@ def running(
     return joined.drop(*[f"_p_{n}" for n in [*sums, *maxes]])
 
 
+BINS = 4096
+
+
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], accuracy: int = 1000
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, per group, for groups of any size.
 
-    Approximate percentiles on either side bracket each wanted rank. Equal values collapse map-side; values
-    below a bracket are only counted, and the few inside are sorted. Should a bracket miss its rank, it is widened.
+    Equal values collapse map-side. Each wanted rank has a range of values that holds it; a pass counts the range in a fixed
+    number of bins and keeps the bin with the rank, until that is a single value. So no task sorts more than the bins of a rank.
     """
     keys = list(keys)
     key_cols = [F.lit(1).alias("_all")] if not keys else [F.col(k) for k in keys]
@@ -126,48 +129,40 @@ def exact_percentiles(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
     counted = reuse(rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    for margin in (5 / accuracy, 50 / accuracy, 1.0):
-        found = cut(_bracketed(rows, counted, by, probs, names, margin, accuracy))
-        if margin == 1.0 or found.where(" or ".join(f"`{n}` is null" for n in names)).isEmpty():
-            break
-    counted.unpersist()
-    return found.select(*keys, *names)
-
-
-def _bracketed(
-    rows: DataFrame, counted: DataFrame, by: list[str], probs: Sequence[float], names: Sequence[str], margin: float, accuracy: int
-) -> DataFrame:
-    edges = F.array(*[F.lit(min(max(q, 0.0), 1.0)) for p in probs for q in (p - margin, p + margin)])
-    stats = rows.groupBy(*by).agg(
-        F.percentile_approx("_v", edges, F.lit(accuracy)).alias("_edges"), F.count(F.lit(1)).alias("_total")
+    ranges = counted.groupBy(*by).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+    wanted = [F.struct(F.lit(2 * i + j).alias("i"), (F.floor(t) if j == 0 else F.least(F.floor(t) + 1, F.col("_total") - 1)).alias("rank")) for i, t in enumerate(at) for j in (0, 1)]
+    state = cut(
+        ranges.withColumn("_w", F.explode(F.array(*wanted)))
+        .select(*by, "_total", "_low", "_high", F.col("_w.i").alias("_i"), F.col("_w.rank").alias("_rank"), F.lit(0).cast("long").alias("_below"))
     )
-    stats = cut(stats)
-    joined = counted.join(broadcast_if_small(stats, stats.count(), 16 * len(probs) + 200), by)
-    lows = [F.lit(float("-inf")) if p - margin <= 0 else F.col("_edges")[2 * i] for i, p in enumerate(probs)]
-    highs = [F.lit(float("inf")) if p + margin >= 1 else F.col("_edges")[2 * i + 1] for i, p in enumerate(probs)]
-    v = F.col("_v")
-    below = joined.groupBy(*by, "_total").agg(
-        *[F.coalesce(F.sum(F.when(v < low, F.col("_n"))), F.lit(0)).alias(f"_below{i}") for i, low in enumerate(lows)]
-    )
-    inside = F.array_compact(
-        F.array(*[F.when((v >= low) & (v <= high), F.lit(i)) for i, (low, high) in enumerate(zip(lows, highs))])
+    groups = state.count()
+    while not state.where("_low < _high").isEmpty():
+        state = cut(_narrowed(counted, state, by, groups))
+    counted.unpersist()
+    picked = state.groupBy(*by, "_total").agg(*[F.max(F.when(F.col("_i") == i, F.col("_low"))).alias(f"_x{i}") for i in range(2 * len(probs))])
+    low, high = [F.col(f"_x{2 * i}") for i in range(len(probs))], [F.col(f"_x{2 * i + 1}") for i in range(len(probs))]
+    return picked.select(
+        *keys, *[F.when((h == lo) | (t == F.floor(t)), lo).otherwise(lo + (h - lo) * (t - F.floor(t))).alias(n) for lo, h, t, n in zip(low, high, at, names)]
     )
-    local = Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(*_UP_TO_HERE)
-    sorted_in = joined.select(*by, "_v", "_n", F.explode(inside).alias("_i")).withColumn("_end", F.sum("_n").over(local))
-    wanted, targets = sorted_in.join(below, by), [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
 
-    def value_at(i: int, rank: Column) -> Column:
-        end = F.col(f"_below{i}") + F.col("_end")
-        return F.max(F.when((F.col("_i") == i) & (rank >= end - F.col("_n")) & (rank < end), v))
 
-    picked = wanted.groupBy(*by, "_total").agg(
-        *[value_at(i, F.floor(t)).alias(f"_lo{i}") for i, t in enumerate(targets)],
-        *[value_at(i, F.least(F.floor(t) + 1, F.col("_total") - 1)).alias(f"_hi{i}") for i, t in enumerate(targets)],
-    )
-    return picked.select(
-        *by,
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (t - F.floor(t))).alias(n)
-            for i, (t, n) in enumerate(zip(targets, names))
-        ],
+def _narrowed(counted: DataFrame, state: DataFrame, by: list[str], groups: int) -> DataFrame:
+    """The ranges that still hold several values, cut down to the bin with the wanted rank."""
+    open_, v, low, high = state.where("_low < _high"), F.col("_v"), F.col("_low"), F.col("_high")
+    wide = (high - low) == float("inf")  # differences beyond the largest double are taken of halves
+    share = F.when(wide, (v / 2 - low / 2) / (high / 2 - low / 2)).otherwise((v - low) / (high - low))
+    infinite = (F.abs(low) == float("inf")) | (F.abs(high) == float("inf"))
+    bins = F.when(v == float("-inf"), F.lit(-1)).when(v == float("inf"), F.lit(BINS + 1)).when(
+        infinite, F.floor(F.lit(BINS / 2) + F.signum(v) * F.log2(1 + F.abs(v)))
+    ).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+    inside = counted.join(broadcast_if_small(open_, groups, 96), by).where((v >= low) & (v <= high))
+    binned = inside.groupBy(*by, "_i", "_rank", "_total", "_below", bins.alias("_bin")).agg(
+        F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
     )
+    upto = Window.partitionBy(*by, "_i").orderBy("_bin").rowsBetween(*_UP_TO_HERE)  # at most BINS + 2 rows
+    ended = binned.withColumn("_end", F.col("_below") + F.sum("_n").over(upto))
+    hit = ended.where((F.col("_rank") >= F.col("_end") - F.col("_n")) & (F.col("_rank") < F.col("_end")))
+    columns = [*by, "_total", "_low", "_high", "_i", "_rank", "_below"]
+    found = hit.withColumn("_below", F.col("_end") - F.col("_n")).select(*columns)
+    return state.where("_low >= _high").select(*columns).unionByName(found)
