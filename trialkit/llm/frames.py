@@ -26,10 +26,11 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def map_texts(
     docs: DataFrame, fields: T.StructType, make: Callable[[], TextFunction], out: str, text: str = "text", keep_text: bool = True,
+    limit: int = words.SLICE_BYTES,
 ) -> DataFrame:
     """Add the struct column `out`. `make` runs once in each task and returns the function that works on slices of documents.
 
-    Documents go through in slices of a few MB (or one document), so a batch with very long texts does not fill memory.
+    Documents go through in slices of about 1 MB (`limit` bytes, or one document), so a batch with very long texts does not fill memory.
     """
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has a column {out}; choose another name for the result")
@@ -41,7 +42,7 @@ def map_texts(
         fn = make()
         for batch in batches:
             data, at = words.buffers(batch.column(batch.schema.get_field_index(text)))
-            for i, j in words.slices(at):
+            for i, j in words.slices(at, limit):
                 got = fn(data, at[i : j + 1])
                 parts = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in struct]
                 made = pa.StructArray.from_arrays(parts, fields=list(struct))

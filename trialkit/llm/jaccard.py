@@ -37,6 +37,7 @@ KEYS_PER_BUCKET = 250_000
 KEYS_PER_TASK = 2_000_000
 FLUSH_KEYS = 1_500_000
 COMMON_LIMIT = 1_000_000
+COMMON_SLICE = 4 << 20
 _SPREAD = 1.6
 _LEAST_WORDS = 32
 _U = np.uint64
@@ -97,8 +98,8 @@ def identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """One bit for each residue of the hashes, set if an odd number of shingles has it; about two bits for each shingle."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    """One bit for each residue of the hashes, set if an odd number of shingles has it; one to two bits for each shingle."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
     return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -321,22 +322,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
 def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Similarity) -> DataFrame:
     """Pairs worth verifying among the texts of much-shared keys that the links found so far leave in different components.
 
-    The texts of a key that a few hundred share are paired across components. Larger groups are dealt into blocks of a bounded number of rows;
-    each pair of blocks is one group. All pairs are held against sizes and sketches.
+    Keys with the same most frequent component are put together, as copies of one text share many keys; so a pair is met once and not for
+    every key. In such a group the texts of other components are held against all by size and sketch. Groups beyond a few hundred texts
+    are dealt into blocks of a bounded number of rows.
     """
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
-            for one in batch.column(0):
-                cid, label = one.values.field(0).to_numpy(), one.values.field(1).to_numpy()
-                x, y = np.nonzero(np.triu(label[:, None] != label[None, :], 1))
-                found.append(np.stack([np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            for lo in range(0, len(pairs), 100_000):
-                some = pairs[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], names=["a", "b"])
-
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(0):
@@ -344,37 +334,52 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
                 gid = words.mix(np.array([words.mix(own.view(np.uint64) + _salt(29)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), gid)), pa.array(own)], names=["gid", "one"])
 
-    rows = members.mapInArrow(unpack, "gid long, one long").distinct().join(classes.select("one", "cid"), "one")
-    rows = cut(rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label")))
-    open_groups = rows.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-    open_groups = cut(open_groups.select("gid", "size"))
-    small = rows.join(open_groups.filter(F.col("size") <= COMPARE_BLOCK).select("gid"), "gid").groupBy("gid").agg(F.collect_list(F.struct("cid", "label")).alias("own"))
-    paired = _near(small.select("own").mapInArrow(across, "a long, b long").distinct(), classes, law, "cid")
-    if not open_groups.filter(F.col("size") > COMPARE_BLOCK).limit(1).count():
-        return paired
-    open_groups = open_groups.filter(F.col("size") > COMPARE_BLOCK)
-    blocks = F.ceil(F.col("size") / COMPARE_BLOCK)
-    dealt = rows.join(open_groups.select("gid", blocks.alias("blocks")), "gid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sides = dealt.join(classes.select("cid", "n", "sketch"), "cid").select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "label", "n", "sketch")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        first, second = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
-        kinds = {w: g for w, g in second.groupby(second["sketch"].str.len())}
-        stacked = {w: np.stack([np.frombuffer(x, np.uint64) for x in g["sketch"]]) for w, g in kinds.items()}
-        out = []
-        for cid, label, n, sketch in zip(first["cid"], first["label"], first["n"], first["sketch"], strict=True):
+    def pairs_of(left: tuple, right: tuple) -> np.ndarray:
+        """Pairs of two lists of (cid, label, n, sketch) that differ in the label and may be linked."""
+        ids, label, n, sketches = right
+        by_width: dict[int, list[int]] = {}
+        for i, x in enumerate(sketches):
+            by_width.setdefault(len(x), []).append(i)
+        stacked = [(np.array(at), np.stack([np.frombuffer(sketches[i], np.uint64) for i in at])) for at in by_width.values()]
+        out = [np.zeros((0, 2), np.int64)]
+        for x, own_label, m, sketch in zip(*left, strict=True):
             own = np.frombuffer(sketch, np.uint64)
-            for w, g in kinds.items():
-                m, ids = g["n"].to_numpy(), g["cid"].to_numpy()
-                ok = (g["label"].to_numpy() != label) & (np.maximum(m, n) <= law.largest(np.minimum(m, n))) & ((ids > cid) if lo == hi else (ids != cid))
+            for at, wide in stacked:
+                ok = (label[at] != own_label) & (np.maximum(n[at], m) <= law.largest(np.minimum(n[at], m)))
                 if ok.any():
-                    near = distance(own, stacked[w][ok]) <= law.difference(n, m[ok])
-                    out += [(min(cid, y), max(cid, y)) for y in ids[ok][near].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                    near = at[ok][distance(own, wide[ok]) <= law.difference(m, n[at[ok]])]
+                    out.append(np.stack([np.minimum(ids[near], x), np.maximum(ids[near], x)], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
 
-    return paired.union(sides.groupBy("gid", "lo", "hi").applyInPandas(compare, "a long, b long")).distinct()
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lead, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = (*[one.values.field(i).to_numpy() for i in range(3)], one.values.field(3).to_pylist())
+                other = np.flatnonzero(rows[1] != lead)
+                pairs = pairs_of((*[r[other] for r in rows[:3]], [rows[3][i] for i in other.tolist()]), rows)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [tuple(own[c].to_numpy() for c in ("cid", "label", "n")) + (own["sketch"].tolist(),) for own in (pdf[pdf["side"] == 1], pdf[pdf["side"] == 0])]
+        return pd.DataFrame(pairs_of(*sides), columns=["a", "b"])
+
+    rows = members.mapInArrow(unpack, "gid long, one long").distinct().join(classes.select("one", "cid"), "one")
+    rows = cut(rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label")))
+    counted = rows.groupBy("gid", "label").count().groupBy("gid").agg(F.max_by("label", F.struct("count", "label")).alias("lead"), F.count(F.lit(1)).alias("labels"))
+    groups = cut(rows.join(counted.filter("labels > 1").select("gid", "lead"), "gid").select("lead", "cid", "label").distinct())
+    sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("label") != F.col("lead")).alias("others")))
+    full = groups.join(classes.select("cid", "n", "sketch"), "cid").join(sizes, "lead")
+    own = F.collect_list(F.struct("cid", "label", "n", "sketch")).alias("own")
+    pairs = full.filter(F.col("size") <= COMPARE_BLOCK).groupBy("lead").agg(own).mapInArrow(within, "a long, b long")
+    if sizes.filter(F.col("size") > COMPARE_BLOCK).limit(1).count():
+        large = full.filter(F.col("size") > COMPARE_BLOCK)
+        blocks, chunks = F.ceil(F.col("size") / COMPARE_BLOCK), F.ceil(F.col("others") / COMPARE_BLOCK)
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        block, chunk = F.pmod(F.xxhash64("cid"), blocks), F.pmod(F.xxhash64("cid", F.lit(1)), chunks)
+        every = large.withColumn("block", block).withColumn("chunk", upto(chunks)).withColumn("side", F.lit(0))
+        others = large.filter("label <> lead").withColumn("block", upto(blocks)).withColumn("chunk", chunk).withColumn("side", F.lit(1))
+        pairs = pairs.union(every.unionByName(others).groupBy("lead", "block", "chunk").applyInPandas(compare, "a long, b long"))
+    return pairs.filter("a <> b").distinct()
 
 
 def near_duplicates(
@@ -391,7 +396,7 @@ def near_duplicates(
     """
     law = Similarity(num, den)
     docs = docs.select(key, text)
-    signed = map_texts(docs, SIGNATURE, _signatures(shingle, codes), "__s", text, keep_text=False)
+    signed = map_texts(docs, SIGNATURE, _signatures(shingle, codes), "__s", text, keep_text=False, limit=COMMON_SLICE)
     signed = cut(signed.select(F.col(key), "__s.*"))
     common = _common(signed.filter("common IS NOT NULL").select("common"))
     grouped = signed.filter("n > 0").groupBy("one", "two").agg(F.min(key).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))

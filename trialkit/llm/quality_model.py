@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Additive, out: str = "quality", text: str = "t
     """Add the struct `out` with score, 0 to 1: higher, the likelier the label.
 
     A null text scores like an empty one, on features of zero. Equal texts have equal scores, so do repeated rows. Whole texts are read in slices of
-    a few MB. A model fitted on too few rows, or on one label only, gives every text the share of that label.
+    about 1 MB. A model fitted on too few rows, or on one label only, gives every text the share of that label.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -193,11 +193,11 @@ def _learn_lexicon(rows: DataFrame) -> Lexicon:
             for i, j in words.slices(at):
                 found = words.split(data, at[i : j + 1], words.ALNUM_LOWER, PREFIXES)
                 doc = found.doc
-                units = np.stack([np.concatenate(_units(found)), np.tile(doc, 1 + len(PREFIXES)).astype(np.uint64)], axis=1)
-                units = np.unique(units[units[:, 0] != 0], axis=0)
-                unit, own = units[:, 0].copy().view(np.int64), y[i:j][units[:, 1].astype(np.int64)]
-                order = np.argsort(unit, kind="stable")
-                unit, own = unit[order], own[order]
+                unit, doc = np.concatenate(_units(found)), np.tile(doc, 1 + len(PREFIXES))
+                _, once = np.unique(words.mix(unit + words.mix(doc.astype(np.uint64) + np.uint64(0x8CB92BA72F3D8DD7))), return_index=True)
+                once = once[unit[once] != 0]
+                once = once[np.argsort(unit[once], kind="stable")]
+                unit, own = unit[once].view(np.int64), y[i:j][doc[once]]
                 begin = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.zeros(0, np.int64)
                 toxic = np.add.reduceat(own, begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64)
                 size = np.diff(np.concatenate([begin, [len(unit)]]))
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model, out: str = "toxicity", text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add the struct `out` with score, 0 to 1: higher, the likelier the label.
 
-    A null text scores like an empty one. Equal texts have equal scores, so do repeated rows. Whole texts are read in slices of a few MB. A model
+    A null text scores like an empty one. Equal texts have equal scores, so do repeated rows. Whole texts are read in slices of about 1 MB. A model
     fitted on no rows, or on one label only, gives every text the same score.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

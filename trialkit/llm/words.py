@@ -15,7 +15,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(is_word, lower: bool) -> np.ndarray:
