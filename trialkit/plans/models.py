@@ -95,22 +95,23 @@ def logistic_coefficients(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, weight: str | None = None,
     l2: float = 1.0, steps: int = 25, tolerance: float = 1e-8,
 ) -> DataFrame:
-    """(_g, _beta): ridge logistic fit per trial, intercept first and not penalised."""
+    """(_g, _beta, _converged): ridge logistic fit per trial, intercept first and not penalised. `_converged` says whether the
+    last step moved no coefficient by more than 1e-4."""
     rows = reuse(_design(df, keys, features, label, weight))
     width = len(features) + 1
     step = _solver(np.array([0.0] + [l2] * len(features)))
     betas = cut(rows.select("_g").distinct().withColumn("_beta", F.array_repeat(F.lit(0.0), width)))
     groups = betas.count()
     for _ in range(steps):
-        near = rows.join(broadcast_if_small(betas, groups, 200 + 8 * width), "_g")
+        near = rows.join(broadcast_if_small(betas.select("_g", "_beta"), groups, 200 + 8 * width), "_g")
         p = 1 / (1 + F.exp(-_linear([f"x{i}" for i in range(1, width)], bounded=True)))
         moments = near.withColumn("_p", p).withColumns(
             {"_r": F.col("_w") * (F.col("_y") - F.col("_p")), "_h": F.col("_w") * F.col("_p") * (1 - F.col("_p"))}
         )
-        moved = betas.join(_cross_products(moments, width), "_g").withColumn("_next", step("_beta", "_sums"))
+        moved = betas.select("_g", "_beta").join(_cross_products(moments, width), "_g").withColumn("_next", step("_beta", "_sums"))
         shift = F.array_max(F.zip_with("_beta", "_next", lambda a, b: F.abs(a - b)))
         moved = cut(moved.select("_g", F.col("_next").alias("_beta"), shift.alias("_shift")))
-        betas = moved.drop("_shift")
+        betas = moved.select("_g", "_beta", (F.col("_shift") < 1e-4).alias("_converged"))
         if (moved.agg(F.max("_shift")).first()[0] or 0.0) < tolerance:
             break
     rows.unpersist()
@@ -130,7 +131,7 @@ def propensity_scores(
     """Add `ps` and `ps_logit` from a logistic fit per trial."""
     betas = logistic_coefficients(df, keys, features, treat, weight, l2)
     group = F.to_json(F.struct(*keys)) if keys else F.lit("all")
-    near = broadcast_if_small(betas, betas.count(), 200 + 8 * len(features))
+    near = broadcast_if_small(betas.select("_g", "_beta"), betas.count(), 200 + 8 * len(features))
     scored = df.withColumn("_g", group).join(near, "_g")
     p = 1 / (1 + F.exp(-_linear(features, bounded=True)))
     return scored.withColumn("ps", p).withColumn("ps_logit", logit(F.col("ps"))).drop("_g", "_beta")
@@ -153,14 +154,14 @@ def standardized_effect(
     the assumed arm, so the weight feature changes with the arm.
     """
     keys = list(keys)
-    scored = propensity_scores(df, keys, features, treat, weight)
+    scored = cut(propensity_scores(df, keys, features, treat, weight))  # feeds the fit and the prediction
     if_treated = 1 / F.greatest("ps", F.lit(1e-6))
     if_control = 1 / F.greatest(1 - F.col("ps"), F.lit(1e-6))
     modelled = scored.withColumn("_ipw", F.when(F.col(treat) == 1, if_treated).otherwise(if_control))
     inputs = [*features, treat, "_ipw"]
-    betas = linear_coefficients(modelled, keys, inputs, outcome, weight)
+    betas = cut(linear_coefficients(modelled, keys, inputs, outcome, weight))
     group = F.to_json(F.struct(*keys)) if keys else F.lit("all")
-    fitted = modelled.withColumn("_g", group).join(betas, "_g")
+    fitted = modelled.withColumn("_g", group).join(broadcast_if_small(betas, betas.count(), 200 + 8 * len(inputs)), "_g")
     beta, n = F.col("_beta"), len(features)
     base = _linear(features)
     w = F.lit(1.0) if weight is None else F.col(weight)

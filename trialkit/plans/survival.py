@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialkit.functions.normal import normal_quantile, two_sided_p
-from trialkit.session import cut
+from trialkit.session import broadcast_if_small, cut
 
 
 def life_table(
@@ -64,19 +64,20 @@ def _efron_terms(beta: float, n0, n1, d0, d1) -> tuple[float, float]:
     return score, information
 
 
-def _fit_arm(days, steps: int) -> tuple[float | None, float | None]:
+def _fit_arm(days, steps: int) -> tuple[float | None, float | None, bool]:
     table = np.array([(r["n0"], r["n1"], r["d0"], r["d1"]) for r in days], dtype=float).reshape(-1, 4)
     n0, n1, d0, d1 = table.T
-    beta = 0.0
+    beta, moved = 0.0, np.inf
     for _ in range(steps):
         score, information = _efron_terms(beta, n0, n1, d0, d1)
         if not information > 0:
-            return None, None
-        beta += score / information
+            return None, None, False
+        moved = score / information
+        beta += moved
         if not np.isfinite(beta) or abs(beta) > 30:
-            return None, None
+            return None, None, False
     _, information = _efron_terms(beta, n0, n1, d0, d1)
-    return (beta, 1 / np.sqrt(information)) if information > 0 else (None, None)
+    return (beta, 1 / np.sqrt(information), bool(abs(moved) < 1e-6)) if information > 0 else (None, None, False)
 
 
 def hazard_ratio(
@@ -84,13 +85,15 @@ def hazard_ratio(
 ) -> DataFrame:
     """Hazard ratio of treatment per trial with its interval: Efron ties, Newton steps from 0.
 
-    A trial without events, with one arm, or whose estimate runs away gives nulls.
+    A trial without events, with one arm, or whose estimate runs away gives nulls. `converged` says whether the last step was
+    below 1e-6.
     """
     keys = list(keys)
 
-    @F.pandas_udf("beta double, se double")
+    @F.pandas_udf("beta double, se double, converged boolean")
     def fit(tables: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_fit_arm(t, steps) for t in tables], columns=["beta", "se"], dtype="float64")
+        found = pd.DataFrame([_fit_arm(t, steps) for t in tables], columns=["beta", "se", "converged"])
+        return found.astype({"beta": "float64", "se": "float64", "converged": "bool"})
 
     deaths = life_table(df, keys, time, event, treat)
     row = F.struct("time", "n0", "n1", "d0", "d1")
@@ -102,7 +105,7 @@ def hazard_ratio(
     b, s = F.col("_f.beta"), F.col("_f.se")
     return tables.withColumn("_f", fit("_days")).select(
         *keys, "n_events", F.exp(b).alias("hr"), F.exp(b - z * s).alias("hr_low"), F.exp(b + z * s).alias("hr_high"),
-        b.alias("log_hr"), s.alias("se"),
+        b.alias("log_hr"), s.alias("se"), F.col("_f.converged").alias("converged"),
     )
 
 
@@ -160,7 +163,7 @@ def adjusted_hazard_ratios(
     df: DataFrame, keys: Sequence[str], time: str, event: str, covariates: Sequence[str], weight: str | None = None,
     penalizer: float = 0.1, alpha: float = 0.05, steps: int = 12, tolerance: float = 1e-7,
 ) -> DataFrame:
-    """Cox model with covariates per trial: (keys, covariate, coef, hr, robust_se, hr_low, hr_high, p).
+    """Cox model with covariates per trial: (keys, covariate, coef, hr, robust_se, hr_low, hr_high, p, converged).
 
     Covariates are standardized inside the fit, the ridge term is n * penalizer / 2 * |coef|^2, ties are
     Efron's, standard errors are the sandwich of score residuals. Each Newton step sums moments per
@@ -185,8 +188,12 @@ def adjusted_hazard_ratios(
     )
     betas = cut(
         rows.groupBy("_g").agg(F.first("_rows").alias("_rows"), F.array(*[F.first(f"_s{i}") for i in range(k)]).alias("_sd"))
-        .withColumn("_beta", F.array_repeat(F.lit(0.0), k))
+        .withColumns({"_beta": F.array_repeat(F.lit(0.0), k), "_shift": F.lit(float("inf"))})
     )
+    groups = betas.count()
+
+    def with_betas() -> DataFrame:
+        return rows.join(broadcast_if_small(betas.select("_g", "_beta"), groups, 200 + 8 * k), "_g")
 
     def risk_of(frame: DataFrame) -> DataFrame:
         eta = sum((F.col("_beta")[i] * F.col(f"x{i}") for i in range(1, k)), F.col("_beta")[0] * F.col("x0"))
@@ -244,7 +251,7 @@ def adjusted_hazard_ratios(
         return pd.Series(out)
 
     for _ in range(steps):
-        parts = score_and_information(day_moments(risk_of(rows.join(betas.select("_g", "_beta"), "_g"))))
+        parts = score_and_information(day_moments(risk_of(with_betas())))
         moved = betas.join(parts, "_g").withColumn("_next", newton("_beta", "_grad", "_info", "_rows"))
         moved = cut(
             moved.select(
@@ -252,12 +259,12 @@ def adjusted_hazard_ratios(
                 F.array_max(F.zip_with("_beta", "_next", lambda a, b: F.abs(a - b))).alias("_shift"), "_info",
             )
         )
-        betas = moved.drop("_shift", "_info")
+        betas = moved.drop("_info")
         if (moved.agg(F.max("_shift")).first()[0] or 0.0) < tolerance:
             break
 
     # score residual of a row: own death term minus its share of all earlier risk sets
-    risky = risk_of(rows.join(betas.select("_g", "_beta"), "_g"))
+    risky = risk_of(with_betas())
     days = day_moments(risky)
     upto = Window.partitionBy("_g").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     hazard = days.select(
@@ -265,7 +272,8 @@ def adjusted_hazard_ratios(
         F.sum(F.col("dw") / F.col("s")).over(upto).alias("_a"),
         *[F.sum(F.col("dw") * F.col(f"s_{i}") / (F.col("s") * F.col("s"))).over(upto).alias(f"_b{i}") for i in range(k)],
     )
-    resid = risky.join(hazard, ["_g", "_t"])
+    hazard = cut(hazard)
+    resid = risky.join(broadcast_if_small(hazard, hazard.count(), 64 + 16 * (2 * k + 2)), ["_g", "_t"])
     u = [
         F.col("_d") * F.col("_w") * (F.col(f"x{i}") - F.col(f"_e{i}")) - F.col("_r") * (F.col(f"x{i}") * F.col("_a") - F.col(f"_b{i}"))
         for i in range(k)
@@ -294,12 +302,12 @@ def adjusted_hazard_ratios(
         )
     )
     z = normal_quantile(1 - alpha / 2)
-    groups = df.select(*keys, group.alias("_g")).distinct()
-    return groups.join(fitted.select("_g", named.alias("_c")), "_g").select(
+    names = df.select(*keys, group.alias("_g")).distinct()
+    return names.join(fitted.select("_g", (F.col("_shift") < 1e-4).alias("converged"), named.alias("_c")), "_g").select(
         *keys, "_c.covariate", "_c.coef", F.exp("_c.coef").alias("hr"), "_c.robust_se",
         F.exp(F.col("_c.coef") - z * F.col("_c.robust_se")).alias("hr_low"),
         F.exp(F.col("_c.coef") + z * F.col("_c.robust_se")).alias("hr_high"),
-        two_sided_p(F.col("_c.coef") / F.col("_c.robust_se")).alias("p"),
+        two_sided_p(F.col("_c.coef") / F.col("_c.robust_se")).alias("p"), "converged",
     )
 
 

@@ -258,7 +258,7 @@ _Z = normal_quantile(0.975)
     WITH {_cox_sql(10)} SELECT trial, n_events, round(exp(beta), 6) AS hr, round(exp(beta - {_Z} * se), 6) AS hr_low,
            round(exp(beta + {_Z} * se), 6) AS hr_high FROM cox""", ["cust_trial"])
 def cox_hr_binary(spark, d):
-    return _r(survival.hazard_ratio(_trial(spark, d), ["trial"], "days", "flag").drop("log_hr", "se"), "hr", "hr_low", "hr_high")
+    return _r(survival.hazard_ratio(_trial(spark, d), ["trial"], "days", "flag").drop("log_hr", "se", "converged"), "hr", "hr_low", "hr_high")
 
 
 _COX_COVARIATES = ["treatment", "bal", "n_orders"]
@@ -273,7 +273,7 @@ _COX_ROWS = " UNION ALL ".join(
            round(exp(coef - {_Z} * robust_se), 6) AS hr_low, round(exp(coef + {_Z} * robust_se), 6) AS hr_high, round(1 - 2 * {sqlmath.half_normal("w")}, 6) AS p
     FROM ({_COX_ROWS})""", ["cust_trial"])
 def cox_adjusted_weighted(spark, d):
-    found = survival.adjusted_hazard_ratios(_weighted(spark, d), ["trial"], "days", "flag", _COX_COVARIATES, weight="iptw_weight")
+    found = survival.adjusted_hazard_ratios(_weighted(spark, d), ["trial"], "days", "flag", _COX_COVARIATES, weight="iptw_weight").drop("converged")
     return _r(found, "coef", "hr", "robust_se", "hr_low", "hr_high", "p")
 
 
