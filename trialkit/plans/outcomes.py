@@ -37,6 +37,12 @@ def follow_up_days(index_date: Column, flag: Column, event_date: Column, last_da
     return F.datediff(F.when(flag == 1, event_date).otherwise(last_date), index_date)
 
 
+def event_classes(events: DataFrame, more_than: int) -> list[str]:
+    """Names of the event classes that more than `more_than` patients have, in order; a short list that shapes the plan."""
+    members = events.where(F.col("name").isNotNull()).groupBy("name").agg(F.count_distinct("ptid").alias("n"))
+    return [r["name"] for r in members.where(F.col("n") > more_than).orderBy("name").collect()]
+
+
 def first_event_after(
     index_rows: DataFrame, events: DataFrame, classes: Sequence[str], last: DataFrame, horizon: int | None = None
 ) -> DataFrame:

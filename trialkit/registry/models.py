@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from trialkit.functions.hashing import hash32
 from trialkit.functions.normal import logit, normal_quantile
 from trialkit.functions.text import count_percent
-from trialkit.plans import balance, matching, models, parametric, propensity, reports, survival, synthesis
+from trialkit.functions.hashing import hash32
+from trialkit.plans import balance, matching, models, outcomes, parametric, propensity, reports, survival, synthesis
 from trialkit.plans.features import demographics
 from trialkit.registry import sqlmath
 from trialkit.registry import views as v
@@ -298,6 +299,42 @@ def km_curve(spark, d):
     return _r(survival.kaplan_meier(_trial(spark, d), ["trial"], "days", "flag"), "survival")
 
 
+@query("km_curve_weighted", f"""
+    WITH {_WEIGHTS}, daily AS (SELECT trial, days AS time, {", ".join(
+        f"sum(CASE WHEN treatment = {a} {e} THEN iptw_weight ELSE 0 END) AS {n}{a}" for a in (0, 1) for n, e in (("d", "AND flag = 1"), ("m", "")))}
+        FROM w WHERE days IS NOT NULL GROUP BY 1, 2),
+    life AS (SELECT trial, time, d0, d1, sum(m0) OVER r AS n0, sum(m1) OVER r AS n1 FROM daily WINDOW r AS (PARTITION BY trial ORDER BY time DESC)),
+    a AS (SELECT trial, 0 AS arm, time, d0 AS d, n0 AS n FROM life WHERE n0 > 0 UNION ALL SELECT trial, 1, time, d1, n1 FROM life WHERE n1 > 0)
+    SELECT trial, arm, time, round(n, 6) AS at_risk, round(d, 6) AS events, round(CASE WHEN max(CASE WHEN d >= n - 1e-9 THEN 1 ELSE 0 END) OVER w = 1 THEN 0
+           ELSE exp(sum(CASE WHEN d < n - 1e-9 THEN ln(1 - d / n) ELSE 0 END) OVER w) END, 6) AS survival
+    FROM a WINDOW w AS (PARTITION BY trial, arm ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", ["cust_trial"])
+def km_curve_weighted(spark, d):
+    return _r(survival.kaplan_meier(_weighted(spark, d), ["trial"], "days", "flag", weight="iptw_weight"), "at_risk", "events", "survival")
+
+
+_MORE_THAN = 20
+
+
+@query("sae_hazard_ratio", f"""
+    WITH last AS (SELECT ptid, max(date) AS last_act_dt FROM history GROUP BY ptid),
+    cls AS (SELECT name AS class FROM history GROUP BY name HAVING count(DISTINCT ptid) > {_MORE_THAN}),
+    f AS (SELECT i.ptid, i.index_date, c.class, min(h.date) AS event_date FROM index_rows i CROSS JOIN cls c
+          LEFT JOIN history h ON h.ptid = i.ptid AND h.date > i.index_date AND c.class = h.name GROUP BY 1, 2, 3),
+    sae_trial AS (SELECT f.class AS trial, CAST({v.h32("f.ptid", "'sae'")} % 2 AS INTEGER) AS treatment, CAST(event_date IS NOT NULL AS INTEGER) AS flag,
+          datediff('day', f.index_date, coalesce(event_date, last_act_dt)) AS days FROM f JOIN last l ON f.ptid = l.ptid),
+    {_cox_sql(10).replace("cust_trial", "sae_trial")}
+    SELECT trial AS class, n_events, round(exp(beta), 6) AS hr, round(exp(beta - {_Z} * se), 6) AS hr_low, round(exp(beta + {_Z} * se), 6) AS hr_high FROM cox""",
+    ["history", "index_rows"])
+def sae_hazard_ratio(spark, d):
+    """Hazard ratio of the first adverse event of every class that more than a few patients have."""
+    h = v.history(spark, d)
+    last = h.groupBy("ptid").agg(F.max("date").alias("last_act_dt"))
+    classes = outcomes.event_classes(h, _MORE_THAN)
+    flags = outcomes.first_event_after(v.index_rows(spark, d), h, classes, last).where("class <> 'any'")
+    rows = flags.withColumn("treatment", (hash32("ptid", F.lit("sae")) % 2).cast("int"))
+    return _r(survival.hazard_ratio(rows, ["class"], "sae_delta_days", "sae_flag").drop("log_hr", "se", "converged"), "hr", "hr_low", "hr_high")
+
+
 def _aft_sql() -> str:
     parts, out = [], []
     for f in parametric.FAMILIES:

@@ -57,7 +57,7 @@ def drug_effect_summary(spark, d):
     return summary(spark, d)
 
 
-_CLASSES = ["1-URGENT", "2-HIGH", "5-LOW"]
+_MORE_THAN = 100
 
 
 @query("sae_effect_matrix")
@@ -66,13 +66,15 @@ def sae_effect_matrix(spark, d):
     estimates, matched = estimate_trials(built.rows, built.covariates)
     estimates = cut(estimates)
     last = built.outcome.select("ptid", "last_act_dt")
-    per_class = cut(class_estimates(matched, _order_events(spark, d), estimates, _CLASSES, last))
+    events = _order_events(spark, d)
+    classes = outcomes.event_classes(events, _MORE_THAN)
+    per_class = cut(class_estimates(matched, events, estimates, classes, last))
     out = None
     for measure, expected in (("OR_all_day", 1.0), ("OR_180day", 1.0), ("diff_ir_all_day", 0.0), ("diff_ir_180day", 0.0)):
         cells = synthesis.significant_means(per_class, ["drug", "class"], measure, expected, N_RESAMPLES)
-        one = synthesis.effect_matrix(cells, ["drug"], "class", _CLASSES).withColumn("measure", F.lit(measure))
+        one = synthesis.effect_matrix(cells, ["drug"], "class", classes).withColumn("measure", F.lit(measure))
         out = one if out is None else out.unionByName(one)
-    return out.select("measure", "drug", *_CLASSES)
+    return out.select("measure", "drug", *classes)
 
 
 @query("stratified_effect_matrix")
