@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from trialkit.plans import models, parametric, propensity, survival
+from trialkit.plans import bootstrap, models, parametric, survival
 
 
 def rows(seed=0, n=400, beta=0.7, groups=2):
@@ -50,13 +50,28 @@ def test_linear_fit_and_standardization(spark):
     df = spark.createDataFrame(pdf)
     assert np.allclose(models.linear_coefficients(df, ["trial"], ["treatment", "x"], "y").first()["_beta"], [1.0, 2.0, 0.5])
     assert np.isclose(models.standardized_effect(df, ["trial"], ["x"], "y").first()["ate"], 2.0)
-    wide = propensity.bootstrap_effect(df, ["trial"], ["x"], "y", n_boot=10, together=6).first()
-    assert np.isclose(wide["ate_mean"], 2.0) and wide["n_resamples"] == 10
+    for sent in (64 << 20, 200):  # all resamples together, or a few at a time
+        wide = bootstrap.bootstrap_effect(df, ["trial"], ["x"], "y", n_boot=10, sent_bytes=sent).first()
+        assert np.isclose(wide["ate_mean"], 2.0) and wide["n_resamples"] == wide["n_settled"] == 10
+
+
+def test_bootstrap_refits_match_single_fits(spark):
+    pdf = rows(groups=2)
+    pdf["y"] = (pdf["x"] + pdf["treatment"] + pdf["id"] % 7 > 4).astype(int)
+    df = spark.createDataFrame(pdf)
+    got = {r["trial"]: r["ate_mean"] for r in bootstrap.bootstrap_effect(df, ["trial"], ["x", "z"], "y", n_boot=3).collect()}
+    one = []
+    for b in range(3):
+        copied = df.withColumn("w", bootstrap.copies_of(F.lit(b), ["id"])).where("w > 0")
+        one += models.standardized_effect(copied, ["trial"], ["x", "z"], "y", weight="w").collect()
+    for t, mean in got.items():
+        assert np.isclose(mean, np.mean([r["ate"] for r in one if r["trial"] == t]), atol=1e-6)
 
 
 def test_resample_counts_look_like_poisson(spark):
     df = spark.range(2000)
-    copies = propensity.resample_counts(df, ["id"], range(20)).groupBy("boot").agg(F.sum("copies").alias("n")).toPandas()
+    drawn = df.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    copies = drawn.groupBy("boot").agg(F.sum(bootstrap.copies_of(F.col("boot"), ["id"])).alias("n")).toPandas()
     assert abs(copies["n"].mean() - 2000) < 40 and copies["n"].nunique() > 10
 
 

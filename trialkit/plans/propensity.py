@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialkit.functions.hashing import hash32
 from trialkit.operators.reshape import scale_min_max
 from trialkit.plans.balance import (
     incidence_difference,
@@ -17,7 +15,7 @@ from trialkit.plans.balance import (
     unbalanced_counts,
 )
 from trialkit.plans.matching import distance_mad, match_nearest, matched_rows
-from trialkit.plans.models import propensity_scores, standardized_effect
+from trialkit.plans.models import propensity_scores
 from trialkit.session import cut
 from trialkit.sources.tables import reuse
 
@@ -75,40 +73,3 @@ def weighted_analysis(
         unbalanced_counts(smd, keys, threshold),
         incidence_difference(weighted, keys, outcome, weight="iptw_weight"),
     )
-
-
-# Cumulative Poisson(1) probabilities of 0..12 copies; the rest is less than the smallest step of a 32-bit draw.
-_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
-
-
-def resample_counts(df: DataFrame, ident: Sequence[str], boots: range, seed: int = 0) -> DataFrame:
-    """Each row once per resample of `boots` that has it, with `boot` and `copies`.
-
-    Copies are Poisson(1) by hash of (resample, row): no shuffle, and any retry draws the same.
-    """
-    u = (hash32(F.lit(seed), F.lit("boot"), F.col("boot"), *ident) + 0.5) / F.lit(float(2**32))
-    copies = sum((u > F.lit(p)).cast("int") for p in _POISSON)
-    return (
-        df.withColumn("boot", F.explode(F.sequence(F.lit(boots.start), F.lit(boots.stop - 1))))
-        .withColumn("copies", copies)
-        .where("copies > 0")
-    )
-
-
-def bootstrap_effect(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], outcome: str, ident: Sequence[str] = ("id",),
-    n_boot: int = 1000, seed: int = 0, together: int = 100,
-) -> DataFrame:
-    """Mean and 2.5 / 97.5 percentiles of the standardized effect over resamples; both models are refitted.
-
-    Resamples are fitted `together` at a time, which bounds the copies of the rows that are held at once.
-    """
-    keys, effects = list(keys), None
-    for start in range(0, n_boot, together):
-        resamples = resample_counts(df, ident, range(start, min(start + together, n_boot)), seed)
-        some = cut(standardized_effect(resamples, [*keys, "boot"], features, outcome, weight="copies"))
-        effects = some if effects is None else effects.unionByName(some)
-    ends = F.percentile("ate", F.array(F.lit(0.025), F.lit(0.975)))  # n_boot values
-    return effects.groupBy(*keys).agg(
-        F.avg("ate").alias("ate_mean"), ends[0].alias("ci_low"), ends[1].alias("ci_high"), F.count("ate").alias("n_resamples")
-    )

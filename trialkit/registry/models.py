@@ -8,7 +8,7 @@ from trialkit.functions.hashing import hash32
 from trialkit.functions.normal import logit, normal_quantile
 from trialkit.functions.text import count_percent
 from trialkit.functions.hashing import hash32
-from trialkit.plans import balance, matching, models, outcomes, parametric, propensity, reports, survival, synthesis
+from trialkit.plans import balance, bootstrap, matching, models, outcomes, parametric, propensity, reports, survival, synthesis
 from trialkit.plans.features import demographics
 from trialkit.registry import sqlmath
 from trialkit.registry import views as v
@@ -207,8 +207,7 @@ def ate_standardization(spark, d):
     return _r(models.standardized_effect(_trial(spark, d), ["trial"], COVARIATES, "flag"), "mean_treated", "mean_control", "ate")
 
 
-_BOOT_FEATURES = ["bal", "n_orders"]
-_N_REFITS = 100
+_N_REFITS = 1000
 # fixed values: cumulative Poisson(1) probabilities of 0..12
 _POISSON_SQL = " + ".join(f"CAST(u > {p} AS INTEGER)" for p in (
     "0.36787944117144233", "0.7357588823428847", "0.9196986029286058", "0.9810118431238463", "0.9963401531726563", "0.9994058151824183",
@@ -220,13 +219,13 @@ _POISSON_SQL = " + ".join(f"CAST(u > {p} AS INTEGER)" for p in (
     WITH drawn AS (SELECT c.*, b.boot FROM cust_trial c, (SELECT unnest(range({_N_REFITS})) AS boot) b),
     hashed AS (SELECT *, ({v.h32("'0'", "'boot'", "boot", "id")} + 0.5) / 4294967296.0::DOUBLE AS u FROM drawn),
     copied AS (SELECT * FROM (SELECT *, {_POISSON_SQL} AS copies FROM hashed) WHERE copies > 0),
-    {sqlmath.logistic("copied", ["trial", "boot"], _BOOT_FEATURES, "treatment", "r.copies")},
-    ps AS (SELECT r.*, 1 / (1 + exp(-(b0 + b1 * bal + b2 * n_orders))) AS ps FROM copied r JOIN lb ON r.trial = lb.trial AND r.boot = lb.boot),
-    {_standardized_sql("ps", ["trial", "boot"], _BOOT_FEATURES, "copies")}
+    {sqlmath.logistic("copied", ["trial", "boot"], COVARIATES, "treatment", "r.copies")},
+    ps AS (SELECT r.*, 1 / (1 + exp(-({" + ".join(["b0", *[f"b{i + 1} * {c}" for i, c in enumerate(COVARIATES)]])}))) AS ps FROM copied r JOIN lb ON r.trial = lb.trial AND r.boot = lb.boot),
+    {_standardized_sql("ps", ["trial", "boot"], COVARIATES, "copies")}
     SELECT trial, round(avg(mean_treated - mean_control), 6) AS ate_mean, round(quantile_cont(mean_treated - mean_control, 0.025), 6) AS ci_low,
            round(quantile_cont(mean_treated - mean_control, 0.975), 6) AS ci_high, count(*) AS n_resamples FROM effect GROUP BY 1""", ["cust_trial"])
 def ate_bootstrap_ci(spark, d):
-    found = propensity.bootstrap_effect(_trial(spark, d), ["trial"], _BOOT_FEATURES, "flag", n_boot=_N_REFITS)
+    found = bootstrap.bootstrap_effect(_trial(spark, d), ["trial"], COVARIATES, "flag", n_boot=_N_REFITS).drop("n_settled")
     return _r(found, "ate_mean", "ci_low", "ci_high")
 
 
