@@ -46,7 +46,8 @@ def test_percentiles_skip_nulls_and_work_without_keys(spark):
 
 def test_dense_positions_number_each_group(spark):
     pdf, df = frame(spark)
-    got = dense_positions(df, ["g"], "id").toPandas()
+    got, fine = dense_positions(df, ["g"], "id").toPandas(), dense_positions(df, ["g"], "id", bucket_rows=7).toPandas()
+    assert got.set_index("id")["pos"].sort_index().equals(fine.set_index("id")["pos"].sort_index())
     for g, part in got.groupby("g"):
         assert sorted(part["pos"]) == list(range(len(part)))
 

@@ -30,11 +30,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def dense_positions(df: DataFrame, group: Sequence[str], ident: str, name: str = "pos", buckets: int = 256) -> DataFrame:
-    """0-based position of each row in its group, ordered by (hash bucket of ident, ident)."""
+def dense_positions(df: DataFrame, group: Sequence[str], ident: str, name: str = "pos", bucket_rows: int = 20_000) -> DataFrame:
+    """0-based position of each row in its group, ordered by (hash of ident, ident).
+
+    Windows run inside ranges of the hash, as many as the counted rows need; the positions do not depend on their number.
+    """
     group = list(group)
-    rows = df.withColumn("_bucket", hash32(ident) % buckets)
-    inside = Window.partitionBy(*group, "_bucket").orderBy(ident)
+    rows = cut(df.withColumn("_hash", hash32(ident)))
+    bits = min(32, int(rows.count() // bucket_rows).bit_length())
+    rows = rows.withColumn("_bucket", F.shiftright("_hash", 32 - bits))
+    inside = Window.partitionBy(*group, "_bucket").orderBy("_hash", ident)
     across = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(*_BEFORE_HERE)
     offsets = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.withColumn("_offset", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
@@ -42,7 +47,7 @@ def dense_positions(df: DataFrame, group: Sequence[str], ident: str, name: str =
     return (
         ranked.join(offsets, [*group, "_bucket"])
         .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
-        .drop("_bucket", "_offset", "_local")
+        .drop("_bucket", "_hash", "_offset", "_local")
     )
 
 

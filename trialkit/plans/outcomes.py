@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialkit.operators.joins import of_patients
@@ -52,16 +52,14 @@ def first_event_after(
     """
     named = events.where(F.col("name").isin(list(classes))).select("ptid", "name", "date")
     daily = of_patients(named, index_rows).distinct()
-    i, e = index_rows.select("ptid", "index_date").distinct().alias("i"), daily.alias("e")
-    hit = (F.col("i.ptid") == F.col("e.ptid")) & (F.col("e.date") > F.col("i.index_date"))
-    firsts = (
-        i.join(e, hit, "left")
-        .groupBy("i.ptid", "i.index_date")
-        .agg(
-            F.min("e.date").alias("any"),
-            *[F.min(F.when(F.col("e.name") == c, F.col("e.date"))).alias(c) for c in classes],
-        )
-    )
+    # one pass over each patient's days from the latest back: an index row sees the first event of the days after it
+    anchors = index_rows.select("ptid", "index_date").distinct().select("ptid", F.col("index_date").alias("date"), F.lit(None).cast("string").alias("name"))
+    both = daily.select("ptid", "date", "name").unionByName(anchors).withColumn("_day", F.unix_date("date"))
+    after = Window.partitionBy("ptid").orderBy(F.desc("_day")).rangeBetween(Window.unboundedPreceding, -1)
+    firsts = both.select(
+        "ptid", F.col("date").alias("index_date"), "name", F.min(F.when(F.col("name").isNotNull(), F.col("date"))).over(after).alias("any"),
+        *[F.min(F.when(F.col("name") == c, F.col("date"))).over(after).alias(c) for c in classes],
+    ).where("name is null").drop("name")
     long = firsts.unpivot(["ptid", "index_date"], ["any", *classes], "class", "event_date").join(last, "ptid", "left")
     flag = F.col("event_date").isNotNull()
     days = F.datediff(F.coalesce("event_date", "last_act_dt"), "index_date")

@@ -53,13 +53,13 @@ def select_candidate_drugs(spark, d):
 
 
 DRAWS_SQL = f"""
-    members AS (SELECT ptid, therapy_date, row_number() OVER (ORDER BY {v.h32('ptid')} % 256, ptid) - 1 AS member FROM therapy),
-    numbered AS (SELECT a.*, row_number() OVER (PARTITION BY drug ORDER BY {v.h32('a.ptid')} % 256, a.ptid) - 1 AS t_pos,
+    members AS (SELECT ptid, therapy_date, row_number() OVER (ORDER BY {v.h32('ptid')}, ptid) - 1 AS member FROM therapy),
+    numbered AS (SELECT a.*, row_number() OVER (PARTITION BY drug ORDER BY {v.h32('a.ptid')}, a.ptid) - 1 AS t_pos,
         count(*) OVER (PARTITION BY drug) AS n_treated, (SELECT count(*) FROM therapy) - count(*) OVER (PARTITION BY drug) AS n_control,
         m.member FROM arm a JOIN members m ON a.ptid = m.ptid),
-    holes AS (SELECT drug, member AS control, row_number() OVER (PARTITION BY drug ORDER BY {v.h32('member')} % 256, member) - 1 AS k
+    holes AS (SELECT drug, member AS control, row_number() OVER (PARTITION BY drug ORDER BY {v.h32('member')}, member) - 1 AS k
         FROM numbered WHERE member < n_control),
-    fillers AS (SELECT f.drug, f.member, row_number() OVER (PARTITION BY f.drug ORDER BY {v.h32('f.member')} % 256, f.member) - 1 AS k
+    fillers AS (SELECT f.drug, f.member, row_number() OVER (PARTITION BY f.drug ORDER BY {v.h32('f.member')}, f.member) - 1 AS k
         FROM (SELECT drug, n_control + t_pos AS member FROM numbered) f
         WHERE NOT EXISTS (SELECT 1 FROM numbered n WHERE n.drug = f.drug AND n.member = f.member)),
     swaps AS (SELECT h.drug, h.control, f.member AS swap FROM holes h JOIN fillers f ON h.drug = f.drug AND h.k = f.k),
