@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trialkit.functions.dates import age_at
 from trialkit.functions.recode import binary_flag, is_value
 from trialkit.functions.text import parse_number
-from trialkit.operators.joins import left_all, patient_list
+from trialkit.operators.joins import patient_list
 
 KEY = ["ptid", "index_date"]
 
@@ -49,53 +49,56 @@ def _per_name(rows: DataFrame, names: Sequence[str], prefix: str, cell) -> DataF
     return rows.groupBy(*KEY).agg(*[cell(F.col("name") == n).alias(f"{prefix}{n}") for n in names])
 
 
-def window_mean(events: DataFrame, keys: DataFrame, names: Sequence[str], prefix: str, days: int = 365) -> DataFrame:
-    """Mean of each named measurement in [index - days, index]."""
-    daily = (
-        events.where(F.col("name").isin(list(names)) & F.col("value").isNotNull())
-        .groupBy("ptid", "name", "date")
-        .agg(F.sum("value").alias("total"), F.count("value").alias("n"))
-    )
+def _daily_totals(events: DataFrame, names: Sequence[str]) -> DataFrame:
+    measured = events.where(F.col("name").isin(list(names)) & F.col("value").isNotNull())
+    return measured.groupBy("ptid", "name", "date").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+
+
+def _daily_numbers(events: DataFrame, names: Sequence[str]) -> DataFrame:
+    numbers = events.where(F.col("name").isin(list(names))).select("ptid", "name", "date", parse_number(F.col("result")).alias("value"))
+    return numbers.where("value is not null").groupBy("ptid", "name", "date").agg(F.max("value").alias("value"))
+
+
+def _days(events: DataFrame, names: Sequence[str]) -> DataFrame:
+    return events.where(F.col("name").isin(list(names))).select("ptid", "name", "date").distinct()
+
+
+def _first_days(events: DataFrame) -> DataFrame:
+    return events.groupBy("ptid", "name").agg(F.min("date").alias("date"))
+
+
+def _mean(hit: Column) -> Column:
+    return F.try_divide(F.sum(F.when(hit, F.col("total"))), F.sum(F.when(hit, F.col("n"))))
 
-    def mean(is_name: Column) -> Column:
-        return F.try_divide(F.sum(F.when(is_name, F.col("total"))), F.sum(F.when(is_name, F.col("n"))))
 
-    return _per_name(_lookback(daily, keys, days), names, prefix, mean)
+def _last(hit: Column) -> Column:
+    return F.max_by("value", F.when(hit, F.col("date")))
+
+
+def _seen(hit: Column) -> Column:
+    return F.coalesce(F.max(F.when(hit, F.lit(1))), F.lit(0))
+
+
+def window_mean(events: DataFrame, keys: DataFrame, names: Sequence[str], prefix: str, days: int = 365) -> DataFrame:
+    """Mean of each named measurement in [index - days, index]."""
+    return _per_name(_lookback(_daily_totals(events, names), keys, days), names, prefix, _mean)
 
 
 def window_last_number(events: DataFrame, keys: DataFrame, names: Sequence[str], prefix: str, days: int = 365) -> DataFrame:
     """Last numeric result of each name in the window; same-day results: the greatest value."""
-    daily = (
-        events.where(F.col("name").isin(list(names)))
-        .select("ptid", "name", "date", parse_number(F.col("result")).alias("value"))
-        .where("value is not null")
-        .groupBy("ptid", "name", "date")
-        .agg(F.max("value").alias("value"))
-    )
-    return _per_name(
-        _lookback(daily, keys, days), names, prefix, lambda is_name: F.max_by("value", F.when(is_name, F.col("date")))
-    )
+    return _per_name(_lookback(_daily_numbers(events, names), keys, days), names, prefix, _last)
 
 
 def window_any(events: DataFrame, keys: DataFrame, names: Sequence[str], prefix: str, days: int = 365) -> DataFrame:
     """1 if the name occurs in the window, else 0."""
-    daily = events.where(F.col("name").isin(list(names))).select("ptid", "name", "date").distinct()
-    return _per_name(
-        _lookback(daily, keys, days), names, prefix, lambda is_name: F.coalesce(F.max(F.when(is_name, F.lit(1))), F.lit(0))
-    )
+    return _per_name(_lookback(_days(events, names), keys, days), names, prefix, _seen)
 
 
 def sites_before(events: DataFrame, keys: DataFrame, sites: Sequence[str], prefix: str) -> DataFrame:
     """Distinct sites ever seen up to the index day, and a flag per named site."""
-    first_seen = events.groupBy("ptid", "name").agg(F.min("date").alias("date"))
-    rows = _lookback(first_seen, keys, None)
-    return rows.groupBy(*KEY).agg(
-        F.count("name").cast("int").alias(f"{prefix}total"),
-        *[
-            F.coalesce(F.max(F.when(F.col("name") == s, F.lit(1))), F.lit(0)).alias(f"{prefix}{s.replace(' ', '_')}")
-            for s in sites
-        ],
-    )
+    rows = _lookback(_first_days(events), keys, None)
+    flags = [_seen(F.col("name") == s).alias(f"{prefix}{s.replace(' ', '_')}") for s in sites]
+    return rows.groupBy(*KEY).agg(F.count("name").cast("int").alias(f"{prefix}total"), *flags)
 
 
 def demographics(clinical: DataFrame, keys: DataFrame, race_one: str = "Caucasian") -> DataFrame:
@@ -115,14 +118,29 @@ def baseline(
 ) -> DataFrame:
     """The six covariate blocks side by side, one row per (ptid, index_date)."""
     listed = patient_list(keys)
-    site_events, vital_events, lab_events, drug_events, diagnosis_events = (
-        e.join(listed, "ptid", "left_semi") for e in (site_events, vital_events, lab_events, drug_events, diagnosis_events)
+    per_block = {
+        "meta": _first_days(site_events.join(listed, "ptid", "left_semi")),
+        "vital": _daily_totals(vital_events.join(listed, "ptid", "left_semi"), vitals),
+        "lab": _daily_numbers(lab_events.join(listed, "ptid", "left_semi"), labs),
+        "med": _days(drug_events.join(listed, "ptid", "left_semi"), drugs),
+        "com": _days(diagnosis_events.join(listed, "ptid", "left_semi"), diagnoses),
+    }
+    # one table of patient days, so keys meet the history once
+    tagged = [rows.withColumn("block", F.lit(b)) for b, rows in per_block.items()]
+    history = tagged[0]
+    for rows in tagged[1:]:
+        history = history.unionByName(rows, allowMissingColumns=True)
+    near = (F.col("block") == "meta") | (F.col("date") >= F.date_sub(F.col("index_date"), days))
+    block, name = F.col("block"), F.col("name")
+    wide = _lookback(history, keys, None).where(F.col("block").isNull() | near).groupBy(*KEY).agg(
+        F.count(F.when(block == "meta", name)).cast("int").alias("meta_total"),
+        *[_seen((block == "meta") & (name == s)).alias(f"meta_{s.replace(' ', '_')}") for s in sites],
+        *[_mean((block == "vital") & (name == n)).alias(f"vital_{n}") for n in vitals],
+        *[_last((block == "lab") & (name == n)).alias(f"lab_{n}") for n in labs],
+        *[_seen((block == "med") & (name == n)).alias(f"med_{n}") for n in drugs],
+        *[_seen((block == "com") & (name == n)).alias(f"com_{n}") for n in diagnoses],
     )
-    blocks = [
-        sites_before(site_events, keys, sites, "meta_"),
-        window_mean(vital_events, keys, vitals, "vital_", days),
-        window_last_number(lab_events, keys, labs, "lab_", days),
-        window_any(drug_events, keys, drugs, "med_", days),
-        window_any(diagnosis_events, keys, diagnoses, "com_", days),
-    ]
-    return left_all(demographics(clinical, keys, race_one), blocks, KEY)
+    # keys whose every record lies outside the window have no row left
+    filled = demographics(clinical, keys, race_one).join(wide, KEY, "left")
+    zero = ["meta_total", *[f"meta_{s.replace(' ', '_')}" for s in sites], *[f"med_{n}" for n in drugs], *[f"com_{n}" for n in diagnoses]]
+    return filled.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in zero})
