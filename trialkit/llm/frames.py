@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -24,6 +24,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: rows of one Arrow batch of a table with texts; the engine's default of 10,000 may be hundreds of MB of text
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold fewer rows, unless the session has a setting of its own. No result depends on it."""
+    if spark.conf.get(_BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def map_texts(
     docs: DataFrame, fields: T.StructType, make: Callable[[], TextFunction], out: str, text: str = "text", keep_text: bool = True,
     limit: int = words.SLICE_BYTES,
@@ -32,6 +43,7 @@ def map_texts(
 
     Documents go through in slices of about 1 MB (`limit` bytes, or one document), so a batch with very long texts does not fill memory.
     """
+    small_batches(docs.sparkSession)
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has a column {out}; choose another name for the result")
     kept = [c for c in docs.columns if keep_text or c != text]

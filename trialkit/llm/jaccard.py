@@ -34,8 +34,8 @@ from trialkit.session import broadcast_if_small, cut
 SMALL_GROUP = 8
 COMPARE_BLOCK = 256
 KEYS_PER_BUCKET = 250_000
-KEYS_PER_TASK = 2_000_000
-FLUSH_KEYS = 1_500_000
+KEYS_PER_TASK = 1_000_000
+FLUSH_KEYS = 500_000
 COMMON_LIMIT = 1_000_000
 COMMON_SLICE = 4 << 20
 _SPREAD = 1.6
@@ -174,8 +174,12 @@ def _common(slices: DataFrame) -> np.ndarray:
     return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Similarity, bits: int, common: np.ndarray) -> DataFrame:
-    """(bucket, keys, texts): packed search keys and the texts that have them. A copy of a text met before in the same run adds nothing."""
+def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Similarity, bits: int, common: np.ndarray, local: int) -> DataFrame:
+    """(bucket, keys, texts, much): packed search keys and the texts that have them. A copy of a text met before in the same run adds nothing.
+
+    A key that more than `local` texts of one run share stands in a row of its own, with `much` the key and all its texts; only its leading
+    texts are packed with the others. So what meets in one task for a key of very many texts is a few of each run.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +190,27 @@ def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Si
             if not n:
                 return
             k, who = np.concatenate(held), np.concatenate(owners)
-            order = np.argsort(k >> _U(64 - bits), kind="stable")
+            order = np.argsort(k, kind="stable")
             k, who = k[order], who[order]
+            begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.concatenate([begin, [len(k)]]))
+            stays = np.ones(len(k), bool)
+            for b, g in zip(begin[size > local].tolist(), size[size > local].tolist(), strict=True):
+                members = who[b : b + g]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(k[b] >> _U(64 - bits))], pa.int64()), pa.nulls(1, pa.binary()), pa.array([members.tobytes()], pa.binary()), pa.array(_short(k[b : b + 1], bits).view(np.int64))],
+                    names=["bucket", "keys", "texts", "much"],
+                )
+                stays[b : b + g] = np.isin(members, _leaders(members))
+            k, who = k[stays], who[stays]
             bucket = (k >> _U(64 - bits)).astype(np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(k)]])
             low = np.ascontiguousarray(k).view(np.uint8).reshape(-1, 8)[:, :6]
             for lo in range(0, len(cuts) - 1, 64):  # a few MB at a time
                 runs = [(int(x), int(y)) for x, y in zip(cuts[lo : lo + 64], cuts[lo + 1 : lo + 65], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[x]) for x, _ in runs], pa.int64()), pa.array([low[x:y].tobytes() for x, y in runs], pa.binary()), pa.array([who[x:y].tobytes() for x, y in runs], pa.binary())],
-                    names=["bucket", "keys", "texts"],
+                    [pa.array([int(bucket[x]) for x, _ in runs], pa.int64()), pa.array([low[x:y].tobytes() for x, y in runs], pa.binary()), pa.array([who[x:y].tobytes() for x, y in runs], pa.binary()), pa.nulls(len(runs), pa.int64())],
+                    names=["bucket", "keys", "texts", "much"],
                 )
 
         for batch in batches:
@@ -213,14 +228,31 @@ def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Si
                     held, owners, n, seen = [], [], 0, set()
         yield from flush()
 
-    return docs.select(text).mapInArrow(run, "bucket long, keys binary, texts binary")
+    return docs.select(text).mapInArrow(run, "bucket long, keys binary, texts binary, much long")
+
+
+def _short(k: np.ndarray, bits: int) -> np.ndarray:
+    """A key as it is after packing: its low 48 bits and the last 16 of its bucket."""
+    return k & _U((1 << 48) - 1) | (k >> _U(64 - bits) & _U(0xFFFF)) << _U(48)
+
+
+def _leaders(members: np.ndarray) -> np.ndarray:
+    """Three of the texts, the least in three orders that all keys share."""
+    return np.unique([members[np.argmin(words.mix(members.view(np.uint64) + _salt(salt)))] for salt in (17, 19, 23)])
+
+
+def _star(members: np.ndarray) -> np.ndarray:
+    """Pairs of each text with the leaders."""
+    lead = _leaders(members)
+    pairs = np.stack([np.repeat(members, len(lead)), np.tile(lead, len(members))], axis=1)
+    return np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
 
 
 def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
-    """Pairs (a, b) of texts that share a key, and the members of keys that more than a few texts share."""
-    schema = "a long, b long, members binary"
+    """Pairs (a, b) of texts that share a key, and the members of keys (gid) that more than a few texts share."""
+    schema = "a long, b long, gid long, members binary"
 
-    def pairs_of(k: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    def pairs_of(k: np.ndarray, who: np.ndarray, apart: set[int]) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
         if len(k) < 2:
             return np.zeros((0, 2), np.int64), []
         order = np.argsort(k)
@@ -234,37 +266,44 @@ def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
         k, who = k[new], who[new]
         begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([begin, [len(k)]]))
-        found, large = [np.zeros((0, 2), np.int64)], set()
+        found, large = [np.zeros((0, 2), np.int64)], {}
         for g in range(2, small + 1):
             rows = who[begin[size == g][:, None] + np.arange(g)]
             found += [rows[:, [x, y]] for x, y in combinations(range(g), 2)]
         for b, g in zip(begin[size > small].tolist(), size[size > small].tolist(), strict=True):
             members = who[b : b + g]
-            large.add(members.tobytes())
-            for salt in (17, 19, 23):
-                lead = members[np.argmin(words.mix(members.view(np.uint64) + _salt(salt)))]
-                rest = members[members != lead]
-                found.append(np.stack([np.minimum(rest, lead), np.maximum(rest, lead)], axis=1))
+            gid = int(k[b].view(np.int64))
+            large.setdefault((members.tobytes(), gid if gid in apart else None), gid)  # one key stands for all with the same texts
+            found.append(_star(members))
             if len(found) > 512:
                 found = [np.unique(np.concatenate(found), axis=0)]
-        return np.unique(np.concatenate(found), axis=0), sorted(large)
+        return np.unique(np.concatenate(found), axis=0), [(g, m) for (m, _), g in large.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_k, parts_w = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        parts_k, parts_w, apart = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], set()
         for batch in batches:
-            for bucket, packed_keys, who in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for bucket, packed_keys, who, much in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if much is not None:
+                    apart.add(much)
+                    yield rows_of(_star(np.frombuffer(who.as_buffer(), np.int64)), [(much, who.as_py())])
+                    continue
                 low = np.frombuffer(packed_keys.as_buffer(), np.uint8).reshape(-1, 6)
                 full = np.zeros((len(low), 8), np.uint8)
                 full[:, :6] = low
                 parts_k.append(full.view(np.uint64)[:, 0] | _U((bucket & 0xFFFF) << 48))
                 parts_w.append(np.frombuffer(who.as_buffer(), np.int64).copy())
-        pairs, large = pairs_of(np.concatenate(parts_k), np.concatenate(parts_w))
+        pairs, large = pairs_of(np.concatenate(parts_k), np.concatenate(parts_w), apart)
         for lo in range(0, len(pairs), 100_000):
-            some = pairs[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1]), pa.nulls(len(some), pa.binary())], names=["a", "b", "members"])
+            yield rows_of(pairs[lo : lo + 100_000], [])
         for lo in range(0, len(large), 50):
-            some = large[lo : lo + 50]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64())] * 2 + [pa.array(some, pa.binary())], names=["a", "b", "members"])
+            yield rows_of(pairs[:0], large[lo : lo + 50])
+
+    def rows_of(pairs: np.ndarray, groups: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        n = len(groups)
+        sides = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), pa.nulls(n, pa.int64())]) for i in (0, 1)]
+        gid = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array([g for g, _ in groups], pa.int64())])
+        own = pa.concat_arrays([pa.nulls(len(pairs), pa.binary()), pa.array([m for _, m in groups], pa.binary())])
+        return pa.RecordBatch.from_arrays([*sides, gid, own], names=["a", "b", "gid", "members"])
 
     return packed.repartition(tasks, "bucket").mapInArrow(run, schema)
 
@@ -329,9 +368,8 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.column(0):
+            for gid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(packed.as_buffer(), np.int64)
-                gid = words.mix(np.array([words.mix(own.view(np.uint64) + _salt(29)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), gid)), pa.array(own)], names=["gid", "one"])
 
     def pairs_of(left: tuple, right: tuple) -> np.ndarray:
@@ -404,11 +442,11 @@ def near_duplicates(
     total = (classes.agg(F.sum("n")).first()[0] or 0) // 2
     bits = max(6, int(total // KEYS_PER_BUCKET).bit_length())
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // KEYS_PER_TASK))
-    met = cut(_meet(_emit_keys(docs, text, shingle, codes, law, bits, common), tasks, bits, small))
+    met = cut(_meet(_emit_keys(docs, text, shingle, codes, law, bits, common, 4 * small), tasks, bits, small))
     near = cut(_near(met.filter("members IS NULL").select("a", "b").distinct(), classes, law, "one"))
     links = cut(_verified(near, classes, docs, key, text, shingle, codes, law))
     labels = components(links)
-    more = cut(_apart(met.filter("members IS NOT NULL").select("members"), classes, labels, law))
+    more = cut(_apart(met.filter("members IS NOT NULL").select("gid", "members"), classes, labels, law))
     if more.limit(1).count():
         links = cut(links.union(_verified(more, classes, docs, key, text, shingle, codes, law)))
         labels = components(links)

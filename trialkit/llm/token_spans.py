@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trialkit.llm import bpe, words
+from trialkit.llm.frames import small_batches
 
 PART = T.StructType([
     T.StructField("field", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -66,6 +67,7 @@ def attribute(docs: DataFrame, path: str, fields: Sequence[str], by_line: Sequen
         raise ValueError(f"rule must be one of {RULES}")
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has a column {out}; choose another name for the result")
+    small_batches(docs.sparkSession)
     sent, names, split = bpe.send(docs.sparkSession, path), list(docs.columns), [f in by_line for f in fields]
     schema = T.StructType([*docs.schema, T.StructField(out, RESULT)])
     kind = to_arrow_type(RESULT)
