@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialkit.llm import words
-from trialkit.llm.frames import map_texts
+from trialkit.llm.frames import map_texts, small_batches
 from trialkit.session import cut
 
 DIMENSIONS = 2048
@@ -125,6 +125,7 @@ class Model:
 def fit(docs: DataFrame, key: str, text: str, lang: str, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Model:
     """Learn from all rows with text, letters and language. Gram frequencies cover all of them; the centroids of each language come from
     a hash sample of about `fit_rows` rows of it, clustered in a task per language."""
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & has_letter(F.col(text))).select(key, F.col(text).alias("body"), F.col(lang).alias("lang"))
     counted = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counted:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialkit.llm import textstats, words
-from trialkit.llm.frames import map_texts
+from trialkit.llm.frames import map_texts, small_batches
 from trialkit.session import cut
 
 #: fixed values: words of the second person in the languages of the texts
@@ -215,6 +215,7 @@ def _learn_lexicon(rows: DataFrame) -> Lexicon:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Learn from about `fit_rows` labelled rows drawn by a hash of the key (all, if there are fewer). The documented bound makes it safe to send
     the drawn labels to all tasks and the features of part of them to the driver."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("y"))
     labelled = known.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit("fit")), 11) / F.lit(float(1 << 53))
