@@ -349,7 +349,7 @@ def distance_profile(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def distance_mad(rows: DataFrame, keys: Sequence[str], resolution: float = 1e-4) -> DataFrame:
+def distance_mad(rows: DataFrame, keys: Sequence[str], resolution: float = 1e-6) -> DataFrame:
     """Median and MAD of all treated-control distances per trial, as the matching caliper.
 
     Scores are taken in steps of `resolution` (scores on that grid give the exact values). Rows collapse

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from trialkit.sources.tables import reuse
 
 
 def caliper_match(
-    scored: DataFrame, keys: Sequence[str], ratio: int = 1, score: str = "ps", resolution: float = 1e-4
+    scored: DataFrame, keys: Sequence[str], ratio: int = 1, score: str = "ps", resolution: float = 1e-6
 ) -> DataFrame:
     """1:N pairs on the score, with the MAD of all treated-control distances as the caliper."""
     keys = list(keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from trialkit.functions.hashing import hash32
@@ -101,10 +103,10 @@ def join_inner_id(spark, d):
 
 @query("match_caliper_1toN", f"""
     WITH RECURSIVE {SHARE_SQL},
-    gaps AS (SELECT t.trial, abs(CAST(round(t.share / 0.0001) AS BIGINT) - CAST(round(c.share / 0.0001) AS BIGINT)) AS gap
+    gaps AS (SELECT t.trial, abs(t.share - c.share) AS gap
              FROM scored t JOIN scored c ON t.trial = c.trial AND t.treatment = 1 AND c.treatment = 0),
     mid AS (SELECT trial, median(gap) AS med FROM gaps GROUP BY 1),
-    cal AS (SELECT g.trial, median(abs(g.gap - m.med)) * 0.0001 AS caliper FROM gaps g JOIN mid m ON g.trial = m.trial GROUP BY 1),
+    cal AS (SELECT g.trial, median(abs(g.gap - m.med)) AS caliper FROM gaps g JOIN mid m ON g.trial = m.trial GROUP BY 1),
     {v.closest_first("scored", "share", 3, "cal")}
     SELECT trial, t_id, c_id, round(distance, 6) AS distance, turn FROM taken WHERE t_id IS NOT NULL""", ["cust_trial"])
 def match_caliper_1to_n(spark, d):
@@ -112,16 +114,49 @@ def match_caliper_1to_n(spark, d):
 
 
 @query("match_caliper_mad", """
-    WITH x AS (SELECT t.trial, abs(CAST(round(t.score * 10000) AS BIGINT) - CAST(round(c.score * 10000) AS BIGINT)) AS dist
+    WITH x AS (SELECT t.trial, abs(t.score - c.score) AS dist
                FROM cust_trial t JOIN cust_trial c ON t.trial = c.trial AND t.treatment = 1 AND c.treatment = 0),
     m AS (SELECT trial, median(dist) AS med FROM x GROUP BY 1)
-    SELECT x.trial, round(any_value(m.med) / 10000, 6) AS median_distance, round(median(abs(x.dist - m.med)) / 10000, 6) AS caliper
+    SELECT x.trial, round(any_value(m.med), 5) AS median_distance, round(median(abs(x.dist - m.med)), 5) AS caliper
     FROM x JOIN m ON x.trial = m.trial GROUP BY 1""", ["cust_trial"])
 def match_caliper_mad(spark, d):
-    return _r(matching.distance_mad(_trial(spark, d), ["trial"], 1e-4), "median_distance", "caliper")
+    return _r(matching.distance_mad(_trial(spark, d), ["trial"]), "median_distance", "caliper", digits=5)
+
+
+_SCALED = ", ".join(f"({c} - min({c}) OVER t) / (max({c}) OVER t - min({c}) OVER t) AS {c}" for c in COVARIATES)
+
+
+def _escalation_sql() -> str:
+    """Closest pairs at ratios 1 to 4 on the fitted score; the first ratio with at most one covariate beyond 0.1 counts."""
+    parts = [
+        f"scaled AS (SELECT trial, id, treatment, {_SCALED} FROM cust_trial WINDOW t AS (PARTITION BY trial))",
+        sqlmath.logistic("scaled", ["trial"], COVARIATES, "treatment"),
+        f"scored AS MATERIALIZED (SELECT r.*, 1 / (1 + exp(-({_ETA}))) AS ps FROM scaled r JOIN lb ON r.trial = lb.trial)",
+        "gaps AS (SELECT t.trial, abs(t.ps - c.ps) AS gap FROM scored t JOIN scored c ON t.trial = c.trial AND t.treatment = 1 AND c.treatment = 0)",
+        "mid AS (SELECT trial, median(gap) AS med FROM gaps GROUP BY 1)",
+        "cal AS MATERIALIZED (SELECT g.trial, median(abs(g.gap - m.med)) AS caliper FROM gaps g JOIN mid m ON g.trial = m.trial GROUP BY 1)",
+    ]
+    for r in (1, 2, 3, 4):
+        parts.append(re.sub(r"\b(pairs|taken)\b", rf"\g<1>{r}", v.closest_first("scored", "ps", r, "cal")))
+        kept = f"SELECT trial, t_id AS id FROM taken{r} WHERE t_id IS NOT NULL UNION SELECT trial, c_id FROM taken{r} WHERE t_id IS NOT NULL"
+        parts.append(f"rows{r} AS (SELECT s.* FROM scored s JOIN ({kept}) k ON s.trial = k.trial AND s.id = k.id)")
+        long = " UNION ALL ".join(f"SELECT trial, treatment, '{c}' AS covariate, CAST({c} AS DOUBLE) AS x FROM rows{r}" for c in COVARIATES)
+        parts.append(
+            f"smd{r} AS (SELECT trial, covariate, abs(avg(x) FILTER (WHERE treatment = 1) - avg(x) FILTER (WHERE treatment = 0)) / "
+            f"nullif(sqrt((var_samp(x) FILTER (WHERE treatment = 1) + var_samp(x) FILTER (WHERE treatment = 0)) / 2), 0) AS smd FROM ({long}) GROUP BY 1, 2)"
+        )
+        parts.append(
+            f"tried{r} AS (SELECT s.trial, {r} AS ratio, s.unbalanced, p.n_pairs, p.n_treated FROM "
+            f"(SELECT trial, count(CASE WHEN smd > 0.1 THEN 1 END) AS unbalanced FROM smd{r} GROUP BY 1) s JOIN "
+            f"(SELECT trial, count(*) AS n_pairs, count(DISTINCT t_id) AS n_treated FROM taken{r} WHERE t_id IS NOT NULL GROUP BY 1) p ON s.trial = p.trial)"
+        )
+    union = " UNION ALL ".join(f"SELECT * FROM tried{r}" for r in (1, 2, 3, 4))
+    return f"""WITH RECURSIVE {", ".join(parts)}
+        SELECT trial, ratio, unbalanced, CAST(unbalanced <= 1 AS INTEGER) AS balanced, n_pairs, n_treated FROM ({union}) WHERE unbalanced <= 1 OR ratio = 4
+        QUALIFY row_number() OVER (PARTITION BY trial ORDER BY ratio) = 1"""
 
 
-@query("match_ratio_escalation")
+@query("match_ratio_escalation", _escalation_sql(), ["cust_trial"])
 def match_ratio_escalation(spark, d):
     pairs, report = propensity.matched_with_escalation(_trial(spark, d), ["trial"], COVARIATES)
     sizes = pairs.groupBy("trial").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("t_id").alias("n_treated"))
