@@ -72,16 +72,20 @@ def load(path: str) -> bytes:
 
 
 class _Known(dict):
-    """Ids of pieces as packed 32-bit integers, found when first asked for."""
+    """Ids of pieces as packed 32-bit integers, found when first asked for. When full, it starts anew; what the last generation knew is
+    taken over when it is met again, so frequent pieces stay."""
 
     def __init__(self, coder: Encoder):
         super().__init__()
-        self.coder = coder
+        self.coder, self.last = coder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.coder.piece(piece.encode())).tobytes()
+        ids = self.last.pop(piece, None)
+        if ids is None:
+            ids = array("i", self.coder.piece(piece.encode())).tobytes()
         if len(piece) <= 64:
             if len(self) >= CACHE_PIECES:
+                self.last = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
