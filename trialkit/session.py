@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _local_folder(prefix: str) -> str:
+    """A temporary folder of a local run, removed when Python ends."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder; a local temporary one only for local runs."""
     sc = spark.sparkContext
@@ -18,7 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trialkit-checkpoint-"))
+        sc.setCheckpointDir(_local_folder("trialkit-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
@@ -43,7 +52,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if shared:
         return f"{shared.rstrip('/')}/trialkit-{uuid.uuid4().hex}/{name}"
     if spark.sparkContext.master.startswith("local"):
-        return f"{tempfile.mkdtemp(prefix='trialkit-')}/{name}"
+        return f"{_local_folder('trialkit-')}/{name}"
     raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
 
