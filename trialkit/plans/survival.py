@@ -37,31 +37,49 @@ def life_table(
 
 # ---- hazard ratio of the arm -----------------------------------------------------------------------
 
-_BLOCK = 1_000_000
+_FEW = 16
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    shift = sum(1 / (x + k) for k in range(10))
+    y = 1 / (x + 10) ** 2
+    return np.log(x + 10) - 0.5 / (x + 10) - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240))) - shift
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    shift = sum(1 / (x + k) ** 2 for k in range(10))
+    v = 1 / (x + 10)
+    y = v * v
+    return v + y / 2 + v * y * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30))) + shift
+
+
+def _reciprocals(c: np.ndarray, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over l < n of 1 / (c - l d / n) and of its square, for every day; closed forms for days with many deaths."""
+    first, second = np.zeros(len(c)), np.zeros(len(c))
+    few = n <= _FEW
+    for k in range(_FEW):
+        at = few & (n > k)
+        term = 1 / (c[at] - k * d[at] / n[at])
+        first[at] += term
+        second[at] += term * term
+    many, step = ~few, n[~few] / d[~few]
+    z = c[many] * step
+    first[many] = step * (_digamma(z + 1) - _digamma(z - n[many] + 1))
+    second[many] = step**2 * (_trigamma(z - n[many] + 1) - _trigamma(z + 1))
+    return first, second
 
 
 def _efron_terms(beta: float, n0, n1, d0, d1) -> tuple[float, float]:
-    """Score and information of the arm coefficient; tied deaths enter one after the other."""
-    score = information = 0.0
-    d = d0 + d1
-    ties = np.rint(d).astype(np.int64)
+    """Score and information of the arm coefficient; tied deaths enter one after the other. The work grows with the days, not with the deaths."""
     e = np.exp(beta)
-    first = 0
-    bounds = np.cumsum(ties)
-    while first < len(ties):
-        # blocks of days with at most _BLOCK deaths (or a single day)
-        done = bounds[first - 1] if first else 0
-        last = max(int(np.searchsorted(bounds, done + _BLOCK, "right")), first + 1)
-        part = slice(first, last)
-        reps = ties[part]
-        share = (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)) / np.repeat(reps, reps)
-        treated = np.repeat(n1[part], reps) - share * np.repeat(d1[part], reps)
-        control = np.repeat(n0[part], reps) - share * np.repeat(d0[part], reps)
-        p = treated * e / (treated * e + control)
-        score += d1[part].sum() - p.sum()
-        information += (p * (1 - p)).sum()
-        first = last
-    return score, information
+    risk, dying, deaths = n1 * e + n0, d1 * e + d0, np.rint(d0 + d1)
+    # share of the treated arm after l of the deaths: (n1 e - s d1 e) / (risk - s dying) = r + q / (risk - s dying), s = l / deaths
+    r = d1 * e / dying
+    q = n1 * e - r * risk
+    first, second = _reciprocals(risk, dying, deaths)
+    share = deaths * r + q * first
+    square = deaths * r * r + 2 * r * q * first + q * q * second
+    return float((d1 - share).sum()), float((share - square).sum())
 
 
 def _fit_arm(days, steps: int) -> tuple[float | None, float | None, bool]:
