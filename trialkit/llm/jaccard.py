@@ -119,7 +119,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def keys(s: np.ndarray, law: Similarity, common: np.ndarray) -> np.ndarray:
     """Search keys of a set: of each of its bands the first D + 1 words of the sketch in the common order."""
     out = []
-    often = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
+    often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
     kinds = [(0, s[~often]), (1, s[often])]
     for band, size, need in law.bands(len(s)):
         places, values, left = [], [], need
