@@ -404,7 +404,8 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
     rows = members.mapInArrow(unpack, "gid long, one long").distinct().join(classes.select("one", "cid"), "one")
     rows = cut(rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label")))
     counted = rows.groupBy("gid", "label").count().groupBy("gid").agg(F.max_by("label", F.struct("count", "label")).alias("lead"), F.count(F.lit(1)).alias("labels"))
-    groups = cut(rows.join(counted.filter("labels > 1").select("gid", "lead"), "gid").select("lead", "cid", "label").distinct())
+    leads = cut(counted.filter("labels > 1").select("gid", "lead"))
+    groups = cut(rows.join(broadcast_if_small(leads, leads.count(), 48), "gid").select("lead", "cid", "label").distinct())
     sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("label") != F.col("lead")).alias("others")))
     full = groups.join(classes.select("cid", "n", "sketch"), "cid").join(sizes, "lead")
     own = F.collect_list(F.struct("cid", "label", "n", "sketch")).alias("own")
