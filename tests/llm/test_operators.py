@@ -233,6 +233,14 @@ def test_layouts_are_told_apart_by_their_paths_and_read_back(spark):
     assert got[99]["layout"] is None and got[100]["turns"] is None
 
 
+def test_texts_too_long_for_json_are_formatted_all_the_same(spark, monkeypatch):
+    monkeypatch.setattr(chat, "JSON_TEXT", 30)
+    rows = spark.createDataFrame([(1, 0, "user", "short"), (1, 1, "assistant", "long " * 20), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    done = chat.format_records(chat.records_of(rows), given="given").withColumn("back", chat.read_turns(F.col("formatted")))
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in done.collect()}
+    assert got == {1: [("user", "short"), ("assistant", "long " * 20)], 2: [("user", "q")]}
+
+
 def test_escapes_are_undone_exactly(spark):
     rng = random.Random(8)
     parts = ["[", "]", "\\", "/", "INST]", "[INST]", "</s>", "<s>", "OUT]", "X:41]", " ", "a", "<", "s>", "\n"]

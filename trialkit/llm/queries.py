@@ -92,7 +92,7 @@ def op10_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chat_digest(rows: DataFrame) -> DataFrame:
-    done = chat.format_records(chat.records_of(rows)).select("conv_id", "formatted", "mask")
+    done = chat.format_records(chat.records_of(rows), given="given").select("conv_id", "formatted", "mask")
     done = done.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("mask")))
     spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return done.select(
