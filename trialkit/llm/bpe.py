@@ -30,7 +30,7 @@ from trialkit.llm.frames import map_texts
 
 #: fixed value: how byte-level BPE cuts a text before its merges
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 CACHE_PAIRS = 300_000
 _NEVER = 1 << 60
 
@@ -115,6 +115,10 @@ class Encoder:
         self.known = _Known(self)
         self.pairs: dict[int, bool] = {}
 
+    def rest(self) -> None:
+        """Give back what only a running task needs; the worker that holds this may do other work next."""
+        self.known.last = {}
+
     def may_follow(self, a: int, b: int) -> bool:
         """True if encoding the bytes of a and b leaves the border between them."""
         rank, x, y, above_x, above_y = self.rank, a, b, _NEVER, _NEVER
@@ -219,6 +223,7 @@ def encode(docs: DataFrame, path: str, out: str = "bpe", text: str = "text", kee
             rows = [coder.encode(t) for t in texts]
             return {"ids": lists(rows)} | ({"decoded": [coder.decode(r) for r in rows]} if decoded else {})
 
+        run.finish = coder.rest
         return run
 
     return map_texts(docs, T.StructType(fields), make, out, text, keep_text)

@@ -60,5 +60,6 @@ def map_texts(
                 made = pa.StructArray.from_arrays(parts, fields=list(struct))
                 same = [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept]
                 yield pa.RecordBatch.from_arrays([*same, made], names=[*kept, out])
+        getattr(fn, "finish", lambda: None)()
 
     return docs.mapInArrow(run, schema)

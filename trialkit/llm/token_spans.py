@@ -108,5 +108,6 @@ def attribute(docs: DataFrame, path: str, fields: Sequence[str], by_line: Sequen
                     rows.append({"n_tokens": len(ids), "n_outside": int((~own).sum()), "parts": parts})
                 kept = [batch.column(c).slice(i, j - i) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, kind)], names=[*names, out])
+        coder.rest()
 
     return wide.mapInArrow(run, schema)
