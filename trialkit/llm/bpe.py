@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from trialkit.llm.frames import map_texts
+from trialkit.llm.frames import map_texts, resident
 
 #: fixed value: how byte-level BPE cuts a text before its merges
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -190,6 +190,7 @@ def encoder(packed: bytes) -> Encoder:
     """The encoder of a packed vocabulary; one for each Python worker, with its caches."""
     name = hashlib.sha256(packed).hexdigest()
     if name not in _encoders:
+        resident("bpe", _encoders.clear)
         _encoders.clear()
         _encoders[name] = Encoder(packed)
     return _encoders[name]
@@ -226,7 +227,7 @@ def encode(docs: DataFrame, path: str, out: str = "bpe", text: str = "text", kee
         run.finish = coder.rest
         return run
 
-    return map_texts(docs, T.StructType(fields), make, out, text, keep_text)
+    return map_texts(docs, T.StructType(fields), make, out, text, keep_text, keeps="bpe")
 
 
 def decode(df: DataFrame, path: str, ids: str, out: str = "decoded") -> DataFrame:

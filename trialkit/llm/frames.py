@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,9 +37,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
+_resident: dict[str, Callable[[], None]] = {}
+
+
+def resident(name: str, free: Callable[[], None]) -> None:
+    """Tell how to free what a Python worker keeps for later tasks of one kind."""
+    _resident[name] = free
+
+
+def begin_task(keeps: str = "") -> None:
+    """Free what this worker keeps for other kinds of tasks."""
+    for name, free in _resident.items():
+        if name != keeps:
+            free()
+
+
+def end_task() -> None:
+    """Hand free memory back to the system: workers live on, and other processes of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(
     docs: DataFrame, fields: T.StructType, make: Callable[[], TextFunction], out: str, text: str = "text", keep_text: bool = True,
-    limit: int = words.SLICE_BYTES,
+    limit: int = words.SLICE_BYTES, keeps: str = "",
 ) -> DataFrame:
     """Add the struct column `out`. `make` runs once in each task and returns the function that works on slices of documents.
 
@@ -51,6 +75,7 @@ def map_texts(
     struct = to_arrow_type(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(keeps)
         fn = make()
         for batch in batches:
             data, at = words.buffers(batch.column(batch.schema.get_field_index(text)))
@@ -61,5 +86,6 @@ def map_texts(
                 same = [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept]
                 yield pa.RecordBatch.from_arrays([*same, made], names=[*kept, out])
         getattr(fn, "finish", lambda: None)()
+        end_task()
 
     return docs.mapInArrow(run, schema)

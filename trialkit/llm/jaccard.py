@@ -28,14 +28,14 @@ from pyspark.sql import types as T
 
 from trialkit.llm import words
 from trialkit.llm.components import components
-from trialkit.llm.frames import map_texts
+from trialkit.llm.frames import begin_task, end_task, map_texts
 from trialkit.session import broadcast_if_small, cut
 
 SMALL_GROUP = 8
 COMPARE_BLOCK = 256
 KEYS_PER_BUCKET = 250_000
-KEYS_PER_TASK = 1_000_000
-FLUSH_KEYS = 500_000
+KEYS_PER_TASK = 500_000
+FLUSH_KEYS = 250_000
 COMMON_LIMIT = 1_000_000
 COMMON_SLICE = 4 << 20
 _SPREAD = 1.6
@@ -183,6 +183,7 @@ def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Si
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         common = sent.value
         held, owners, n, seen = [], [], 0, set()
 
@@ -227,6 +228,8 @@ def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Si
                     yield from flush()
                     held, owners, n, seen = [], [], 0, set()
         yield from flush()
+        held, owners, seen = [], [], set()
+        end_task()
 
     return docs.select(text).mapInArrow(run, "bucket long, keys binary, texts binary, much long")
 
@@ -297,6 +300,8 @@ def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
             yield rows_of(pairs[lo : lo + 100_000], [])
         for lo in range(0, len(large), 50):
             yield rows_of(pairs[:0], large[lo : lo + 50])
+        parts_k, parts_w, pairs, large = [], [], None, []
+        end_task()
 
     def rows_of(pairs: np.ndarray, groups: list[tuple[int, bytes]]) -> pa.RecordBatch:
         n = len(groups)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trialkit.llm import bpe, words
-from trialkit.llm.frames import small_batches
+from trialkit.llm.frames import end_task, small_batches
 
 PART = T.StructType([
     T.StructField("field", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -109,5 +109,6 @@ def attribute(docs: DataFrame, path: str, fields: Sequence[str], by_line: Sequen
                 kept = [batch.column(c).slice(i, j - i) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, kind)], names=[*names, out])
         coder.rest()
+        end_task()
 
     return wide.mapInArrow(run, schema)
