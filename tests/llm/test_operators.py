@@ -49,6 +49,19 @@ def test_much_shared_keys_lose_no_link(spark, monkeypatch, small, block, num):
     assert sorted(((r[0], r[1], r[2]) for r in got), key=repr) == plain_groups(rows, num)
 
 
+def test_stragglers_meet_all_texts_of_a_key_much_shared_in_one_run(spark):
+    rng, base = random.Random(55), [f"w55x{i}" for i in range(60)]  # numbers for which a link has no other key than much shared ones
+
+    def edited(at):
+        return " ".join([*base[:at], f"e{rng.randrange(10**9)}", *base[at + 1 :]])
+
+    loose = [(i, edited(6 * (i % 9) + 4)) for i in range(54)]
+    stragglers = [(100 + i, edited(at)) for i, at in enumerate((7, 25, 43))]
+    parts = spark.sparkContext.union([spark.sparkContext.parallelize(loose, 1), spark.sparkContext.parallelize(stragglers, 3)])
+    got = jaccard.near_duplicates(spark.createDataFrame(parts, DOCS)).collect()
+    assert sorted(((r[0], r[1], r[2]) for r in got), key=repr) == plain_groups(loose + stragglers)
+
+
 def test_every_linked_pair_shares_a_key():
     rng, law = np.random.default_rng(3), jaccard.Similarity()
     for n in (1, 2, 3, 4, 5, 7, 8, 15, 16, 31, 32, 60, 127, 128, 300, 1000):

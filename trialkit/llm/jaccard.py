@@ -252,7 +252,7 @@ def _star(members: np.ndarray) -> np.ndarray:
 
 
 def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
-    """Pairs (a, b) of texts that share a key, and the members of keys (gid) that more than a few texts share."""
+    """Pairs (a, b) of texts that share a key, and the members of keys (gid) that more than a few texts share, or more than `local` of one run."""
     schema = "a long, b long, gid long, members binary"
 
     def pairs_of(k: np.ndarray, who: np.ndarray, apart: set[int]) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
@@ -273,7 +273,8 @@ def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
         for g in range(2, small + 1):
             rows = who[begin[size == g][:, None] + np.arange(g)]
             found += [rows[:, [x, y]] for x, y in combinations(range(g), 2)]
-        for b, g in zip(begin[size > small].tolist(), size[size > small].tolist(), strict=True):
+        whole = (size > small) | np.isin(k[begin].view(np.int64), np.fromiter(apart, np.int64, len(apart)))  # the rest of a key in `apart` is not here
+        for b, g in zip(begin[whole].tolist(), size[whole].tolist(), strict=True):
             members = who[b : b + g]
             gid = int(k[b].view(np.int64))
             large.setdefault((members.tobytes(), gid if gid in apart else None), gid)  # one key stands for all with the same texts
