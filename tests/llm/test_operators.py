@@ -254,6 +254,21 @@ def test_texts_too_long_for_json_are_formatted_all_the_same(spark, monkeypatch):
     assert got == {1: [("user", "short"), ("assistant", "long " * 20)], 2: [("user", "q")]}
 
 
+def test_conversations_too_large_for_a_variant_are_formatted_all_the_same(spark):
+    """Texts below the limit of one string, together beyond the 128 MB of a variant."""
+    rows = spark.range(9).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("x"), F.lit(16_000_000)).alias("text"))
+    rows = rows.union(spark.createDataFrame([(2, 0, "user", "q")], "conv_id int, turn long, role string, text string"))
+    done = chat.format_records(chat.records_of(rows), given="given").select("conv_id", F.size("turns").alias("n"), F.length("formatted").alias("chars"))
+    assert sorted(tuple(r) for r in done.collect()) == [(1, 9, 7 + 9 * (16_000_000 + 15)), (2, 1, 23)]
+
+
+def test_turns_count_with_their_field_bytes(spark, monkeypatch):
+    monkeypatch.setattr(chat, "JSON_BYTES", 200)
+    rows = spark.createDataFrame([(1, i, "user", "") for i in range(7)] + [(2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["record"] is None, r["given"] is None) for r in chat.records_of(rows).collect()}
+    assert got == {1: (True, False), 2: (False, True)}
+
+
 def test_escapes_are_undone_exactly(spark):
     rng = random.Random(8)
     parts = ["[", "]", "\\", "/", "INST]", "[INST]", "</s>", "<s>", "OUT]", "X:41]", " ", "a", "<", "s>", "\n"]

@@ -19,6 +19,10 @@ MARKS: Mapping[str, str] = {"user": "INST", "assistant": "OUT", "system": "SYS"}
 BEGIN, END = "<s>", "</s>"
 #: the engine's JSON readers take strings of up to 20,000,000 characters; longer texts travel beside the record
 JSON_TEXT = 19_000_000
+#: a variant holds up to 128 MB; conversations beyond about half of that, names of the fields included, travel beside the record
+JSON_BYTES = 60_000_000
+#: what a turn takes in a variant besides its texts, at most
+FIELD_BYTES = 32
 _NAMES = r"(?:INST|OUT|SYS|X:[0-9A-F]*)"
 _TAIL = rf"(/?(?:{_NAMES}\]|s>))"
 ESCAPE = (r"([\[<])(\\*)" + _TAIL, r"$1$2\\$3")
@@ -91,7 +95,7 @@ def fingerprint(record: Column) -> Column:
 
 def to_turns(records: DataFrame, json: str, out: str = "turns", layout: str = "layout") -> DataFrame:
     """Add the canonical turns and the name of the layout. Records of no declared layout, broken JSON and null get null for both:
-    they are reported by that, not dropped; so are records with a string of more than 20,000,000 characters. Null texts are empty, null roles the empty role."""
+    they are reported by that, not dropped; so are records with a string of more than 20,000,000 characters or beyond 128 MB. Null texts are empty, null roles the empty role."""
     parsed = records.withColumn("__v", F.try_parse_json(F.col(json))).withColumn("__f", fingerprint(F.col("__v")))
     turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for known in reversed(LAYOUTS):
@@ -161,7 +165,8 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     """One JSON record for each conversation of a table of turns, in the layout that fits its roles.
 
     Turns are ordered by (turn, role, text), null first; repeated rows stay. A conversation is one record, so it must fit into one row.
-    One with a text too long for JSON has a null record and its canonical turns in the column `given`.
+    One with a text too long for JSON, or with more bytes than a variant surely holds, has a null record and its canonical turns in the
+    column `given`.
     """
     said = rows.select(F.col(key).alias("key"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     told = said.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("t"))
@@ -177,7 +182,8 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
         .when(plain & (F.pmod(F.hash("key"), F.lit(2)) == 0), shared)
         .otherwise(messages)
     )
-    long = F.exists("t", lambda x: F.length(x["text"]) > JSON_TEXT)
+    total = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc + F.octet_length(x["role"]) + F.octet_length(x["text"]) + FIELD_BYTES)
+    long = F.exists("t", lambda x: F.greatest(F.length(x["role"]), F.length(x["text"])) > JSON_TEXT) | (total > JSON_BYTES)
     given = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).cast(TURNS)
     return told.select(F.col("key").alias(key), F.when(~long, record).alias("record"), F.when(long, given).alias("given"))
 
