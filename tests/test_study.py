@@ -53,6 +53,24 @@ def test_whole_study_with_number_and_text_ids(spark, text):
     assert sorted(r["boot_id"] for r in estimates.collect()) == [0, 1, 2]
 
 
+def test_class_estimates_keep_rows_with_follow_up_below_zero_or_none(spark):
+    day = lambda k: START + dt.timedelta(days=k)
+    # patients 0 to 3 are treated, 4 to 7 controls; 1 and 4 have an index date after their last activity, 5 has no activity
+    last = {0: 100, 1: -10, 2: 100, 3: 100, 4: -20, 5: None, 6: 100, 7: 100}
+    hits = {0: 50, 2: 60, 6: 40}
+    kinds = "drug string, boot_id int, ptid long, index_date date, treatment int"
+    matched = spark.createDataFrame([("d", 0, i, START, int(i < 4)) for i in last], kinds)
+    events = spark.createDataFrame([(i, "e", day(k)) for i, k in hits.items()], "ptid long, name string, date date")
+    acted = spark.createDataFrame([(i, None if k is None else day(k)) for i, k in last.items()], "ptid long, last_act_dt date")
+    balance = spark.createDataFrame([("d", 0, 1)], "drug string, boot_id int, unbalanced_covariates int")
+    got = study.class_estimates(matched, events, balance, ["e"], acted).first()
+    assert got["OR_all_day"] == got["OR_180day"] == pytest.approx((2 * 3) / (2 * 1))
+    rate = 2 / ((50 + 60 + 100 - 10) / 365.25) - 1 / ((40 + 100 - 20) / 365.25)
+    assert got["diff_ir_all_day"] == pytest.approx(rate) and got["diff_ir_180day"] == pytest.approx(rate)
+    kept = study.class_estimates(matched, events, balance, ["e"], acted, min_days=0).first()
+    assert kept["n_dropped"] == 3 and kept["OR_all_day"] == pytest.approx((2 * 1) / (1 * 1))
+
+
 def test_fits_that_do_not_settle_say_so(spark):
     separable = spark.createDataFrame([("a", float(i), int(i >= 20)) for i in range(40)], "trial string, x double, y int")
     fit = lambda steps, l2: logistic_coefficients(separable, ["trial"], ["x"], "y", l2=l2, steps=steps).first()["_converged"]

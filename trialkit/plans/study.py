@@ -70,13 +70,22 @@ def estimate_trials(
     return estimates, matched
 
 
-def class_estimates(matched: DataFrame, events: DataFrame, balance_counts: DataFrame, classes: Sequence[str], last: DataFrame, horizon: int = 180) -> DataFrame:
-    """Per drug, draw and event class: odds ratios and incidence rate differences on the matched rows."""
+def class_estimates(
+    matched: DataFrame, events: DataFrame, balance_counts: DataFrame, classes: Sequence[str], last: DataFrame, horizon: int = 180, min_days: int | None = None
+) -> DataFrame:
+    """Per drug, draw and event class: odds ratios and incidence rate differences on the matched rows.
+
+    Every row stays unless `min_days` is given; then `n_dropped` counts those with follow-up below it or without any. Rows without follow-up
+    have no event and add no person-time.
+    """
     flags = outcomes.first_event_after(matched.select("ptid", "index_date"), events, classes, last)
     rows = matched.select(*TRIAL, "ptid", "index_date", "treatment").join(flags.where("class <> 'any'"), ["ptid", "index_date"])
-    rows = rows.where("sae_delta_days >= 0")
     keys = [*TRIAL, "class"]
-    out = None
+    out = dropped = None
+    if min_days is not None:
+        short = F.coalesce(F.col("sae_delta_days") < min_days, F.lit(True))
+        dropped = rows.groupBy(*keys).agg(F.count_if(short).alias("n_dropped"))
+        rows = rows.where(~short)
     for name, days in (("all_day", None), ("180day", horizon)):
         odds = survival.odds_ratio(rows, keys, "sae_delta_days", "sae_flag", horizon=days).select(*keys, F.col("odds_ratio").alias(f"OR_{name}"))
         rates = survival.incidence_rate_difference(rows, keys, "sae_delta_days", "sae_flag", horizon=days).select(
@@ -84,6 +93,8 @@ def class_estimates(matched: DataFrame, events: DataFrame, balance_counts: DataF
         )
         both = odds.join(rates, keys)
         out = both if out is None else out.join(both, keys)
+    if dropped is not None:
+        out = out.join(dropped, keys, "right")
     return out.join(balance_counts.select(*TRIAL, "unbalanced_covariates"), TRIAL)
 
 

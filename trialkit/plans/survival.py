@@ -355,7 +355,7 @@ def incidence_rate_difference(
     """Events per person-year, treated minus control, over all follow-up or the first `horizon` days."""
     days, hit = F.col(time), F.col(event) == 1
     if horizon is not None:
-        hit, days = hit & (days <= horizon), F.least(days, F.lit(horizon))
+        hit, days = hit & (days <= horizon), F.when(days.isNotNull(), F.least(days, F.lit(horizon)))  # least() passes over null
 
     def rate(arm: int) -> Column:
         here = F.col(treat) == arm
