@@ -21,15 +21,19 @@ from trialkit.session import broadcast_if_small, cut, scratch_path  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, learned from the labels of this table, scores below one half."""
+    """Documents that the model, learned from the labels of this table, scores below one half; all, if there was nothing to learn from."""
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
+    if not model.learned:
+        return docs
     out = free_name(docs, "toxicity")
     return toxicity.score(docs, model, out).filter(F.col(out)["score"] < 0.5).select(*docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near enough to a language learned from this table."""
+    """Documents near enough to a language learned from this table; all that have a letter, if no language was learned."""
     model = language.fit(docs, "doc_id", "text", "lang")
+    if not model.langs:
+        return docs.filter(language.has_letter(F.col("text")))
     out = free_name(docs, "language")
     return language.predict(docs, model, out).filter(~F.col(out)["rejected"]).select(*docs.columns)
 

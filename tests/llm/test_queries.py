@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm import tables
 from tools.check import compare, connect
+from trialkit.llm import toxicity
 from trialkit.llm.queries import QUERIES, SQL, vocabulary
 
 GIVEN = "/root/testdata/sf0.001"
@@ -282,6 +284,26 @@ def test_pipeline_stage_by_stage(spark, awkward, tmp_path):
         assert order([r.asDict() for r in docs.collect()], "doc_id", "n_tokens") == sorted(((d, len(plain.encode(t or "").ids)) for d, t in before), key=repr)
 
 
+@pytest.mark.parametrize("labels", [[], [(4, 1, None, "t", 1)], [(d, 1, 1, "t", 1) for d in range(1, 18)]])
+def test_filters_without_anything_to_learn_from_keep_documents(spark, tmp_path, labels):
+    documents = [(d, t, None, *rest) for d, t, _, *rest in tables.awkward_documents()]
+    folder = tables.write(spark, str(tmp_path), documents, [], labels, [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert order([r.asDict() for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()], "doc_id", "text") == sorted(((d[0], d[1]) for d in documents), key=repr)
+    if not labels:
+        want = [(d[0], d[1]) for d in documents if any(c.isalpha() for c in d[1] or "")]
+        assert sorted(docs_of_frame(corpus_pipeline.keep_known_languages(spark, docs, folder)), key=repr) == sorted(want, key=repr)
+
+
+def test_calibration_on_labels_of_one_kind_leaves_margins_as_they_are():
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 2)).astype(np.float32)
+    trees = toxicity.Trees().fit(x, (x[:, 0] > 0.5).astype(float))
+    for label in (0.0, 1.0):
+        score = toxicity.calibrated(trees, x[:5], np.full(5, label))(trees.margin(x))
+        assert ((score > 0.5) == (x[:, 0] > 0.5)).mean() > 0.95
+
+
 def docs_of_frame(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 

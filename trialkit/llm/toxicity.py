@@ -179,6 +179,11 @@ class Model:
     def __init__(self, lexicon: Lexicon, trees: Trees, calibration: Isotonic):
         self.lexicon, self.trees, self.calibration = lexicon, trees, calibration
 
+    @property
+    def learned(self) -> bool:
+        """Whether scores depend on the text at all; without labels of both kinds they do not."""
+        return any((feature >= 0).any() for feature, _, _ in self.trees.trees)
+
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.clip(self.calibration(self.trees.margin(self.lexicon.features(data, at))), 0, 1)
 
@@ -235,7 +240,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     x = np.stack([np.frombuffer(b, np.float32) for b in made["x"]]) if len(made) else np.zeros((0, len(FEATURES)), np.float32)
     y, held = made["y"].to_numpy(float), made["part"].to_numpy() >= 16
     trees = Trees().fit(x[~held], y[~held])
-    return Model(lexicon, trees, Isotonic(trees.margin(x[held]), y[held]) if trees.trees else Isotonic(np.zeros(0), np.zeros(0)))
+    return Model(lexicon, trees, calibrated(trees, x[held], y[held]))
+
+
+def calibrated(trees: Trees, x: np.ndarray, y: np.ndarray) -> Isotonic:
+    """Labels of one kind would give every text the same score, so margins count as they are then."""
+    if not trees.trees or not len(y) or y.min() == y.max():
+        return Isotonic(np.zeros(0), np.zeros(0))
+    return Isotonic(trees.margin(x), y)
 
 
 def score(docs: DataFrame, model, out: str = "toxicity", text: str = "text", keep_text: bool = True) -> DataFrame:
