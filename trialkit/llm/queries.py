@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialkit.llm import bpe, chat, decontamination, jaccard, language, quality_model, quality_rules, sharding, token_spans, toxicity
+from trialkit.llm import bpe, chat, decontamination, jaccard, language, merkle, packing, prefix_trie, quality_model, quality_rules, sharding, token_spans, toxicity
+from trialkit.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,3 +170,60 @@ def op8_token_spans(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_spans.attribute(docs, vocabulary(), ["source", "lang", "text"], by_line=["text"]).select("doc_id", "tokens")
     parts = counted.select("doc_id", F.col("tokens")["n_tokens"].alias("doc_tokens"), F.col("tokens")["n_outside"].alias("n_outside"), F.explode("tokens.parts").alias("p"))
     return parts.select("doc_id", "doc_tokens", "n_outside", "p.*")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents; claims are rows as somebody hands them back, every fifth of them with lower-cased text."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(remainder(5) == 0, F.lit(False))
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    claim = F.when(tampered, merkle.leaf_digest([*fields[:-1], lowered]))
+    found = merkle.proofs(merkle.build(table(spark, folder, "documents"), fields, carry={"claim": claim}))
+    folded = merkle.fold(F.coalesce("claim", "leaf"), F.col("path"))
+    out = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: vocabulary of the packing query
+WORD_VOCABULARY = "word_bpe_49k.json"
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_VOCABULARY)
+
+
+@query
+def op12_least_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), word_vocabulary())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def branched(turns: DataFrame, families: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Conversations rebuilt as branches: the first h turns of the family's first conversation, then the conversation's own turns after its first h.
+
+    h is CRC-32 of the id modulo 4. Returns the turns and the lengths. Turns meet the length of their branch by id and block of 4,096 turns, so a very long
+    conversation is spread.
+    """
+    h = (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).alias("h")
+    turns = cut(turns.withColumn("h", h))
+    sizes = cut(turns.groupBy("conv", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.col("conv") - F.col("conv") % families))
+    heads = turns.filter((F.col("conv") % families == 0) & (F.col("place") < 3)).select(F.col("conv").alias("base"), "place", "x", "y", "words")
+    copied = cut(sizes.select("conv", "h", "base").join(heads, "base").filter("place < h").select("conv", "place", "x", "y", "words"))
+    taken = copied.groupBy("conv").agg(F.count(F.lit(1)).alias("taken"))
+    lengths = cut(sizes.join(taken, "conv", "left").select("conv", "h", "n", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")))
+    block = F.floor(F.col("place") / prefix_trie.CHUNK).alias("block")
+    spread = lengths.select("conv", "taken", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / prefix_trie.CHUNK))).alias("block"))
+    own = turns.filter("place >= h").withColumn("block", block).join(spread, ["conv", "block"])
+    kept = own.select("conv", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "x", "y", "words")
+    return kept.unionByName(copied), lengths.select("conv", (F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(*branched(prefix_trie.turns_of(rows))).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
