@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialkit.llm import words
-from trialkit.llm.frames import begin_task, end_task, small_batches
+from trialkit.llm.frames import begin_task, end_task, resident, small_batches
 from trialkit.session import broadcast_if_small, cut
 
 WINDOW = 2048
 END_ID = 1
-CACHE_IDS = 4_000_000
+#: what a worker remembers of runs seen
+CACHE_IDS = 8_000_000
+CACHE_RUNS = 1_000_000
+_EXACT = 0x5851F42D4C957F2D
 BATCH_PIECES = 8192
 SWEEPS = 30
 #: pieces of the shorter length in a combination
@@ -40,7 +44,8 @@ REPEATS = 3
 class _Runs:
     """Ids of runs of characters between blanks, by the tokenizers library; known runs are looked up by their 64-bit hash.
 
-    The vocabulary's rules drop white space and never look across it, so the ids of a text are those of its runs, one after the other.
+    The vocabulary's rules drop white space and never look across it, so the ids of a text are those of its runs, one after the other. Where the rules lower
+    the case, runs that differ in the case of A-Z only are one; not so in slices that hold a special token, which is found before the case is lowered.
     """
 
     def __init__(self, path: str):
@@ -50,6 +55,9 @@ class _Runs:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        rules = self.tokenizer.normalizer
+        self.lowers = rules is not None and rules.normalize_str("A") == "a"
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -59,7 +67,7 @@ class _Runs:
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         while len(self.at) + len(found) + 1 > len(self.ends):
@@ -72,16 +80,21 @@ class _Runs:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents one after the other, and the number of ids of each."""
-        if self.used > CACHE_IDS:
+        if self.used > CACHE_IDS or len(self.at) > CACHE_RUNS:
             self._clear()
-        found = words.split(data, offsets, words.BLANKS)
-        unique, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
-        hashes = unique.tolist()
-        missing = [k for k, h in enumerate(hashes) if h not in self.at]
-        if missing:
-            raw, starts, ends = data.tobytes() if data.nbytes < 2 * words.SLICE_BYTES else data, found.start[first], found.end[first]
-            self._learn([hashes[k] for k in missing], [bytes(raw[starts[k] : ends[k]]).decode("utf-8", "replace") for k in missing])
-        run = np.fromiter((self.at[h] for h in hashes), np.int64, len(hashes))[inverse]
+        base = int(offsets[0])
+        raw = data[base : int(offsets[-1])].tobytes()
+        exact = not self.lowers or any(t in raw for t in self.special)
+        found = words.split(data, offsets, words.BLANKS if exact else words.BLANKS_LOWER)
+        keys = found.hash ^ np.uint64(_EXACT if exact else 0)
+        run = np.fromiter(map(self.at.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(run < 0)
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            places = missing[first]
+            spans = zip((found.start[places] - base).tolist(), (found.end[places] - base).tolist())
+            self._learn(new.tolist(), [raw[lo:hi].decode("utf-8", "replace") for lo, hi in spans])
+            run[missing] = np.fromiter(map(self.at.get, keys[missing].tolist()), np.int64, len(missing))
         sizes = self.ends[run + 1] - self.ends[run]
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
@@ -89,6 +102,18 @@ class _Runs:
         return ids, words.per_document(sizes, found.first)
 
 
+_held: dict[str, _Runs] = {}
+resident("packing", _held.clear)
+
+
+def _runs(path: str) -> _Runs:
+    """The worker's cache; tasks of this kind that follow go on with it."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = _Runs(path)
+    return _held[path]
+
+
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(len(ids) + len(counts), end_id, np.uint32)
     keep = np.ones(len(out), bool)
@@ -119,8 +144,8 @@ def pieces(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task()
-        runs, seen, part = _Runs(tokenizer), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
+        begin_task("packing")
+        runs, seen, part = _runs(tokenizer), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             data, at = words.buffers(batch.column(1))
             for i, j in words.slices(at):
