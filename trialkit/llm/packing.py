@@ -11,11 +11,13 @@ size of the plan follows the window, not the corpus.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -41,9 +43,28 @@ REPEATS = 3
 # ---- tokens
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others by order from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
+#: every letter and mark of plain words; the shortcut is taken only if it agrees with the rules on all of these
+_PROBES = [f"{x}{y}n{x}{mark}" for y in "ae" for x in "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])) for mark in ("", *".,;:!?", "...", "?!")]
+
+
+def _bytewise(part: str) -> str:
+    return part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+
+
 class _Runs:
     """Ids of runs of characters between blanks, by the tokenizers library; known runs are looked up by their 64-bit hash.
 
+    Runs of plain letters with marks behind them go to the merges directly, if that agrees with the rules on probes of every such letter and mark.
+
     The vocabulary's rules drop white space and never look across it, so the ids of a text are those of its runs, one after the other. Where the rules lower
     the case, runs that differ in the case of A-Z only are one; not so in slices that hold a special token, which is found before the case is lowered.
     """
@@ -58,15 +79,42 @@ class _Runs:
         rules = self.tokenizer.normalizer
         self.lowers = rules is not None and rules.normalize_str("A") == "a"
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = all(self._by_model(w) == self._by_rules([w])[0] for w in _PROBES)
         self._clear()
 
+    def _by_rules(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _by_model(self, text: str) -> list[int]:
+        """Ids of letters and of the punctuation after them, each as one piece for the merges."""
+        found = _PLAIN.fullmatch(text)
+        return [t.id for part in found.groups() if part for t in self.tokenizer.model.tokenize(_bytewise(part))]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Plain words go straight to the merges, everything else through all rules."""
+        out: list = [None] * len(texts)
+        if self.plain:
+            parts: dict[str, list[int]] = {}
+            tokenize = self.tokenizer.model.tokenize
+            for k, text in enumerate(texts):
+                if found := _PLAIN.fullmatch(text.lower() if self.lowers else text):
+                    word, mark = found.groups()
+                    for part in (word, mark):
+                        if part not in parts:
+                            parts[part] = [t.id for t in tokenize(_bytewise(part))] if part else []
+                    out[k] = parts[word] + parts[mark] if mark else parts[word]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._by_rules([texts[k] for k in rest])):
+            out[k] = ids
+        return out
+
     def _clear(self) -> None:
         self.at: dict[int, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.ends = np.zeros(1 << 12, np.int64)
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self._ids(texts)
         flat = np.fromiter(chain.from_iterable(found), np.uint32)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
@@ -87,14 +135,17 @@ class _Runs:
         exact = not self.lowers or any(t in raw for t in self.special)
         found = words.split(data, offsets, words.BLANKS if exact else words.BLANKS_LOWER)
         keys = found.hash ^ np.uint64(_EXACT if exact else 0)
-        run = np.fromiter(map(self.at.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
-        missing = np.flatnonzero(run < 0)
+        codes, unique = pd.factorize(keys)
+        known = np.fromiter(map(self.at.get, unique.tolist(), repeat(-1)), np.int64, len(unique))
+        missing = np.flatnonzero(known < 0)
         if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
-            places = missing[first]
+            first = np.empty(len(unique), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            places = first[missing]
             spans = zip((found.start[places] - base).tolist(), (found.end[places] - base).tolist())
-            self._learn(new.tolist(), [raw[lo:hi].decode("utf-8", "replace") for lo, hi in spans])
-            run[missing] = np.fromiter(map(self.at.get, keys[missing].tolist()), np.int64, len(missing))
+            known[missing] = len(self.at) + np.arange(len(missing))
+            self._learn(unique[missing].tolist(), [raw[lo:hi].decode("utf-8", "replace") for lo, hi in spans])
+        run = known[codes]
         sizes = self.ends[run + 1] - self.ends[run]
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
