@@ -16,7 +16,7 @@ only if the links found do not join them all, block by block among those still a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -175,7 +175,10 @@ def _common(slices: DataFrame) -> np.ndarray:
 
 
 def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Similarity, bits: int, common: np.ndarray, local: int) -> DataFrame:
-    """(bucket, keys, texts, much): packed search keys and the texts that have them. A copy of a text met before in the same run adds nothing.
+    """(bucket, keys, texts, marks, much): packed search keys, the texts that have them and the marks of these. A copy of a text met before in the same run adds nothing.
+
+    The mark of a text says which of its keys is the least in an order that all texts share. Texts with equal marks share that key, so they are paired there
+    and nowhere else: how often a pair is sent does not follow the number of keys that it shares.
 
     A key that more than `local` texts of one run share stands in a row of its own, with `much` the key and all its texts; only its leading
     texts are packed with the others. So what meets in one task for a key of very many texts is a few of each run.
@@ -185,33 +188,33 @@ def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Si
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
         common = sent.value
-        held, owners, n, seen = [], [], 0, set()
+        held, owners, marked, n, seen = [], [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not n:
                 return
-            k, who = np.concatenate(held), np.concatenate(owners)
+            k, who, mark = np.concatenate(held), np.concatenate(owners), np.concatenate(marked)
             order = np.argsort(k, kind="stable")
-            k, who = k[order], who[order]
+            k, who, mark = k[order], who[order], mark[order]
             begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.concatenate([begin, [len(k)]]))
             stays = np.ones(len(k), bool)
             for b, g in zip(begin[size > local].tolist(), size[size > local].tolist(), strict=True):
                 members = who[b : b + g]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(k[b] >> _U(64 - bits))], pa.int64()), pa.nulls(1, pa.binary()), pa.array([members.tobytes()], pa.binary()), pa.array(_short(k[b : b + 1], bits).view(np.int64))],
-                    names=["bucket", "keys", "texts", "much"],
+                    [pa.array([int(k[b] >> _U(64 - bits))], pa.int64()), pa.nulls(1, pa.binary()), pa.array([members.tobytes()], pa.binary()), pa.array([_six(mark[b : b + g]).tobytes()], pa.binary()), pa.array(_short(k[b : b + 1], bits).view(np.int64))],
+                    names=["bucket", "keys", "texts", "marks", "much"],
                 )
                 stays[b : b + g] = np.isin(members, _leaders(members))
-            k, who = k[stays], who[stays]
+            k, who, mark = k[stays], who[stays], _six(mark[stays])
             bucket = (k >> _U(64 - bits)).astype(np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(k)]])
-            low = np.ascontiguousarray(k).view(np.uint8).reshape(-1, 8)[:, :6]
+            low = _six(k)
             for lo in range(0, len(cuts) - 1, 64):  # a few MB at a time
                 runs = [(int(x), int(y)) for x, y in zip(cuts[lo : lo + 64], cuts[lo + 1 : lo + 65], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[x]) for x, _ in runs], pa.int64()), pa.array([low[x:y].tobytes() for x, y in runs], pa.binary()), pa.array([who[x:y].tobytes() for x, y in runs], pa.binary()), pa.nulls(len(runs), pa.int64())],
-                    names=["bucket", "keys", "texts", "much"],
+                    [pa.array([int(bucket[x]) for x, _ in runs], pa.int64()), pa.array([low[x:y].tobytes() for x, y in runs], pa.binary()), pa.array([who[x:y].tobytes() for x, y in runs], pa.binary()), pa.array([mark[x:y].tobytes() for x, y in runs], pa.binary()), pa.nulls(len(runs), pa.int64())],
+                    names=["bucket", "keys", "texts", "marks", "much"],
                 )
 
         for batch in batches:
@@ -223,15 +226,16 @@ def _emit_keys(docs: DataFrame, text: str, size: int, codes: np.ndarray, law: Si
                         k = keys(s, law, common)
                         held.append(k)
                         owners.append(np.full(len(k), who[0], np.int64))
+                        marked.append(np.full(len(k), _mark(_short(k, bits)).min()))
                         n += len(k)
                 if n >= FLUSH_KEYS:
                     yield from flush()
-                    held, owners, n, seen = [], [], 0, set()
+                    held, owners, marked, n, seen = [], [], [], 0, set()
         yield from flush()
-        held, owners, seen = [], [], set()
+        held, owners, marked, seen = [], [], [], set()
         end_task()
 
-    return docs.select(text).mapInArrow(run, "bucket long, keys binary, texts binary, much long")
+    return docs.select(text).mapInArrow(run, "bucket long, keys binary, texts binary, marks binary, much long")
 
 
 def _short(k: np.ndarray, bits: int) -> np.ndarray:
@@ -239,69 +243,93 @@ def _short(k: np.ndarray, bits: int) -> np.ndarray:
     return k & _U((1 << 48) - 1) | (k >> _U(64 - bits) & _U(0xFFFF)) << _U(48)
 
 
+def _mark(k: np.ndarray) -> np.ndarray:
+    """The place of a packed key in the order by which a text's least key is found (48 bits)."""
+    return words.mix(k + _salt(29)) >> _U(16)
+
+
+def _six(values: np.ndarray) -> np.ndarray:
+    """The low six bytes of each number, one number per row."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _whole(packed: pa.Scalar) -> np.ndarray:
+    """Numbers from their low six bytes."""
+    low = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, 6)
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, :6] = low
+    return full.view(np.uint64)[:, 0]
+
+
 def _leaders(members: np.ndarray) -> np.ndarray:
     """Three of the texts, the least in three orders that all keys share."""
     return np.unique([members[np.argmin(words.mix(members.view(np.uint64) + _salt(salt)))] for salt in (17, 19, 23)])
 
 
-def _star(members: np.ndarray) -> np.ndarray:
-    """Pairs of each text with the leaders."""
+def _star(members: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Pairs with the leaders of each text that has its least key here."""
     lead = _leaders(members)
+    members = members[own]
     pairs = np.stack([np.repeat(members, len(lead)), np.tile(lead, len(members))], axis=1)
     return np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
 
 
 def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
-    """Pairs (a, b) of texts that share a key, and the members of keys (gid) that more than a few texts share, or more than `local` of one run."""
+    """Pairs (a, b) of texts that share a key, and the members of keys (gid) that more than a few texts share, or more than `local` of one run.
+
+    Texts with equal marks are paired at the key of the mark only. At a key that many share a text is paired with the leaders if it is the text's own mark.
+    """
     schema = "a long, b long, gid long, members binary"
 
-    def pairs_of(k: np.ndarray, who: np.ndarray, apart: set[int]) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    def pairs_of(k: np.ndarray, who: np.ndarray, mark: np.ndarray, apart: set[int]) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
         if len(k) < 2:
             return np.zeros((0, 2), np.int64), []
         order = np.argsort(k)
-        k, who = k[order], who[order]
+        k, who, mark = k[order], who[order], mark[order]
         equal = k[1:] == k[:-1]
         shared = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
-        k, who = k[shared], who[shared]
+        k, who, mark = k[shared], who[shared], mark[shared]
         order = np.lexsort((who, k))
-        k, who = k[order], who[order]
+        k, who, mark = k[order], who[order], mark[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (who[1:] != who[:-1])]) if len(k) else np.zeros(0, bool)
-        k, who = k[new], who[new]
+        k, who, mark = k[new], who[new], mark[new]
+        least = _mark(k) == mark
         begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([begin, [len(k)]]))
         found, large = [np.zeros((0, 2), np.int64)], {}
         for g in range(2, small + 1):
-            rows = who[begin[size == g][:, None] + np.arange(g)]
-            found += [rows[:, [x, y]] for x, y in combinations(range(g), 2)]
+            at = begin[size == g][:, None] + np.arange(g)
+            for x, y in combinations(range(g), 2):
+                here = (mark[at[:, x]] != mark[at[:, y]]) | least[at[:, x]]
+                found.append(who[at[here][:, [x, y]]])
         whole = (size > small) | np.isin(k[begin].view(np.int64), np.fromiter(apart, np.int64, len(apart)))  # the rest of a key in `apart` is not here
         for b, g in zip(begin[whole].tolist(), size[whole].tolist(), strict=True):
             members = who[b : b + g]
             gid = int(k[b].view(np.int64))
             large.setdefault((members.tobytes(), gid if gid in apart else None), gid)  # one key stands for all with the same texts
-            found.append(_star(members))
+            found.append(_star(members, least[b : b + g]))
             if len(found) > 512:
                 found = [np.unique(np.concatenate(found), axis=0)]
         return np.unique(np.concatenate(found), axis=0), [(g, m) for (m, _), g in large.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_k, parts_w, apart = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], set()
+        parts_k, parts_w, parts_m, apart = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], set()
         for batch in batches:
-            for bucket, packed_keys, who, much in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for bucket, packed_keys, who, mark, much in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3)], batch.column(4).to_pylist(), strict=True):
                 if much is not None:
                     apart.add(much)
-                    yield rows_of(_star(np.frombuffer(who.as_buffer(), np.int64)), [(much, who.as_py())])
+                    own = _whole(mark) == _mark(np.array([much]).view(np.uint64))
+                    yield rows_of(_star(np.frombuffer(who.as_buffer(), np.int64), own), [(much, who.as_py())])
                     continue
-                low = np.frombuffer(packed_keys.as_buffer(), np.uint8).reshape(-1, 6)
-                full = np.zeros((len(low), 8), np.uint8)
-                full[:, :6] = low
-                parts_k.append(full.view(np.uint64)[:, 0] | _U((bucket & 0xFFFF) << 48))
+                parts_k.append(_whole(packed_keys) | _U((bucket & 0xFFFF) << 48))
                 parts_w.append(np.frombuffer(who.as_buffer(), np.int64).copy())
-        pairs, large = pairs_of(np.concatenate(parts_k), np.concatenate(parts_w), apart)
+                parts_m.append(_whole(mark))
+        pairs, large = pairs_of(np.concatenate(parts_k), np.concatenate(parts_w), np.concatenate(parts_m), apart)
         for lo in range(0, len(pairs), 100_000):
             yield rows_of(pairs[lo : lo + 100_000], [])
         for lo in range(0, len(large), 50):
             yield rows_of(pairs[:0], large[lo : lo + 50])
-        parts_k, parts_w, pairs, large = [], [], None, []
+        parts_k, parts_w, parts_m, pairs, large = [], [], [], None, []
         end_task()
 
     def rows_of(pairs: np.ndarray, groups: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -413,7 +441,7 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
     leads = cut(counted.filter("labels > 1").select("gid", "lead"))
     groups = cut(rows.join(broadcast_if_small(leads, leads.count(), 48), "gid").select("lead", "cid", "label").distinct())
     sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("label") != F.col("lead")).alias("others")))
-    full = groups.join(classes.select("cid", "n", "sketch"), "cid").join(sizes, "lead")
+    full = groups.join(classes.select("cid", "n", "sketch"), "cid").join(broadcast_if_small(sizes, sizes.count(), 48), "lead")
     own = F.collect_list(F.struct("cid", "label", "n", "sketch")).alias("own")
     pairs = full.filter(F.col("size") <= COMPARE_BLOCK).groupBy("lead").agg(own).mapInArrow(within, "a long, b long")
     if sizes.filter(F.col("size") > COMPARE_BLOCK).limit(1).count():
@@ -429,20 +457,21 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 75, den: int = 100,
-    codes: np.ndarray = words.BLANKS_LOWER, small: int = SMALL_GROUP,
+    codes: np.ndarray = words.BLANKS_LOWER, small: int = SMALL_GROUP, keep: Sequence[str] = (), group: str | None = None,
 ) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: the size of the set of distinct word shingles, and the smallest key that
+    """(key, columns of `keep`, n_shingles, component_id) of every row: the size of the set of distinct word shingles, and the smallest key that
     links of similarity num/den or more reach, the row itself included.
 
     Words are those between ASCII blanks, with A-Z lower-cased. Texts with fewer words than a shingle have one shingle of all their words; null
     texts and texts without words have an empty set and link with nothing, not even each other. Equal sets are one class from the first
     step on, however many copies there are. A null key never names a component unless all its members have none. Repeated rows
-    come out as often as they came in. Long texts are read whole. No rows in, no rows out.
+    come out as often as they came in. Long texts are read whole. No rows in, no rows out. Where a key stands on several texts, one component_id may name
+    several components; the column `group`, if asked for, has a number of its own for each (null for empty sets).
     """
     law = Similarity(num, den)
-    docs = docs.select(key, text)
+    docs = docs.select(key, *keep, text)
     signed = map_texts(docs, SIGNATURE, _signatures(shingle, codes), "__s", text, keep_text=False, limit=COMMON_SLICE)
-    signed = cut(signed.select(F.col(key), "__s.*"))
+    signed = cut(signed.select(key, *keep, "__s.*"))
     common = _common(signed.filter("common IS NOT NULL").select("common"))
     grouped = signed.filter("n > 0").groupBy("one", "two").agg(F.min(key).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()).withColumn("row", F.xxhash64("first")))
@@ -459,8 +488,9 @@ def near_duplicates(
         labels = components(links)
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid")
     smallest = named.groupBy("label").agg(F.min("first").alias("smallest"))
-    joined = named.join(smallest, "label").select("cid", "smallest")
-    final = classes.join(joined, "cid", "left").select("one", "two", F.coalesce("smallest", "first").alias("component_id"))
+    joined = named.join(smallest, "label").select("cid", "smallest", "label")
+    number = [] if group is None else [F.coalesce("label", "cid").alias(group)]
+    final = classes.join(joined, "cid", "left").select("one", "two", F.coalesce("smallest", "first").alias("component_id"), *number)
     return signed.join(final, ["one", "two"], "left").select(
-        key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"),
+        key, *keep, *([] if group is None else [group]), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"),
     )
