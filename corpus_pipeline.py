@@ -39,21 +39,28 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; repeated rows of it count as copies.
+    """Of each group of near duplicates one document: that with the smallest doc_id (one without an id comes last), of several the text with the least digest.
 
-    Documents with an empty set of shingles belong to no group and stay. The ids to drop are sent to all tasks while they are few, else
-    the texts meet them by a shuffle. Rows without an id are left alone.
+    Documents go by id and text together, so an id that stands on several texts loses only the copies among them. Rows with equal id and text
+    count as copies; the least of their other columns stay. Documents with an empty set of shingles belong to no group and stay. What is to be dropped
+    is sent to all tasks while it is small, else the texts meet it by a shuffle.
     """
-    grouped = cut(jaccard.near_duplicates(docs))
-    dropped = grouped.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(dropped, grouped.filter("doc_id <> component_id").count(), 48), "doc_id", "left_anti")
-    again = cut(grouped.filter("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    row, group = free_name(docs, "row"), free_name(docs, "group")
+    docs = docs.withColumn(row, F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))
+    grouped = cut(jaccard.near_duplicates(docs, keep=[row], group=group).filter("n_shingles > 0").select("doc_id", row, group))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    best = cut(grouped.groupBy(group).agg(F.min_by(row, order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(group, "best"))
+    shared = grouped.join(broadcast_if_small(best, best.count(), 160), group)
+    dropped = cut(shared.filter(F.col(row) != F.col("best")).select(row).distinct())
+    again = cut(shared.filter(F.col(row) == F.col("best")).groupBy(row).count().filter("count > 1").select(row))
+    columns = [c for c in docs.columns if c != row]
+    kept = docs.join(broadcast_if_small(dropped, dropped.count(), 128), row, "left_anti")
     repeated = again.count()
     if not repeated:
-        return kept.select(*docs.columns)
-    ids = broadcast_if_small(again, repeated, 48)
-    single = kept.join(ids, "doc_id", "left_semi").select(*docs.columns).groupBy("doc_id").agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"])
-    return kept.join(ids, "doc_id", "left_anti").select(*docs.columns).union(single.select(*docs.columns))
+        return kept.select(*columns)
+    near = broadcast_if_small(again, repeated, 128)
+    single = kept.join(near, row, "left_semi").groupBy(row).agg(F.min(F.struct(*columns)).alias("one")).select("one.*")
+    return kept.join(near, row, "left_anti").select(*columns).unionByName(single.select(*columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
