@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialkit.session import cut
+from trialkit.session import cut, settle
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,7 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         around = edges.join(labels, edges["v"] == labels["node"]).groupBy(F.col("u").alias("n")).agg(F.min("label").alias("near"))
         lower = labels.join(around, labels["node"] == around["n"]).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        moved = cut(lower.join(jump, F.col("low") == F.col("at"), "left").select("node", F.coalesce("next", "low").alias("next"), F.col("label").alias("old")))
+        moved = settle(lower.join(jump, F.col("low") == F.col("at"), "left").select("node", F.coalesce("next", "low").alias("next"), F.col("label").alias("old")))
         changed = moved.filter("next <> old").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialkit.llm.numbering import numbered
-from trialkit.session import broadcast_if_small, cut
+from trialkit.session import broadcast_if_small, cut, settle
 
 CHUNK = 4096
 TASK_NODES = 10_000
@@ -216,7 +216,7 @@ def subtree_sums(nodes: DataFrame, prefixes: DataFrame, task_nodes: int = TASK_N
             "weight": F.col("weight") - F.when(path & ~centroid, F.col("cweight")).otherwise(0),
             "la": F.when(F.col("under"), F.col("sa")).otherwise(F.col("la")), "lb": F.when(F.col("under"), F.col("sb")).otherwise(F.col("lb")),
         })
-        split = cut(added.select(*columns, centroid.alias("gone")))
+        split = settle(added.select(*columns, centroid.alias("gone")))
         finished.append(split.filter("gone").select("a", "b", "leaves", "saved"))
         state = split.filter("NOT gone").drop("gone")
     rest = cut(reduce(DataFrame.unionByName, small))
