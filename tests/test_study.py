@@ -78,3 +78,26 @@ def test_fits_that_do_not_settle_say_so(spark):
     rows = spark.createDataFrame(simulated(0.7, 200).assign(trial=1))
     assert survival.hazard_ratio(rows, ["trial"], "d_delta_days", "d_flag", steps=1).first()["converged"] is False
     assert survival.hazard_ratio(rows, ["trial"], "d_delta_days", "d_flag").first()["converged"] is True
+
+
+def test_trials_in_tasks_and_by_steps_give_the_same_estimates(spark):
+    rows = pd.concat([simulated(e, 400, seed=20 + k).assign(drug="d", boot_id=k) for k, e in enumerate((0.6, -0.4))])
+    rows["x"] = rows["x"].where(np.arange(len(rows)) % 7 > 0).round(1)  # gaps and equal values
+    rows["same"], rows["none"] = 0.1, np.nan
+    rows.loc[rows.index % 50 == 0, "d_delta_days"] = -3
+    frame = spark.createDataFrame(rows.astype({"none": float}))
+    frame = frame.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "none")})
+    strata = {"low": F.col("z") < 0, "high": F.col("z") >= 0, "few": F.col("z") > 2.2, "all": F.lit(True), "nobody": F.lit(False)}
+    for parts in (None, strata):
+        keys = ["drug", "boot_id", *(["stratum"] if parts else [])]
+        found = {}
+        for size in (200_000, 0):
+            estimates, matched = study.estimate_trials(frame, ["x", "z", "same", "none"], strata=parts, task_rows=size)
+            found[size] = (estimates.toPandas().sort_values(keys).reset_index(drop=True), sorted(map(tuple, matched.select(*keys, "id").collect())))
+        (a, ids), (b, others) = found.values()
+        assert ids == others and len(ids) > 200
+        assert a[keys].equals(b[keys]) and len(a) == (8 if parts else 2)
+        for c in study._ESTIMATES:
+            np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-6)
+        for c in study._COUNTS:
+            assert a[c].astype("Int64").equals(b[c].astype("Int64")), c

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: spread in units of the mean that counts as none
+NO_SPREAD = 1e-9
+
+
 def _pairs(cols: Sequence[str], value) -> Column:
     return F.array(*[F.struct(F.lit(c).alias("covariate"), value(c).alias("smd")) for c in cols])
 
@@ -40,7 +44,9 @@ def standardized_differences(df: DataFrame, keys: Sequence[str], cols: Sequence[
 
     def smd(c: str) -> Column:
         (m1, v1), (m0, v0) = moments(c, 1), moments(c, 0)
-        return F.try_divide(F.abs(m1 - m0), F.sqrt((v1 + v0) / 2))
+        spread = F.sqrt((v1 + v0) / 2)
+        known = spread > NO_SPREAD * F.greatest(F.abs(m1), F.abs(m0))  # below that it is the rounding of a column of one value
+        return F.when(known, F.abs(m1 - m0) / spread)
 
     return wide.select(*keys, F.explode(_pairs(cols, smd)).alias("_b")).select(*keys, "_b.covariate", "_b.smd")
 

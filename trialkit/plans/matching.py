@@ -67,7 +67,7 @@ def _round_pairs(score: np.ndarray, treated: np.ndarray, caliper: float) -> tupl
     return left[ok], right[ok]
 
 
-def _match_sorted(ids, score, treated, caliper, ratio):
+def match_sorted(ids, score, treated, caliper, ratio):
     """Pairs (treated id, control id, distance, pass) of one trial, rows already in order."""
     free = np.ones(len(ids), bool)
     open_treated = treated.copy()
@@ -108,7 +108,7 @@ def _match_in_tasks(rows: DataFrame, keys: list[str], ratio: int) -> DataFrame:
     def per_trial(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "_arm", "_tie", "id"], kind="stable")
         caliper = pdf["caliper"].iloc[0]
-        found = _match_sorted(
+        found = match_sorted(
             pdf["id"].to_numpy(), pdf["score"].to_numpy(), pdf["treatment"].to_numpy() == 1,
             np.inf if pd.isna(caliper) else caliper, ratio,
         )

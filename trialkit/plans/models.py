@@ -11,11 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialkit.functions.normal import logit
-from trialkit.session import broadcast_if_small, cut
+from trialkit.session import broadcast_if_small, cut, settle
 from trialkit.sources.tables import reuse
 
 
@@ -33,11 +34,22 @@ def _design(df: DataFrame, keys: Sequence[str], features: Sequence[str], label:
     return df.where(complete).select(group.alias("_g"), *x, F.col(label).cast("double").alias("_y"), w.alias("_w"))
 
 
-def _sum_by_position(parts: DataFrame) -> DataFrame:
-    """Add arrays of equal length per group: (_g, _sums)."""
-    flat = parts.select("_g", F.posexplode("_sums").alias("_p", "_v")).groupBy("_g", "_p").agg(F.sum("_v").alias("_v"))
-    ordered = F.array_sort(F.collect_list(F.struct("_p", "_v")))  # one entry per coefficient pair
-    return flat.groupBy("_g").agg(F.transform(ordered, lambda s: s["_v"]).alias("_sums"))
+_SALTS = 16
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """Add packed arrays of equal length per group: (_g, _sums). A group's parts meet in `_SALTS` tasks first, one packed row per task and trial."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(b) for b in pdf["_sums"]], axis=0)
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_sums": [total.tobytes()]})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        done = add(pdf)
+        return done.assign(_sums=[np.frombuffer(done["_sums"].iloc[0])])
+
+    salted = parts.groupBy("_g", "_salt").applyInPandas(add, "_g string, _sums binary")
+    return salted.groupBy("_g").applyInPandas(finish, "_g string, _sums array<double>")
 
 
 def _cross_products(rows: DataFrame, width: int) -> DataFrame:
@@ -50,6 +62,10 @@ def _cross_products(rows: DataFrame, width: int) -> DataFrame:
     upper = np.triu_indices(width)
     held_at_most = max(1, _HELD_BYTES // (8 * (width + len(upper[0]))))
 
+    def packed(held: dict[str, np.ndarray]) -> pd.DataFrame:
+        salt = TaskContext.get().partitionId() % _SALTS
+        return pd.DataFrame({"_g": list(held), "_salt": salt, "_sums": [a.tobytes() for a in held.values()]})
+
     def task_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
         for pdf in batches:
@@ -66,13 +82,13 @@ def _cross_products(rows: DataFrame, width: int) -> DataFrame:
                 sums = np.concatenate((part.T @ r[lo:hi], square[upper]))
                 held[g] = held[g] + sums if g in held else sums
             if len(held) > held_at_most:
-                yield pd.DataFrame({"_g": list(held), "_sums": list(held.values())})
+                yield packed(held)
                 held = {}
         if held:
-            yield pd.DataFrame({"_g": list(held), "_sums": list(held.values())})
+            yield packed(held)
 
-    parts = rows.select("_g", *names, "_r", "_h").mapInPandas(task_sums, "_g string, _sums array<double>")
-    return _sum_by_position(parts)
+    parts = rows.select("_g", *names, "_r", "_h").mapInPandas(task_sums, "_g string, _salt int, _sums binary")
+    return _added(parts)
 
 
 def _solver(penalty: np.ndarray):
@@ -110,7 +126,7 @@ def logistic_coefficients(
         )
         moved = betas.select("_g", "_beta").join(_cross_products(moments, width), "_g").withColumn("_next", step("_beta", "_sums"))
         shift = F.array_max(F.zip_with("_beta", "_next", lambda a, b: F.abs(a - b)))
-        moved = cut(moved.select("_g", F.col("_next").alias("_beta"), shift.alias("_shift")))
+        moved = settle(moved.select("_g", F.col("_next").alias("_beta"), shift.alias("_shift")))
         betas = moved.select("_g", "_beta", (F.col("_shift") < 1e-4).alias("_converged"))
         if (moved.agg(F.max("_shift")).first()[0] or 0.0) < tolerance:
             break

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trialkit.functions.hashing import hash32
 from trialkit.operators.reshape import impute_median_from_train, split_flag
-from trialkit.plans import balance, cohort, features, matching, models, outcomes, survival, synthesis
-from trialkit.session import cut
+from trialkit.plans import balance, cohort, features, matching, models, outcomes, survival, synthesis, trial_fit
+from trialkit.session import broadcast_if_small, cut
 
 TRIAL = ["drug", "boot_id"]
 
@@ -51,9 +54,66 @@ def build_trials(
 
 def estimate_trials(
     trials: DataFrame, covariates: Sequence[str], keys: Sequence[str] = TRIAL, time: str = "d_delta_days", event: str = "d_flag",
-    threshold: float = 0.2, seed: int = 0,
+    threshold: float = 0.2, seed: int = 0, strata: Mapping[str, Column] | None = None, task_rows: int = matching.TASK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(one estimate per trial, matched rows): impute, balance, propensity, 1:1 match, balance, hazard ratios."""
+    """(one estimate per trial, matched rows): impute, balance, propensity, 1:1 match, balance, hazard ratios.
+
+    With `strata` (at most 62) every stratum of a trial is estimated and matched on its own, and both results have a column `stratum`. Rows are held once, with
+    a bit mask of their strata. Trials of up to `task_rows` rows are estimated in one task each, with all their strata; larger ones by steps over whole
+    tables, in which no trial meets in one task. Both ways give the same estimates.
+    """
+    keys, covariates, names = list(keys), list(covariates), list(strata or {"": F.lit(True)})
+    bits = lambda flags: sum((F.shiftleft(f.cast("long"), i) for i, f in enumerate(flags)), F.lit(0).cast("long"))
+    holds = [F.coalesce(p, F.lit(False)) for p in (strata or {"": F.lit(True)}).values()]
+    label = [[F.lit(n)] if strata else [] for n in names]
+    masks = {"_strata": bits(holds), "_train": bits([split_flag(seed, 70, *keys, *lb, "id") for lb in label]), "_tie": hash32("id")}
+    sizes = trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = cut(sizes.where(F.col("_rows") > task_rows).select(*keys))
+    n_large = large.count()
+    near = broadcast_if_small(large, n_large, 96)
+    small = trials.join(near, keys, "left_anti") if n_large else trials
+    estimates, ids = _estimate_in_tasks(small, keys, covariates, time, event, threshold, names, masks)
+    if not strata:
+        estimates, ids = estimates.drop("stratum"), ids.drop("stratum")
+    matched = trials.join(ids, [*keys, "id"]).select(*trials.columns, *(["stratum"] if strata else []))
+    if n_large:
+        rows = trials.join(near, keys, "left_semi")
+        whole, taken = _estimate_by_steps(
+            outcomes.explode_strata(rows, dict(strata)) if strata else rows, covariates, [*keys, "stratum"] if strata else keys, time, event, threshold, seed
+        )
+        estimates, matched = estimates.unionByName(whole.select(*estimates.columns)), matched.unionByName(taken.select(*matched.columns))
+    return estimates, matched
+
+
+_ESTIMATES = ("hr_ori", "hr_ori_low", "hr_ori_high", "hr", "hr_low", "hr_high")
+_COUNTS = ("ori_unbalanced_covariates", "unbalanced_covariates")
+
+
+def _estimate_in_tasks(
+    trials: DataFrame, keys: list[str], covariates: list[str], time: str, event: str, threshold: float, names: list[str], masks: Mapping[str, Column]
+) -> tuple[DataFrame, DataFrame]:
+    """Estimates and ids of matched rows of trials that fit a task, both by stratum."""
+    needed = trials.withColumns(dict(masks)).select(
+        *keys, "id", "treatment", time, event, *[F.col(c).cast("double").alias(c) for c in covariates], *masks
+    )
+    kept = T.StructType([trials.schema[k] for k in keys])
+    doubles, longs = [T.StructField(c, T.DoubleType()) for c in _ESTIMATES], [T.StructField(c, T.LongType()) for c in _COUNTS]
+    schema = T.StructType([*kept, T.StructField("stratum", T.StringType()), *doubles, *longs, T.StructField("matched", T.ArrayType(T.LongType()))])
+
+    def per_trial(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = trial_fit.estimates_of(pdf, covariates, time, event, len(names), threshold)
+        rows = [[*(pdf[k].iloc[0] for k in keys), names[f["stratum"]], *(f[c] for c in (*_ESTIMATES, *_COUNTS)), f["matched"]] for f in found]
+        out = pd.DataFrame(rows, columns=schema.names)
+        return out.astype({c: "Int64" for c in _COUNTS})
+
+    done = cut(needed.groupBy(*keys).applyInPandas(per_trial, schema))
+    return done.drop("matched"), done.select(*keys, "stratum", F.explode("matched").alias("id"))
+
+
+def _estimate_by_steps(
+    trials: DataFrame, covariates: Sequence[str], keys: Sequence[str], time: str, event: str, threshold: float, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """The same for trials of any size, one step after another over all of them."""
     keys, covariates = list(keys), list(covariates)
     split = trials.withColumn("_train", split_flag(seed, 70, *keys, "id"))
     filled = impute_median_from_train(split, keys, covariates, "_train").drop("_train")
@@ -98,7 +158,6 @@ def class_estimates(
     return out.join(balance_counts.select(*TRIAL, "unbalanced_covariates"), TRIAL)
 
 
-def stratum_estimates(trials: DataFrame, covariates: Sequence[str], strata: Mapping[str, Column]) -> DataFrame:
+def stratum_estimates(trials: DataFrame, covariates: Sequence[str], strata: Mapping[str, Column], task_rows: int = matching.TASK_ROWS) -> DataFrame:
     """One estimate per (drug, draw, stratum); every stratum is matched on its own."""
-    rows = outcomes.explode_strata(trials, dict(strata))
-    return estimate_trials(rows, covariates, [*TRIAL, "stratum"])[0]
+    return estimate_trials(trials, covariates, strata=strata, task_rows=task_rows)[0]

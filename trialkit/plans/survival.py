@@ -82,9 +82,8 @@ def _efron_terms(beta: float, n0, n1, d0, d1) -> tuple[float, float]:
     return float((d1 - share).sum()), float((share - square).sum())
 
 
-def _fit_arm(days, steps: int) -> tuple[float | None, float | None, bool]:
-    table = np.array([(r["n0"], r["n1"], r["d0"], r["d1"]) for r in days], dtype=float).reshape(-1, 4)
-    n0, n1, d0, d1 = table.T
+def fit_arm(n0: np.ndarray, n1: np.ndarray, d0: np.ndarray, d1: np.ndarray, steps: int) -> tuple[float | None, float | None, bool]:
+    """(coefficient, standard error, converged) from numbers at risk and deaths by arm on the days with deaths."""
     beta, moved = 0.0, np.inf
     for _ in range(steps):
         score, information = _efron_terms(beta, n0, n1, d0, d1)
@@ -110,7 +109,8 @@ def hazard_ratio(
 
     @F.pandas_udf("beta double, se double, converged boolean")
     def fit(tables: pd.Series) -> pd.DataFrame:
-        found = pd.DataFrame([_fit_arm(t, steps) for t in tables], columns=["beta", "se", "converged"])
+        counts = [np.array([(r["n0"], r["n1"], r["d0"], r["d1"]) for r in days], dtype=float).reshape(-1, 4).T for days in tables]
+        found = pd.DataFrame([fit_arm(*c, steps) for c in counts], columns=["beta", "se", "converged"])
         return found.astype({"beta": "float64", "se": "float64", "converged": "bool"})
 
     deaths = life_table(df, keys, time, event, treat)

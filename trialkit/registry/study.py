@@ -14,26 +14,27 @@ from trialkit.session import cut
 
 N_BOOT = 100
 N_RESAMPLES = 1000
-MIN_TREATED = 20
+MIN_TREATED = 100
 PRIOR_DAYS = 60
-PRIORITIES = ["1-URGENT", "2-HIGH", "5-LOW"]
-SITES = ["F", "P"]
+#: every value of the tables, as in their specification; priorities stand for sites, measurements and drugs, statuses for diagnoses
+PRIORITIES = ["1_URGENT", "2_HIGH", "3_MEDIUM", "4_NOT_SPECIFIED", "5_LOW"]
+STATUSES = ["F", "O", "P"]
 
 
 def _order_events(spark, d):
-    return v.orders(spark, d).select("ptid", F.col("priority").alias("name"), F.col("order_day").alias("date"), F.col("price").alias("value"))
+    name = F.translate("priority", "- ", "__").alias("name")
+    return v.orders(spark, d).select("ptid", name, F.col("order_day").alias("date"), F.col("price").alias("value"))
 
 
 def _covariates(spark, d):
     clinical, events = v.clinical(spark, d), _order_events(spark, d)
-    sites = v.orders(spark, d).select("ptid", F.col("status").alias("name"), F.col("order_day").alias("date"))
+    statuses = v.orders(spark, d).select("ptid", F.col("status").alias("name"), F.col("order_day").alias("date"))
     labs = events.select("ptid", "name", "date", F.col("value").cast("string").alias("result"))
 
     def at(keys):
-        wide = features.baseline(
-            cut(keys), clinical, sites, events, labs, events, sites, sites=SITES, vitals=PRIORITIES, labs=PRIORITIES, drugs=PRIORITIES, diagnoses=SITES,
+        return features.baseline(
+            cut(keys), clinical, events, events, labs, events, statuses, sites=PRIORITIES, vitals=PRIORITIES, labs=PRIORITIES, drugs=PRIORITIES, diagnoses=STATUSES,
         )
-        return wide.select(*[F.col(f"`{c}`").alias(c.replace("-", "_")) for c in wide.columns])
 
     return at
 
@@ -57,7 +58,7 @@ def drug_effect_summary(spark, d):
     return summary(spark, d)
 
 
-_MORE_THAN = 100
+_MORE_THAN = 1000
 
 
 @query("sae_effect_matrix")
@@ -80,7 +81,7 @@ def sae_effect_matrix(spark, d):
 @query("stratified_effect_matrix")
 def stratified_effect_matrix(spark, d):
     built = trials(spark, d)
-    strata = outcomes.study_strata(SITES)
+    strata = outcomes.study_strata(PRIORITIES)
     estimates = cut(stratum_estimates(cut(built.rows), built.covariates, strata))
     cells = synthesis.significant_means(estimates, ["drug", "stratum"], "hr", 1.0, N_RESAMPLES)
     return synthesis.effect_matrix(cells, ["drug"], "stratum", list(strata))

@@ -56,6 +56,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise a step of a loop as a written table, read back with the size of its files.
+
+    A checkpoint keeps the optimizer's estimate of the size, which is a product over all joins; in a loop its digits double with every step.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(name: str, cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches on one machine; clusters bring their own."""
     return (
