@@ -30,8 +30,8 @@ from trialkit.llm.frames import map_texts, resident
 
 #: fixed value: how byte-level BPE cuts a text before its merges
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 300_000
-CACHE_PAIRS = 300_000
+CACHE_PIECES = 150_000
+CACHE_PAIRS = 150_000
 _NEVER = 1 << 60
 
 

@@ -167,6 +167,7 @@ def _common(slices: DataFrame) -> np.ndarray:
         for batch in batches:
             for packed in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(packed.as_buffer(), np.int64))], names=["shingle"])
+        end_task()
 
     least = max(3, 0.03 * slices.count())
     often = slices.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= least)
@@ -356,6 +357,7 @@ def _near(pairs: DataFrame, classes: DataFrame, law: Similarity, by: str) -> Dat
             for i in np.flatnonzero(ok).tolist():
                 ok[i] = distance(np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)) <= most[i]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+        end_task()
 
     return wide.mapInArrow(run, "a long, b long").filter("a <> b")
 
@@ -388,6 +390,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, t
                 s, t = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
                 ok[i] = law.linked(len(s), len(t), len(np.intersect1d(s, t, assume_unique=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+        end_task()
 
     return both.select("a", "b", "mb", "ma").mapInArrow(verify, "a long, b long")
 
@@ -405,6 +408,7 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
             for gid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(packed.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), gid)), pa.array(own)], names=["gid", "one"])
+        end_task()
 
     def pairs_of(left: tuple, right: tuple) -> np.ndarray:
         """Pairs of two lists of (cid, label, n, sketch) that differ in the label and may be linked."""
@@ -430,6 +434,7 @@ def _apart(members: DataFrame, classes: DataFrame, labels: DataFrame, law: Simil
                 other = np.flatnonzero(rows[1] != lead)
                 pairs = pairs_of((*[r[other] for r in rows[:3]], [rows[3][i] for i in other.tolist()]), rows)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        end_task()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [tuple(own[c].to_numpy() for c in ("cid", "label", "n")) + (own["sketch"].tolist(),) for own in (pdf[pdf["side"] == 1], pdf[pdf["side"] == 0])]
