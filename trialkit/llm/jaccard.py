@@ -267,18 +267,18 @@ def _leaders(members: np.ndarray) -> np.ndarray:
     return np.unique([members[np.argmin(words.mix(members.view(np.uint64) + _salt(salt)))] for salt in (17, 19, 23)])
 
 
-def _star(members: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Pairs with the leaders of each text that has its least key here."""
-    lead = _leaders(members)
-    members = members[own]
-    pairs = np.stack([np.repeat(members, len(lead)), np.tile(lead, len(members))], axis=1)
-    return np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
+def _star(members: np.ndarray, mark: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Pairs of each text with the leaders; those with equal marks only where that is the least key of both."""
+    lead = np.flatnonzero(np.isin(members, _leaders(members)))
+    x, y = np.repeat(np.arange(len(members)), len(lead)), np.tile(lead, len(members))
+    here = (members[x] != members[y]) & ((mark[x] != mark[y]) | least[x])
+    return np.sort(np.stack([members[x[here]], members[y[here]]], axis=1), axis=1)
 
 
 def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
     """Pairs (a, b) of texts that share a key, and the members of keys (gid) that more than a few texts share, or more than `local` of one run.
 
-    Texts with equal marks are paired at the key of the mark only. At a key that many share a text is paired with the leaders if it is the text's own mark.
+    Texts with equal marks are paired at the key of the mark only. At a key that many share the texts are paired with its leaders.
     """
     schema = "a long, b long, gid long, members binary"
 
@@ -308,7 +308,7 @@ def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
             members = who[b : b + g]
             gid = int(k[b].view(np.int64))
             large.setdefault((members.tobytes(), gid if gid in apart else None), gid)  # one key stands for all with the same texts
-            found.append(_star(members, least[b : b + g]))
+            found.append(_star(members, mark[b : b + g], least[b : b + g]))
             if len(found) > 512:
                 found = [np.unique(np.concatenate(found), axis=0)]
         return np.unique(np.concatenate(found), axis=0), [(g, m) for (m, _), g in large.items()]
@@ -319,8 +319,9 @@ def _meet(packed: DataFrame, tasks: int, bits: int, small: int) -> DataFrame:
             for bucket, packed_keys, who, mark, much in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3)], batch.column(4).to_pylist(), strict=True):
                 if much is not None:
                     apart.add(much)
-                    own = _whole(mark) == _mark(np.array([much]).view(np.uint64))
-                    yield rows_of(_star(np.frombuffer(who.as_buffer(), np.int64), own), [(much, who.as_py())])
+                    marks = _whole(mark)
+                    least = marks == _mark(np.array([much]).view(np.uint64))
+                    yield rows_of(_star(np.frombuffer(who.as_buffer(), np.int64), marks, least), [(much, who.as_py())])
                     continue
                 parts_k.append(_whole(packed_keys) | _U((bucket & 0xFFFF) << 48))
                 parts_w.append(np.frombuffer(who.as_buffer(), np.int64).copy())
