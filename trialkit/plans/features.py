@@ -35,12 +35,16 @@ def index_keys(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY).distinct()
 
 
-def _lookback(daily: DataFrame, keys: DataFrame, days: int | None) -> DataFrame:
-    """Keys with their history up to the index day; keys without history keep one row of nulls."""
+def _lookback(daily: DataFrame, keys: DataFrame, days: int | None, unbounded: str | None = None) -> DataFrame:
+    """Keys with their history up to the index day, of `days` at most; keys without any keep one row of nulls. Rows of the block `unbounded` count however old.
+
+    The bounds are part of the join, so older days never leave it.
+    """
     k, h = keys.alias("k"), daily.alias("h")
     hit = (F.col("k.ptid") == F.col("h.ptid")) & (F.col("h.date") <= F.col("k.index_date"))
     if days is not None:
-        hit = hit & (F.col("h.date") >= F.date_sub(F.col("k.index_date"), days))
+        near = F.col("h.date") >= F.date_sub(F.col("k.index_date"), days)
+        hit = hit & (near if unbounded is None else near | (F.col("h.block") == unbounded))
     rest = [F.col(f"h.{c}").alias(c) for c in daily.columns if c != "ptid"]
     return k.join(h, hit, "left").select("k.ptid", "k.index_date", *rest)
 
@@ -130,9 +134,8 @@ def baseline(
     history = tagged[0]
     for rows in tagged[1:]:
         history = history.unionByName(rows, allowMissingColumns=True)
-    near = (F.col("block") == "meta") | (F.col("date") >= F.date_sub(F.col("index_date"), days))
     block, name = F.col("block"), F.col("name")
-    wide = _lookback(history, keys, None).where(F.col("block").isNull() | near).groupBy(*KEY).agg(
+    wide = _lookback(history, keys, days, unbounded="meta").groupBy(*KEY).agg(
         F.count(F.when(block == "meta", name)).cast("int").alias("meta_total"),
         *[_seen((block == "meta") & (name == s)).alias(f"meta_{s.replace(' ', '_')}") for s in sites],
         *[_mean((block == "vital") & (name == n)).alias(f"vital_{n}") for n in vitals],
@@ -140,7 +143,6 @@ def baseline(
         *[_seen((block == "med") & (name == n)).alias(f"med_{n}") for n in drugs],
         *[_seen((block == "com") & (name == n)).alias(f"com_{n}") for n in diagnoses],
     )
-    # keys whose every record lies outside the window have no row left
     filled = demographics(clinical, keys, race_one).join(wide, KEY, "left")
     zero = ["meta_total", *[f"meta_{s.replace(' ', '_')}" for s in sites], *[f"med_{n}" for n in drugs], *[f"com_{n}" for n in diagnoses]]
     return filled.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in zero})
