@@ -23,7 +23,9 @@ from trialkit.session import cut
 DIMENSIONS = 2048
 FIT_ROWS = 800
 CENTROIDS = 3
-REJECT_MARGIN = 0.5
+#: a floor is this part of that quantile of the length-adjusted cosines of a language's sample
+REJECT_MARGIN = 0.85
+REJECT_QUANTILE = 0.005
 FULL_GRAMS = 300
 _DOCS = 1_000
 _BYTES = 1 << 20
@@ -92,12 +94,15 @@ def _document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _cluster(v: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means from far-apart starts; deterministic."""
-    mean = v.mean(0)
-    seeds = [v[int(np.argmax(v @ mean))]]
-    while len(seeds) < min(k, len(v)):
-        seeds.append(v[int(np.argmin(np.max(v @ np.stack(seeds).T, axis=1)))])
-    c = np.stack(seeds)
+    """Spherical k-means; it starts from equal runs of the texts along their main direction, so a few odd texts make no centroid of their own."""
+    off = v - v.mean(0)
+    axis = off[int(np.argmax((off * off).sum(1)))]
+    for _ in range(20):
+        axis = off.T @ (off @ axis)
+        axis = axis / max(float(np.linalg.norm(axis)), 1e-12)
+    runs = np.array_split(np.argsort(off @ axis, kind="stable"), min(k, len(v)))
+    c = np.stack([v[r].sum(0) for r in runs])
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     for _ in range(12):
         near = np.argmax(v @ c.T, axis=1)
         new = np.stack([v[near == i].sum(0) if (near == i).any() else c[i] for i in range(len(c))])
@@ -124,7 +129,10 @@ class Model:
 
 def fit(docs: DataFrame, key: str, text: str, lang: str, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Model:
     """Learn from all rows with text, letters and language. Gram frequencies cover all of them; the centroids of each language come from
-    a hash sample of about `fit_rows` rows of it, clustered in a task per language."""
+    a hash sample of about `fit_rows` rows of it, clustered in a task per language. The floor of its centroids is a low quantile of what all texts of
+    that sample, short ones too, reach after the adjustment to their length. Rows without text, letters or language teach nothing; no such rows give a
+    model without languages. Repeated rows count as often as they stand there.
+    """
     small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & has_letter(F.col(text))).select(key, F.col(text).alias("body"), F.col(lang).alias("lang"))
     counted = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -138,20 +146,18 @@ def fit(docs: DataFrame, key: str, text: str, lang: str, fit_rows: int = FIT_ROW
     def make():
         def run(data: np.ndarray, at: np.ndarray) -> dict:
             counts = [c for _, _, c in _blocks(data, at)]
-            return {"v": [row.tobytes() for c in counts for row in vectors(c, idf)], "full": np.concatenate([patience(c) == 1 for c in counts])}
+            return {"v": [row.tobytes() for c in counts for row in vectors(c, idf)], "patience": np.concatenate([patience(c) for c in counts])}
 
         return run
 
-    sample = map_texts(known.filter(draw < share).drop(key), T.StructType([T.StructField("v", T.BinaryType()), T.StructField("full", T.BooleanType())]), make, "g", "body", keep_text=False).select("lang", "g.*")
+    sample = map_texts(known.filter(draw < share).drop(key), T.StructType([T.StructField("v", T.BinaryType()), T.StructField("patience", T.DoubleType())]), make, "g", "body", keep_text=False).select("lang", "g.*")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
-        v, full = np.stack([np.frombuffer(x, np.float32) for x in pdf["v"]]), pdf["full"].to_numpy()
+        v = np.stack([np.frombuffer(x, np.float32) for x in pdf["v"]])
         c = _cluster(v, centroids)
-        own = v @ c.T
-        near = np.argmax(own, axis=1)
-        best = own[np.arange(len(v)), near]
-        floors = [float(best[(near == i) & full].min()) * REJECT_MARGIN if ((near == i) & full).any() else 0.0 for i in range(len(c))]
+        adjusted = (v @ c.T).max(1) / np.maximum(pdf["patience"].to_numpy(), 1e-6)
+        floors = [float(np.quantile(adjusted, REJECT_QUANTILE)) * REJECT_MARGIN] * len(c)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.tobytes() for x in c], "floor": floors})
 
     return Model([tuple(r) for r in sample.groupBy("lang").applyInPandas(cluster, MODEL).collect()], idf)
@@ -162,11 +168,10 @@ RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("sco
 
 def predict(docs: DataFrame, model: Model, out: str = "language", text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add the struct `out`: lang (a learned language, or `und` for null texts and texts without a letter), score (cosine to the
-    nearest centroid, 0 to 1) and rejected (`und`, or farther from that centroid than half the least cosine of what it was learned with; shorter texts
-    have a lower bar).
+    nearest centroid, 0 to 1) and rejected (`und`, or a cosine below the floor of that centroid, which is lower for texts of fewer than 300 grams).
 
     Equal cosines go to the first language by name. Repeated rows get equal results. Whole texts are read, in blocks of 1 MB. A model that
-    learned nothing gives `und` for all.
+    learned nothing gives `und` for all. An empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
