@@ -140,12 +140,14 @@ class Additive:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> Additive:
     """Learn from about `fit_rows` labelled rows drawn by a hash of the key (all, if there are fewer). With that bound the drawn labels are
-    sent to all tasks, and the features of the drawn rows (64 bytes each) come to the driver."""
+    sent to all tasks, and the features of the drawn rows (64 bytes each) come to the driver. A key on several rows teaches once, by its least text; null keys and labels teach
+    nothing."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("y"))
     labelled = known.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit("fit")), 11) / F.lit(float(1 << 53))
     drawn = known.filter(draw < min(1.0, fit_rows / max(1, labelled))).select(F.col(key).alias("__key"), "y")
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("body")).join(F.broadcast(drawn), "__key").drop("__key")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("body")).join(F.broadcast(drawn), "__key")
+    rows = rows.groupBy("__key", "y").agg(F.min("body").alias("body")).drop("__key")
 
     def make():
         return lambda data, at: {"x": [r.tobytes() for r in features(data, at)]}

@@ -219,14 +219,16 @@ def _learn_lexicon(rows: DataFrame) -> Lexicon:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Learn from about `fit_rows` labelled rows drawn by a hash of the key (all, if there are fewer). The documented bound makes it safe to send
-    the drawn labels to all tasks and the features of part of them to the driver."""
+    the drawn labels to all tasks and the features of part of them to the driver. A key on several rows teaches once, by its least text; null texts, keys
+    and labels teach nothing."""
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("y"))
     labelled = known.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit("fit")), 11) / F.lit(float(1 << 53))
     part = F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(20)).alias("part")
     drawn = known.filter(draw < min(1.0, fit_rows / max(1, labelled))).select(F.col(key).alias("__key"), "y", part)
-    rows = cut(docs.select(F.col(key).alias("__key"), F.col(text).alias("body")).join(F.broadcast(drawn), "__key").filter(F.col("body").isNotNull()).drop("__key"))
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("body")).join(F.broadcast(drawn), "__key").filter(F.col("body").isNotNull())
+    rows = cut(rows.groupBy("__key", "y", "part").agg(F.min("body").alias("body")).drop("__key"))
     lexicon = _learn_lexicon(rows.filter("part < 9"))
 
     def make():
