@@ -25,8 +25,8 @@ FIT_ROWS = 800
 CENTROIDS = 3
 #: a floor is this part of that quantile of the length-adjusted cosines of a language's sample
 REJECT_MARGIN = 0.85
-REJECT_QUANTILE = 0.005
-FULL_GRAMS = 300
+REJECT_QUANTILE = 0.01
+FULL_GRAMS = 200
 _DOCS = 1_000
 _BYTES = 1 << 20
 #: bytes of a letter (A-Z lower-cased, everything beyond ASCII) or 0 for what stands between words
@@ -66,7 +66,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def patience(counts: np.ndarray) -> np.ndarray:
-    """Texts of fewer than 300 grams are farther from any centroid by their size alone; their floor is lower."""
+    """Texts of fewer than 200 grams are farther from any centroid by their size alone; their floor is lower."""
     return np.sqrt(np.minimum(1, counts.sum(1) / FULL_GRAMS))
 
 
@@ -168,7 +168,7 @@ RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("sco
 
 def predict(docs: DataFrame, model: Model, out: str = "language", text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add the struct `out`: lang (a learned language, or `und` for null texts and texts without a letter), score (cosine to the
-    nearest centroid, 0 to 1) and rejected (`und`, or a cosine below the floor of that centroid, which is lower for texts of fewer than 300 grams).
+    nearest centroid, 0 to 1) and rejected (`und`, or a cosine below the floor of that centroid, which is lower for texts of fewer than 200 grams).
 
     Equal cosines go to the first language by name. Repeated rows get equal results. Whole texts are read, in blocks of 1 MB. A model that
     learned nothing gives `und` for all. An empty table gives an empty one.
