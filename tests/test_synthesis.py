@@ -1,8 +1,11 @@
 import math
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trialkit.plans import synthesis
 
@@ -59,3 +62,30 @@ def test_bootstrap_finds_a_shifted_mean(spark):
 def test_infinite_and_missing_estimates_are_left_out(spark):
     df = spark.createDataFrame([("d", 0, 1.0), ("d", 1, float("inf")), ("d", 2, float("nan")), ("d", 3, None), ("d", 4, 2.0)], "drug string, boot_id int, hr double")
     assert synthesis.estimate_percentiles(df, ["drug"], "hr", {"p50": 0.5}).first()["p50"] == 1.5
+
+
+@pytest.mark.parametrize("range_rows", [7, 50_000])
+def test_adjusted_p_over_ranges_equal_the_sorted_walk(spark, range_rows):
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.random(300) ** 4, np.full(120, 0.01), np.zeros(3), np.ones(4)])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(9000, None), (9001, float("nan"))], "k int, p double")
+    got = {r["k"]: r for r in synthesis.adjust_p(df, ["k"], "p", range_rows=range_rows).collect()}
+    order, m = np.argsort(p, kind="stable"), len(p)
+    step = np.minimum.accumulate((p[order] * m / np.arange(1, m + 1))[::-1])[::-1]
+    harmonic = (1 / np.arange(1, m + 1)).sum()
+    assert set(got) == set(range(m))
+    for k, s in zip(order.tolist(), step):
+        assert got[k]["p_bh"] == pytest.approx(min(1, s)) and got[k]["p_by"] == pytest.approx(min(1, s * harmonic))
+        assert got[k]["p_bonf"] == pytest.approx(min(1, p[k] * m)) and got[k]["sig_bh"] == int(min(1, s) <= 0.05)
+
+
+def test_adjusted_p_of_nothing(spark):
+    found = synthesis.adjust_p(spark.createDataFrame([(1, None)], "k int, p double"), ["k"], "p")
+    assert found.count() == 0 and found.columns == ["k", "p", "p_bonf", "p_bh", "p_by", "sig_bonf", "sig_bh", "sig_by"]
+
+
+def test_adjusted_p_has_no_window_over_all_rows(spark):
+    df = spark.range(50).select("id", (F.col("id") / 50).alias("p"))
+    plan = synthesis.adjust_p(df, ["id"], "p")._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_all#" in line.split("], [")[1] for line in windows)

@@ -98,3 +98,29 @@ def with_codes(records: DataFrame, codes: DataFrame, code: str) -> DataFrame:
 def not_in_ignoring_case(df: DataFrame, col: str, listed: DataFrame, listed_col: str) -> DataFrame:
     names = listed.select(F.lower(listed_col).alias("_lowered")).where(F.col("_lowered").isNotNull()).distinct()
     return df.join(names, F.lower(df[col]) == names["_lowered"], "left_anti")
+
+
+def match_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, end_anchored: Sequence[str] = ()) -> DataFrame:
+    """(text, term): which terms of a dictionary occur in which distinct texts, for dictionaries of any size.
+
+    A term is anchored by its prefix of the largest power of two of characters. Texts send the hash of every window of those lengths, so a text brings at most
+    log2(longest term) rows per character, and one equality join finds the candidates, which are then compared whole. No pattern is gathered from the
+    dictionary. A term of `end_anchored` must end its text. Terms are plain characters; null and empty terms and null texts match nothing.
+    Meant for codes and names: a window carries its text.
+    """
+    known = terms.select(F.col(term).alias("term")).where("length(term) > 0").distinct()
+    known = known.withColumn("_size", F.expr("shiftleft(1, length(bin(length(term))) - 1)"))
+    known = cut(known.withColumns({"_key": F.expr("xxhash64(substring(term, 1, _size))"), "_last": F.col("term").isin(list(end_anchored))}))
+    counted = known.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per power of two
+    sizes, n_terms = sorted(r["_size"] for r in counted), sum(r["n"] for r in counted)
+    own = texts.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).distinct()
+    starts = lambda s: f"if(length(text) >= {s}, sequence(1, length(text) - {s} + 1), array())"
+    windows = [f"transform({starts(s)}, i -> struct(i AS _at, {s} AS _size, xxhash64(substring(text, i, {s})) AS _key))" for s in sizes]
+    if not windows:
+        return own.select("text", F.lit("").alias("term")).limit(0)
+    at = own.select("text", F.explode(F.expr(f"concat({', '.join(windows)})")).alias("_w")).select("text", "_w.*")
+    longest = known.agg(F.max(F.octet_length("term"))).first()[0]
+    met = at.join(broadcast_if_small(known, n_terms, 64 + longest), ["_size", "_key"])
+    here = F.expr("substring(text, _at, length(term)) = term")
+    ends = ~F.col("_last") | (F.col("_at") + F.length("term") - 1 == F.length("text"))
+    return met.where(here & ends).select("text", "term").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +26,16 @@ def matrix(df: DataFrame, rows: Sequence[str], column: str, levels: Sequence[str
 
 def distinct_levels(df: DataFrame, col: str, at_most: int = 1000) -> list[str]:
     """Levels of a categorical column as plan constants; a wider one than `at_most` is refused, see `one_hot_long`."""
-    found = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(at_most + 1).collect()
-    if len(found) > at_most:
+    found = _levels_up_to(df, col, at_most)
+    if found is None:
         raise ValueError(f"{col} has more than {at_most} levels; use one_hot_long")
-    return [r[0] for r in found]
+    return found
+
+
+def _levels_up_to(df: DataFrame, col: str, at_most: int) -> list[str] | None:
+    """The sorted levels, or None when there are more than `at_most`."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(at_most + 1).collect()
+    return None if len(found) > at_most else [r[0] for r in found]
 
 
 def one_hot(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
@@ -147,3 +154,54 @@ def median_abs_deviation(df: DataFrame, keys: Sequence[str], col: str) -> DataFr
     medians = exact_percentiles(df, keys, col, [0.5], ["median"])
     spread = _attach(df, keys, medians).withColumn("_dev", F.abs(F.col(col) - F.col("median")))
     return medians.join(exact_percentiles(spread, keys, "_dev", [0.5], ["mad"]), list(keys))
+
+
+@dataclass
+class Cleaned:
+    """Rows ready for a model. `wide_levels` holds (row id, covariate, level, flag) of the categorical covariates with too many levels for columns."""
+
+    rows: DataFrame
+    categorical: list[str]
+    continuous: list[str]
+    wide_levels: DataFrame | None = None
+
+
+def clean_covariates(
+    df: DataFrame, keys: Sequence[str], ids: Sequence[str], covariates: Sequence[str], numbers: Sequence[str] = (), at_most: int = 1000,
+    low: float = 0.01, high: float = 0.99,
+) -> Cleaned:
+    """Covariates made numeric per trial: kinds, outliers, gaps, flags.
+
+    Text is categorical unless one of its values has a decimal point; then it is read as numbers, and what is no number becomes null. Values of continuous covariates outside the trial's
+    percentiles become null, and nulls the mean of what is left. Categorical gaps take the trial's most frequent level (ties: the smallest), then every
+    level of any trial becomes a 0/1 column `covariate_level`; covariates of more than `at_most` levels go to `wide_levels` instead, one row per flag that
+    is 1. Boolean columns become 0/1 and stay whole. `numbers` (arm, outcome, follow-up) become doubles. A covariate without a value in a trial stays null there.
+    """
+    keys, covariates = list(keys), list(covariates)
+    kind_of = dict(df.dtypes)
+    flags = [c for c in df.columns if kind_of[c] == "boolean"]
+    text = [c for c in covariates if kind_of[c] == "string"]
+    kinds = {r["covariate"]: r["kind"] for r in covariate_kinds(df, text).collect()} if text else {}
+    categorical = [c for c in text if kinds[c] == "categorical"]
+    continuous = [c for c in covariates if c not in categorical]
+    measured = [c for c in continuous if c not in flags]
+    as_number = {c: F.col(c).cast("int") for c in flags} | {c: F.expr(f"try_cast(`{c}` AS double)") for c in [*measured, *numbers]}
+    rows = cut(df.select(*dict.fromkeys([*keys, *ids, *numbers, *covariates])).withColumns({c: e for c, e in as_number.items() if c in {*numbers, *covariates}}))
+    if measured:
+        rows = impute_mean(trim_outliers(rows, keys, measured, low, high), keys, measured)
+    if any(c in flags for c in continuous):
+        rows = impute_mean(rows, keys, [c for c in continuous if c in flags])
+    for c in categorical:
+        rows = impute_mode(rows, keys, c)
+    rows = cut(rows)
+    columns, long = [], None
+    for c in categorical:
+        levels = _levels_up_to(rows, c, at_most)
+        if levels is None:
+            one = one_hot_long(rows, [*keys, *ids], c).withColumn("covariate", F.lit(c)).select(*keys, *ids, "covariate", "level", "flag")
+            long = one if long is None else long.unionByName(one)
+            rows = rows.drop(c)
+            continue
+        rows = one_hot(rows, c, levels)
+        columns += [f"{c}_{lv}" for lv in levels]
+    return Cleaned(rows, columns, continuous, long)

@@ -62,6 +62,26 @@ def matched_with_escalation(
     return pairs, report
 
 
+def incidence_after_matching(
+    df: DataFrame, keys: Sequence[str], covariates: Sequence[str], outcome: str, treat: str = "treatment", **escalation
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs, report per trial): escalated matching with outcome shares by arm, over all rows and over the matched ones.
+
+    Shares (`incidence_*`, `ate` of all rows, `matched_*` of the rows in pairs) are null where no ratio balanced the trial; a trial without any pair has
+    no ratio and counts as not balanced.
+    """
+    keys = list(keys)
+    pairs, report = matched_with_escalation(df, keys, covariates, **escalation)
+    pairs = cut(pairs)
+    chosen = matched_rows(df.select(*keys, "id", treat, outcome), pairs, keys)
+    names = ["incidence_treated", "incidence_control", "incidence_overall", "ate"]
+    whole = incidence_difference(df, keys, outcome, treat)
+    inside = incidence_difference(chosen, keys, outcome, treat).withColumnsRenamed({n: f"matched_{n.removeprefix('incidence_')}" for n in names})
+    shares = whole.join(report, keys, "left").join(inside, keys, "left").withColumn("balanced", F.coalesce("balanced", F.lit(0)))
+    found = [c for c in shares.columns if c not in report.columns]
+    return pairs, shares.select(*report.columns, *[F.when(F.col("balanced") == 1, F.col(c)).alias(c) for c in found])
+
+
 def weighted_analysis(
     df: DataFrame, keys: Sequence[str], covariates: Sequence[str], outcome: str, threshold: float = 0.1
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

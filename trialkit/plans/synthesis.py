@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialkit.functions.hashing import hash_position
+from trialkit.functions.hashing import hash32, hash_position
 from trialkit.functions.normal import normal_quantile, two_sided_p
 from trialkit.functions.text import interval_text, p_value_text
+from trialkit.operators.ranks import ordered_chunks, running
 from trialkit.operators.reshape import matrix
 from trialkit.plans.survival import hazard_ratio
+from trialkit.session import cut
 
 
 def finite(col: Column) -> Column:
@@ -74,23 +76,28 @@ def bootstrap_mean_p(
     return shares.select(*keys, "n_trials", "t", (2 * F.least("_p", 1 - F.col("_p"))).alias("p"))
 
 
-def adjust_p(df: DataFrame, ident: Sequence[str], p: str, alpha: float = 0.05) -> DataFrame:
+def adjust_p(df: DataFrame, ident: Sequence[str], p: str, alpha: float = 0.05, range_rows: int = 50_000) -> DataFrame:
     """Bonferroni, Benjamini-Hochberg and Benjamini-Yekutieli p-values and 0/1 decisions.
 
-    Runs over one summary row per hypothesis; nulls are not hypotheses.
+    Nulls and NaN are not hypotheses. Hypotheses are cut into ranges of p of about `range_rows` rows: ranks are the row numbers of a range plus the rows of
+    all earlier ones, and the step-up minimum of a range is lowered by the minima of all later ones. Equal p-values get equal results, so their order
+    does not matter.
     """
-    tested = df.where(F.col(p).isNotNull())
-    by_p = Window.orderBy(p, *ident)
-    m, i = F.count(F.lit(1)).over(Window.partitionBy()), F.row_number().over(by_p)
-    ranked = tested.withColumn("_m", m).withColumn("_i", i)
-    ranked = ranked.withColumn("_harmonic", F.sum(1.0 / F.col("_i")).over(Window.partitionBy()))
-    following = by_p.rowsBetween(0, Window.unboundedFollowing)
-    step = F.col(p) * F.col("_m") / F.col("_i")
-    bh = F.least(F.lit(1.0), F.min(step).over(following))
-    by = F.least(F.lit(1.0), F.min(step * F.col("_harmonic")).over(following))
-    out = ranked.withColumns({"p_bonf": F.least(F.lit(1.0), F.col(p) * F.col("_m")), "p_bh": bh, "p_by": by})
+    tested = cut(df.where(F.col(p).isNotNull() & ~F.isnan(p)).withColumns({"_all": F.lit(1), "_hash": hash32(*ident)}))
+    m = tested.count()
+    harmonic = df.sparkSession.range(1, m + 1).agg(F.sum(1.0 / F.col("id"))).scalar() if m else F.lit(0.0)
+    ranges = cut(ordered_chunks(tested, ["_all"], p, F.lit(0), F.col("_hash"), chunks=min(512, 2 + m // range_rows)))
+    upward = [F.col(p), F.col("_hash"), *[F.col(c) for c in ident]]
+    ranked = running(ranges, ["_all"], upward, sums={"_i": F.lit(1)})
+    lowest = running(
+        ranked.withColumn("_step", F.col(p) * F.lit(m) / F.col("_i")), ["_all"], [c.desc() for c in upward], maxes={"_least": -F.col("_step")}, backward=True
+    )
+    out = lowest.withColumns({
+        "p_bonf": F.least(F.lit(1.0), F.col(p) * F.lit(m)), "p_bh": F.least(F.lit(1.0), -F.col("_least")),
+        "p_by": F.least(F.lit(1.0), -F.col("_least") * harmonic),
+    })
     flags = {f"sig_{k}": (F.col(f"p_{k}") <= alpha).cast("int") for k in ("bonf", "bh", "by")}
-    return out.withColumns(flags).drop("_m", "_i", "_harmonic")
+    return out.withColumns(flags).select(*df.columns, *[f"p_{k}" for k in ("bonf", "bh", "by")], *flags)
 
 
 def pool_inverse_variance(
@@ -156,13 +163,17 @@ def effect_matrix(cells: DataFrame, rows: Sequence[str], column: str, levels: Se
     return matrix(cells, rows, column, levels, F.col("cell"), prefix)
 
 
+# fixed values of the effect plots: size of a bubble without an estimate, size per unit of effect, effect of full colour
+BUBBLE_BASE, BUBBLE_SCALE, FULL_COLOUR = 50, 400, 1.5
+
+
 def effect_labels(df: DataFrame, hr: str = "hr", p: str = "p", level: float = 0.05) -> DataFrame:
     """Direction, bubble size and magnitude behind the effect plots."""
     h = F.col(hr)
     significant = F.coalesce(F.col(p) < level, F.lit(False))
     direction = F.when(significant & (h > 1), "harm").when(significant & (h < 1), "benefit").otherwise("none")
-    size = F.when(h.isNull(), F.lit(50.0)).otherwise(F.abs(h - 1) * 400 + 50)
-    intensity = F.when(h > 1, F.least(F.lit(1.0), (h - 1) / 1.5)).otherwise(F.least(F.lit(1.0), 1 - h))
+    size = F.when(h.isNull(), F.lit(float(BUBBLE_BASE))).otherwise(F.abs(h - 1) * BUBBLE_SCALE + BUBBLE_BASE)
+    intensity = F.when(h > 1, F.least(F.lit(1.0), (h - 1) / FULL_COLOUR)).otherwise(F.least(F.lit(1.0), 1 - h))
     return df.withColumns({
         "direction": direction, "size": size, "intensity": intensity, "magnitude": F.when(h > 1, h).otherwise(1 / h),
     })

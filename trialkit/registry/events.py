@@ -134,6 +134,32 @@ def clean_trim_outliers(spark, d):
     return reshape.trim_outliers(lines, ["l_returnflag"], ["l_extendedprice", "l_quantity"])
 
 
+_LEVELS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_TRIMMED = ", ".join(f"CASE WHEN x.{c} BETWEEN {c}_lo AND {c}_hi THEN x.{c} END AS {c}" for c in ("bal", "bal_text"))
+
+
+@query("clean_covariate_table", f"""
+    WITH x AS (SELECT CAST(c_nationkey % 5 AS INTEGER) AS trial, c_custkey AS id, CAST(c_custkey % 2 AS DOUBLE) AS treatment,
+               CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS bal, CASE WHEN c_custkey % 13 <> 0 THEN c_acctbal END AS bal_text,
+               CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_acctbal > 4500 AS INTEGER) END AS rich FROM customer),
+    q AS (SELECT trial, {", ".join(f"quantile_cont({c}, {p}) AS {c}_{n}" for c in ("bal", "bal_text") for p, n in ((0.01, "lo"), (0.99, "hi")))}, avg(rich) AS rich_mean FROM x GROUP BY 1),
+    y AS (SELECT x.trial, id, treatment, segment, {_TRIMMED}, coalesce(rich, rich_mean) AS rich FROM x JOIN q ON x.trial = q.trial),
+    m AS (SELECT trial, avg(bal) AS bal_mean, avg(bal_text) AS text_mean FROM y GROUP BY 1),
+    c AS (SELECT trial, segment AS mode FROM (SELECT trial, segment, row_number() OVER (PARTITION BY trial ORDER BY count(*) DESC, segment) AS rn
+          FROM x WHERE segment IS NOT NULL GROUP BY 1, 2) WHERE rn = 1)
+    SELECT y.trial, id, treatment, round(coalesce(bal, bal_mean), 6) AS bal, round(coalesce(bal_text, text_mean), 6) AS bal_text, round(rich, 6) AS rich,
+           {", ".join(f"CAST(coalesce(segment, mode) = '{lv}' AS INTEGER) AS segment_{lv}" for lv in _LEVELS)}
+    FROM y JOIN m ON y.trial = m.trial JOIN c ON y.trial = c.trial""")
+def clean_covariate_table(spark, d):
+    k, bal = F.col("c_custkey"), F.col("c_acctbal")
+    rows = v.table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").select(
+        (F.col("c_nationkey") % 5).cast("int").alias("trial"), k.alias("id"), (k % 2).alias("treatment"), F.when(k % 11 != 0, bal).alias("bal"),
+        F.when(k % 13 != 0, bal.cast("string")).alias("bal_text"), F.when(k % 7 != 0, F.col("c_mktsegment")).alias("segment"), F.when(k % 5 != 0, bal > 4500).alias("rich"),
+    )
+    cleaned = reshape.clean_covariates(rows, ["trial"], ["id"], ["bal", "bal_text", "segment", "rich"], numbers=["treatment"])
+    return _rounded(cleaned.rows, cleaned.continuous)
+
+
 _HOLES = "SELECT event_id, name, CASE WHEN event_id % 11 <> 0 THEN value END AS value, CASE WHEN event_id % 7 <> 0 THEN result END AS result FROM history"
 
 

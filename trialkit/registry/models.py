@@ -126,7 +126,7 @@ def match_caliper_mad(spark, d):
 _SCALED = ", ".join(f"({c} - min({c}) OVER t) / (max({c}) OVER t - min({c}) OVER t) AS {c}" for c in COVARIATES)
 
 
-def _escalation_sql() -> str:
+def _escalation_sql(shares: bool = False) -> str:
     """Closest pairs at ratios 1 to 4 on the fitted score; the first ratio with at most one covariate beyond 0.1 counts."""
     parts = [
         f"scaled AS (SELECT trial, id, treatment, {_SCALED} FROM cust_trial WINDOW t AS (PARTITION BY trial))",
@@ -151,6 +151,17 @@ def _escalation_sql() -> str:
             f"(SELECT trial, count(*) AS n_pairs, count(DISTINCT t_id) AS n_treated FROM taken{r} WHERE t_id IS NOT NULL GROUP BY 1) p ON s.trial = p.trial)"
         )
     union = " UNION ALL ".join(f"SELECT * FROM tried{r}" for r in (1, 2, 3, 4))
+    if shares:
+        arms = "avg(flag) FILTER (WHERE treatment = 1) AS t, avg(flag) FILTER (WHERE treatment = 0) AS c, avg(flag) AS o"
+        chosen = " UNION ALL ".join(f"SELECT trial, id, {r} AS ratio FROM rows{r}" for r in (1, 2, 3, 4))
+        parts.append(f"report AS (SELECT trial, ratio, unbalanced FROM ({union}) WHERE unbalanced <= 1 OR ratio = 4 QUALIFY row_number() OVER (PARTITION BY trial ORDER BY ratio) = 1)")
+        parts.append(f"whole AS (SELECT trial, {arms} FROM cust_trial GROUP BY 1)")
+        parts.append(f"inside AS (SELECT trial, ratio, {arms} FROM (SELECT x.trial, k.ratio, x.treatment, x.flag FROM cust_trial x JOIN ({chosen}) k ON x.trial = k.trial AND x.id = k.id) GROUP BY 1, 2)")
+        cells = {f"{p}_{n}": f"{a}.{e}" for a, p in (("w", "incidence"), ("i", "matched")) for n, e in (("treated", "t"), ("control", "c"), ("overall", "o"))}
+        cells |= {"ate": "w.t - w.c", "matched_ate": "i.t - i.c"}
+        return f"""WITH RECURSIVE {", ".join(parts)}
+        SELECT w.trial, p.ratio, unbalanced, coalesce(CAST(unbalanced <= 1 AS INTEGER), 0) AS balanced, {", ".join(f"CASE WHEN unbalanced <= 1 THEN round({e}, 6) END AS {n}" for n, e in cells.items())}
+        FROM whole w LEFT JOIN report p ON p.trial = w.trial LEFT JOIN inside i ON p.trial = i.trial AND p.ratio = i.ratio"""
     return f"""WITH RECURSIVE {", ".join(parts)}
         SELECT trial, ratio, unbalanced, CAST(unbalanced <= 1 AS INTEGER) AS balanced, n_pairs, n_treated FROM ({union}) WHERE unbalanced <= 1 OR ratio = 4
         QUALIFY row_number() OVER (PARTITION BY trial ORDER BY ratio) = 1"""
@@ -163,6 +174,13 @@ def match_ratio_escalation(spark, d):
     return report.join(sizes, "trial", "left")
 
 
+@query("match_escalation_incidence", _escalation_sql(shares=True), ["cust_trial"])
+def match_escalation_incidence(spark, d):
+    """Outcome shares by arm of the trials that a ratio balanced, over all rows and over the matched ones."""
+    _, report = propensity.incidence_after_matching(_trial(spark, d), ["trial"], COVARIATES, "flag")
+    return _r(report, *[c for c in report.columns if c not in ("trial", "ratio", "unbalanced", "balanced")])
+
+
 _WEIGHTS = """
     ps AS (SELECT *, avg(treatment) OVER (PARTITION BY trial, bal > 4500) AS p FROM cust_trial),
     w AS (SELECT *, CASE WHEN treatment = 1 THEN 1 / greatest(least(p, 1 - 1e-6), 1e-6) ELSE 1 / (1 - greatest(least(p, 1 - 1e-6), 1e-6)) END AS iptw_weight FROM ps)"""
@@ -369,12 +387,12 @@ def sae_hazard_ratio(spark, d):
     return _r(survival.hazard_ratio(rows, ["class"], "sae_delta_days", "sae_flag").drop("log_hr", "se", "converged"), "hr", "hr_low", "hr_high")
 
 
-def _aft_sql() -> str:
-    parts, out = [], []
-    for f in parametric.FAMILIES:
+def _aft_sql(rows: str = "cust_trial", families=parametric.FAMILIES, weight: str | None = None, ahead: str = "") -> str:
+    parts, out = [ahead] if ahead else [], []
+    for f in families:
         unit = ", ".join(f"CAST({1 if i == 1 else 0} AS DOUBLE) AS e_{i}" for i in range(3))
         inverse = sqlmath.solve(f"(SELECT *, {unit} FROM {f}_at)", 3, ["trial", "n_events", "t1", "t2"], right="e")
-        parts.append(sqlmath.location_scale("cust_trial", ["trial"], f, True, name=f))
+        parts.append(sqlmath.location_scale(rows, ["trial"], f, True, name=f, weight=weight))
         parts.append(f"{f}_fit AS (SELECT *, sqrt(x1) AS se, t1 / sqrt(x1) AS w FROM ({inverse}))")
         out.append(f"""
     SELECT trial, '{f}' AS family, n_events, round(exp(t1), 6) AS time_ratio, round(exp(t1 - {_Z} * se), 6) AS ratio_low,
@@ -391,6 +409,13 @@ def aft_effect(spark, d):
     return _r(out, "time_ratio", "ratio_low", "ratio_high", "p", "scale")
 
 
+@query("aft_effect_weighted", _aft_sql("w", ("lognormal",), "iptw_weight", _WEIGHTS), ["cust_trial"])
+def aft_effect_weighted(spark, d):
+    """Log-normal time ratio with inverse probability weights."""
+    found = parametric.time_ratio(_weighted(spark, d), ["trial"], "days", "flag", family="lognormal", weight="iptw_weight")
+    return _r(found, "time_ratio", "ratio_low", "ratio_high", "p", "scale")
+
+
 _AIC_SQL = f"""
     WITH {", ".join(sqlmath.location_scale("cust_trial", ["trial"], f, False, name=f) for f in parametric.FAMILIES)},
     aic AS (SELECT w.trial, 4 - 2 * w.ll AS a, 4 - 2 * n.ll AS b, 4 - 2 * l.ll AS c FROM weibull_at w JOIN lognormal_at n ON w.trial = n.trial
@@ -613,6 +638,47 @@ def table_one(spark, d):
     return reports.table_one(rows, ["age_at_index", "bal"], ["gender", "race", "region", "ecog"])
 
 
+# fixed values of the collapsed table: levels, their common name, the name of all others; levels that stay, the name of the rest
+_TWO_LEVELS = {"race": (["Caucasian"], "White", "Non White"), "smoking_status": (["current", "former"], "History of smoking", "No history of smoking")}
+_KEPT_LEVELS = {
+    "gender": (["Male", "Female", "Unknown"], "Female"), "ethnicity": (["Not Hispanic", "Hispanic"], "Not Hispanic"),
+    "region": (["AMERICA", "EUROPE", "ASIA"], "Other/Unknown"),
+}
+
+
+def _collapsed_sql() -> str:
+    listed = lambda levels: ", ".join(f"'{lv}'" for lv in levels)
+    cases = [f"CASE WHEN {c} IN ({listed(ones)}) THEN '{name}' ELSE '{rest}' END AS {c}" for c, (ones, name, rest) in _TWO_LEVELS.items()]
+    cases += [f"CASE WHEN {c} IN ({listed(keep)}) THEN {c} ELSE '{rest}' END AS {c}" for c, (keep, rest) in _KEPT_LEVELS.items()]
+    long = " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS VARCHAR) AS category FROM a" for c in [*_TWO_LEVELS, *_KEPT_LEVELS, "ecog"])
+    ages = " UNION ALL ".join(
+        f"SELECT '{n}' AS variable, CAST(NULL AS VARCHAR) AS category, 'median, IQR' AS metric, printf('%.2f(%.2f, %.2f)', median({n}), quantile_cont({n}, 0.25), quantile_cont({n}, 0.75)) AS value FROM a"
+        for n in ("age_at_dx", "age_at_prior")
+    )
+    return f"""
+    WITH a AS (SELECT year(t.dx_date) - born AS age_at_dx, year(t.prior_date) - born AS age_at_prior, {", ".join(cases)},
+               CASE WHEN ecog >= 2 THEN 2 WHEN ecog >= 0 THEN ecog ELSE 0 END AS ecog
+        FROM cohort t JOIN (SELECT c.*, CASE WHEN birth_yr = '1935 and Earlier' THEN 1935 ELSE CAST(birth_yr AS INTEGER) END AS born,
+            CASE WHEN b.c_mktsegment = 'AUTOMOBILE' THEN 'current' WHEN b.c_mktsegment = 'MACHINERY' THEN 'former' ELSE 'never' END AS smoking_status,
+            CASE WHEN b.c_custkey % 5 = 0 THEN 'Hispanic' WHEN b.c_custkey % 3 = 0 THEN 'Unknown' ELSE 'Not Hispanic' END AS ethnicity
+            FROM clinical c JOIN customer b ON c.ptid = b.c_custkey) x ON t.ptid = x.ptid),
+    u AS ({long})
+    {ages} UNION ALL SELECT variable, category, 'count (percentage)',
+           CAST(count(*) AS VARCHAR) || ' (' || CAST(round(count(*) / sum(count(*)) OVER (PARTITION BY variable) * 100, 2) AS VARCHAR) || '%)' FROM u GROUP BY 1, 2"""
+
+
+@query("table_one_collapsed", _collapsed_sql(), ["cohort", "clinical"])
+def table_one_collapsed(spark, d):
+    """Table one with ages at diagnosis and at the prior event and with the levels of a publication."""
+    segment, k = F.col("c_mktsegment"), F.col("c_custkey")
+    habits = v.table(spark, d, "customer", "c_custkey", "c_mktsegment").select(
+        k.alias("ptid"), F.when(segment == "AUTOMOBILE", "current").when(segment == "MACHINERY", "former").otherwise("never").alias("smoking_status"),
+        F.when(k % 5 == 0, "Hispanic").when(k % 3 == 0, "Unknown").otherwise("Not Hispanic").alias("ethnicity"),
+    )
+    dates = {"age_at_dx": "dx_date", "age_at_prior": "prior_date"}
+    return reports.characteristics(v.cohort(spark, d), v.clinical(spark, d).join(habits, "ptid"), dates, _TWO_LEVELS, _KEPT_LEVELS, {"ecog": 2})
+
+
 @query("treated_share", f"""
     WITH {USERS_SQL} SELECT drug, count(*) AS num_treated, CAST(count(*) AS VARCHAR) || ' (' ||
         CAST(round(count(*) / (SELECT count(*) FROM therapy) * 100, 2) AS VARCHAR) || '%)' AS num_treated_percentage FROM arm GROUP BY 1""", _SV)

@@ -179,7 +179,8 @@ def agg_count_threshold(spark, d):
     SELECT r.ptid, CASE WHEN max(k.class_a) = 1 AND max(k.class_b) = 1 THEN 1 ELSE 0 END AS both_classes, min(r.rx_date) AS first_day
     FROM records r JOIN codes k ON r.code = k.code WHERE k.class_a + k.class_b > 0 GROUP BY r.ptid""", ["records", "codes"])
 def agg_both_classes_first_date(spark, d):
-    r = v.records(spark, d).join(v.codes(spark, d).where("class_a + class_b > 0"), "code")
+    known = v.codes(spark, d).where("class_a + class_b > 0")
+    r = v.records(spark, d, known).join(known, "code")
     both = ((F.max("class_a") == 1) & (F.max("class_b") == 1)).cast("int")
     return r.groupBy("ptid").agg(both.alias("both_classes"), F.min("rx_date").alias("first_day"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialkit.functions import dates, normal, recode, text
+from trialkit.operators import joins
 from trialkit.registry import sqlmath
 from trialkit.registry import views as v
 from trialkit.registry.base import query
@@ -22,6 +23,19 @@ def str_build_alternation(spark, d):
     return p.select("p_partkey", "p_name", pattern.alias("pattern")).where(F.rlike("p_name", F.col("pattern")))
 
 
+@query("match_term_dictionary", """
+    WITH terms AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part UNION SELECT DISTINCT p_type FROM part
+                   UNION SELECT DISTINCT substr(p_name, 3, 5) FROM part)
+    SELECT p_partkey, p_name, term FROM part JOIN terms ON CASE WHEN term = 'gear' THEN ends_with(p_name, term) ELSE contains(p_name, term) END
+    WHERE length(term) > 0""")
+def match_term_dictionary(spark, d):
+    """Names with every dictionary term that they contain; the dictionary grows with the table."""
+    p = v.table(spark, d, "part", "p_partkey", "p_name", "p_type")
+    terms = p.select(F.explode(F.concat(F.split("p_name", " "), F.array("p_type", F.substring("p_name", 3, 5)))).alias("term"))
+    hits = joins.match_terms(p, "p_name", terms, "term", ["gear"])
+    return p.select("p_partkey", "p_name").join(hits, F.col("p_name") == F.col("text")).select("p_partkey", "p_name", "term")
+
+
 @query("str_regexp_extract", """
     SELECT p_partkey, regexp_extract(p_name, '(bolt|gear$|ring)', 1) AS as_is, regexp_extract(lower(upper(p_name)), '(bolt|gear$|ring)', 1) AS lowered FROM part""")
 def str_regexp_extract(spark, d):

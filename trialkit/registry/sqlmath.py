@@ -68,7 +68,7 @@ def half_normal(z: str) -> str:
     return f"(CASE WHEN {z} = 0 THEN 0 ELSE list_sum({terms}) / sqrt(2 * pi()) END)"
 
 
-def location_scale(rows: str, keys: Sequence[str], family: str, arm: bool, time: str = "days", event: str = "flag", steps: int = 45, name: str = "ls") -> str:
+def location_scale(rows: str, keys: Sequence[str], family: str, arm: bool, time: str = "days", event: str = "flag", steps: int = 45, name: str = "ls", weight: str | None = None) -> str:
     """CTEs of a Weibull, log-normal or log-logistic fit of log time: {name}_est (t0.., last one log scale)
     and {name}_at (rows with log likelihood terms and the negative Hessian columns at the estimate)."""
     by = ", ".join(keys)
@@ -90,7 +90,7 @@ def location_scale(rows: str, keys: Sequence[str], family: str, arm: bool, time:
         mean = " + ".join(f"b.t{i} * {x[i]}" for i in range(n - 1))
         based = (
             f"SELECT {own}, {', '.join(f'b.t{i}' for i in range(n))}, {', '.join(f'{x[i]} AS v{i}' for i in range(n - 1))}, r.{event} AS d, "
-            f"ln(r.{time}) AS lt, exp(b.t{n - 1}) AS s, (ln(r.{time}) - ({mean})) / exp(b.t{n - 1}) AS z FROM {rows} r JOIN {source} b ON {on} WHERE r.{time} > 0"
+            f"CAST({f'r.{weight}' if weight else 1} AS DOUBLE) AS wt, ln(r.{time}) AS lt, exp(b.t{n - 1}) AS s, (ln(r.{time}) - ({mean})) / exp(b.t{n - 1}) AS z FROM {rows} r JOIN {source} b ON {on} WHERE r.{time} > 0"
         )
         return (
             f"SELECT *, CASE WHEN d = 1 THEN {event_part[0]} - ln(s) - lt ELSE {tail_part[0]} END AS ll, "
@@ -98,7 +98,7 @@ def location_scale(rows: str, keys: Sequence[str], family: str, arm: bool, time:
             f"FROM (SELECT *, {half} AS half FROM ({based}))"
         )
 
-    grads = [f"sum(-f1 * v{i} / s) AS g_{i}" for i in range(n - 1)] + [f"sum(-f1 * z - d) AS g_{n - 1}"]
+    grads = [f"sum(wt * -f1 * v{i} / s) AS g_{i}" for i in range(n - 1)] + [f"sum(wt * (-f1 * z - d)) AS g_{n - 1}"]
     hess = []
     for i, j in upper(n):
         if j < n - 1:
@@ -107,8 +107,8 @@ def location_scale(rows: str, keys: Sequence[str], family: str, arm: bool, time:
             cell = f"(f2 * z + f1) * v{i} / s"
         else:
             cell = "f2 * z * z + f1 * z"
-        hess.append(f"-sum({cell}) AS h_{i}_{j}")
-    sums = ", ".join([*grads, *hess, "sum(ll) AS ll", *[f"any_value(t{i}) AS t{i}" for i in range(n)]])
+        hess.append(f"-sum(wt * ({cell})) AS h_{i}_{j}")
+    sums = ", ".join([*grads, *hess, "sum(wt * ll) AS ll", *[f"any_value(t{i}) AS t{i}" for i in range(n)]])
     zero = ["CAST(0 AS DOUBLE) AS t1"] if arm else []
     # log time spreads wider than its standard error term by this factor
     wide = {"weibull": 1.2825498, "lognormal": 1.0, "loglogistic": 1.8137994}[family]
@@ -118,12 +118,12 @@ def location_scale(rows: str, keys: Sequence[str], family: str, arm: bool, time:
         lifted = sums
         if k < 30:  # far from the optimum the Hessian may be indefinite
             for i in range(n):
-                lifted = lifted.replace(f" AS h_{i}_{i}", f" + 2 * count(*) AS h_{i}_{i}")
+                lifted = lifted.replace(f" AS h_{i}_{i}", f" + 2 * sum(wt) AS h_{i}_{i}")
         moved = solve(f"(SELECT {by}, {lifted} FROM ({points(f'{name}_{k}')}) GROUP BY {by})", n, [*keys, *[f"t{i}" for i in range(n)]])
         # short steps keep Newton's iteration where the likelihood is concave
         short = ", ".join(f"t{i} + greatest(-0.2, least(0.2, x{i})) AS t{i}" for i in range(n))
         ctes.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT {by}, {short} FROM ({moved}))")
-    ctes.append(f"{name}_at AS (SELECT {by}, {sums}, count(*) AS n, CAST(sum(d) AS BIGINT) AS n_events FROM ({points(f'{name}_{steps}')}) GROUP BY {by})")
+    ctes.append(f"{name}_at AS (SELECT {by}, {sums}, count(*) AS n, CAST(round(sum(wt * d)) AS BIGINT) AS n_events FROM ({points(f'{name}_{steps}')}) GROUP BY {by})")
     return ", ".join(ctes)
 
 

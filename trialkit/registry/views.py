@@ -47,12 +47,22 @@ def cohort(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """Prescriptions (order date) and administrations (ship date) of the ordered parts, from one pass."""
+def records(spark: SparkSession, d: str, coded: DataFrame | None = None, patients: DataFrame | None = None) -> DataFrame:
+    """Prescriptions (order date) and administrations (ship date) of the ordered parts, from one pass.
+
+    With `coded` (code) or `patients` (ptid) only their records: parts and orders are cut down before they meet the line items, and the lines
+    left are doubled last.
+    """
+    parts = table(spark, d, "part", "p_partkey", "p_type")
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    if coded is not None:
+        parts = parts.join(coded.select(F.col("code").alias("p_partkey")), "p_partkey", "left_semi")
+    if patients is not None:
+        o = o.join(patients.select(F.col("ptid").alias("o_custkey")), "o_custkey", "left_semi")
     lines = (
         table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
-        .join(table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, d, "part", "p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     )
     dated = F.explode(
         F.array(
@@ -74,7 +84,8 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dual(spark: SparkSession, d: str) -> DataFrame:
-    return dual_therapy(cut(cohort(spark, d)), records(spark, d), codes(spark, d))
+    patients, known = cut(cohort(spark, d)), codes(spark, d)
+    return dual_therapy(patients, records(spark, d, known.where("class_a + class_b > 0"), patients), known)
 
 
 def therapy(spark: SparkSession, d: str) -> DataFrame:
