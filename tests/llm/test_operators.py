@@ -135,6 +135,26 @@ def test_many_copies_of_one_row_are_numbered_in_blocks(spark, monkeypatch):
         assert own == list(range(len(own)))
 
 
+def test_a_key_on_many_texts_is_numbered_in_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 5)
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(400)] + [(i, "y") for i in range(60)], DOCS)
+    got = sharding.assign(df, shards=4)
+    rows = got.collect()
+    assert len(rows) == 460 and len({r["shard"] for r in rows if r["doc_id"] is None}) == 1
+    for s in range(4):
+        own = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert own == list(range(len(own)))
+    hashes = df.where("doc_id IS NULL").select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 50).alias("top")).distinct().count()
+    assert hashes > 100  # the order that cuts the buckets does not follow the key alone
+
+
+def test_shards_do_not_replace_a_column(spark):
+    df = spark.range(3).withColumn("Shard", F.lit("kept"))
+    with pytest.raises(ValueError):
+        sharding.with_shard(df, "id", 4)
+    assert sharding.with_shard(df, "id", 4, "part").columns == ["id", "Shard", "part"]
+
+
 # --- quality rules
 
 

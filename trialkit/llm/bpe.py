@@ -212,6 +212,7 @@ def encode(docs: DataFrame, path: str, out: str = "bpe", text: str = "text", kee
 
     Whole texts are encoded, in one pass without a shuffle; null is an empty text, and an empty text has no ids. Repeated rows get
     equal ids. Very long texts are cut into pieces as they are read; a single piece costs memory in proportion to its bytes.
+    An empty table gives an empty one.
     """
     sent = send(docs.sparkSession, path)
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded

@@ -166,7 +166,7 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
     Turns are ordered by (turn, role, text), null first; repeated rows stay. A conversation is one record, so it must fit into one row.
     One with a text too long for JSON, or with more bytes than a variant surely holds, has a null record and its canonical turns in the
-    column `given`.
+    column `given`. No rows, no conversations.
     """
     said = rows.select(F.col(key).alias("key"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     told = said.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("t"))
@@ -190,6 +190,6 @@ def records_of(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
 def format_records(records: DataFrame, json: str = "record", given: str | None = None) -> DataFrame:
     """Add layout, turns, formatted and mask to a table of JSON records; a row without a known record takes the turns of the column
-    `given`. No shuffle, no Python."""
+    `given`. No shuffle, no Python. An empty table gives an empty one."""
     found = to_turns(records, json)
     return with_format(found if given is None else found.withColumn("turns", F.coalesce("turns", F.col(given))))

@@ -146,8 +146,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, out: str = "decontamination", te
     windows, sorted as text) and spans (first and last word of each stretch of hit words).
 
     Words are those of the lower-cased (A-Z) text; an item with fewer words than a window is one window. Null or empty texts have no
-    words and no hits; items without words or without a name match nothing. Repeated rows are judged alike. The benchmark is
-    sent out in blocks of 8 MB, one scan step for each, so its size has no limit; the documents are never shuffled.
+    words and no hits; items without words or without a name match nothing. Repeated rows are judged alike. Very long texts are searched
+    whole, as bytes. An empty table gives an empty one; an empty benchmark has no hits. The benchmark passes through the driver, which
+    builds its tables, and is sent out in blocks of 8 MB, one scan step for each: it must fit the driver's memory. The documents are never shuffled.
     """
     spark = docs.sparkSession
     made = None

@@ -44,20 +44,22 @@ def shard_of(key: Column, shards: int | Mapping[int, float]) -> Column:
 
 
 def with_shard(df: DataFrame, key: str, shards: int | Mapping[int, float], out: str = "shard") -> DataFrame:
-    """The table with its shard, for writing with partitionBy(out). No shuffle."""
+    """The table with its shard, for writing with partitionBy(out). No shuffle. A column of that name is an error."""
+    if out.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {out}; choose another name for the result")
     return df.withColumn(out, shard_of(F.col(key), shards))
 
 
-def numbered(df: DataFrame, key: str, shard: str, out: str = "slot", expected_shards: int = 16) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, in the order of the key's hash; for narrow tables.
+def numbered(df: DataFrame, shard: str, out: str = "slot", expected_shards: int = 16) -> DataFrame:
+    """Number the rows of each shard from 0 without gaps, in the order of the hash of the whole row; for narrow tables.
 
-    Equal rows are counted before anything shuffles on a key and dealt out again in blocks, so a key with very many copies
-    meets no single task. Each shard is cut into buckets of the hash, about 2,000 distinct rows each; a small table of
+    Equal rows are counted before anything shuffles on a key and dealt out again in blocks, so neither a key with very many copies
+    nor one with very many different rows meets a single task. Each shard is cut into buckets of the hash, about 2,000 distinct rows each; a small table of
     counts carries the totals across.
     """
     columns = df.columns
     h, n = "__order", "__copies"
-    counted = cut(df.groupBy(*columns).agg(F.count(F.lit(1)).alias(n)).withColumn(h, _hash(F.col(key), "order")))
+    counted = cut(df.groupBy(*columns).agg(F.count(F.lit(1)).alias(n)).withColumn(h, F.shiftrightunsigned(F.xxhash64(*columns), 11)))
     rows = counted.count()
     bits = max(0, math.ceil(math.log2(max(1.0, rows / (BUCKET_ROWS * expected_shards)))))
     counted = counted.withColumn("__bucket", F.shiftrightunsigned(F.col(h), 53 - bits) if bits else F.lit(0).cast("long"))
@@ -83,11 +85,11 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
 
     Null text: no bytes, size 1, checksum 0 as of an empty text. Null keys share a shard. Repeated rows share a shard and get
     slots of their own. Texts are reduced to a size and a checksum in the scan; very long ones need nothing special. No
-    rows in, no rows out.
+    rows in, no rows out. Other columns are not looked at, whatever their names.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     narrow = docs.select(
         F.col(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("key").alias("law"),
         shard_of(F.col(key), shards).alias("shard"), shard_of(F.col(key), shards + 1).alias("grown_shard"),
     )
-    return numbered(narrow, key, "shard", expected_shards=shards)
+    return numbered(narrow, "shard", expected_shards=shards)

@@ -61,7 +61,7 @@ def attribute(docs: DataFrame, path: str, fields: Sequence[str], by_line: Sequen
 
     The document is the fields in order with `glue` between; a null field is empty. A field of `by_line` is one part per line, without the
     line ends; other fields are one part. Empty parts have no tokens. Repeated rows get equal counts. Whole documents are encoded, in one
-    pass without a shuffle.
+    pass without a shuffle; a very long one costs memory in proportion to its bytes. An empty table gives an empty one.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
