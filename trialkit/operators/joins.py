@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialkit.functions.dates import within_days
 from trialkit.operators.ranks import keep_first
-from trialkit.session import broadcast_if_small, cut
+from trialkit.session import BROADCAST_BYTES, broadcast_if_small, cut
 
 
 def _match(event_date: str, anchors: DataFrame, key: str, condition, events: DataFrame) -> DataFrame:
@@ -76,6 +76,46 @@ def on_or_after_all(events: DataFrame, anchors: DataFrame, key: str, event_date:
     return _match(event_date, anchors, key, condition, events)
 
 
+def spread(df: DataFrame, rows: int, *by: str, task_rows: int = 1_000_000) -> DataFrame:
+    """Shuffle a small table whose rows become many into as many tasks as those `rows` need."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, rows // task_rows + 1), *by)
+
+
+_BLOCK_BITS = 6
+_WIDTHS = {"bigint": 8, "int": 4, "date": 4, "smallint": 2, "tinyint": 1, "boolean": 1, "double": 8}
+
+
+def join_numbered(rows: DataFrame, table: DataFrame, on: Sequence[str], number: Column, how: str = "left", row_bytes: int = 96) -> DataFrame:
+    """Join very many rows to a table with one row per key, where `number` makes an integer of the key columns `on`, another for every key of the table.
+
+    The table is sent out in blocks of 64 numbers: a bit mask of those in use and one array per column, so a row takes little more than its values and far
+    larger tables than by rows are broadcast. `how` is left, inner or left_anti. A table that is too large even so, or that repeats a key, is joined as it is.
+    """
+    on, held = list(on), [c for c in table.columns if c not in on]
+    place = F.col("_at").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).cast("int")
+    one, upto = F.lit(1).cast("long"), F.lit(-1).cast("long")
+    keyed = table.withColumn("_at", number.cast("long")).where(F.col("_at").isNotNull())
+    sorted_rows = F.array_sort(F.collect_list(F.struct("_at", *held)))
+    blocks = keyed.groupBy(F.shiftright("_at", _BLOCK_BITS).alias("_block")).agg(
+        F.bit_or(F.call_function("shiftleft", one, place)).alias("_mask"), sorted_rows.alias("_rows")
+    )
+    arrays = [F.col("_rows").getField(c).alias(f"_v{i}") for i, c in enumerate(held)]
+    blocks = cut(blocks.select("_block", "_mask", F.size("_rows").alias("_n"), *arrays))
+    n, size, single = blocks.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.bool_and(F.bit_count("_mask") == F.col("_n")), F.lit(True))
+    ).first()
+    width = sum(_WIDTHS.get(table.schema[c].dataType.simpleString(), 48) for c in held)
+    if not single or n * (48 + 24 * len(held)) + size * width > BROADCAST_BYTES:
+        return rows.join(broadcast_if_small(table, table.count(), row_bytes), on, how)
+    met = rows.withColumn("_at", number.cast("long")).join(F.broadcast(blocks.drop("_n")), F.shiftright("_at", _BLOCK_BITS) == F.col("_block"), "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", "_mask", place).bitwiseAND(one) == 1, F.lit(False))
+    if how == "left_anti":
+        return met.where(~hit).select(*rows.columns)
+    index = F.bit_count(F.col("_mask").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", upto, place))))
+    met = met.where(hit) if how == "inner" else met
+    return met.select(*rows.columns, *[F.when(hit, F.get(f"_v{i}", index)).alias(c) for i, c in enumerate(held)])
+
+
 def left_all(base: DataFrame, blocks: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Left joins on one key set; the base keeps repeats, each block must have one row per key.
 

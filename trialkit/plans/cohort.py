@@ -6,16 +6,19 @@ Expected columns: records (ptid, rx_date, drug, code), cohort (ptid, dx_date, ..
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialkit.functions.dates import within_days
-from trialkit.functions.hashing import hash_position
-from trialkit.operators.joins import not_in_ignoring_case, with_cohort
+from trialkit.functions.hashing import hash32_many
+from trialkit.operators.joins import join_numbered, not_in_ignoring_case, spread, with_cohort
 from trialkit.operators.ranks import dense_positions
-from trialkit.session import broadcast_if_small, cut
+from trialkit.session import cut
 
 
 def gap_or_null(event: Column, anchor: Column, days: int = 365 * 5) -> Column:
@@ -105,58 +108,67 @@ def control_draws(
     The control pool of a drug is never listed. Cohort members are numbered once; control number u of a
     drug with c controls is member u, unless that member is treated: the treated numbers below c (holes)
     are paired one to one with the untreated numbers from c on (fillers). Draw slots hang on the treated
-    rows, so a big drug's slots are spread over as many tasks as its treated patients.
+    rows, so a big drug's slots are spread over as many tasks as its treated patients; their hashes are taken
+    many at a time, and members, offsets and swaps are found by number.
     """
     members = cut(dense_positions(cohort.select("ptid", "therapy_date"), [], "ptid", "member"))
     n_members = members.count()
     sizes = treated.groupBy("drug").agg(F.count(F.lit(1)).alias("n_treated"))
     arm = cut(
         dense_positions(treated.select("drug", "ptid", "delta_days"), ["drug"], "ptid", "t_pos")
-        .join(sizes, "drug")
+        .join(dense_positions(sizes, [], "drug", "drug_no"), "drug")
         .withColumn("n_control", n_members - F.col("n_treated"))
     )
     n_arm = arm.count()
-    taken = arm.join(members.select("ptid", "member"), "ptid").select("drug", "member", "n_control")
+    taken = arm.join(members.select("ptid", "member"), "ptid").select("drug", "drug_no", "member", "n_control")
     holes = dense_positions(
-        taken.where("member < n_control").select("drug", F.col("member").alias("control")), ["drug"], "control", "k"
+        taken.where("member < n_control").select("drug", "drug_no", F.col("member").alias("control")), ["drug"], "control", "k"
     )
     fillers = arm.select("drug", (F.col("n_control") + F.col("t_pos")).alias("member")).join(
         taken.select("drug", "member"), ["drug", "member"], "left_anti"
     )
-    swaps = cut(
-        holes.join(dense_positions(fillers, ["drug"], "member", "k"), ["drug", "k"]).select(
-            "drug", "control", F.col("member").alias("swap")
-        )
-    )
-    slots = (
-        arm.where("n_control > 0")
-        .withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .repartition("drug", "boot_id", "t_pos")  # the arm is small on disk, its slots are not
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(ratio - 1))))
-        .select("drug", "boot_id", (F.col("t_pos") * ratio + F.col("_j")).alias("rep"), "n_treated", "n_control")
+    swaps = holes.join(dense_positions(fillers, ["drug"], "member", "k"), ["drug", "k"]).select(
+        "drug_no", "control", F.col("member").alias("swap")
     )
-    draw = [F.lit(seed), F.col("drug"), F.col("boot_id"), F.col("rep")]
-    drawn = slots.select(
-        "drug",
-        "boot_id",
-        "rep",
-        hash_position(F.col("n_control"), F.lit("control"), *draw).alias("control"),
-        hash_position(F.col("n_treated"), F.lit("offset"), *draw).alias("t_pos"),
+    slots = spread(arm.where("n_control > 0").select("drug", "drug_no", "t_pos", "n_treated", "n_control"), n_arm * n_boot * ratio, "drug", "t_pos")
+    text = slots.schema["drug"].dataType
+    drawn = slots.withColumn("_text", F.col("drug").cast("string")).mapInArrow(
+        partial(_drawn, n_boot=n_boot, ratio=ratio, seed=seed), f"drug {text.simpleString()}, drug_no long, boot_id int, rep long, control long, t_pos long"
     )
-    # as long as these tables are small when counted, the draws are never shuffled
-    offsets = arm.select("drug", "t_pos", "delta_days")
-    return (
-        drawn.join(broadcast_if_small(swaps, n_arm, 96), ["drug", "control"], "left")
-        .withColumn("member", F.coalesce("swap", "control"))
-        .join(broadcast_if_small(members, n_members, 48), "member")
-        .join(broadcast_if_small(offsets, n_arm, 96), ["drug", "t_pos"])
-        .select(
-            "drug", "boot_id", "rep", "ptid", "therapy_date", "delta_days",
-            F.date_add("therapy_date", F.col("delta_days")).alias("index_date"),
-        )
+    # a number for every drug and position; as long as these tables are small when counted, the draws are never shuffled
+    span = -(-n_members // 64) * 64
+    number = lambda position: F.col("drug_no") * F.lit(span) + F.col(position)
+    swapped = join_numbered(drawn, swaps, ["drug_no", "control"], number("control")).withColumn("member", F.coalesce("swap", "control"))
+    offsets = arm.where("n_control > 0").select("drug_no", "t_pos", "delta_days")
+    placed = join_numbered(swapped, members, ["member"], F.col("member"), "inner", 48)
+    return join_numbered(placed, offsets, ["drug_no", "t_pos"], number("t_pos"), "inner").select(
+        "drug", "boot_id", "rep", "ptid", "therapy_date", "delta_days",
+        F.date_add("therapy_date", F.col("delta_days")).alias("index_date"),
     )
 
 
+def _drawn(batches: Iterator[pa.RecordBatch], n_boot: int, ratio: int, seed: int, at_once: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """The drawn positions of all slots of treated rows; they equal `hash_position` of the same parts."""
+    per_row = n_boot * ratio
+    boots, turns = np.repeat(np.arange(n_boot), ratio), np.tile(np.arange(ratio), n_boot)
+    for batch in batches:
+        step = max(1, at_once // max(1, per_row))
+        for lo in range(0, batch.num_rows, step) if per_row else ():
+            part = batch.slice(lo, step)
+            drug, drug_no, t_pos, n_treated, n_control, text = part.columns
+            coded, n = text.dictionary_encode(), part.num_rows
+            texts = [t.encode() for t in coded.dictionary.to_pylist()]
+            codes = np.repeat(coded.indices.to_numpy(), per_row)
+            boot, rep = np.tile(boots, n), np.repeat(t_pos.to_numpy() * ratio, per_row) + np.tile(turns, n)
+            drawn = [
+                hash32_many(f"{what}|{seed}|".encode(), (texts, codes), b"|", boot, b"|", rep) % np.repeat(size.to_numpy(), per_row)
+                for what, size in (("control", n_control), ("offset", n_treated))
+            ]
+            row = pa.array(np.repeat(np.arange(n), per_row))
+            arrays = [drug.take(row), drug_no.take(row), pa.array(boot, pa.int32()), *(pa.array(a) for a in (rep, *drawn))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["drug", "drug_no", "boot_id", "rep", "control", "t_pos"])
+
+
 def union_records(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Stack record sources under one schema with a `source` tag."""
     tagged = [df.withColumn("source", F.lit(tag)) for tag, df in sources]

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialkit.operators.joins import of_patients
-from trialkit.session import broadcast_if_small
+from trialkit.operators.joins import join_numbered, of_patients, spread
+from trialkit.operators.ranks import dense_positions
+from trialkit.session import broadcast_if_small, cut
 
 
 def last_activity(patients: DataFrame, events: Sequence[DataFrame], anchors: Sequence[str]) -> DataFrame:
@@ -68,6 +69,27 @@ def first_event_after(
     return long.select("ptid", "index_date", "class", flag.cast("int").alias("sae_flag"), days.alias("sae_delta_days"))
 
 
+def _whole(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+
+
+def _not_own(draws: DataFrame, treated: DataFrame, n_treated: int) -> DataFrame:
+    """Draws without those that are treated patients of the same drug."""
+    own = treated.select("drug", "ptid")
+    if _whole(own, "ptid"):
+        low, high = own.agg(F.min("ptid"), F.max("ptid")).first()
+        numbers = dense_positions(own.select("drug").distinct(), [], "drug", "_no")
+        if low is not None and low >= 0 and high < 1 << 40:
+            numbers = cut(numbers)
+            n, span = numbers.count(), high // 64 * 64 + 64
+            if n < 1 << 20:
+                known = F.when(F.col("ptid").between(0, span - 1), F.col("_no") * F.lit(span) + F.col("ptid"))
+                numbered = broadcast_if_small(numbers, n, 96)
+                listed = own.distinct().join(numbered, "drug").select("ptid", "_no")
+                return join_numbered(draws.join(numbered, "drug", "left"), listed, ["_no", "ptid"], known, "left_anti").drop("_no")
+    return draws.join(broadcast_if_small(own, n_treated, 96), ["drug", "ptid"], "left_anti")
+
+
 def assemble_trials(
     treated: DataFrame, draws: DataFrame, outcome: DataFrame, n_boot: int = 100, min_days: int | None = None
 ) -> DataFrame:
@@ -76,16 +98,19 @@ def assemble_trials(
     Keyed (drug, boot_id, treatment, ptid, index_date, rep). Draws that are treated patients of the same
     drug are removed. Every row stays unless `min_days` is given; `dropped_follow_up` counts what that would drop.
     """
-    arms = treated.select(
+    n_treated = treated.count()
+    arms = spread(treated.select("drug", "ptid", "index_date"), n_treated * n_boot, "drug", "ptid").select(
         "drug", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot_id"), "ptid", "index_date",
         F.lit(0).cast("long").alias("rep"), F.lit(1).alias("treatment"),
     )
-    own = broadcast_if_small(treated.select("drug", "ptid"), treated.count(), 96)
-    controls = draws.join(own, ["drug", "ptid"], "left_anti").select(
+    controls = _not_own(draws, treated, n_treated).select(
         "drug", "boot_id", "ptid", "index_date", F.col("rep").cast("long").alias("rep"), F.lit(0).alias("treatment")
     )
-    known = outcome.select("ptid", "d_flag", "available_date", "last_act_dt")
-    rows = arms.unionByName(controls).join(broadcast_if_small(known, known.count(), 64), "ptid", "left")
+    known, rows = outcome.select("ptid", "d_flag", "available_date", "last_act_dt"), arms.unionByName(controls)
+    if _whole(known, "ptid"):
+        rows = join_numbered(rows, known, ["ptid"], F.col("ptid"), "left", 64)
+    else:
+        rows = rows.join(broadcast_if_small(known, known.count(), 64), "ptid", "left")
     days = follow_up_days(F.col("index_date"), F.col("d_flag"), F.col("available_date"), F.col("last_act_dt"))
     rows = rows.withColumn("d_delta_days", days).drop("available_date", "last_act_dt")
     return rows if min_days is None else rows.where(F.col("d_delta_days") >= min_days)
