@@ -15,14 +15,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trialkit.functions.hashing import hash32
+from trialkit.functions.hashing import hash32, hash32_many
+from trialkit.operators.joins import spread
 from trialkit.session import cut
 
 # Cumulative Poisson(1) probabilities of 0..12 copies; the rest is less than the smallest step of a 32-bit draw.
 _POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 _SENT_BYTES = 64 * 1024 * 1024
 _ROWS = 1_000
+_DRAWN = 200_000
 _SALTS = 16
 
 
@@ -32,6 +35,26 @@ def copies_of(boot, ident: Sequence[str], seed: int = 0):
     return sum((u > F.lit(p)).cast("int") for p in _POISSON)
 
 
+def _with_copies(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """Add `_copies`, one byte per resample, which equal `copies_of`; `_ident` is the text of a row's ids, each after a '|'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boots, limits = np.arange(n_boot), np.array(_POISSON)
+        for batch in batches:
+            step = max(1, _DRAWN // max(1, n_boot))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                texts = [t.encode() for t in part.column(part.num_columns - 1).to_pylist()]
+                codes, boot = np.repeat(np.arange(len(texts)), n_boot), np.tile(boots, len(texts))
+                u = (hash32_many(f"{seed}|boot|".encode(), boot, (texts, codes)) + 0.5) / 2.0**32
+                copies = np.searchsorted(limits, u).astype(np.uint8).tobytes()
+                packed = pa.array([copies[i * n_boot : (i + 1) * n_boot] for i in range(len(texts))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], names=[*part.schema.names[:-1], "_copies"])
+
+    kept = [f for f in rows.schema if f.name != "_ident"]
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("_copies", T.BinaryType())]))
+
+
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -45,12 +68,12 @@ def _summed(rows: DataFrame, k: int, span: slice, betas: dict[str, np.ndarray],
         for batch in batches:
             names = np.array(batch.column(0).to_pylist())
             numbers = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, k + 2)])
-            lists = batch.column(k + 2)
+            packed = batch.column(k + 2)
             for g in set(names.tolist()):
                 own = np.flatnonzero(names == g)
                 for lo in range(0, len(own), _ROWS):
                     at = own[lo : lo + _ROWS]
-                    w = np.stack([lists[int(i)].values.to_numpy() for i in at])[:, span].astype(float)
+                    w = np.frombuffer(b"".join(packed.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)[:, span].astype(float)
                     x = np.column_stack([np.ones(len(at)), numbers[at, : k - 1]])
                     part = kernel(x, numbers[at, k - 1], numbers[at, k], w, sent.value[g])
                     held[g] = held[g] + part if g in held else part
@@ -136,9 +159,10 @@ def bootstrap_effect(
     complete = F.col(treat).isNotNull()
     for f in features:
         complete = complete & F.col(f).isNotNull()
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: copies_of(b, ident, seed).cast("byte"))
+    text = F.concat(*[F.coalesce(F.concat(F.lit("|"), F.col(c).cast("string")), F.lit("")) for c in ident])
     numbers = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate([*features, treat, outcome])]
-    rows = cut(df.where(complete).select(group.alias("_g"), *numbers, drawn.alias("_copies")))
+    plain = cut(df.where(complete).select(group.alias("_g"), *numbers, text.alias("_ident")))  # few bytes, many draws: spread before they are drawn
+    rows = cut(_with_copies(spread(plain, plain.count() * n_boot, task_rows=10_000_000), n_boot, seed))
     names = [r["_g"] for r in rows.select("_g").distinct().collect()]
     size = k + k * (k + 1) // 2
     together = max(1, min(n_boot, sent_bytes // (8 * size * max(1, len(names)))))
