@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +42,25 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run inside drops its shuffle files as soon as its result is stored; otherwise they stay until the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise on reliable storage and drop the lineage."""
+    """Materialise on reliable storage and drop the lineage, with the files shuffled on the way."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_released(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned anew, so that only shuffles of this plan go
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -62,7 +79,8 @@ def settle(df: DataFrame) -> DataFrame:
     A checkpoint keeps the optimizer's estimate of the size, which is a product over all joins; in a loop its digits double with every step.
     """
     path = scratch_path(df.sparkSession, "step")
-    df.write.parquet(path)
+    with shuffles_released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
