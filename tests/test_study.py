@@ -2,13 +2,15 @@
 
 import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trialkit.plans import features, study, survival
+from trialkit.plans import features, study, survival, trial_fit
 from trialkit.plans.models import logistic_coefficients
 
 START = dt.date(2020, 1, 1)
@@ -101,3 +103,32 @@ def test_trials_in_tasks_and_by_steps_give_the_same_estimates(spark):
             np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), rtol=1e-6)
         for c in study._COUNTS:
             assert a[c].astype("Int64").equals(b[c].astype("Int64")), c
+
+
+def large_trial(spark, n):
+    noise = lambda what: (F.xxhash64("id", F.lit(what)) % 1000) / 1000.0
+    return spark.range(n).select(
+        F.lit("d").alias("drug"), F.lit(0).alias("boot_id"), "id", (F.col("id") % 6 == 0).cast("int").alias("treatment"),
+        (F.pmod(F.xxhash64("id"), F.lit(900))).cast("int").alias("d_delta_days"), (F.col("id") % 11 < 4).cast("int").alias("d_flag"),
+        *[F.when(F.col("id") % (k + 5) > 0, noise(k)).alias(f"x{k}") for k in range(3)],
+    )
+
+
+def test_a_trial_of_more_rows_than_one_matching_task_takes_is_estimated_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(study, "_estimate_by_steps", lambda *a: pytest.fail("went through whole tables"))
+    estimates, matched = study.estimate_trials(large_trial(spark, 210_000), ["x0", "x1", "x2"])
+    assert estimates.count() == 1 and matched.count() == 70_000
+
+
+def test_a_trial_in_a_task_takes_little_more_than_its_numbers():
+    n, names = 300_000, [f"x{k}" for k in range(20)]
+    rng = np.random.default_rng(5)
+    columns = {"id": np.arange(n), "_tie": rng.integers(0, 1 << 32, n), "_strata": np.ones(n, np.int64), "_train": (rng.random(n) < 0.7).astype(np.int64),
+               "treatment": (rng.random(n) < 0.2).astype(np.int64), "t": rng.integers(0, 500, n), "e": rng.integers(0, 2, n)}
+    trial = pa.table(columns | {c: np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 9, n)) for c in names})
+    tracemalloc.start()
+    found = trial_fit.estimates_of(trial, names, "t", "e", 1, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1 and len(found[0]["matched"]) == 2 * columns["treatment"].sum()
+    assert peak < 3.5 * n * len(names) * 8

@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialkit.functions.hashing import hash32
+from trialkit.operators.joins import spread
 from trialkit.operators.reshape import impute_median_from_train, split_flag
 from trialkit.plans import balance, cohort, features, matching, models, outcomes, survival, synthesis, trial_fit
-from trialkit.session import broadcast_if_small, cut
+from trialkit.session import broadcast_if_small, cut, settle
 
 TRIAL = ["drug", "boot_id"]
+#: numbers of a trial that one task may hold: with 27 covariates a trial of up to about a million rows
+TASK_BYTES = 256 * 1024 * 1024
 
 
 @dataclass
@@ -43,7 +46,7 @@ def build_trials(
     treated = cut(users.join(enough, "drug", "left_semi"))
     draws = cohort.control_draws(treated, therapy, n_boot, seed=seed)
     trials = cut(outcomes.assemble_trials(treated, draws, outcome, n_boot))
-    wide = covariates_at(features.index_keys(trials))
+    wide = settle(covariates_at(features.index_keys(trials)))  # read once for the sizes of trials and once for each use of their rows
     names = [c for c in wide.columns if c not in features.KEY]
     # one number per row of a trial: treated rows by patient (ids may be text), drawn controls by slot
     patient = -F.shiftrightunsigned(F.xxhash64(F.col("ptid").cast("string")), 1) - 1
@@ -54,25 +57,28 @@ def build_trials(
 
 def estimate_trials(
     trials: DataFrame, covariates: Sequence[str], keys: Sequence[str] = TRIAL, time: str = "d_delta_days", event: str = "d_flag",
-    threshold: float = 0.2, seed: int = 0, strata: Mapping[str, Column] | None = None, task_rows: int = matching.TASK_ROWS,
+    threshold: float = 0.2, seed: int = 0, strata: Mapping[str, Column] | None = None, task_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(one estimate per trial, matched rows): impute, balance, propensity, 1:1 match, balance, hazard ratios.
 
     With `strata` (at most 62) every stratum of a trial is estimated and matched on its own, and both results have a column `stratum`. Rows are held once, with
-    a bit mask of their strata. Trials of up to `task_rows` rows are estimated in one task each, with all their strata; larger ones by steps over whole
-    tables, in which no trial meets in one task. Both ways give the same estimates.
+    a bit mask of their strata. Trials of up to `task_rows` rows (as many as `TASK_BYTES` hold, unless given) are estimated in one task each, with all
+    their strata; larger ones by steps over whole tables, in which no trial meets in one task. Both ways give the same estimates.
     """
     keys, covariates, names = list(keys), list(covariates), list(strata or {"": F.lit(True)})
     bits = lambda flags: sum((F.shiftleft(f.cast("long"), i) for i, f in enumerate(flags)), F.lit(0).cast("long"))
     holds = [F.coalesce(p, F.lit(False)) for p in (strata or {"": F.lit(True)}).values()]
     label = [[F.lit(n)] if strata else [] for n in names]
     masks = {"_strata": bits(holds), "_train": bits([split_flag(seed, 70, *keys, *lb, "id") for lb in label]), "_tie": hash32("id")}
-    sizes = trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if task_rows is None:
+        task_rows = TASK_BYTES // (8 * (len(covariates) + 7))
+    sizes = cut(trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    n_rows = sizes.agg(F.sum("_rows")).first()[0] or 0
     large = cut(sizes.where(F.col("_rows") > task_rows).select(*keys))
     n_large = large.count()
     near = broadcast_if_small(large, n_large, 96)
     small = trials.join(near, keys, "left_anti") if n_large else trials
-    estimates, ids = _estimate_in_tasks(small, keys, covariates, time, event, threshold, names, masks)
+    estimates, ids = _estimate_in_tasks(small, n_rows, keys, covariates, time, event, threshold, names, masks)
     if not strata:
         estimates, ids = estimates.drop("stratum"), ids.drop("stratum")
     matched = trials.join(ids, [*keys, "id"]).select(*trials.columns, *(["stratum"] if strata else []))
@@ -90,7 +96,7 @@ _COUNTS = ("ori_unbalanced_covariates", "unbalanced_covariates")
 
 
 def _estimate_in_tasks(
-    trials: DataFrame, keys: list[str], covariates: list[str], time: str, event: str, threshold: float, names: list[str], masks: Mapping[str, Column]
+    trials: DataFrame, n_rows: int, keys: list[str], covariates: list[str], time: str, event: str, threshold: float, names: list[str], masks: Mapping[str, Column]
 ) -> tuple[DataFrame, DataFrame]:
     """Estimates and ids of matched rows of trials that fit a task, both by stratum."""
     needed = trials.withColumns(dict(masks)).select(
@@ -100,13 +106,14 @@ def _estimate_in_tasks(
     doubles, longs = [T.StructField(c, T.DoubleType()) for c in _ESTIMATES], [T.StructField(c, T.LongType()) for c in _COUNTS]
     schema = T.StructType([*kept, T.StructField("stratum", T.StringType()), *doubles, *longs, T.StructField("matched", T.ArrayType(T.LongType()))])
 
-    def per_trial(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = trial_fit.estimates_of(pdf, covariates, time, event, len(names), threshold)
-        rows = [[*(pdf[k].iloc[0] for k in keys), names[f["stratum"]], *(f[c] for c in (*_ESTIMATES, *_COUNTS)), f["matched"]] for f in found]
-        out = pd.DataFrame(rows, columns=schema.names)
-        return out.astype({c: "Int64" for c in _COUNTS})
+    def per_trial(trial: pa.Table) -> pa.Table:
+        found = trial_fit.estimates_of(trial, covariates, time, event, len(names), threshold)
+        named = {k: pa.array([trial.column(k)[0].as_py()] * len(found), trial.schema.field(k).type) for k in keys}
+        named["stratum"] = pa.array([names[f["stratum"]] for f in found], pa.string())
+        named |= {c: pa.array([f[c] for f in found], pa.float64()) for c in _ESTIMATES} | {c: pa.array([f[c] for f in found], pa.int64()) for c in _COUNTS}
+        return pa.table(named | {"matched": pa.array([f["matched"] for f in found], pa.list_(pa.int64()))})
 
-    done = cut(needed.groupBy(*keys).applyInPandas(per_trial, schema))
+    done = cut(spread(needed, n_rows, *keys).groupBy(*keys).applyInArrow(per_trial, schema))
     return done.drop("matched"), done.select(*keys, "stratum", F.explode("matched").alias("id"))
 
 
@@ -158,6 +165,6 @@ def class_estimates(
     return out.join(balance_counts.select(*TRIAL, "unbalanced_covariates"), TRIAL)
 
 
-def stratum_estimates(trials: DataFrame, covariates: Sequence[str], strata: Mapping[str, Column], task_rows: int = matching.TASK_ROWS) -> DataFrame:
+def stratum_estimates(trials: DataFrame, covariates: Sequence[str], strata: Mapping[str, Column], task_rows: int | None = None) -> DataFrame:
     """One estimate per (drug, draw, stratum); every stratum is matched on its own."""
     return estimate_trials(trials, covariates, strata=strata, task_rows=task_rows)[0]

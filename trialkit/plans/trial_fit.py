@@ -1,7 +1,8 @@
 """A whole trial in one task: imputation, propensity, matching, balance and hazard ratios for all its strata.
 
-For trials of a bounded number of rows. The rows are held once; a stratum is a bit of a mask and its training rows are a bit of another, so strata
-that overlap cost no copies. Each step gives what the steps over whole tables give (`plans.study` uses these for larger trials).
+For trials of a bounded number of rows. The rows are held once; a stratum is a bit of a mask and its training rows are a bit of another. Steps go by
+column or by a run of rows, so a trial takes little more than its numbers, with one copy for the stratum at hand. Each step gives what the steps over
+whole tables give (`plans.study` uses these for larger trials).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from trialkit.functions.normal import normal_quantile
 from trialkit.plans.balance import NO_SPREAD
@@ -18,54 +19,60 @@ from trialkit.plans.survival import fit_arm
 
 NEWTON_STEPS, TOLERANCE, RIDGE, BOUND, CLIP = 25, 1e-8, 1.0, 35.0, 1e-9
 COX_STEPS = 10
+RUN = 1 << 16
 
 
-def train_medians(x: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """Median of the known training values of each column; 0 for a column without any."""
-    part = np.sort(x[train], axis=0)  # unknown values come last
-    known = np.count_nonzero(~np.isnan(part), axis=0)
-    out = np.zeros(x.shape[1])
-    full = np.flatnonzero(known)
-    if len(full):
-        n = known[full]
-        low, high = part[(n - 1) // 2, full], part[n // 2, full]
-        out[full] = low + (high - low) * 0.5
-    return out
+def fill_with_medians(x: np.ndarray, train: np.ndarray) -> None:
+    """Put the median of the known training values into the gaps of each column, 0 into those of a column without any."""
+    for j in range(x.shape[1]):
+        gaps = np.isnan(x[:, j])
+        if gaps.any():
+            part = np.sort(x[train & ~gaps, j])
+            n = len(part)
+            low, high = (part[(n - 1) // 2], part[n // 2]) if n else (0.0, 0.0)
+            x[gaps, j] = low + (high - low) * 0.5
 
 
 def propensity(x: np.ndarray, treated: np.ndarray) -> np.ndarray:
     """Log odds of treatment from a ridge logistic fit; the intercept is not penalised."""
-    wide = np.column_stack((np.ones(len(x)), x))
-    penalty = np.full(wide.shape[1], RIDGE)
+    width = x.shape[1] + 1
+    penalty = np.full(width, RIDGE)
     penalty[0] = 0.0
-    beta = np.zeros(wide.shape[1])
+    beta = np.zeros(width)
+    runs = [slice(lo, lo + RUN) for lo in range(0, len(x), RUN)]
+    wide = lambda run: np.column_stack((np.ones(len(x[run])), x[run]))
+    chance = lambda part: 1 / (1 + np.exp(-np.clip(part @ beta, -BOUND, BOUND)))
     for _ in range(NEWTON_STEPS):
-        p = 1 / (1 + np.exp(-np.clip(wide @ beta, -BOUND, BOUND)))
-        gradient = wide.T @ (treated - p) - penalty * beta
-        hessian = (wide * (p * (1 - p))[:, None]).T @ wide + np.diag(penalty)
-        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        gradient, hessian = 0.0, 0.0
+        for run in runs:
+            part = wide(run)
+            p = chance(part)
+            gradient = gradient + part.T @ (treated[run] - p)
+            hessian = hessian + (part * (p * (1 - p))[:, None]).T @ part
+        step = np.linalg.lstsq(hessian + np.diag(penalty), gradient - penalty * beta, rcond=None)[0]
         beta = beta + step
         if np.abs(step).max() < TOLERANCE:
             break
-    p = np.clip(1 / (1 + np.exp(-np.clip(wide @ beta, -BOUND, BOUND))), CLIP, 1 - CLIP)
+    p = np.clip(np.concatenate([chance(wide(run)) for run in runs]), CLIP, 1 - CLIP)
     return np.log(p / (1 - p))
 
 
-def _moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample variance by column; exactly 0 for columns of one value."""
+def _moments(x: np.ndarray) -> tuple[float, float]:
+    """Mean and sample variance; exactly 0 for a column of one value."""
     shifted = x - x[0]
-    return x[0] + shifted.mean(0), shifted.var(0, ddof=1)
+    return x[0] + shifted.mean(), shifted.var(ddof=1)
 
 
 def unbalanced(x: np.ndarray, treated: np.ndarray, threshold: float) -> int:
     """Columns whose standardized difference is above the threshold; arms of one row or columns without spread have none."""
-    one, zero = x[treated], x[~treated]
-    if len(one) < 2 or len(zero) < 2:
+    if min(np.count_nonzero(treated), np.count_nonzero(~treated)) < 2:
         return 0
-    (m1, v1), (m0, v0) = _moments(one), _moments(zero)
-    gap, spread = np.abs(m1 - m0), np.sqrt((v1 + v0) / 2)
-    known = spread > NO_SPREAD * np.maximum(np.abs(m1), np.abs(m0))
-    return int(np.count_nonzero(gap[known] / spread[known] > threshold))
+    n = 0
+    for j in range(x.shape[1]):
+        (m1, v1), (m0, v0) = (_moments(x[arm, j]) for arm in (treated, ~treated))
+        gap, spread = abs(m1 - m0), np.sqrt((v1 + v0) / 2)
+        n += int(spread > NO_SPREAD * max(abs(m1), abs(m0)) and gap / spread > threshold)
+    return n
 
 
 def arm_hazard(days: np.ndarray, event: np.ndarray, treated: np.ndarray) -> tuple[float | None, float | None, float | None] | None:
@@ -87,23 +94,25 @@ def arm_hazard(days: np.ndarray, event: np.ndarray, treated: np.ndarray) -> tupl
         return tuple(float(np.exp(v)) for v in (beta, beta - z * se, beta + z * se))
 
 
-def estimates_of(pdf: pd.DataFrame, covariates: Sequence[str], time: str, event: str, strata: int, threshold: float) -> list[dict]:
+def estimates_of(trial: pa.Table, covariates: Sequence[str], time: str, event: str, strata: int, threshold: float) -> list[dict]:
     """One entry per stratum with its number (`stratum`), estimates and the ids of matched rows (`matched`); strata without rows or follow-up have none.
 
-    `pdf` holds the rows of a trial: id, treatment, time, event, covariates, `_tie` (hash of the id), `_strata` and `_train` (bit masks).
+    `trial` holds the rows of a trial: id, treatment, time, event, covariates, `_tie` (hash of the id), `_strata` and `_train` (bit masks).
     """
-    pdf = pdf.sort_values(["_tie", "id"], kind="stable")  # settles equal scores as the tables do
-    ids, treated = pdf["id"].to_numpy(np.int64), pdf["treatment"].to_numpy() == 1
-    days, died, whole = pdf[time].to_numpy(float), pdf[event].to_numpy(float), pdf[list(covariates)].to_numpy(float)
-    masks, trains = pdf["_strata"].to_numpy(np.int64), pdf["_train"].to_numpy(np.int64)
+    numbers = lambda name, kind: trial.column(name).to_numpy().astype(kind, copy=False)
+    order = np.lexsort((numbers("id", np.int64), numbers("_tie", np.int64)))  # stable; settles equal scores as the tables do
+    ids, masks, trains = (numbers(c, np.int64)[order] for c in ("id", "_strata", "_train"))
+    treated, days, died = numbers("treatment", float)[order] == 1, numbers(time, float)[order], numbers(event, float)[order]
+    whole = np.empty((len(order), len(covariates)))
+    for j, c in enumerate(covariates):
+        whole[:, j] = numbers(c, float)[order]
     out = []
     for k in range(strata):
         here = np.flatnonzero(masks >> k & 1)
         if not len(here) or (raw := arm_hazard(days[here], died[here], treated[here])) is None:
             continue
-        x, arm = whole[here], treated[here]
-        if np.isnan(x).any():
-            x = np.where(np.isnan(x), train_medians(x, (trains[here] >> k & 1) == 1), x)
+        x, arm = whole if strata == 1 and len(here) == len(whole) else whole[here], treated[here]
+        fill_with_medians(x, (trains[here] >> k & 1) == 1)
         score = propensity(x, arm)
         order = np.lexsort((~arm, score))  # stable; treated rows come first
         found = match_sorted(ids[here][order], score[order], arm[order], np.inf, 1)
