@@ -47,7 +47,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_powers: dict[int, np.ndarray] = {}
+class _Kept(dict):
+    """What a process has worked out; functions sent to tasks take none of it along (two tables of 8 MB each)."""
+
+    def __reduce__(self) -> tuple:
+        return _Kept, ()
+
+
+_powers: dict[int, np.ndarray] = _Kept()
 
 
 def _power(base: int, n: int) -> np.ndarray:
