@@ -7,6 +7,7 @@ Expected columns: records (ptid, rx_date, drug, code), cohort (ptid, dx_date, ..
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -97,20 +98,19 @@ def control_members(cohort: DataFrame, treated: DataFrame, drug: str) -> DataFra
     return cohort.join(treated.where(F.col("drug") == drug).select("ptid"), "ptid", "left_anti")
 
 
-def control_draws(
-    treated: DataFrame, cohort: DataFrame, n_boot: int = 100, ratio: int = 5, seed: int = 0
-) -> DataFrame:
-    """`n_boot` draws with replacement of `ratio` x treated controls per drug, all drugs at once.
+@dataclass
+class DrawTables:
+    """What draws are made of: numbered cohort members, the arm rows of every drug with their numbers, and swaps of drawn numbers that are treated."""
 
-    Returns (drug, boot_id, rep, ptid, therapy_date, delta_days, index_date). A control's index date is
-    its own therapy date plus a day offset drawn from the treated.
+    members: DataFrame
+    arm: DataFrame
+    swaps: DataFrame
+    n_members: int
+    n_arm: int
 
-    The control pool of a drug is never listed. Cohort members are numbered once; control number u of a
-    drug with c controls is member u, unless that member is treated: the treated numbers below c (holes)
-    are paired one to one with the untreated numbers from c on (fillers). Draw slots hang on the treated
-    rows, so a big drug's slots are spread over as many tasks as its treated patients; their hashes are taken
-    many at a time, and members, offsets and swaps are found by number.
-    """
+
+def draw_tables(treated: DataFrame, cohort: DataFrame) -> DrawTables:
+    """Members (ptid, therapy_date, member), arm (drug, ptid, delta_days, t_pos, n_treated, drug_no, n_control) and swaps (drug_no, control, swap); see `control_draws`."""
     members = cut(dense_positions(cohort.select("ptid", "therapy_date"), [], "ptid", "member"))
     n_members = members.count()
     sizes = treated.groupBy("drug").agg(F.count(F.lit(1)).alias("n_treated"))
@@ -130,6 +130,25 @@ def control_draws(
     swaps = holes.join(dense_positions(fillers, ["drug"], "member", "k"), ["drug", "k"]).select(
         "drug_no", "control", F.col("member").alias("swap")
     )
+    return DrawTables(members, arm, swaps, n_members, n_arm)
+
+
+def control_draws(
+    treated: DataFrame, cohort: DataFrame, n_boot: int = 100, ratio: int = 5, seed: int = 0
+) -> DataFrame:
+    """`n_boot` draws with replacement of `ratio` x treated controls per drug, all drugs at once.
+
+    Returns (drug, boot_id, rep, ptid, therapy_date, delta_days, index_date). A control's index date is
+    its own therapy date plus a day offset drawn from the treated.
+
+    The control pool of a drug is never listed. Cohort members are numbered once; control number u of a
+    drug with c controls is member u, unless that member is treated: the treated numbers below c (holes)
+    are paired one to one with the untreated numbers from c on (fillers). Draw slots hang on the treated
+    rows, so a big drug's slots are spread over as many tasks as its treated patients; their hashes are taken
+    many at a time, and members, offsets and swaps are found by number.
+    """
+    tables = draw_tables(treated, cohort)
+    members, arm, swaps, n_members, n_arm = tables.members, tables.arm, tables.swaps, tables.n_members, tables.n_arm
     slots = spread(arm.where("n_control > 0").select("drug", "drug_no", "t_pos", "n_treated", "n_control"), n_arm * n_boot * ratio, "drug", "t_pos")
     text = slots.schema["drug"].dataType
     drawn = slots.withColumn("_text", F.col("drug").cast("string")).mapInArrow(
@@ -160,15 +179,18 @@ def _drawn(batches: Iterator[pa.RecordBatch], n_boot: int, ratio: int, seed: int
             texts = [t.encode() for t in coded.dictionary.to_pylist()]
             codes = np.repeat(coded.indices.to_numpy(), per_row)
             boot, rep = np.tile(boots, n), np.repeat(t_pos.to_numpy() * ratio, per_row) + np.tile(turns, n)
-            drawn = [
-                hash32_many(f"{what}|{seed}|".encode(), (texts, codes), b"|", boot, b"|", rep) % np.repeat(size.to_numpy(), per_row)
-                for what, size in (("control", n_control), ("offset", n_treated))
-            ]
+            sizes = (np.repeat(size.to_numpy(), per_row) for size in (n_control, n_treated))
+            drawn = [drawn_positions(what, seed, (texts, codes), boot, rep) % size for what, size in zip(("control", "offset"), sizes, strict=True)]
             row = pa.array(np.repeat(np.arange(n), per_row))
             arrays = [drug.take(row), drug_no.take(row), pa.array(boot, pa.int32()), *(pa.array(a) for a in (rep, *drawn))]
             yield pa.RecordBatch.from_arrays(arrays, names=["drug", "drug_no", "boot_id", "rep", "control", "t_pos"])
 
 
+def drawn_positions(what: str, seed: int, drug: bytes | tuple[Sequence[bytes], np.ndarray], boot: bytes | np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """Hashes of slots; the remainder by the number of controls ("control") or treated ("offset") is the number drawn."""
+    return hash32_many(f"{what}|{seed}|".encode(), drug, b"|", boot, b"|", rep)
+
+
 def union_records(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Stack record sources under one schema with a `source` tag."""
     tagged = [df.withColumn("source", F.lit(tag)) for tag, df in sources]

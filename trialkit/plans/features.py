@@ -35,6 +35,16 @@ def index_keys(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY).distinct()
 
 
+def change_days(events: DataFrame, days: int = 365) -> DataFrame:
+    """(ptid, day): the days on which covariates of `baseline` over `events` (ptid, date) can change, the turn of the year apart.
+
+    An event counts from its day on and, where the window is bounded, leaves it `days` + 1 days later. Between two such days of one year all index dates of
+    a patient have the same covariates, and the same first event after them.
+    """
+    seen = events.select("ptid", F.col("date").alias("day")).where("day is not null")
+    return seen.unionByName(seen.withColumn("day", F.date_add("day", days + 1)))
+
+
 def _lookback(daily: DataFrame, keys: DataFrame, days: int | None, unbounded: str | None = None) -> DataFrame:
     """Keys with their history up to the index day, of `days` at most; keys without any keep one row of nulls. Rows of the block `unbounded` count however old.
 

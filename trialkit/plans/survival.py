@@ -90,9 +90,11 @@ def fit_arm(n0: np.ndarray, n1: np.ndarray, d0: np.ndarray, d1: np.ndarray, step
         if not information > 0:
             return None, None, False
         moved = score / information
-        beta += moved
+        before, beta = beta, beta + moved
         if not np.isfinite(beta) or abs(beta) > 30:
             return None, None, False
+        if beta == before:  # as every later step
+            break
     _, information = _efron_terms(beta, n0, n1, d0, d1)
     return (beta, 1 / np.sqrt(information), bool(abs(moved) < 1e-6)) if information > 0 else (None, None, False)
 
@@ -345,8 +347,26 @@ def odds_ratio(df: DataFrame, keys: Sequence[str], time: str, event: str, treat:
     counts = df.groupBy(*keys).agg(
         cell(1, True).alias("a"), cell(1, False).alias("b"), cell(0, True).alias("c"), cell(0, False).alias("d")
     )
-    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
-    return counts.withColumn("odds_ratio", F.when(a * b * c * d > 0, (a * d) / (b * c)))
+    return counts.withColumn("odds_ratio", odds_of_cells(*"abcd"))
+
+
+def odds_of_cells(*cells: str) -> Column:
+    a, b, c, d = (F.col(x).cast("double") for x in cells)
+    return F.when(a * b * c * d > 0, (a * d) / (b * c))
+
+
+def rate_of(events: Column, days: Column) -> Column:
+    """Events per person-year; null without time at risk."""
+    return F.try_divide(events, days / 365.25)
+
+
+def event_sums(treated: np.ndarray, event: np.ndarray, days: np.ndarray, horizon: int | None) -> tuple[float, ...]:
+    """Rows of a task in the cells of `odds_ratio` (a, b, c, d) and the days of `incidence_rate_difference` by arm; NaN days are none."""
+    hit = event if horizon is None else event & (days <= horizon)
+    time = days if horizon is None else np.minimum(days, horizon)
+    n, arm, a = len(treated), np.count_nonzero(treated), np.count_nonzero(hit & treated)
+    c = np.count_nonzero(hit) - a
+    return tuple(map(float, (a, arm - a, c, n - arm - c, np.nansum(time[treated]), np.nansum(time[~treated]))))
 
 
 def incidence_rate_difference(
@@ -359,7 +379,7 @@ def incidence_rate_difference(
 
     def rate(arm: int) -> Column:
         here = F.col(treat) == arm
-        return F.try_divide(F.sum(F.when(here & hit, 1.0).otherwise(0.0)), F.sum(F.when(here, days).otherwise(0)) / 365.25)
+        return rate_of(F.sum(F.when(here & hit, 1.0).otherwise(0.0)), F.sum(F.when(here, days).otherwise(0)))
 
     return (
         df.groupBy(*keys).agg(rate(1).alias("rate_treated"), rate(0).alias("rate_control"))

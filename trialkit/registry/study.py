@@ -43,12 +43,15 @@ def trials(spark, d, n_boot=N_BOOT, min_treated=MIN_TREATED):
     """All trials; patients with another event shortly before their diagnosis are left out first."""
     clear = v.cohort(spark, d).where(gap_or_null(F.col("prior_date"), F.col("dx_date"), PRIOR_DAYS)).select("ptid")
     therapy = cut(v.therapy(spark, d).join(clear, "ptid", "left_semi"))
-    return build_trials(therapy, v.records(spark, d), outcome_of(spark, d, therapy), _covariates(spark, d), n_boot=n_boot, min_treated=min_treated)
+    changes = features.change_days(v.orders(spark, d).select("ptid", F.col("order_day").alias("date")))
+    return build_trials(
+        therapy, v.records(spark, d), outcome_of(spark, d, therapy), _covariates(spark, d), n_boot=n_boot, min_treated=min_treated, changes=changes
+    )
 
 
 def summary(spark, d, n_boot=N_BOOT, min_treated=MIN_TREATED, n_resamples=N_RESAMPLES):
     built = trials(spark, d, n_boot, min_treated)
-    estimates = cut(estimate_trials(built.rows, built.covariates)[0])
+    estimates = cut(estimate_trials(built, built.covariates)[0])
     counts = built.treated.groupBy("drug").agg(F.count(F.lit(1)).alias("num_treated"))
     return synthesis.drug_summary(estimates, counts, n_resamples)
 
@@ -64,11 +67,11 @@ _MORE_THAN = 1000
 @query("sae_effect_matrix")
 def sae_effect_matrix(spark, d):
     built = trials(spark, d)
-    estimates, matched = estimate_trials(built.rows, built.covariates)
-    estimates = cut(estimates)
-    last = built.outcome.select("ptid", "last_act_dt")
     events = _order_events(spark, d)
     classes = outcomes.event_classes(events, _MORE_THAN)
+    last = built.outcome.select("ptid", "last_act_dt")
+    estimates, matched = estimate_trials(built.rows, built.covariates)
+    estimates = cut(estimates)
     per_class = cut(class_estimates(matched, events, estimates, classes, last))
     out = None
     for measure, expected in (("OR_all_day", 1.0), ("OR_180day", 1.0), ("diff_ir_all_day", 0.0), ("diff_ir_180day", 0.0)):
