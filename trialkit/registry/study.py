@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialkit.plans import features, outcomes, synthesis
 from trialkit.plans.cohort import gap_or_null
-from trialkit.plans.study import build_trials, class_estimates, estimate_trials, stratum_estimates
+from trialkit.plans.study import Watched, build_trials, class_estimates, estimate_trials, stratum_estimates
 from trialkit.registry import views as v
 from trialkit.registry.base import query
 from trialkit.registry.patients import outcome_of
@@ -70,7 +70,7 @@ def sae_effect_matrix(spark, d):
     events = _order_events(spark, d)
     classes = outcomes.event_classes(events, _MORE_THAN)
     last = built.outcome.select("ptid", "last_act_dt")
-    estimates, matched = estimate_trials(built.rows, built.covariates)
+    estimates, matched = estimate_trials(built, built.covariates, watched=Watched(events, classes, last))
     estimates = cut(estimates)
     per_class = cut(class_estimates(matched, events, estimates, classes, last))
     out = None
