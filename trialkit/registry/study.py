@@ -85,6 +85,6 @@ def sae_effect_matrix(spark, d):
 def stratified_effect_matrix(spark, d):
     built = trials(spark, d)
     strata = outcomes.study_strata(PRIORITIES)
-    estimates = cut(stratum_estimates(built.rows, built.covariates, strata))
+    estimates = cut(stratum_estimates(built, built.covariates, strata))
     cells = synthesis.significant_means(estimates, ["drug", "stratum"], "hr", 1.0, N_RESAMPLES)
     return synthesis.effect_matrix(cells, ["drug"], "stratum", list(strata))
